@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import langid, mixing, packing, repetition, url_filter
+from . import langid, mixing, packing, quality, repetition, url_filter
 from ._spark import crc_mod, table
 
 
@@ -24,6 +24,11 @@ def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    fold = lambda: F.coalesce(crc_mod("doc_id", 5) == 0, F.lit(False))
+    return quality.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), ~fold(), extra=[F.col("doc_id"), fold().alias("held_out")])
+
+
 def op8_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.url_filter(table(spark, sf_dir, "pages")).select("page_id", "host", "path", "rule", "verdict")
 
