@@ -60,3 +60,12 @@ def word_count(text: Column) -> Column:
 
 def n_groups(rows: int, per_group: int) -> int:
     return max(1, math.ceil(rows / per_group))
+
+
+#: Rows of a few numbers that may be broadcast; more are joined by a shuffle.
+BROADCAST_ROWS = 1_000_000
+
+
+def checked_broadcast(stored: DataFrame) -> DataFrame:
+    """A stored table with the broadcast hint if it holds BROADCAST_ROWS rows at most."""
+    return F.broadcast(stored) if stored.count() <= BROADCAST_ROWS else stored
