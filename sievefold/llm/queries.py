@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import jaccard, langid, mixing, packing, quality, repetition, url_filter
+from . import chat, jaccard, langid, mixing, packing, quality, repetition, topk, url_filter
 from ._spark import crc_mod, table
 
 
@@ -24,11 +24,22 @@ def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op4_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return topk.top_k(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0)
+
+
 def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     fold = lambda: F.coalesce(crc_mod("doc_id", 5) == 0, F.lit(False))
     return quality.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), ~fold(), extra=[F.col("doc_id"), fold().alias("held_out")])
 
 
+def op7_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    said = "</s>[INST] ok [/INST]"
+    more = spark.createDataFrame([(-1, 0, "user", said), (-1, 1, "assistant", said)], "conv_id long, turn long, role string, text string")
+    turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").unionByName(more)
+    return chat.digest(chat.windows(turns)).drop("n_windows")
+
+
 def op8_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.url_filter(table(spark, sf_dir, "pages")).select("page_id", "host", "path", "rule", "verdict")
 
@@ -46,4 +57,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_repetition": repetition.oracle(), "op3_mixing": mixing.oracle(), "op8_url_filter": url_filter.oracle()}
+    return {"op1_repetition": repetition.oracle(), "op3_mixing": mixing.oracle(), "op4_topk": topk.oracle(), "op8_url_filter": url_filter.oracle()}
