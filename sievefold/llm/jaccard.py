@@ -11,7 +11,8 @@ a token; the prefix of a set of n tokens is its first ``n - ceil(percent * n / 1
    dropped at once.  Classes that share a prefix token, directly or over others, form a
    *cell*: linked classes are always in one cell.
 3. A second pass hashes again the classes that share a cell with another, and the same
-   filter under an independent order splits the cells further.
+   filter under an independent order splits the cells further.  A third pass makes the
+   whole sets of those still in a cell with another.
 4. A cell is verified in blocks of at most ``2 * BLOCK`` sets, so a cell of any size is
    spread over tasks.  In a block a pair is verified only if its sizes are near enough,
    it shares a prefix token under a third order too, and it isn't already in one
@@ -35,7 +36,7 @@ from ._text import chunks, mix64, shingle_sets
 from .components import components
 
 BLOCK = 256
-#: Bits of the filter of classes that the second pass hashes: 16 a class, at most 2**26 (8 MB).
+#: Bits of the filter of the rows that a later pass hashes: 64 a class, at most 2**26 (8 MB).
 MAX_FILTER_BITS = 1 << 26
 _ORDERS = (np.uint64(0), np.uint64(0x6A09E667F3BCC909), np.uint64(0xBB67AE8584CAA73B))
 
@@ -107,78 +108,88 @@ def cells(rows: DataFrame, within: list[str]) -> DataFrame:
     return components(prefix.join(hubs, [*within, "token"]).select(F.col("sig").alias("a"), F.col("hub").alias("b")))
 
 
-def _filter_bits(members: DataFrame) -> tuple[np.ndarray, int]:
-    """A bit map of the classes in ``members``, of a bounded size."""
-    want = 16 * max(1, members.count())
-    bits = min(MAX_FILTER_BITS, 1 << (want - 1).bit_length())
-    bits = max(bits, 1024)
-    at = F.pmod(F.xxhash64("sig"), F.lit(bits))
-    rows = members.select(F.shiftright(at, 5).alias("w"), (at % 32).cast("int").alias("r")).groupBy("w").agg(F.bit_or(F.expr("shiftleft(1L, r)")).alias("m")).collect()
+def _filter_bits(chosen: DataFrame) -> tuple[np.ndarray, int]:
+    """A bit map of the ``h`` of ``chosen``, of a bounded size."""
+    want = 64 * max(1, chosen.count())
+    bits = max(1024, min(MAX_FILTER_BITS, 1 << (want - 1).bit_length()))
+    at = F.pmod(F.xxhash64("h"), F.lit(bits))
+    rows = chosen.select(F.shiftright(at, 5).alias("w"), (at % 32).cast("int").alias("r")).groupBy("w").agg(F.bit_or(F.expr("shiftleft(1L, r)")).alias("m")).collect()
     out = np.zeros(bits // 32, np.uint32)
     out[[r.w for r in rows]] = [r.m for r in rows]
     return out, bits
 
 
-def _member_sets(docs: DataFrame, members: DataFrame, sets: DataFrame, width: int, percent: int, share: float, doc_id: str, text: str) -> DataFrame:
-    """(sig, cell, n, tokens, band, room) of the classes in ``members`` (sig, component),
-    hashed from the text of one row of each."""
-    chosen = sets.where("n > 0").join(members, "sig").groupBy("sig", "component").agg(F.min(F.struct(F.xxhash64("doc_id").alias("h"), "doc_id")).alias("one")).select("sig", F.col("component").alias("cell"), "one.h")
-    chosen = materialize(chosen)
-    bitmap, bits = _filter_bits(chosen.select(F.col("h").alias("sig")))
+def _again(docs: DataFrame, chosen: DataFrame, width: int, doc_id: str, text: str, schema: str, emit) -> DataFrame:
+    """Hashes the texts of the rows in ``chosen`` (sig, h) again: (h, sig, n) and what
+    ``emit`` makes of the tokens.  A bit map of bounded size picks the rows while they are
+    read; the few others that it lets through are for the caller's join to drop."""
+    bitmap, bits = _filter_bits(chosen)
     shared = docs.sparkSession.sparkContext.broadcast(bitmap)
+    names = ["h", "sig", *(x.split()[0] for x in schema.split(", "))]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words = shared.value
+        bitset = shared.value
 
         def wanted() -> Iterator[pa.RecordBatch]:
             for batch in batches:
                 at = batch.column(0).to_numpy()
-                yield batch.filter(pa.array((words[at >> 5] >> (at & 31).astype(np.uint32)) & 1 == 1))
+                yield batch.filter(pa.array((bitset[at >> 5] >> (at & 31).astype(np.uint32)) & 1 == 1))
 
         for part in chunks(wanted(), "text"):
             tokens, offs = shingle_sets(part.column(2), width)
-            second = _ordered(tokens, offs, 1)
-            band, at, room = _band(second, offs, percent, share)
-            n = np.diff(offs)
-            raw = tokens.tobytes()
-            packed = [raw[8 * a : 8 * b] for a, b in zip(offs[:-1].tolist(), offs[1:].tolist(), strict=True)]
-            yield pa.RecordBatch.from_arrays(
-                [part.column(1), pa.array(_signatures(tokens, offs).view(np.int64)), pa.array(n), pa.array(packed, pa.binary()), _lists(band, at), pa.array(room.astype(np.int32))],
-                ["h", "sig", "n", "tokens", "band", "room"],
-            )
+            yield pa.RecordBatch.from_arrays([part.column(1), pa.array(_signatures(tokens, offs).view(np.int64)), *emit(tokens, offs)], names)
 
     h = F.xxhash64(F.col(doc_id))
     # the filter's own hash is taken of the hash of the id
     given = docs.select(F.pmod(F.xxhash64(h), F.lit(bits)).alias("at"), h.alias("h"), F.col(text).cast("string").alias("text"))
-    found = given.mapInArrow(run, "h long, sig long, n long, tokens binary, band array<long>, room int")
-    return found.join(chosen, ["sig", "h"]).drop("h").dropDuplicates(["sig"])
+    return given.mapInArrow(run, f"h long, sig long, {schema}")
+
+
+def _second_bands(docs: DataFrame, chosen: DataFrame, width: int, percent: int, share: float, doc_id: str, text: str) -> DataFrame:
+    """(sig, cell, band, room) of the chosen classes under the second order."""
+
+    def emit(tokens: np.ndarray, offs: np.ndarray) -> list[pa.Array]:
+        band, at, room = _band(_ordered(tokens, offs, 1), offs, percent, share)
+        return [_lists(band, at), pa.array(room.astype(np.int32))]
+
+    found = _again(docs, chosen, width, doc_id, text, "band array<long>, room int", emit)
+    return found.join(chosen.select("sig", "h", "cell"), ["sig", "h"]).drop("h").dropDuplicates(["sig"])
+
+
+def _member_tokens(docs: DataFrame, chosen: DataFrame, width: int, doc_id: str, text: str) -> DataFrame:
+    """(h, sig, tokens): whole sets, packed."""
+
+    def emit(tokens: np.ndarray, offs: np.ndarray) -> list[pa.Array]:
+        raw = tokens.tobytes()
+        return [pa.array([raw[8 * a : 8 * b] for a, b in zip(offs[:-1].tolist(), offs[1:].tolist(), strict=True)], pa.binary())]
+
+    found = _again(docs, chosen, width, doc_id, text, "tokens binary", emit)
+    return found.dropDuplicates(["sig", "h"])
 
 
-def _blocks(members: DataFrame, percent: int) -> DataFrame:
-    """Every class of a cell with the keys of the blocks it is verified in.
+def _block_keys(members: DataFrame, percent: int) -> DataFrame:
+    """Every class (sig, h, n) of a cell with the keys of the blocks it is verified in.
 
     Cells of up to 2 * BLOCK classes are one block.  Larger ones are cut into size
     classes (only equal or adjacent ones can link) and these by hash into parts of about
     BLOCK; a block is a pair of parts.
     """
-    total = members.groupBy("cell").agg(F.count(F.lit(1)).alias("m"))
+    total = members.groupBy("cell").agg(F.count(F.lit(1)).alias("m")).where("m > 1")
     x = members.join(total, "cell")
-    key = "cell long, lo int, hi int, i int, j int"
-    small = x.where(F.col("m") <= 2 * BLOCK).select("sig", "n", "tokens", F.col("cell"), *(F.lit(0).alias(c) for c in ("lo", "hi", "i", "j")), F.lit(0).alias("side"))
-    big = x.where(F.col("m") > 2 * BLOCK).withColumn("c", F.floor(F.log(F.col("n").cast("double")) / F.lit(float(np.log(100 / percent))) ).cast("int"))
+    small = x.where(F.col("m") <= 2 * BLOCK).select("sig", "h", "cell", *(F.lit(0).alias(c) for c in ("lo", "hi", "i", "j", "side")))
+    big = x.where(F.col("m") > 2 * BLOCK).withColumn("c", F.floor(F.log(F.col("n").cast("double")) / F.lit(float(np.log(100 / percent)))).cast("int"))
     parts = big.groupBy("cell", "c").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("p"))
     big = big.join(parts, ["cell", "c"]).withColumn("i", F.pmod(F.xxhash64("sig"), F.col("p")).cast("int"))
     for step, name in ((-1, "below"), (1, "above")):
         big = big.join(parts.select("cell", (F.col("c") - step).alias("c"), F.col("p").alias(name)), ["cell", "c"], "left")
     n_of = lambda p: F.coalesce(F.col(p), F.lit(0))
     seq = lambda p: F.when(n_of(p) > 0, F.sequence(F.lit(0), n_of(p) - 1)).otherwise(F.array().cast("array<int>"))
-    block = lambda lo, hi, i, j, side: F.struct(lo.alias("lo"), hi.alias("hi"), i.alias("i"), j.alias("j"), F.lit(side).alias("side") if isinstance(side, int) else side.alias("side"))
+    block = lambda lo, hi, i, j, side: F.struct(lo.alias("lo"), hi.alias("hi"), i.alias("i"), j.alias("j"), side.alias("side"))
     c, i = F.col("c"), F.col("i")
     own = F.transform(seq("p"), lambda j: block(c, c, F.least(i, j), F.greatest(i, j), F.when(i <= j, 0).otherwise(1)))
-    down = F.transform(seq("below"), lambda j: block(c - 1, c, j, i, 1))
-    up = F.transform(seq("above"), lambda j: block(c, c + 1, i, j, 0))
-    big = big.select("sig", "n", "tokens", "cell", F.explode(F.concat(own, down, up)).alias("b")).select("sig", "n", "tokens", "cell", "b.lo", "b.hi", "b.i", "b.j", "b.side")
-    return small.union(big)
+    down = F.transform(seq("below"), lambda j: block(c - 1, c, j, i, F.lit(1)))
+    up = F.transform(seq("above"), lambda j: block(c, c + 1, i, j, F.lit(0)))
+    return small.union(big.select("sig", "h", "cell", F.explode(F.concat(own, down, up)).alias("b")).select("sig", "h", "cell", "b.*"))
 
 
 def forest(sigs: np.ndarray, sets: list[np.ndarray], side: np.ndarray | None, percent: int) -> list[tuple[int, int]]:
@@ -272,15 +283,18 @@ def jaccard_components(docs: DataFrame, width: int = 3, percent: int = 90, doc_i
     share = band or min(1.0, 2.0 * (100 - percent) / 100)
     sets = materialize(shingle_table(docs, width, percent, share, doc_id, text))
     classes = sets.where("n > 0").select("sig", "band", "room").dropDuplicates(["sig"])
-    first = cells(materialize(classes), []).withColumnRenamed("node", "sig")
-    members = materialize(_member_sets(docs, first, sets, width, percent, share, doc_id, text))
-    second = cells(members.select("sig", "band", "room", "cell"), ["cell"])
-    narrowed = members.select("sig", "n", "tokens").join(second.select(F.col("node").alias("sig"), F.col("component").alias("cell")), "sig")
-    links = _verify(_blocks(narrowed, percent), percent)
+    first = cells(materialize(classes), [])
+    ids = sets.where("n > 0").select("sig", "n", "doc_id", F.xxhash64("doc_id").alias("h"))
+    one = ids.groupBy("sig").agg(F.min(F.struct("h", "n")).alias("x")).select("sig", "x.h", "x.n")
+    chosen = materialize(one.join(first.select(F.col("node").alias("sig"), F.col("component").alias("cell")), "sig"))
+    second = cells(materialize(_second_bands(docs, chosen, width, percent, share, doc_id, text)), ["cell"])
+    narrowed = materialize(chosen.drop("cell").join(second.select(F.col("node").alias("sig"), F.col("component").alias("cell")), "sig"))
+    tokens = _member_tokens(docs, narrowed, width, doc_id, text)
+    links = _verify(_block_keys(narrowed, percent).join(tokens, ["sig", "h"]), percent)
     # one id with different texts joins their classes
-    ids = sets.where("n > 0 AND doc_id IS NOT NULL")
-    several = ids.groupBy("doc_id").agg(F.min("sig").alias("a"), F.max("sig").alias("z")).where("a < z").drop("z")
-    links = links.union(ids.join(several, "doc_id").select("a", F.col("sig").alias("b")))
+    named_ids = ids.where("doc_id IS NOT NULL")
+    several = named_ids.groupBy("doc_id").agg(F.min("sig").alias("a"), F.max("sig").alias("z")).where("a < z").drop("z")
+    links = links.union(named_ids.join(several, "doc_id").select("a", F.col("sig").alias("b")))
     final = components(links)
     named = sets.select("doc_id", "n", "sig").join(final.withColumnRenamed("node", "sig"), "sig", "left").withColumn("part", F.coalesce("component", "sig"))
     smallest = named.where("part IS NOT NULL").groupBy("part").agg(F.min("doc_id").alias("component_id"))
