@@ -18,6 +18,12 @@ def _reasons(*parts: Column) -> Column:
     return F.filter(F.array(*parts), lambda r: r.isNotNull())
 
 
+def _once(c: Column) -> Column:
+    """The column itself; the optimizer won't copy it into a filter above, where all of
+    it would be computed a second time."""
+    return F.when(F.rand(0) < 2, c)
+
+
 def location_reason(c: Criteria, raw: Column, distance: Column) -> Column:
     f = c.filter
     shown = F.coalesce(raw, F.lit("null"))
@@ -93,7 +99,7 @@ def prefilter(listings: DataFrame, criteria: Criteria, now: str) -> DataFrame:
             *duration_reasons(c, F.col("duration_weeks")),
         ),
     )
-    x = x.withColumns({"reasons": reasons, "matched_keywords": F.when(added, F.array_append("_included", term)).otherwise(F.col("_included"))})
+    x = x.withColumns({"reasons": _once(reasons), "matched_keywords": F.when(added, F.array_append("_included", term)).otherwise(F.col("_included"))})
     weights = F.broadcast(multiplier_table(listings.sparkSession, c.preferences))
     x = x.join(weights, list(AXES), "left")
     return x.select(

@@ -4,16 +4,22 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from . import oracles as o
-from .criteria import seed_criteria, small_criteria
-from .functions import geo, signals
+from .criteria import keyword_rows, seed_criteria, small_criteria
+from .functions import geo, render, signals
 from .functions.text import content_fingerprint, html_to_text, listing_text
 from .functions.urls import canonical_url, dedupe_hash
+from .operators import budget, careers
+from .operators.dedupe import first_wins, near_duplicates
+from .operators.merge import upsert
 from .operators.prefilter import fit_score, prefilter, reason_key
-from .sources.listing_view import NOW, listings
+from .plans import matches, report, scoring
+from .plans.ingest import ingest_summary, reprocess
+from .sources import boards
+from .sources.listing_view import NOW, listings, spread, sql_text
 
 _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 _ORACLES: dict[str, Callable[[], str]] = {}
@@ -85,3 +91,322 @@ def prefilter_listings(spark, sf_dir):
 def reason_tally(spark, sf_dir):
     # explode_outer: a plain explode would push a filter on the reasons below their computation
     return judged(spark, sf_dir).select(F.explode_outer("reasons").alias("r")).where("r IS NOT NULL").groupBy(reason_key(F.col("r")).alias("reason")).agg(F.count(F.lit(1)).alias("n"))
+
+
+# --- deduplication, merges, re-evaluation --------------------------------------------
+
+
+def stored(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Judged listings as stored rows, with a coarse fingerprint and first sight."""
+    x = judged(spark, sf_dir)
+    first = F.col("posted_date") + F.make_interval(days=(F.col("id") % 7).cast("int"))
+    return x.withColumns({"content_fingerprint": F.sha2(F.concat_ws("|", "title", F.floor(F.col("id") / 40).cast("string")), 256), "first_seen_at": first, "location_suburb": F.col("suburb")})
+
+
+_STORED = "stored AS (SELECT *, sha256(title || '|' || (id // 40)) AS content_fingerprint, posted_date + to_days((id % 7)::INT) AS first_seen_at FROM pf)"
+
+
+@query(lambda: "SELECT doc_id, sha256(text) AS h FROM documents QUALIFY row_number() OVER (PARTITION BY sha256(text) ORDER BY doc_id) = 1")
+def exact_dedupe_first(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").select("doc_id", F.sha2("text", 256).alias("h"))
+    return first_wins(docs, ["h"], ["doc_id"])
+
+
+@query(lambda: f"WITH {o.located()}, {o.prefiltered(seed_criteria())}, {_STORED} SELECT count(*) AS repeated FROM (SELECT content_fingerprint FROM stored GROUP BY 1 HAVING count(*) > 1)")
+def fingerprint_groups(spark, sf_dir):
+    return stored(spark, sf_dir).groupBy("content_fingerprint").agg(F.count(F.lit(1)).alias("n")).where("n > 1").agg(F.count(F.lit(1)).alias("repeated"))
+
+
+def _near_sql() -> str:
+    """The greedy fold as a recursion over the members of each fingerprint in order."""
+    h = "pow(sin(radians(m.b_lat - m.a_lat) / 2), 2) + pow(sin(radians(m.b_lng - m.a_lng) / 2), 2) * cos(radians(m.a_lat)) * cos(radians(m.b_lat))"
+    km = f"{2 * geo.EARTH_RADIUS_KM} * asin(sqrt({h}))"
+    return f"""WITH RECURSIVE {o.located()}, {o.prefiltered(seed_criteria())}, {_STORED},
+members AS MATERIALIZED (SELECT id, content_fingerprint AS fp, latitude AS lat, longitude AS lng, lower(suburb) AS place, row_number() OVER (PARTITION BY content_fingerprint ORDER BY first_seen_at, id) AS k FROM stored),
+near AS MATERIALIZED (SELECT fp, k, j FROM (SELECT a.fp, a.k, b.k AS j, a.lat AS a_lat, a.lng AS a_lng, b.lat AS b_lat, b.lng AS b_lng, a.place AS a_place, b.place AS b_place FROM members a JOIN members b ON a.fp = b.fp AND b.k < a.k) m
+  WHERE CASE WHEN a_lat IS NOT NULL AND b_lat IS NOT NULL THEN {km} <= 5 ELSE a_place <> '' AND a_place = b_place END),
+links AS MATERIALIZED (SELECT fp, k, list(j) AS js FROM near GROUP BY fp, k),
+step AS (SELECT fp, 1::BIGINT AS k, [1::BIGINT] AS heads FROM members WHERE k = 1
+  UNION ALL SELECT s.fp, m.k, list_append(s.heads, coalesce(list_min([s.heads[j] for j in l.js]), m.k)) FROM step s JOIN members m ON m.fp = s.fp AND m.k = s.k + 1 LEFT JOIN links l ON l.fp = m.fp AND l.k = m.k)
+SELECT m.id, CASE WHEN s.heads[m.k] <> m.k THEN c.id END AS duplicate_of FROM members m JOIN step s ON s.fp = m.fp AND s.k = m.k JOIN members c ON c.fp = m.fp AND c.k = s.heads[m.k]"""
+
+
+@query(_near_sql)
+def near_duplicate_listings(spark, sf_dir):
+    return near_duplicates(stored(spark, sf_dir))
+
+
+@query(lambda: "WITH n AS (SELECT o_orderkey AS id, o_totalprice AS price, 'new' AS status FROM orders WHERE o_orderkey % 3 = 0 OR o_orderkey % 2 = 1), e AS (SELECT o_orderkey AS id, 1.0::DOUBLE AS price, 'old' AS status FROM orders WHERE o_orderkey % 2 = 0) SELECT coalesce(e.id, n.id) AS id, CASE WHEN n.id IS NOT NULL THEN n.price ELSE e.price END AS price, CASE WHEN e.id IS NOT NULL THEN e.status ELSE n.status END AS status FROM e FULL JOIN n ON e.id = n.id")
+def upsert_merge(spark, sf_dir):
+    orders = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("id"), F.col("o_totalprice").alias("price"))
+    old = orders.where("id % 2 = 0").select("id", F.lit(1.0).alias("price"), F.lit("old").alias("status"))
+    new = orders.where("id % 3 = 0 OR id % 2 = 1").withColumn("status", F.lit("new"))
+    return upsert(old, new, "id", keep=("status",))
+
+
+@query(lambda: "SELECT o_orderkey AS id, 'a' AS source FROM orders WHERE o_orderkey % 2 = 0 UNION ALL SELECT o_orderkey, 'b' FROM orders WHERE o_orderkey % 3 = 0")
+def union_sources(spark, sf_dir):
+    ids = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("id"))
+    return ids.where("id % 2 = 0").withColumn("source", F.lit("a")).unionByName(ids.where("id % 3 = 0").withColumn("source", F.lit("b")))
+
+
+@query(lambda: "SELECT o_orderkey AS id FROM orders WHERE NOT EXISTS (SELECT 1 FROM lineitem WHERE l_orderkey = o_orderkey AND l_quantity > 30)")
+def id_difference(spark, sf_dir):
+    done = table(spark, sf_dir, "lineitem").where("l_quantity > 30").select(F.col("l_orderkey").alias("id"))
+    return table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("id")).join(done, "id", "left_anti")
+
+
+def _flips_sql() -> str:
+    return f"""WITH {o.located()}, {o.prefiltered(seed_criteria(), 'pa')}, {o.prefiltered(small_criteria().with_filter(radius_km=70, max_listing_age_days=3000), 'pb')}
+SELECT CASE WHEN pa.status = pb.status THEN 'unchanged' WHEN pb.status = 'passed' THEN 'to_passed' ELSE 'to_rejected' END AS flip, count(*) AS n FROM pa JOIN pb USING (id) GROUP BY 1"""
+
+
+@query(_flips_sql)
+def reprocess_flips(spark, sf_dir):
+    return reprocess(listings(spark, sf_dir), seed_criteria(), small_criteria().with_filter(radius_km=70, max_listing_age_days=3000), NOW)
+
+
+@query(_pf("SELECT keyword_match_source AS source, count(*) AS n FROM pf WHERE status = 'passed' GROUP BY 1"))
+def match_source_tally(spark, sf_dir):
+    return judged(spark, sf_dir).where("status = 'passed'").groupBy(F.col("keyword_match_source").alias("source")).agg(F.count(F.lit(1)).alias("n"))
+
+
+@query(_pf("SELECT axis, value, count(*) AS n FROM (UNPIVOT (SELECT compensation, work_mode, commitment, role_type FROM pf WHERE status = 'passed') ON compensation, work_mode, commitment, role_type INTO NAME axis VALUE value) GROUP BY 1, 2"))
+def axis_distribution(spark, sf_dir):
+    return report.axis_distribution(judged(spark, sf_dir).where("status = 'passed'"))
+
+
+@query(lambda: f"WITH {o.located()}, {o.prefiltered(seed_criteria())}, {_STORED} SELECT count(*) AS fetched, count(*) FILTER (status = 'passed') AS passed, count(*) FILTER (status = 'rejected') AS rejected, count(*) - count(DISTINCT {o.canonical('url')}) AS in_batch_duplicates, count(*) FILTER (duration_weeks IS NOT NULL) AS duration_stated, count(*) FILTER (salary_min > 0 AND NOT salary_is_predicted) AS salary_stated FROM stored")
+def ingest_stats(spark, sf_dir):
+    return ingest_summary(stored(spark, sf_dir))
+
+
+# --- matches -------------------------------------------------------------------------
+
+THRESHOLD = 70
+
+
+def listing_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Judged listings with a stored duplicate mark."""
+    return judged(spark, sf_dir).drop("base_score").withColumn("duplicate_of", F.when(F.col("id") % 10 == 7, F.col("id") - 7))
+
+
+def match_rows(judged_: DataFrame) -> DataFrame:
+    """Matches of two thirds of the judged listings, with every status."""
+    status = F.element_at(F.array(*map(F.lit, report.STATUSES)), (F.col("id") * 31 % 5 + 1).cast("int"))
+    return judged_.where("id % 3 <> 0").select(
+        F.col("id").alias("match_id"), F.col("id").alias("listing_id"), "base_score", fit_score(F.col("base_score"), F.col("preference_multiplier")).alias("fit_score"),
+        status.alias("match_status"), (F.col("posted_date") + F.make_interval(days=(F.col("id") % 11).cast("int"))).alias("updated_at"),
+    )
+
+
+def both(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    x = judged(spark, sf_dir)
+    return match_rows(x), x.drop("base_score").withColumn("duplicate_of", F.when(F.col("id") % 10 == 7, F.col("id") - 7))
+
+
+def _matches_sql(select: str) -> Callable[[], str]:
+    return lambda: f"""WITH {o.located()}, {o.prefiltered(seed_criteria())},
+l AS (SELECT * EXCLUDE (base_score), CASE WHEN id % 10 = 7 THEN id - 7 END AS duplicate_of FROM pf),
+m AS (SELECT id AS match_id, id AS listing_id, base_score, {o.fit()} AS fit_score, ['new','notified','saved','applied','dismissed'][id * 31 % 5 + 1] AS match_status, posted_date + to_days((id % 11)::INT) AS updated_at FROM pf WHERE id % 3 <> 0),
+j AS (SELECT m.*, l.* EXCLUDE (id) FROM m JOIN l ON m.listing_id = l.id) {select}"""
+
+
+_RANK = "fit_score DESC, base_score DESC, match_id"
+
+
+@query(_matches_sql("SELECT match_id, fit_score, preference_multiplier FROM j"))
+def fit_scores(spark, sf_dir):
+    m, l = both(spark, sf_dir)
+    return matches.with_listing(m, l).select("match_id", "fit_score", "preference_multiplier")
+
+
+@query(_matches_sql("SELECT b.bucket, count(m.match_id)::BIGINT AS n FROM (VALUES ('80-100'), ('70-79'), ('50-69'), ('25-49'), ('0-24')) b(bucket) LEFT JOIN m ON b.bucket = CASE WHEN fit_score >= 80 THEN '80-100' WHEN fit_score >= 70 THEN '70-79' WHEN fit_score >= 50 THEN '50-69' WHEN fit_score >= 25 THEN '25-49' ELSE '0-24' END GROUP BY 1"))
+def score_histogram(spark, sf_dir):
+    return report.score_histogram(match_rows(judged(spark, sf_dir)))
+
+
+@query(_matches_sql("SELECT s.status, count(m.match_id)::BIGINT AS n FROM (VALUES ('new'), ('notified'), ('saved'), ('applied'), ('dismissed')) s(status) LEFT JOIN m ON m.match_status = s.status GROUP BY 1"))
+def match_status_counts(spark, sf_dir):
+    return report.status_counts(match_rows(judged(spark, sf_dir)).withColumnRenamed("match_status", "status"))
+
+
+@query(_matches_sql("SELECT id, preference_multiplier FROM l WHERE status = 'passed' AND duplicate_of IS NULL AND NOT EXISTS (SELECT 1 FROM m WHERE listing_id = l.id)"))
+def work_queue(spark, sf_dir):
+    m, l = both(spark, sf_dir)
+    return matches.work_queue(l, m).select("id", "preference_multiplier")
+
+
+_COST = "1500 + id % 7 * 100"
+
+
+@query(_matches_sql(f"""
+, q AS (SELECT id, {_COST} AS cost, row_number() OVER (ORDER BY preference_multiplier DESC, id) AS rn FROM l WHERE duplicate_of IS NULL AND keyword_match_source <> 'none' AND NOT EXISTS (SELECT 1 FROM m WHERE listing_id = l.id)),
+b AS (SELECT (rn - 1) // 8 AS batch, count(*) AS rows, sum(cost)::BIGINT AS cost FROM q GROUP BY 1),
+c AS (SELECT *, coalesce(sum(cost) OVER (ORDER BY batch ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS spent_before FROM b) SELECT * FROM c WHERE spent_before < 500000"""))
+def budget_batches(spark, sf_dir):
+    m, l = both(spark, sf_dir)
+    todo = l.where("duplicate_of IS NULL AND keyword_match_source <> 'none'").join(m.select(F.col("listing_id").alias("id")), "id", "left_anti")
+    return matches.score_batches(todo, F.expr(_COST), 500_000)
+
+
+@query(_matches_sql(f"SELECT match_id, fit_score, rank, rank <= 13 AS send FROM (SELECT *, row_number() OVER (ORDER BY {_RANK}) AS rank FROM j WHERE match_status = 'new' AND fit_score >= {THRESHOLD} AND duplicate_of IS NULL) WHERE rank <= 100"))
+def notify_queue(spark, sf_dir):
+    m, l = both(spark, sf_dir)
+    return matches.notify_queue(m, l, THRESHOLD, sent_today=12, cap=25).select("match_id", "fit_score", "rank", "send")
+
+
+@query(_matches_sql(f"""SELECT (SELECT count(*) FROM l) AS listings_total, (SELECT count(*) FROM l WHERE status = 'passed') AS listings_passed, (SELECT count(*) FROM l WHERE duplicate_of IS NOT NULL) AS duplicates,
+ (SELECT count(*) FROM m) AS scored, (SELECT count(*) FROM j WHERE fit_score >= {THRESHOLD} AND duplicate_of IS NULL) AS above_threshold,
+ greatest(0, (SELECT count(*) FROM l WHERE status = 'passed' AND duplicate_of IS NULL) - (SELECT count(*) FROM j WHERE status = 'passed' AND duplicate_of IS NULL)) AS awaiting_score,
+ """ + ", ".join(f"(SELECT count(*) FROM m WHERE match_status = '{s}') AS n_{s}" for s in report.STATUSES)))
+def pipeline_stats(spark, sf_dir):
+    m, l = both(spark, sf_dir)
+    return matches.pipeline_stats(l, m, THRESHOLD)
+
+
+@query(_matches_sql(f"SELECT match_id, fit_score, title FROM j WHERE match_status IN ('new', 'notified') AND fit_score >= 20 AND (title ILIKE '%cyber%' OR company ILIKE '%cyber%') ORDER BY {_RANK} LIMIT 10 OFFSET 10"))
+def match_list_page(spark, sf_dir):
+    m, l = both(spark, sf_dir)
+    return matches.match_page(m, l, min_score=20, search="(cyber)", page=2, per_page=10)[0].select("match_id", "fit_score", "title")
+
+
+@query(_matches_sql("SELECT match_id, match_status, updated_at FROM j WHERE match_status IN ('saved', 'applied', 'dismissed') ORDER BY updated_at DESC, match_id LIMIT 20"))
+def decision_history(spark, sf_dir):
+    m, l = both(spark, sf_dir)
+    return matches.latest_decisions(m, l).select("match_id", "match_status", F.col("updated_at").cast("timestamp_ntz").alias("updated_at"))
+
+
+@query(_matches_sql(f"SELECT match_id, fit_score FROM j WHERE match_status IN ('new', 'notified') AND duplicate_of IS NULL ORDER BY {_RANK} LIMIT 5"))
+def top_matches(spark, sf_dir):
+    m, l = both(spark, sf_dir)
+    return matches.top_matches(m, l).select("match_id", "fit_score")
+
+
+@query(_pf("SELECT trim(split_part(r, ':', 1)) AS reason, count(*) AS n FROM (SELECT unnest(reasons) AS r FROM (SELECT * FROM pf WHERE status = 'rejected' ORDER BY posted_date DESC, id LIMIT 1000)) GROUP BY 1"))
+def rejection_sample(spark, sf_dir):
+    return report.rejection_breakdown(judged(spark, sf_dir), 1000, [F.desc("posted_date"), F.col("id")])
+
+
+@query(_matches_sql("""SELECT match_id, CASE WHEN floor(base_score * preference_multiplier::DOUBLE + 0.5) > 100 THEN base_score || ' resume match × ' || preference_multiplier || ' preference = ' || floor(base_score * preference_multiplier::DOUBLE + 0.5)::BIGINT || ', capped at 100' ELSE base_score || ' resume match × ' || preference_multiplier || ' preference' END AS explanation,
+ array_to_string(list_filter([CASE WHEN suburb <> '' THEN suburb END, floor(distance_km + 0.5)::BIGINT || ' km away'], lambda x: x IS NOT NULL), ' · ') AS place,
+ array_to_string(list_filter([CASE WHEN compensation <> 'unknown' THEN compensation END, CASE work_mode WHEN 'unknown' THEN NULL WHEN 'onsite' THEN 'on-site' ELSE work_mode END,
+  CASE commitment WHEN 'unknown' THEN NULL WHEN 'full_time' THEN 'full-time' WHEN 'part_time' THEN 'part-time' ELSE commitment END, '~' || duration_weeks || ' weeks'], lambda x: x IS NOT NULL), ' · ') AS facts,
+ strftime(posted_date, '%-d %b %Y') AS posted FROM j"""))
+def card_lines(spark, sf_dir):
+    m, l = both(spark, sf_dir)
+    x = matches.with_listing(m, l)
+    return x.select(
+        "match_id", render.score_explanation(F.col("base_score"), F.col("preference_multiplier")).alias("explanation"), render.place_line(F.col("suburb"), F.col("distance_km")).alias("place"),
+        render.facts_line(F.lit(None).cast("string"), F.col("compensation"), F.col("work_mode"), F.col("commitment"), weeks=F.col("duration_weeks")).alias("facts"),
+        render.posted_text(F.col("posted_date").cast("string")).alias("posted"),
+    )
+
+
+# --- sources, state, pages -----------------------------------------------------------
+
+
+@query(lambda: "SELECT user_id, arg_max(event_type, {'ts': ts, 'id': event_id}) AS event_type FROM events GROUP BY user_id")
+def latest_decision(spark, sf_dir):
+    return budget.latest_decision(table(spark, sf_dir, "events"), "user_id", "event_type", ["ts", "event_id"])
+
+
+@query(lambda: "WITH x AS (SELECT *, sum((value <= 50)::INT) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS run FROM events) SELECT event_id, sum((value > 50)::INT) OVER (PARTITION BY user_id, run ORDER BY ts, event_id)::BIGINT AS streak FROM x")
+def failure_streaks(spark, sf_dir):
+    return budget.failure_streaks(table(spark, sf_dir, "events"), "user_id", ["ts", "event_id"], F.col("value") > 50).select("event_id", "streak")
+
+
+@query(lambda: "SELECT event_id, row_number() OVER (PARTITION BY user_id, date_trunc('day', ts) ORDER BY ts, event_id) <= 2 AS within_quota FROM events")
+def daily_quota(spark, sf_dir):
+    day = F.date_trunc("day", F.col("ts"))
+    rank = F.row_number().over(Window.partitionBy("user_id", day).orderBy("ts", "event_id"))
+    return table(spark, sf_dir, "events").select("event_id", (rank <= 2).alias("within_quota"))
+
+
+_SOURCES = [("a", True, 180, 200, 34, "2001-08-02 00:00:00", "2001-07-31 22:00:00"), ("b", True, 240, 400, 400, "2001-08-02 00:00:00", None), ("c", False, 720, 100, 0, "2001-08-01 00:00:00", None), ("d", True, 60, 10, 10, "2001-07-31 00:00:00", "2001-07-31 23:30:30"), ("e", True, 60, 10, 0, "2001-08-02 00:00:00", None)]
+
+
+@query(lambda: f"""SELECT name, CASE WHEN NOT enabled THEN 'disabled' WHEN now < reset AND calls >= most THEN 'daily quota spent (' || calls || '/' || most || '), resets ' || strftime(reset, '%Y-%m-%dT%H:%M:%S.000Z')
+ WHEN epoch(now) - epoch(polled) < every * 60 THEN 'not due for ' || ceil(every - (epoch(now) - epoch(polled)) / 60)::BIGINT || 'm' ELSE 'due' END AS due
+ FROM (SELECT *, TIMESTAMP '{NOW}' AS now FROM (VALUES {', '.join(f"('{a}', {b}, {c}, {d}, {e}, TIMESTAMP '{f}', {'NULL' if g is None else f"TIMESTAMP '{g}'"})" for a, b, c, d, e, f, g in _SOURCES)}) v(name, enabled, every, most, calls, reset, polled))""")
+def source_due(spark, sf_dir):
+    rows = spark.createDataFrame(_SOURCES, "name string, enabled boolean, poll_interval_minutes int, max_calls_per_day int, calls_today int, quota_reset_at string, last_polled_at string")
+    rows = rows.withColumns({c: F.col(c).cast("timestamp") for c in ("quota_reset_at", "last_polled_at")})
+    return rows.select("name", budget.source_due(F.lit(NOW).cast("timestamp")).alias("due"))
+
+
+def _plan_rows() -> str:
+    return ", ".join(f"({i}, {sql_text(k.term)}, '{k.kind}', {k.weight}::DECIMAL(4,2))" for i, k in enumerate(seed_criteria().keywords))
+
+
+@query(lambda: f"SELECT term, weight, row_number() OVER (ORDER BY weight DESC, i)::INT AS position FROM (VALUES {_plan_rows()}) v(i, term, kind, weight) WHERE kind = 'include'")
+def keyword_plan(spark, sf_dir):
+    plan = boards.keyword_plan(keyword_rows(spark, seed_criteria()))
+    return plan.select("term", "weight", F.row_number().over(Window.orderBy(F.desc("weight"), "ordinal")).alias("position"))
+
+
+@query(lambda: f"SELECT kind, count(*) AS n FROM (VALUES {_plan_rows()}) v(i, term, kind, weight) GROUP BY kind")
+def filter_summary(spark, sf_dir):
+    return report.keyword_counts(keyword_rows(spark, seed_criteria()))
+
+
+@query(lambda: "SELECT 'orders' AS name, count(*) AS rows, count(*) >= 1 AS ok FROM orders UNION ALL SELECT 'pages', count(*), count(*) >= 1000000000 FROM pages")
+def health_check(spark, sf_dir):
+    return report.health([("orders", table(spark, sf_dir, "orders"), 1), ("pages", table(spark, sf_dir, "pages"), 1_000_000_000)])
+
+
+_DENY = ("casino-win.example.net", "example.org")
+
+
+@query(lambda: f"""SELECT page_id, CASE {' '.join(f"WHEN host = '{d}' OR ends_with(host, '.{d}') THEN '{d} is a job board'" for d in _DENY)} END AS reason FROM (SELECT page_id, lower(regexp_extract(url, '://([^/?#:]*)', 1)) AS host FROM pages)""")
+def host_denylist(spark, sf_dir):
+    return table(spark, sf_dir, "pages").select("page_id", careers.blocked_reason(F.col("url"), _DENY).alias("reason"))
+
+
+_ROBOTS = "User-agent: *\nDisallow: /en/\nAllow: /en/1\nDisallow: /*.html$\nAllow: /de\n\nUser-agent: other\nDisallow: /\n"
+
+
+@query(lambda: """SELECT page_id, CASE WHEN regexp_matches(p, '^/.*\\.html$') THEN false WHEN starts_with(p, '/en/1') THEN true WHEN starts_with(p, '/en/') THEN false ELSE true END AS allowed
+ FROM (SELECT page_id, regexp_extract(url, '://[^/?#]*([^?#]*)', 1) AS p FROM pages)""")
+def robots_allow(spark, sf_dir):
+    rules, _ = careers.robots_rules(_ROBOTS, "sievefold")
+    path = F.regexp_extract("url", "://[^/?#]*([^?#]*)", 1)
+    return table(spark, sf_dir, "pages").select("page_id", careers.robots_allow(path, rules).alias("allowed"))
+
+
+def _html_sql() -> str:
+    x = "html"
+    decode = lambda x: f"replace(replace(replace(replace(replace(replace({x}, '&amp;', '&'), '&lt;', '<'), '&gt;', '>'), '&quot;', '\"'), '&#39;', ''''), '&nbsp;', ' ')"
+    x = decode(x)
+    for pattern, to in (("(?is)<script\\b[^>]*>.*?</script>", "' '"), ("(?is)<style\\b[^>]*>.*?</style>", "' '"), ("(?i)<br\\s*/?>", "chr(10)"), ("(?i)</(?:p|div|li|h[1-6]|tr)>", "chr(10)"), ("(?i)<li\\b[^>]*>", "'- '"), ("<[^>]+>", "' '")):
+        x = f"regexp_replace({x}, '{pattern}', {to}, 'g')"
+    x = decode(x)
+    for pattern, to in (("[ \\t\\x{a0}]+", "' '"), ("\\n{3,}", "chr(10) || chr(10)"), ("(?m)^[ \\t]+|[ \\t]+$", "''")):
+        x = f"regexp_replace({x}, '{pattern}', {to}, 'g')"
+    return f"SELECT page_id, regexp_replace({x}, '^\\s+|\\s+$', '', 'g') AS text FROM pages"
+
+
+@query(_html_sql)
+def html_to_text_pages(spark, sf_dir):
+    return spread(table(spark, sf_dir, "pages").select("page_id", "html")).select("page_id", html_to_text("html").alias("text"))
+
+
+def jsonld_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pages that declare each first user turn as a posting, in one of three shapes."""
+    said = table(spark, sf_dir, "conversations").where("turn = 0").select(F.col("conv_id").alias("page_id"), F.substring("text", 1, 40).alias("t"))
+    post = F.to_json(F.struct(F.lit("JobPosting").alias("@type"), F.col("t").alias("title"), F.concat(F.lit("/jobs/"), F.col("page_id").cast("string")).alias("url")))
+    body = F.when(F.col("page_id") % 3 == 0, post).when(F.col("page_id") % 3 == 1, F.concat(F.lit('{"@graph":['), post, F.lit(","), post, F.lit("]}"))).otherwise(F.lit("{broken"))
+    return said.select("page_id", F.concat(F.lit('<script type="application/ld+json">'), body, F.lit("</script>")).alias("html"), F.lit("https://careers.example.com/x").alias("url"))
+
+
+@query(lambda: "SELECT conv_id AS page_id, regexp_replace(substring(text, 1, 40), '^\\s+|\\s+$', '', 'g') AS title, 'https://careers.example.com/jobs/' || conv_id AS url FROM conversations WHERE turn = 0 AND conv_id % 3 <> 2")
+def jsonld_postings(spark, sf_dir):
+    return careers.extract_postings(jsonld_pages(spark, sf_dir)).select("page_id", "title", "url")
+
+
+@query()
+def scored_batches(spark, sf_dir):
+    """Listings scored by the stand-in scorer in batches of eight."""
+    todo = listing_rows(spark, sf_dir).where("id % 50 = 0")
+    batched = budget.in_batches(todo, [budget.Desc(F.col("preference_multiplier"))], [F.desc("preference_multiplier"), F.col("id")])
+    return scoring.score(batched, scoring.rule_scorer).select("id", "batch", "ref", "base_score", "fit_score")

@@ -24,8 +24,14 @@ HINTS = (None, "full_time", None, None, "part_time", None, None, None, None, Non
 LISTS = {"title": (TITLES, 7919), "description": (DESCRIPTIONS, 104729), "location_raw": (LOCATIONS, 1299709), "provider_matched_term": (TERMS, 15485863), "hint_commitment": (HINTS, 32452843)}
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """Tables of fewer files than there are cores are dealt out before per-row work."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores, *df.columns[:1]) if len(df.inputFiles()) < cores else df
+
+
 def listings(spark: SparkSession, sf_dir: str) -> DataFrame:
-    orders = spark.read.parquet(f"{sf_dir}/orders.parquet").select("o_orderkey", "o_custkey", "o_totalprice", "o_orderdate", "o_orderpriority")
+    orders = spread(spark.read.parquet(f"{sf_dir}/orders.parquet").select("o_orderkey", "o_custkey", "o_totalprice", "o_orderdate", "o_orderpriority"))
     names = spark.read.parquet(f"{sf_dir}/customer.parquet").select("c_custkey", "c_name")
     k = F.col("o_orderkey")
     pick = lambda values, prime: F.element_at(F.array(*map(F.lit, values)), (F.pmod(k * prime, F.lit(len(values))) + 1).cast("int"))
