@@ -9,7 +9,6 @@ from __future__ import annotations
 import csv
 import math
 from functools import lru_cache
-from itertools import chain
 from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -28,7 +27,6 @@ ALIASES = {
     "geelong & great ocean road": "Geelong", "st albans vic": "St Albans",
 }
 GAZETTEER = Path(__file__).resolve().parent.parent / "sources" / "gazetteer.csv"
-PLACE = "struct<name:string,state:string,lat:double,lng:double>"
 
 
 @lru_cache(maxsize=1)
@@ -56,8 +54,15 @@ def indexes() -> tuple[dict, dict, dict]:
 
 
 def _lookup(index: dict[str, tuple], key: Column) -> Column:
-    struct = lambda p: F.struct(F.lit(p[0]).alias("name"), F.lit(p[1]).alias("state"), F.lit(p[2]).alias("lat"), F.lit(p[3]).alias("lng"))
-    return F.try_element_at(F.create_map(*chain.from_iterable((F.lit(k), struct(v)) for k, v in index.items())), key)
+    """The place of a key as text, null if there is none.  The map is one folded literal,
+    so the plan stays small."""
+    table = "\n".join(f"{k}\t{'|'.join(map(str, p))}" for k, p in index.items())
+    return F.try_element_at(F.str_to_map(F.lit(table), F.lit("\n"), F.lit("\t")), key)
+
+
+def _place(text: Column) -> Column:
+    part = lambda i: F.split_part(text, F.lit("|"), F.lit(i))
+    return F.struct(part(1).alias("name"), part(2).alias("state"), part(3).cast("double").alias("lat"), part(4).cast("double").alias("lng"))
 
 
 def haversine_km(lat1: Column, lng1: Column, lat2: Column, lng2: Column) -> Column:
@@ -112,7 +117,10 @@ def resolve_location(raw: str | Column, lat: str | Column, lng: str | Column) ->
     def out(suburb: Column, state: Column, a: Column, b: Column, method: str) -> Column:
         return F.struct(suburb.alias("suburb"), state.alias("state"), a.cast("double").alias("lat"), b.cast("double").alias("lng"), F.lit(method).alias("method"))
 
-    found = lambda p, method: out(p["name"], p["state"], p["lat"], p["lng"], method)
+    def found(text: Column, method: str) -> Column:
+        p = _place(text)
+        return out(p["name"], p["state"], p["lat"], p["lng"], method)
+
     none = F.lit(None)
     return (
         F.when(lat.isNotNull() & lng.isNotNull(), out(first_segment(given), extract_state(given), lat, lng, "coordinates"))

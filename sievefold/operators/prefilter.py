@@ -62,7 +62,7 @@ def prefilter(listings: DataFrame, criteria: Criteria, now: str) -> DataFrame:
     base = [x for x in listings.columns if x not in RESULT]
     moment = F.lit(now).cast("timestamp")
     text, title = F.col("_text"), F.col("title")
-    x = listings.select(*base).withColumns({"_text": listing_text(), "_loc": geo.resolve_location("location_raw", "latitude", "longitude"), "_low_title": F.lower("title")})
+    x = listings.select(*base).withColumns({"_text": _once(listing_text()), "_loc": _once(geo.resolve_location("location_raw", "latitude", "longitude")), "_low_title": F.lower("title")})
     x = x.withColumn("_low_text", F.lower("_text"))
     subjects = (title, text, F.col("_low_title"), F.col("_low_text"))
     x = x.withColumns(
@@ -75,7 +75,7 @@ def prefilter(listings: DataFrame, criteria: Criteria, now: str) -> DataFrame:
             "work_mode": F.coalesce("hint_work_mode", signals.work_mode(text)),
             "commitment": F.coalesce("hint_commitment", signals.commitment(text)),
             "role_type": F.coalesce("hint_role_type", signals.role_type(text)),
-            "duration_weeks": signals.duration_weeks(text),
+            "duration_weeks": _once(signals.duration_weeks(text)),
             "_excluded": hits(c.of("exclude"), *subjects),
             "_rights": hits(c.of("exclude_work_rights") if f.exclude_sponsorship_required else [], *subjects),
             "_included": hits(c.of("include"), *subjects),
