@@ -69,3 +69,11 @@ BROADCAST_ROWS = 1_000_000
 def checked_broadcast(stored: DataFrame) -> DataFrame:
     """A stored table with the broadcast hint if it holds BROADCAST_ROWS rows at most."""
     return F.broadcast(stored) if stored.count() <= BROADCAST_ROWS else stored
+
+
+def hash_share(rows: int, n: int, key: Column) -> Column:
+    """A condition that about ``4 * n`` of ``rows`` meet (all, if there are fewer), by a
+    hash of ``key``: what follows it, such as a top-n on the driver, sees a bounded number
+    of rows whatever the table's size and number of partitions."""
+    share = min(1.0, 4 * n / max(1, rows))
+    return F.lit(True) if share >= 1 else F.pmod(F.xxhash64(key), F.lit(1 << 40)) < int(share * (1 << 40))

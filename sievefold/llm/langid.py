@@ -23,6 +23,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ._spark import hash_share
 from ._text import buffers, chunks
 
 WINDOW = 48
@@ -228,8 +229,9 @@ def has_letter(arr: pa.Array) -> np.ndarray:
 def sample(docs: DataFrame, may_learn: Column, label: str = "lang", text: str = "text", doc_id: str = "doc_id", n: int = SAMPLE_DOCS, n_bytes: int = SAMPLE_BYTES) -> tuple[tuple[bytes, ...], tuple[str, ...]]:
     """At most ``n`` labelled texts (the first ``n_bytes`` of each), those of the smallest
     id hashes, so that equal tables give equal samples."""
-    known = docs.where(may_learn & F.col(label).isNotNull() & (F.length(text) > 0))
-    few = known.select(F.xxhash64(doc_id).alias("h"), F.substring(text, 1, n_bytes).alias("t"), F.col(label).cast("string").alias("y"))
+    known = docs.where(may_learn & F.col(label).isNotNull())
+    near = hash_share(known.count(), n, F.col(doc_id))  # the count reads no text
+    few = known.where(near & (F.length(text) > 0)).select(F.xxhash64(doc_id).alias("h"), F.substring(text, 1, n_bytes).alias("t"), F.col(label).cast("string").alias("y"))
     rows = few.orderBy("h", "t", "y").limit(n).collect()
     return tuple(r.t.encode()[:n_bytes] for r in rows), tuple(r.y for r in rows)
 

@@ -21,6 +21,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ._spark import hash_share
 from ._text import buffers, chunks, code_points, span_hashes, words
 
 SAMPLE = 2000
@@ -164,9 +165,10 @@ def sample(docs: DataFrame, labels: DataFrame, may_learn: Column, label: str = "
     """Features and labels of at most ``n`` labelled documents of each class: those of
     the smallest id hashes.  A document labelled more than once takes the smallest label."""
     known = labels.where(may_learn & F.col(label).isin(0, 1) & F.col(doc_id).isNotNull()).groupBy(doc_id).agg(F.min(label).cast("int").alias("_y"))
+    counts = {r["_y"]: r["k"] for r in known.groupBy("_y").agg(F.count(F.lit(1)).alias("k")).collect()}
     picked = None
     for y in (0, 1):
-        some = known.where(F.col("_y") == y).orderBy(F.xxhash64(doc_id), doc_id).limit(n)
+        some = known.where((F.col("_y") == y) & hash_share(counts.get(y, 0), n, F.col(doc_id))).orderBy(F.xxhash64(doc_id), doc_id).limit(n)
         picked = some if picked is None else picked.union(some)
     rows = docs.select(F.col(doc_id), F.col(text).cast("string").alias("_t")).join(F.broadcast(picked), doc_id)  # at most 2 * n ids are broadcast
 
@@ -177,7 +179,7 @@ def sample(docs: DataFrame, labels: DataFrame, may_learn: Column, label: str = "
 
     got = rows.select(F.col("_y").alias("y"), "_t", F.col(doc_id).alias("i")).select("y", "_t").mapInArrow(run, "y int, x array<double>").collect()
     got = sorted((r.y, tuple(r.x)) for r in got)[: 4 * n]  # repeated rows of a document may add a few
-    return np.array([r[1] for r in got]).reshape(len(got), -1), np.array([r[0] for r in got])
+    return np.array([r[1] for r in got]).reshape(len(got), len(NAMES)), np.array([r[0] for r in got])
 
 
 def classify(docs: DataFrame, labels: DataFrame, may_learn: Column, label: str = "quality", doc_id: str = "doc_id", text: str = "text", quantile: float | None = None, extra: list[Column] | None = None, ranker: Ranker | None = None) -> DataFrame:
