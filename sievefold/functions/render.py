@@ -104,3 +104,32 @@ def decode_callback(data: Column) -> Column:
 
 def score_colour(score: Column) -> Column:
     return F.when(score >= 85, "green").when(score >= 70, "blue").when(score >= 50, "amber").otherwise("grey")
+
+
+_ICONS = {"applied": "✅", "saved": "⭐", "dismissed": "🗑", "notified": "📨", "new": "·"}
+
+
+def history_line(score: Column, title: Column, company: Column, status: Column) -> Column:
+    icon = F.lit("·")
+    for k, v in _ICONS.items():
+        icon = F.when(status == k, v).otherwise(icon)
+    head = F.concat(icon, F.lit(" <b>"), score.cast("string"), F.lit("</b> "), escape_html(truncate(title, 60)))
+    return F.concat(head, F.when(non_empty(company), F.concat(F.lit("\n     "), escape_html(truncate(company, 50)))).otherwise(F.lit("")))
+
+
+def stats_message(s: dict[str, Column]) -> Column:
+    """The pipeline's numbers as one message, from the columns of pipeline_stats and the
+    settings row (threshold, spent, spend_cap, notified, notify_cap, paused)."""
+    t = lambda k: s[k].cast("string")
+    money = lambda k, d: F.format_string(f"%.{d}f", s[k].cast("double"))
+    decisions = F.concat_ws(" · ", *(F.concat(F.lit(f"{k} "), t(f"n_{k}")) for k in ("new", "notified", "saved", "applied", "dismissed")))
+    return F.concat_ws(
+        "\n",
+        F.concat(F.lit("<b>Pipeline</b>"), F.when(s["paused"], " — ⏸ paused").otherwise("")), F.lit(""),
+        F.concat(F.lit("Listings   "), t("listings_total"), F.lit(" stored · "), t("listings_passed"), F.lit(" passed the filter · "), t("duplicates"), F.lit(" near-duplicates")),
+        F.concat(F.lit("Scored     "), t("scored"), F.lit(" · "), t("awaiting_score"), F.lit(" awaiting")),
+        F.concat(F.lit("Above "), t("threshold"), F.lit("   "), t("above_threshold")), F.lit(""),
+        F.concat(F.lit("Decisions  "), decisions), F.lit(""),
+        F.concat(F.lit("Spend      $"), money("spent", 4), F.lit(" of $"), money("spend_cap", 2), F.lit(" today")),
+        F.concat(F.lit("Notified   "), t("notified"), F.lit(" of "), t("notify_cap"), F.lit(" today")),
+    )
