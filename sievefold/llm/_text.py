@@ -14,7 +14,7 @@ import numpy as np
 import pyarrow as pa
 
 #: Bytes of text that one chunk holds at most (a single longer text is a chunk of its own).
-CHUNK_BYTES = 2 << 20
+CHUNK_BYTES = 1 << 20
 
 _WS = np.zeros(256, bool)
 _WS[[0x20, *range(0x09, 0x0E)]] = True
