@@ -186,11 +186,6 @@ def ingest_stats(spark, sf_dir):
 THRESHOLD = 70
 
 
-def listing_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Judged listings with a stored duplicate mark."""
-    return judged(spark, sf_dir).drop("base_score").withColumn("duplicate_of", F.when(F.col("id") % 10 == 7, F.col("id") - 7))
-
-
 def match_rows(judged_: DataFrame) -> DataFrame:
     """Matches of two thirds of the judged listings, with every status."""
     status = F.element_at(F.array(*map(F.lit, report.STATUSES)), (F.col("id") * 31 % 5 + 1).cast("int"))
@@ -406,7 +401,7 @@ def jsonld_postings(spark, sf_dir):
 
 @query()
 def scored_batches(spark, sf_dir):
-    """Listings scored by the stand-in scorer in batches of eight."""
-    todo = listing_rows(spark, sf_dir).where("id % 50 = 0")
-    batched = budget.in_batches(todo, [budget.Desc(F.col("preference_multiplier"))], [F.desc("preference_multiplier"), F.col("id")])
+    """The whole work queue scored by the stand-in scorer in batches of eight."""
+    m, l = both(spark, sf_dir)
+    batched = budget.in_batches(matches.work_queue(l, m), [budget.Desc(F.col("preference_multiplier")), F.floor(F.col("id") / 100_000)], [F.desc("preference_multiplier"), F.col("id")])
     return scoring.score(batched, scoring.rule_scorer).select("id", "batch", "ref", "base_score", "fit_score")

@@ -312,3 +312,25 @@ def test_stream_equals_batch(spark, tmp_path):
     streamed = {(r.url_canonical, r.prefilter_status) for r in table.read().collect()}
     batch = {(r.url_canonical, r.prefilter_status) for r in prepare(df, small_criteria(), NOW, ["id"]).collect()}
     assert {u for u, _ in streamed} == {u for u, _ in batch} and table.read().count() == 15
+
+
+def listing_tables(spark, path, n):
+    """The tables behind the listing view, with n orders."""
+    orders = spark.range(1, n + 1).select(F.col("id").alias("o_orderkey"), (F.col("id") % 9).alias("o_custkey"), F.lit(100.0).alias("o_totalprice"), F.lit("2001-07-20").cast("timestamp").alias("o_orderdate"), F.lit("1-URGENT").alias("o_orderpriority"))
+    orders.write.parquet(f"{path}/orders.parquet")
+    spark.range(9).select(F.col("id").alias("c_custkey"), F.concat(F.lit("Customer "), "id").alias("c_name")).write.parquet(f"{path}/customer.parquet")
+    return str(path)
+
+
+def test_scored_batches_hold_the_whole_work_queue(spark, tmp_path):
+    from sievefold import queries as q
+
+    sf = listing_tables(spark, tmp_path, 3000)
+    todo = [r for r in q.judged(spark, sf).collect() if r.status == "passed" and r.id % 10 != 7 and r.id % 3 == 0]
+    assert len(todo) > 20 and any(r.id % 50 for r in todo)
+    want = []
+    for k, r in enumerate(sorted(todo, key=lambda r: (-r.preference_multiplier, r.id))):
+        seen = " | ".join(str(r[c]) for c in ("title", "company", "suburb", "compensation", "work_mode", "commitment", "role_type", "description")).lower()
+        score = min(100, 20 + sum(p for t, p in {"cyber": 30, "security": 20, "intern": 15, "support": 10, "data entry": 5}.items() if t in seen))
+        want.append((r.id, k // 8, k % 8 + 1, score, min(100, int(score * float(r.preference_multiplier) + 0.5))))
+    assert sorted(map(tuple, q.scored_batches(spark, sf).collect())) == sorted(want)
