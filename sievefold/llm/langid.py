@@ -7,8 +7,9 @@ windows of a chunk run side by side as one batch.  Each position gets a probabil
 each language from both directions' states; a document's probability is the mean over
 the positions of its letters.
 
-The sample is bounded by ``SAMPLE_DOCS`` documents and ``SAMPLE_BYTES`` of each; the
-model (a few thousand numbers, whatever the corpus) is the only thing sent to the tasks.
+The sample is bounded by ``SAMPLE_DOCS`` documents of each language and ``SAMPLE_BYTES``
+characters of each, in ``PIECES`` pieces from all over the text; the model (a few thousand
+numbers, whatever the corpus) is the only thing sent to the tasks.
 """
 
 from __future__ import annotations
@@ -23,13 +24,16 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ._spark import hash_share
 from ._text import buffers, chunks
 
 WINDOW = 48
 HIDDEN = 6
 SAMPLE_DOCS = 1200
 SAMPLE_BYTES = 2048
+#: A longer text is learned from this many pieces, one at a hashed place of each stretch.
+PIECES = 8
+#: Ids are chosen by their hashes modulo this.
+_SPAN = 1 << 62
 UNKNOWN = "und"
 #: Input classes: ASCII folded to lower case, and all other bytes as they are.
 _CLASS = np.arange(256, dtype=np.uint8)
@@ -118,20 +122,21 @@ def loss_and_grads(p: dict[str, np.ndarray], x: np.ndarray, y: np.ndarray) -> tu
     return loss, g
 
 
-def train(texts: list[bytes], labels: list[str], steps: int = 300, batch: int = 192, rate: float = 0.02, hidden: int = HIDDEN, window: int = WINDOW, seed: int = 7) -> Model:
-    """Adam on random windows, every language equally often."""
+def train(texts: list[tuple[bytes, ...]], labels: list[str], steps: int = 300, batch: int = 192, rate: float = 0.02, hidden: int = HIDDEN, window: int = WINDOW, seed: int = 7) -> Model:
+    """Adam on random windows of the texts' pieces, every language equally often."""
     names = sorted(set(labels))
     p = init(len(names), hidden, seed)
     if len(names) < 2:
         return Model(names, p)
     r = np.random.default_rng(seed)
-    pools = [[np.frombuffer(t, np.uint8) for t, x in zip(texts, labels, strict=True) if x == name and len(t)] for name in names]
+    pools = [[[np.frombuffer(part, np.uint8) for part in t] for t, x in zip(texts, labels, strict=True) if x == name] for name in names]
     m, v = ({k: np.zeros_like(a) for k, a in p.items()} for _ in range(2))
     for step in range(1, steps + 1):
         y = r.integers(0, len(names), batch)
         x = np.full((window, batch), 32, np.uint8)
         for i, k in enumerate(y.tolist()):
-            own = pools[k][r.integers(len(pools[k]))]
+            parts = pools[k][r.integers(len(pools[k]))]
+            own = parts[r.integers(len(parts))]
             at = int(r.integers(max(1, len(own) - window + 1)))
             piece = own[at : at + window]
             x[: len(piece), i] = _CLASS[piece]
@@ -226,18 +231,41 @@ def has_letter(arr: pa.Array) -> np.ndarray:
     return out
 
 
-def sample(docs: DataFrame, may_learn: Column, label: str = "lang", text: str = "text", doc_id: str = "doc_id", n: int = SAMPLE_DOCS, n_bytes: int = SAMPLE_BYTES) -> tuple[tuple[bytes, ...], tuple[str, ...]]:
-    """At most ``n`` labelled texts (the first ``n_bytes`` of each), those of the smallest
-    id hashes, so that equal tables give equal samples."""
-    known = docs.where(may_learn & F.col(label).isNotNull())
-    near = hash_share(known.count(), n, F.col(doc_id))  # the count reads no text
-    few = known.where(near & (F.length(text) > 0)).select(F.xxhash64(doc_id).alias("h"), F.substring(text, 1, n_bytes).alias("t"), F.col(label).cast("string").alias("y"))
-    rows = few.orderBy("h", "t", "y").limit(n).collect()
-    return tuple(r.t.encode()[:n_bytes] for r in rows), tuple(r.y for r in rows)
+def _pieces(text: Column, key: Column, n_chars: int, pieces: int = PIECES) -> Column:
+    """The whole text, or of a text longer than ``n_chars`` one piece at a hashed place of
+    each of ``pieces`` stretches that together cover it."""
+    size, part = F.length(text), n_chars // pieces
+    start = lambda i: F.floor(i * size / pieces)
+    piece = lambda i: F.substring(text, (start(i) + F.pmod(F.xxhash64(key, i), start(i + 1) - start(i) - part + 1) + 1).cast("int"), F.lit(part))
+    return F.when(size <= n_chars, F.array(text)).otherwise(F.transform(F.sequence(F.lit(0), F.lit(pieces - 1)), piece))
+
+
+def sample(docs: DataFrame, may_learn: Column, label: str = "lang", text: str = "text", doc_id: str = "doc_id", n: int = SAMPLE_DOCS, n_bytes: int = SAMPLE_BYTES) -> tuple[tuple[tuple[bytes, ...], ...], tuple[str, ...]]:
+    """At most ``n`` labelled documents of each language, as pieces of ``n_bytes`` characters
+    in all: those of the smallest id hashes, so that equal tables give equal samples.
+
+    Repeated rows of an id count once in each language, with the text of the smallest hash;
+    a row without id counts by its text.  Empty texts aren't learned from."""
+    t = F.col(text).cast("string")
+    key = F.pmod(F.when(F.col(doc_id).isNotNull(), F.xxhash64(doc_id)).otherwise(F.xxhash64(t)), F.lit(_SPAN))
+    known = docs.where(may_learn & F.col(label).isNotNull() & (F.length(t) > 0)).select(F.col(label).cast("string").alias("y"), key.alias("h"), t.alias("t"))
+    found = {r.y: r.k for r in known.groupBy("y").agg(F.approx_count_distinct("h").alias("k")).collect()}
+    if not found:
+        return (), ()
+    below = lambda cut: F.col("h") < F.element_at(F.create_map(*(F.lit(v) for pair in cut.items() for v in pair)), F.col("y"))
+    # about 4 * n ids of each language, or all, reach the driver; then the rows of the n smallest
+    near = known.where(below({y: int(min(1.0, 4 * n / k) * _SPAN) for y, k in found.items()})).select("y", "h").distinct().collect()
+    ids: dict[str, list[int]] = {}
+    for r in near:
+        ids.setdefault(r.y, []).append(r.h)
+    few = known.where(below({y: sorted(h)[:n][-1] + 1 for y, h in ids.items()}))
+    few = few.groupBy("y", "h").agg(F.min_by(_pieces(F.col("t"), F.col("h"), n_bytes), F.xxhash64("t")).alias("t"))
+    rows = sorted((r.y, r.h, tuple(x.encode() for x in r.t)) for r in few.collect())
+    return tuple(r[2] for r in rows), tuple(r[0] for r in rows)
 
 
 @lru_cache(maxsize=4)
-def _trained(texts: tuple[bytes, ...], labels: tuple[str, ...]) -> Model:
+def _trained(texts: tuple[tuple[bytes, ...], ...], labels: tuple[str, ...]) -> Model:
     return train(list(texts), list(labels))
 
 

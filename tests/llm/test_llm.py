@@ -121,6 +121,35 @@ def test_language(spark):
     assert {x.lang_pred for x in nothing} == {"und"}
 
 
+def test_language_sample_holds_every_language(spark):
+    r = random.Random(4)
+    rows = [(i, prose(r, 20)) for i in range(400)] + [(i, "über " * 20) for i in (1000, 1001, 1002)] + [(5, f"again {k}") for k in range(300)]
+    rows += [(None, "sans un"), (None, "sans un"), (None, "sans deux")]
+    lang = ["en"] * 400 + ["de"] * 3 + ["en"] * 300 + ["fr"] * 3
+    texts, labels = langid.sample(docs(spark, rows, lang=lang), F.lit(True), n=10)
+    assert Counter(labels) == {"en": 10, "de": 3, "fr": 2}
+    assert sum(t[0].startswith(b"again") for t in texts) <= 1
+    assert langid.sample(docs(spark, [(1, None), (2, "")]), F.lit(True)) == ((), ())
+    # nearly all rows of one id: the language's other documents stay
+    hot = [(1, f"row {k}") for k in range(2000)] + [(i, "other") for i in range(2, 8)]
+    assert len(langid.sample(docs(spark, hot), F.lit(True), n=10)[0]) == 7
+
+
+def test_language_sample_reaches_all_of_a_text(spark):
+    text = "".join(f"{k:06d} é" for k in range(12_000))
+    (parts,), _ = langid.sample(docs(spark, [(1, text)]), F.lit(True))
+    said = [p.decode() for p in parts]
+    assert len(said) == langid.PIECES and sum(map(len, said)) == langid.SAMPLE_BYTES
+    at = [text.index(p) for p in said]
+    assert [a * langid.PIECES // len(text) for a in at] == list(range(langid.PIECES))
+    # the body behind a shared head is learned from
+    r = random.Random(5)
+    head = "cookie notice accept all " * 90
+    rows = [(i, head + prose(r, 700, ["und der die nicht".split(), "the of and with".split()][i % 2])) for i in range(80)]
+    got = langid.identify(docs(spark, rows, lang=[("de", "en")[i % 2] for i in range(80)]), F.col("doc_id") < 60).where("doc_id >= 60").collect()
+    assert np.mean([x.lang_pred == ("de", "en")[x.doc_id % 2] for x in got]) >= 0.95
+
+
 # --- 3 mixing ------------------------------------------------------------------------
 
 
