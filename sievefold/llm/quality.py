@@ -163,22 +163,24 @@ def fit(x: np.ndarray, y: np.ndarray, pairs: int = PAIRS, steps: int = 400, rate
 
 def sample(docs: DataFrame, labels: DataFrame, may_learn: Column, label: str = "quality", doc_id: str = "doc_id", text: str = "text", n: int = SAMPLE) -> tuple[np.ndarray, np.ndarray]:
     """Features and labels of at most ``n`` labelled documents of each class: those of
-    the smallest id hashes.  A document labelled more than once takes the smallest label."""
+    the smallest id hashes.  A document labelled more than once takes the smallest label; of
+    its repeated rows the text of the smallest hash is learned from."""
     known = labels.where(may_learn & F.col(label).isin(0, 1) & F.col(doc_id).isNotNull()).groupBy(doc_id).agg(F.min(label).cast("int").alias("_y"))
     counts = {r["_y"]: r["k"] for r in known.groupBy("_y").agg(F.count(F.lit(1)).alias("k")).collect()}
     picked = None
     for y in (0, 1):
         some = known.where((F.col("_y") == y) & hash_share(counts.get(y, 0), n, F.col(doc_id))).orderBy(F.xxhash64(doc_id), doc_id).limit(n)
         picked = some if picked is None else picked.union(some)
-    rows = docs.select(F.col(doc_id), F.col(text).cast("string").alias("_t")).join(F.broadcast(picked), doc_id)  # at most 2 * n ids are broadcast
+    rows = docs.select(F.col(doc_id).alias("i"), F.col(text).cast("string").alias("_t")).join(F.broadcast(picked.withColumnRenamed(doc_id, "i")), "i")  # at most 2 * n ids are broadcast
+    rows = rows.groupBy("i").agg(F.first("_y").alias("y"), F.min_by("_t", F.struct(F.col("_t").isNull(), F.xxhash64("_t"))).alias("_t"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in chunks(batches, "_t"):
             x = features(part.column(1))
             yield pa.RecordBatch.from_arrays([part.column(0), pa.array(list(x), pa.list_(pa.float64()))], ["y", "x"])
 
-    got = rows.select(F.col("_y").alias("y"), "_t", F.col(doc_id).alias("i")).select("y", "_t").mapInArrow(run, "y int, x array<double>").collect()
-    got = sorted((r.y, tuple(r.x)) for r in got)[: 4 * n]  # repeated rows of a document may add a few
+    got = rows.select("y", "_t").mapInArrow(run, "y int, x array<double>").collect()
+    got = sorted((r.y, tuple(r.x)) for r in got)
     return np.array([r[1] for r in got]).reshape(len(got), len(NAMES)), np.array([r[0] for r in got])
 
 

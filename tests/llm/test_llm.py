@@ -236,6 +236,16 @@ def test_quality(spark):
     assert {x.predicted for x in quality.classify(df, labels.limit(0), F.lit(True)).collect()} == {1}
 
 
+@pytest.mark.parametrize("hot", [1, 4])
+def test_quality_sample_of_repeated_rows(spark, hot):
+    """All rows four times, or one document in a third of the rows, leave both classes whole."""
+    rows = [(i, f"text {i}") for i in range(20)]
+    rows = rows * 4 if hot == 4 else rows + [(0, f"text {k}") for k in range(60)]
+    labels = spark.createDataFrame([(i, i % 2) for i in range(20)], "doc_id long, quality int")
+    x, y = quality.sample(docs(spark, rows), labels, F.lit(True), n=10)
+    assert Counter(y.tolist()) == {0: 10, 1: 10} and x.shape == (20, len(quality.NAMES))
+
+
 # --- 6 token counts ------------------------------------------------------------------
 
 
