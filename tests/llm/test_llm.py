@@ -492,3 +492,28 @@ def test_pipeline(spark, tmp_path):
     assert not {*range(300, 305)} & set(seen[2]) and seen[2][3] == 1 and max(seen[2].values()) == 1
     assert set(seen[3]) <= set(seen[2]) and max(seen[3].values()) <= 3
     assert set(seen[4]) == set(seen[3])
+
+
+def test_pipeline_null_and_shared_ids(spark):
+    import corpus_pipeline
+
+    r = random.Random(16)
+    a, b, c, d, e = (prose(r, 60, [f"{k}{j}" for j in range(300)]) for k in "abcde")
+    rows = [(None, a), (None, a), (1, a + " more"), (None, b), (None, b), (2, c), (2, d), (3, c), (4, d), (5, e), (5, e), (None, ""), (6, None)]
+    df = docs(spark, rows)
+    kept = corpus_pipeline.near_duplicates(spark, df, "")
+    assert kept.columns == df.columns
+    assert Counter((x.doc_id, x.text) for x in kept.collect()) == Counter([(1, a + " more"), (None, b), (2, c), (2, d), (5, e), (None, ""), (6, None)])
+
+
+def test_pipeline_mix_of_shared_ids(spark):
+    import corpus_pipeline
+
+    r = random.Random(17)
+    rows = [(k % 40 if k % 5 else None, prose(r, r.choice([20, 20, 30, 41]))) for k in range(120)]
+    df = docs(spark, rows, source=[f"s{k % 3}" for k in range(120)])
+    want = Counter()
+    for x in mixing.mix(df).collect():
+        want[x.doc_id, x.source, x.size] += x.taken // x.size
+    got = Counter((x.doc_id, x.source, len(ws_words(x.text))) for x in corpus_pipeline.mix(spark, df, "").collect())
+    assert got == +want
