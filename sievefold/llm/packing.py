@@ -23,6 +23,8 @@ from ._text import chunks
 CAPACITY = 4096
 END_ID = 1
 PER_GROUP = 60_000
+#: Rows alike that are more than a group's SHARES-th part are dealt out one by one.
+SHARES = 8
 _PIECES = "doc_id {}, piece int, start long, length long, ids_crc32 long"
 
 
@@ -133,8 +135,9 @@ def best_two_fit(lengths: np.ndarray, capacity: int = CAPACITY) -> tuple[np.ndar
 def pack(sized: DataFrame, capacity: int = CAPACITY, per_group: int = PER_GROUP) -> DataFrame:
     """Adds sequence_id and offset to rows with a ``length`` (1 to ``capacity``).
 
-    Rows are spread over groups by a hash of doc_id, piece and start; the same table
-    gives the same sequences.  ``sized`` must be stored (it is counted first).
+    Rows are spread over groups by a hash of doc_id, piece, start and ids_crc32, and rows
+    of which a group would hold very many alike by their place in the table; the same
+    stored table gives the same sequences.  ``sized`` must be stored (it is counted first).
     """
     groups = n_groups(sized.count(), per_group)
     names = [f"`{c}`" for c in sized.columns if c not in ("sequence_id", "offset")]
@@ -146,8 +149,12 @@ def pack(sized: DataFrame, capacity: int = CAPACITY, per_group: int = PER_GROUP)
         seq, offset = best_two_fit(rows.column("length").to_numpy(), capacity)
         return rows.append_column("sequence_id", pa.array(seq + (key[0].as_py() << 40))).append_column("offset", pa.array(offset))
 
-    group = F.pmod(F.xxhash64(*(F.col(c) for c in ("doc_id", "piece", "start") if c in sized.columns)), F.lit(groups)).cast("long")
-    return sized.select(*names, group.alias("_group")).groupBy("_group").applyInArrow(run, schema)
+    keyed = sized.withColumn("_h", F.xxhash64(*(F.col(c) for c in ("doc_id", "piece", "start", "ids_crc32") if c in sized.columns)))
+    # at most SHARES hashes for each group
+    often = keyed.groupBy("_h").agg(F.count(F.lit(1)).alias("_k")).where(F.col("_k") * SHARES > per_group).select("_h", F.lit(1).alias("_often"))
+    placed = keyed.withColumn("_at", F.monotonically_increasing_id()).join(F.broadcast(often), "_h", "left")
+    group = F.pmod(F.xxhash64("_h", F.when(F.col("_often").isNotNull(), F.col("_at"))), F.lit(groups)).cast("long")
+    return placed.select(*names, group.alias("_group")).groupBy("_group").applyInArrow(run, schema)
 
 
 def pack_documents(docs: DataFrame, path: str | None = None, capacity: int = CAPACITY, with_ids: bool = False) -> DataFrame:

@@ -166,6 +166,7 @@ def url_filter(pages: DataFrame, rules: tuple[Rule, ...] = RULES, labelled: tupl
         *keep, "host", "path",
         fitting_rule(h, p, rules, "text").alias("rule"),
         F.coalesce(fitting_rule(h, p, rules, "verdict"), F.when(score(h, p, weights, bias) > 0, F.lit("block")).otherwise(F.lit("allow"))).alias("verdict"),
+        score(h, p, weights, bias).alias("url_score"),
     )
 
 

@@ -343,6 +343,22 @@ def test_url_rules(spark):
     assert len(w) == url_filter.BUCKETS and any(w)
 
 
+def test_url_score(spark):
+    urls = ["https://casino-win.example.net/a", "https://www.example.org/en/1", None]
+    df = spark.createDataFrame([(k, u, 3) for k, u in enumerate(urls)], "page_id int, url string, url_score int")
+    weights, bias = url_filter.train(tuple(url_filter.labelled_urls()))
+    for x in url_filter.url_filter(df).collect():
+        codes = list(f"^{x.host}|{x.path}$".encode())
+        want = bias
+        for n in url_filter.GRAMS:
+            for i in range(len(codes) - n + 1):
+                h = n
+                for c in codes[i : i + n]:
+                    h = (h * 31 + c) % 1048573
+                want += weights[h % url_filter.BUCKETS]
+        assert x.url_score == want and (x.rule is not None or (x.verdict == "block") == (want > 0))
+
+
 # --- 9 jaccard join ------------------------------------------------------------------
 
 
@@ -460,6 +476,14 @@ def test_packing(spark):
     assert packing.pack_documents(docs(spark, [])).count() == 0
 
 
+def test_packing_groups_of_null_and_repeated_ids(spark):
+    rows = spark.range(2000).select(F.when(F.col("id") % 2 == 0, F.lit(7)).alias("doc_id"), F.lit(0).alias("piece"), F.lit(0).alias("start"), F.lit(40).alias("length"), F.when(F.col("id") % 4 < 2, F.col("id")).otherwise(5).alias("ids_crc32"))
+    got = packing.pack(rows, 256, per_group=100).collect()
+    assert Counter((x.doc_id, x.ids_crc32) for x in got) == Counter((x.doc_id, x.ids_crc32) for x in rows.collect())
+    sizes = Counter(x.sequence_id >> 40 for x in got)
+    assert len(sizes) == 20 and max(sizes.values()) < 200
+
+
 # --- pipeline ------------------------------------------------------------------------
 
 
