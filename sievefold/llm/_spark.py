@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import atexit
 import math
+import re
 import tempfile
 import uuid
 
@@ -20,27 +21,69 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def shared_dir(spark: SparkSession) -> str:
     """The folder that the driver and all executors share: ``spark.checkpoint.dir``.
-    Only where that is unset (single-machine tests) a temporary one is made."""
+    Where that is unset a temporary one is made, on a single machine only."""
     where = spark.conf.get("spark.checkpoint.dir", None)
     if not where:
+        master = spark.conf.get("spark.master", "")
+        if not re.match(r"local(\[.*\])?$", master):
+            raise ValueError(f"spark.checkpoint.dir must name a folder that all nodes of {master or 'the cluster'} share")
         where = "file://" + tempfile.mkdtemp(prefix="sievefold-")
         spark.conf.set("spark.checkpoint.dir", where)
     return where
 
 
+#: Rows and bytes of an Arrow batch between the JVM and Python; Spark's own defaults let
+#: batches of long texts grow to 64 MB, several of which are held at once.
+ARROW_ROWS, ARROW_BYTES = 2000, 4 << 20
+
+
+def bounded_batches(df: DataFrame) -> DataFrame:
+    """``df``, after limiting the session's Arrow batches if they are as Spark sets them."""
+    conf = df.sparkSession.conf
+    if conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") == "10000":
+        conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", ARROW_ROWS)
+    if conf.get("spark.sql.execution.arrow.maxBytesPerBatch", "64m") in ("64m", "64MB", "67108864b", "67108864"):
+        conf.set("spark.sql.execution.arrow.maxBytesPerBatch", ARROW_BYTES)
+    return df
+
+
+_made: dict[str, SparkSession] = {}
+
+
 def materialize(df: DataFrame) -> DataFrame:
     """Write ``df`` as Parquet into the shared folder and read it back.
 
     Cuts the lineage: a lost executor costs a re-read of the files, not a
-    recomputation.  The files go when the driver's Python ends."""
+    recomputation.  The files go by ``discard``, or when the driver's Python ends."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/sievefold-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    atexit.register(_drop, spark, path)
-    return spark.read.schema(df.schema).parquet(path)
+    _made[path] = spark
+    out = spark.read.schema(df.schema).parquet(path)
+    out._sievefold_path = path
+    return out
+
 
+def discard(*stored: DataFrame) -> None:
+    """Remove the files of stored tables that nothing reads any more."""
+    for df in stored:
+        _drop(df._sievefold_path)
 
-def _drop(spark: SparkSession, path: str) -> None:
+
+def made() -> set[str]:
+    return set(_made)
+
+
+def discard_since(before: set[str], *keep: DataFrame) -> None:
+    """Remove all tables stored since ``before`` (of ``made()``) but ``keep``."""
+    for path in set(_made) - before - {df._sievefold_path for df in keep}:
+        _drop(path)
+
+
+def _drop(path: str) -> None:
+    spark = _made.pop(path, None)
+    if spark is None:
+        return
     try:
         jvm = spark.sparkContext._jvm
         where = jvm.org.apache.hadoop.fs.Path(path)
@@ -49,6 +92,12 @@ def _drop(spark: SparkSession, path: str) -> None:
         pass
 
 
+@atexit.register
+def _drop_all() -> None:
+    for path in list(_made):
+        _drop(path)
+
+
 def crc_mod(col: str | Column, n: int) -> Column:
     """crc32 of the value as text, modulo n."""
     return F.crc32(F.col(col).cast("string").cast("binary") if isinstance(col, str) else col.cast("string").cast("binary")) % n

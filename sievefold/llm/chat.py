@@ -21,6 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import _tokens
+from ._spark import bounded_batches
 
 #: Tokens of a window, and of the earlier turns that the next window repeats.
 BUDGET = 512
@@ -132,7 +133,7 @@ def windows(turns: DataFrame, budget: int = BUDGET, history: int = HISTORY, path
     """
     path = path or _tokens.default_path()
     kind = dict(turns.dtypes)["conv_id"]
-    rows = turns.select("conv_id", "turn", *(F.coalesce(F.col(c).cast("string"), F.lit("")).alias(c) for c in ("role", "text")))
+    rows = bounded_batches(turns).select("conv_id", "turn", *(F.coalesce(F.col(c).cast("string"), F.lit("")).alias(c) for c in ("role", "text")))
     rows = rows.repartition("conv_id").sortWithinPartitions("conv_id", "turn", "role", "text")
     schema = WINDOWS.format(kind)
 

@@ -24,6 +24,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ._spark import bounded_batches
 from ._text import buffers, chunks
 
 WINDOW = 48
@@ -279,7 +280,7 @@ def identify(docs: DataFrame, may_learn: Column, doc_id: str = "doc_id", text: s
     """
     model = _trained(*sample(docs, may_learn, label, text, doc_id))
     extra = extra if extra is not None else [F.col(doc_id).alias("doc_id")]
-    given = docs.select(F.col(text).cast("string").alias("_text"), *extra)
+    given = bounded_batches(docs).select(F.col(text).cast("string").alias("_text"), *extra)
     names = [c for c in given.columns if c != "_text"]
     schema = ", ".join(f"`{c}` {t}" for c, t in given.dtypes if c != "_text") + ", lang_pred string, score double"
 

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ._spark import hash_share
+from ._spark import bounded_batches, hash_share
 from ._text import buffers, chunks, code_points, span_hashes, words
 
 SAMPLE = 2000
@@ -179,7 +179,7 @@ def sample(docs: DataFrame, labels: DataFrame, may_learn: Column, label: str = "
             x = features(part.column(1))
             yield pa.RecordBatch.from_arrays([part.column(0), pa.array(list(x), pa.list_(pa.float64()))], ["y", "x"])
 
-    got = rows.select("y", "_t").mapInArrow(run, "y int, x array<double>").collect()
+    got = bounded_batches(rows).select("y", "_t").mapInArrow(run, "y int, x array<double>").collect()
     got = sorted((r.y, tuple(r.x)) for r in got)
     return np.array([r[1] for r in got]).reshape(len(got), len(NAMES)), np.array([r[0] for r in got])
 
@@ -193,7 +193,7 @@ def classify(docs: DataFrame, labels: DataFrame, may_learn: Column, label: str =
     """
     ranker = ranker or fit(*sample(docs, labels, may_learn, label, doc_id, text), quantile=quantile)
     extra = extra if extra is not None else [F.col(doc_id).alias("doc_id")]
-    given = docs.select(F.col(text).cast("string").alias("_text"), *extra)
+    given = bounded_batches(docs).select(F.col(text).cast("string").alias("_text"), *extra)
     names = [c for c in given.columns if c != "_text"]
     schema = ", ".join(f"`{c}` {t}" for c, t in given.dtypes if c != "_text") + ", score double"
 

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._spark import WORD
+from ._spark import WORD, bounded_batches
 from ._text import buffers, chunks, code_points, span_hashes, words
 
 #: The base rules.
@@ -212,7 +212,7 @@ def repetition_rules(docs: DataFrame, doc_id: str = "doc_id", text: str = "text"
                 cols.append(_spans(m))
             yield pa.RecordBatch.from_arrays(cols, ["doc_id", *_LONGS, *(["spans"] if with_spans else [])])
 
-    out = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).cast("string").alias("text")).mapInArrow(run, schema)
+    out = bounded_batches(docs).select(F.col(doc_id).alias("doc_id"), F.col(text).cast("string").alias("text")).mapInArrow(run, schema)
     failed = (F.col("n_words") < MIN_WORDS) | (F.col("n_repeat_words") * 100 > F.col("n_words") * BASE_SHARE)
     good = (F.col("covered_words") * 100 <= F.col("n_words") * max_covered) & (F.col("longest_repeat") <= max_repeat)
     return out.withColumn("base_failed", failed).withColumn("kept", ~failed & good)

@@ -17,6 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import _tokens
+from ._spark import bounded_batches
 from ._text import buffers, chunks, code_points, words
 
 EDITS = "array<struct<pos:long,del:long,ins:string>>"
@@ -140,7 +141,7 @@ def count_edits(docs: DataFrame, edits: Column, path: str | None = None, doc_id:
                 rows.append((before, tree.total, tree.n, tree.reencoded))
             yield pa.RecordBatch.from_arrays([part.column(0), *(pa.array([r[i] for r in rows], pa.int64()) for i in range(4))], ["doc_id", "tokens_before", "tokens_after", "segments", "reencoded"])
 
-    given = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).cast("string").alias("text"), edits.cast(EDITS).alias("edits"))
+    given = bounded_batches(docs).select(F.col(doc_id).alias("doc_id"), F.col(text).cast("string").alias("text"), edits.cast(EDITS).alias("edits"))
     return given.mapInArrow(run, f"doc_id {kind}, tokens_before long, tokens_after long, segments long, reencoded long")
 
 
