@@ -8,18 +8,25 @@ a token; the prefix of a set of n tokens is its first ``n - ceil(percent * n / 1
    class from here on.
 2. First order: a pseudo-random ``band`` of the tokens first, in it rare before frequent.
    Only the band's tokens are counted and joined, and a token of one class only is
-   dropped at once.  Classes that share a prefix token, directly or over others, form a
-   *cell*: linked classes are always in one cell.
+   dropped at once.  The classes that share a prefix token are its *list*; classes that
+   are joined over lists form a *cell*: linked classes are always in one cell.
 3. A second pass hashes again the classes that share a cell with another, and the same
    filter under an independent order splits the cells further.  A third pass makes the
    whole sets of those still in a cell with another.
-4. A cell is verified in blocks of at most ``2 * BLOCK`` sets, so a cell of any size is
-   spread over tasks.  In a block a pair is verified only if its sizes are near enough,
-   it shares a prefix token under a third order too, and it isn't already in one
-   component.  Blocks give a spanning forest, never all pairs of a group.
-5. The forests' components, over all blocks, are the answer.
-
-Sets and tokens are identified by 64-bit hashes.
+4. A cell of at most ``2 * BLOCK`` sets is verified as one block.  In a larger one every
+   class of a list is first held against one hub of the list, which is linear and joins
+   most of a group of near copies.  Then only pairs of different components are open:
+   classes outside the largest component of their list (or cell, if that is less work)
+   meet the rest of it in blocks of bounded size.
+5. In a block a pair is verified only if its sizes are near enough, it shares a prefix
+   token under two further orders too, and it isn't in one component already.  Blocks
+   give a spanning forest, never all pairs of a group.
+6. The forests' components, over all blocks, are the answer.
+
+Many texts of one list that are alike but not linked, say 0.7 alike, remain one by one
+to be verified: no filter on prefixes can tell them from linked ones, and none is dropped.
+
+Sets are identified by two 64-bit hashes, tokens by one.
 """
 
 from __future__ import annotations
@@ -28,17 +35,17 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ._spark import materialize
+from ._spark import bounded_batches, checked_broadcast, discard_since, made, materialize
 from ._text import chunks, mix64, shingle_sets
 from .components import components
 
-BLOCK = 256
-#: Bits of the filter of the rows that a later pass hashes: 64 a class, at most 2**26 (8 MB).
-MAX_FILTER_BITS = 1 << 26
+#: Sets of a part of a block, and the tokens that they hold.
+BLOCK, BLOCK_TOKENS = 256, 1 << 18
 _ORDERS = (np.uint64(0), np.uint64(0x6A09E667F3BCC909), np.uint64(0xBB67AE8584CAA73B))
+_SALTS = (np.uint64(0x9E37), np.uint64(0x3C6EF372FE94F82B))
 
 
 def _prefix_length(n: np.ndarray, percent: int) -> np.ndarray:
@@ -72,13 +79,13 @@ def _lists(values: np.ndarray, offs: np.ndarray) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(offs, pa.int32()), pa.array(values.view(np.int64)))
 
 
-def _signatures(tokens: np.ndarray, offs: np.ndarray) -> np.ndarray:
-    cum = np.concatenate([np.zeros(1, np.uint64), np.cumsum(mix64(tokens + np.uint64(0x9E37)), dtype=np.uint64)])
+def _signatures(tokens: np.ndarray, offs: np.ndarray, which: int) -> np.ndarray:
+    cum = np.concatenate([np.zeros(1, np.uint64), np.cumsum(mix64(tokens + _SALTS[which]), dtype=np.uint64)])
     return mix64(cum[offs[1:]] - cum[offs[:-1]] + np.diff(offs).astype(np.uint64))
 
 
 def shingle_table(docs: DataFrame, width: int, percent: int, share: float, doc_id: str, text: str) -> DataFrame:
-    """(doc_id, n, sig, band, room) for every row."""
+    """(doc_id, n, sig, sig2, band, room) for every row."""
     kind = dict(docs.dtypes)[doc_id]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -86,119 +93,154 @@ def shingle_table(docs: DataFrame, width: int, percent: int, share: float, doc_i
             tokens, offs = shingle_sets(part.column(1), width)
             band, at, room = _band(tokens, offs, percent, share)
             n = np.diff(offs)
-            yield pa.RecordBatch.from_arrays(
-                [part.column(0), pa.array(n), pa.array(_signatures(tokens, offs).view(np.int64), mask=n == 0), _lists(band, at), pa.array(room.astype(np.int32))],
-                ["doc_id", "n", "sig", "band", "room"],
-            )
+            sigs = [pa.array(_signatures(tokens, offs, k).view(np.int64), mask=n == 0) for k in (0, 1)]
+            yield pa.RecordBatch.from_arrays([part.column(0), pa.array(n), *sigs, _lists(band, at), pa.array(room.astype(np.int32))], ["doc_id", "n", "sig", "sig2", "band", "room"])
+
+    given = bounded_batches(docs).select(F.col(doc_id).alias("doc_id"), F.col(text).cast("string").alias("text"))
+    return given.mapInArrow(run, f"doc_id {kind}, n long, sig long, sig2 long, band array<long>, room int")
+
 
-    given = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).cast("string").alias("text"))
-    return given.mapInArrow(run, f"doc_id {kind}, n long, sig long, band array<long>, room int")
+def classes_of(sets: DataFrame) -> DataFrame:
+    """One row per set of shingles that occurs: (sig, sig2, node, h, n, k, first_id, band,
+    room).  ``k`` rows have it; the row of the smallest id hash ``h`` stands for it, and
+    ``node`` names it: that hash, which is one-to-one for whole numbers, or for rows
+    without id one of the set."""
+    h = F.xxhash64("doc_id")
+    node = F.when(F.col("doc_id").isNotNull(), h).otherwise(F.xxhash64("sig", "sig2"))
+    rep = F.struct(F.col("doc_id").isNull().alias("no_id"), node.alias("node"), h.alias("h"), "n")
+    few = sets.where("n > 0").groupBy("sig", "sig2").agg(F.min(rep).alias("r"), F.count(F.lit(1)).alias("k"), F.min("doc_id").alias("first_id"), F.first("band").alias("band"), F.first("room").alias("room"))
+    return few.select("sig", "sig2", "r.node", "r.h", "r.n", "k", "first_id", "band", "room")
 
 
-def cells(rows: DataFrame, within: list[str]) -> DataFrame:
-    """(sig, component) of classes that share a prefix token with another class of their
-    ``within`` columns, directly or over others.  ``rows``: sig, band, room, *within."""
-    posts = rows.select("sig", "room", *within, F.explode("band").alias("token"))
+def shared_prefixes(rows: DataFrame, within: list[str]) -> DataFrame:
+    """(node, *within, token): the prefix tokens, rare ones first, that a class shares with
+    another of its ``within`` columns.  ``rows``: node, band, room, *within."""
+    posts = rows.select("node", "room", *within, F.explode("band").alias("token"))
     counts = posts.groupBy(*within, "token").agg(F.count(F.lit(1)).alias("df")).where("df > 1")
-    shared = posts.join(counts, [*within, "token"]).groupBy("sig", *within).agg(F.first("room").alias("room"), F.array_sort(F.collect_list(F.struct("df", "token"))).alias("s"))
+    shared = posts.join(counts, [*within, "token"]).groupBy("node", *within).agg(F.first("room").alias("room"), F.array_sort(F.collect_list(F.struct("df", "token"))).alias("s"))
     # tokens of one class come first in the order, so ``room`` counts off the frequent end
-    prefix = shared.where(F.size("s") > F.col("room")).select("sig", *within, F.explode(F.expr("slice(s, 1, size(s) - room)")).alias("t")).select("sig", *within, F.col("t.token").alias("token"))
-    prefix = materialize(prefix)
-    hubs = prefix.groupBy(*within, "token").agg(F.min("sig").alias("hub"), F.count(F.lit(1)).alias("k")).where("k > 1").drop("k")
-    return components(prefix.join(hubs, [*within, "token"]).select(F.col("sig").alias("a"), F.col("hub").alias("b")))
+    kept = shared.where(F.size("s") > F.col("room")).select("node", *within, F.explode(F.expr("slice(s, 1, size(s) - room)")).alias("t"))
+    return kept.select("node", *within, F.col("t.token").alias("token"))
 
 
-def _filter_bits(chosen: DataFrame) -> tuple[np.ndarray, int]:
-    """A bit map of the ``h`` of ``chosen``, of a bounded size."""
-    want = 64 * max(1, chosen.count())
-    bits = max(1024, min(MAX_FILTER_BITS, 1 << (want - 1).bit_length()))
-    at = F.pmod(F.xxhash64("h"), F.lit(bits))
-    rows = chosen.select(F.shiftright(at, 5).alias("w"), (at % 32).cast("int").alias("r")).groupBy("w").agg(F.bit_or(F.expr("shiftleft(1L, r)")).alias("m")).collect()
-    out = np.zeros(bits // 32, np.uint32)
-    out[[r.w for r in rows]] = [r.m for r in rows]
-    return out, bits
+def cells(prefix: DataFrame, within: list[str]) -> DataFrame:
+    """(node, component) of classes that share a prefix token with another one, directly
+    or over others."""
+    hubs = prefix.groupBy(*within, "token").agg(F.min("node").alias("hub"), F.count(F.lit(1)).alias("k")).where("k > 1").drop("k")
+    return components(prefix.join(hubs, [*within, "token"]).select(F.col("node").alias("a"), F.col("hub").alias("b")))
 
 
 def _again(docs: DataFrame, chosen: DataFrame, width: int, doc_id: str, text: str, schema: str, emit) -> DataFrame:
-    """Hashes the texts of the rows in ``chosen`` (sig, h) again: (h, sig, n) and what
-    ``emit`` makes of the tokens.  A bit map of bounded size picks the rows while they are
-    read; the few others that it lets through are for the caller's join to drop."""
-    bitmap, bits = _filter_bits(chosen)
-    shared = docs.sparkSession.sparkContext.broadcast(bitmap)
-    names = ["h", "sig", *(x.split()[0] for x in schema.split(", "))]
+    """Hashes the texts of the classes in ``chosen`` (sig, sig2, h, node) again, in the row
+    that stands for each: (node, n) and what ``emit`` makes of the tokens."""
+    wanted = checked_broadcast(materialize(chosen.select("h").distinct()))
+    names = ["h", "sig", "sig2", *(x.split()[0] for x in schema.split(", "))]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bitset = shared.value
-
-        def wanted() -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                at = batch.column(0).to_numpy()
-                yield batch.filter(pa.array((bitset[at >> 5] >> (at & 31).astype(np.uint32)) & 1 == 1))
-
-        for part in chunks(wanted(), "text"):
-            tokens, offs = shingle_sets(part.column(2), width)
-            yield pa.RecordBatch.from_arrays([part.column(1), pa.array(_signatures(tokens, offs).view(np.int64)), *emit(tokens, offs)], names)
+        for part in chunks(batches, "text"):
+            tokens, offs = shingle_sets(part.column(1), width)
+            sigs = [pa.array(_signatures(tokens, offs, k).view(np.int64)) for k in (0, 1)]
+            yield pa.RecordBatch.from_arrays([part.column(0), *sigs, *emit(tokens, offs)], names)
 
-    h = F.xxhash64(F.col(doc_id))
-    # the filter's own hash is taken of the hash of the id
-    given = docs.select(F.pmod(F.xxhash64(h), F.lit(bits)).alias("at"), h.alias("h"), F.col(text).cast("string").alias("text"))
-    return given.mapInArrow(run, f"h long, sig long, {schema}")
+    given = docs.select(F.xxhash64(F.col(doc_id)).alias("h"), F.col(text).cast("string").alias("text")).join(wanted, "h", "left_semi")
+    found = given.mapInArrow(run, f"h long, sig long, sig2 long, {schema}")
+    named = found.join(chosen.select("sig", "sig2", "h", "node"), ["sig", "sig2", "h"]).drop("sig", "sig2", "h")
+    return named.dropDuplicates(["node"])  # rows of one id with one text
 
 
 def _second_bands(docs: DataFrame, chosen: DataFrame, width: int, percent: int, share: float, doc_id: str, text: str) -> DataFrame:
-    """(sig, cell, band, room) of the chosen classes under the second order."""
+    """(node, cell, band, room) of the chosen classes under the second order."""
 
     def emit(tokens: np.ndarray, offs: np.ndarray) -> list[pa.Array]:
         band, at, room = _band(_ordered(tokens, offs, 1), offs, percent, share)
         return [_lists(band, at), pa.array(room.astype(np.int32))]
 
     found = _again(docs, chosen, width, doc_id, text, "band array<long>, room int", emit)
-    return found.join(chosen.select("sig", "h", "cell"), ["sig", "h"]).drop("h").dropDuplicates(["sig"])
+    return found.join(chosen.select("node", "cell"), "node")
 
 
 def _member_tokens(docs: DataFrame, chosen: DataFrame, width: int, doc_id: str, text: str) -> DataFrame:
-    """(h, sig, tokens): whole sets, packed."""
+    """(node, tokens): whole sets, packed."""
 
     def emit(tokens: np.ndarray, offs: np.ndarray) -> list[pa.Array]:
         raw = tokens.tobytes()
         return [pa.array([raw[8 * a : 8 * b] for a, b in zip(offs[:-1].tolist(), offs[1:].tolist(), strict=True)], pa.binary())]
 
-    found = _again(docs, chosen, width, doc_id, text, "tokens binary", emit)
-    return found.dropDuplicates(["sig", "h"])
+    return _again(docs, chosen, width, doc_id, text, "tokens binary", emit)
+
+
+def _n_parts(rows: str, tokens: str) -> Column:
+    """Into how many parts so many sets with so many tokens are cut."""
+    return F.ceil(F.greatest(F.col(rows) / BLOCK, F.col(tokens) / BLOCK_TOKENS)).cast("int")
+
+
+def _part(p: str) -> Column:
+    return F.pmod(F.xxhash64("node"), F.col(p)).cast("int")
 
 
-def _block_keys(members: DataFrame, percent: int) -> DataFrame:
-    """Every class (sig, h, n) of a cell with the keys of the blocks it is verified in.
+def _every(p: str) -> Column:
+    return F.explode(F.sequence(F.lit(0), F.col(p) - 1))
 
-    Cells of up to 2 * BLOCK classes are one block.  Larger ones are cut into size
-    classes (only equal or adjacent ones can link) and these by hash into parts of about
-    BLOCK; a block is a pair of parts.
+
+def _hub_blocks(lists: DataFrame, percent: int) -> DataFrame:
+    """Blocks that hold every class of a list against the list's hub, its class of the
+    smallest hash.  A pair of several lists stands in one block, and a hub's partners are
+    dealt out over blocks, so this is linear in the lists' length."""
+    first = F.struct(F.xxhash64("node").alias("o"), "node", "n")
+    hubs = lists.groupBy("cell", "token").agg(F.min(first).alias("hub"), F.count(F.lit(1)).alias("k")).where("k > 1")
+    met = lists.join(hubs, ["cell", "token"]).where((F.col("node") != F.col("hub.node")) & (F.least("n", "hub.n") * 100 >= F.greatest("n", "hub.n") * percent))
+    pairs = materialize(met.select("node", "n", F.col("hub.node").alias("hub"), F.col("hub.n").alias("hub_n")).distinct())
+    cut = pairs.groupBy("hub").agg(F.count(F.lit(1)).alias("k"), F.sum("n").alias("w")).select("hub", _n_parts("k", "w").alias("p"))
+    label = F.col("node").alias("label")
+    others = pairs.join(cut, "hub").select("node", label, F.col("hub").alias("u"), _part("p").alias("i"), F.lit(1).alias("side"))
+    own = cut.select(F.col("hub").alias("node"), F.col("hub").alias("label"), F.col("hub").alias("u"), _every("p").alias("i"), F.lit(0).alias("side"))
+    none = F.lit(0)
+    return others.union(own).select("node", "label", "side", "u", none.cast("long").alias("v"), none.alias("c"), "i", none.alias("j"))
+
+
+def _other_blocks(lists: DataFrame, members: DataFrame, percent: int) -> DataFrame:
+    """Blocks for the pairs that the hubs left open.
+
+    A *unit* is a list or a whole cell, whichever makes less work for that cell.  Within
+    it only pairs of different labels (components so far) are open, so each class outside
+    the unit's largest label meets all of the unit, in parts of bounded size, and only
+    those of a like size.  ``lists``: cell, token, node; ``members``: cell, node, n, label.
     """
-    total = members.groupBy("cell").agg(F.count(F.lit(1)).alias("m")).where("m > 1")
-    x = members.join(total, "cell")
-    small = x.where(F.col("m") <= 2 * BLOCK).select("sig", "h", "cell", *(F.lit(0).alias(c) for c in ("lo", "hi", "i", "j", "side")))
-    big = x.where(F.col("m") > 2 * BLOCK).withColumn("c", F.floor(F.log(F.col("n").cast("double")) / F.lit(float(np.log(100 / percent)))).cast("int"))
-    parts = big.groupBy("cell", "c").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("p"))
-    big = big.join(parts, ["cell", "c"]).withColumn("i", F.pmod(F.xxhash64("sig"), F.col("p")).cast("int"))
-    for step, name in ((-1, "below"), (1, "above")):
-        big = big.join(parts.select("cell", (F.col("c") - step).alias("c"), F.col("p").alias(name)), ["cell", "c"], "left")
-    n_of = lambda p: F.coalesce(F.col(p), F.lit(0))
-    seq = lambda p: F.when(n_of(p) > 0, F.sequence(F.lit(0), n_of(p) - 1)).otherwise(F.array().cast("array<int>"))
-    block = lambda lo, hi, i, j, side: F.struct(lo.alias("lo"), hi.alias("hi"), i.alias("i"), j.alias("j"), side.alias("side"))
-    c, i = F.col("c"), F.col("i")
-    own = F.transform(seq("p"), lambda j: block(c, c, F.least(i, j), F.greatest(i, j), F.when(i <= j, 0).otherwise(1)))
-    down = F.transform(seq("below"), lambda j: block(c - 1, c, j, i, F.lit(1)))
-    up = F.transform(seq("above"), lambda j: block(c, c + 1, i, j, F.lit(0)))
-    return small.union(big.select("sig", "h", "cell", F.explode(F.concat(own, down, up)).alias("b")).select("sig", "h", "cell", "b.*"))
-
-
-def forest(sigs: np.ndarray, sets: list[np.ndarray], side: np.ndarray | None, percent: int) -> list[tuple[int, int]]:
+    some = lists.join(members, ["cell", "node"]).select("cell", F.col("token").alias("u"), "node", "n", "label")
+    # u is null where the unit is the cell
+    rows = materialize(some.unionByName(members.select("cell", F.lit(None).cast("long").alias("u"), "node", "n", "label")))
+    keys = ["cell", "u"]
+    same = lambda x, y, ks: [x[k].eqNullSafe(y[k]) for k in ks]
+    labels = rows.groupBy(*keys, "label").agg(F.count(F.lit(1)).alias("c"))
+    units = labels.groupBy(*keys).agg(F.sum("c").alias("m"), F.max(F.struct("c", "label")).alias("top"))
+    # of two, one is the hub
+    open_ = units.select(*keys, F.col("top.label").alias("top"), F.when(F.col("m") > 2, (F.col("m") - F.col("top.c")) * F.col("m").cast("double")).otherwise(0.0).alias("work"))
+    cost = open_.groupBy("cell").agg(F.sum(F.when(F.col("u").isNotNull(), F.col("work"))).alias("by_list"), F.sum(F.when(F.col("u").isNull(), F.col("work"))).alias("by_cell"))
+    chosen = open_.where("work > 0").join(cost, "cell").where(F.col("u").isNotNull() == (F.coalesce("by_list", F.lit(0.0)) < F.col("by_cell")))
+    chosen = chosen.select(F.col("cell").alias("cell_"), F.col("u").alias("u_"), "top")
+    size = F.floor(F.log(F.col("n").cast("double")) / F.lit(float(np.log(100 / min(percent, 99))))).cast("int")
+    picked = rows.join(chosen, (rows.cell == chosen["cell_"]) & rows.u.eqNullSafe(chosen["u_"])).select("cell", "u", "node", "n", "label", (F.col("label") != F.col("top")).alias("minor"), size.alias("c"))
+    picked = materialize(picked)
+    minor = picked.where("minor").withColumn("c", F.explode(F.array(F.col("c") - 1, F.col("c"), F.col("c") + 1)))
+    unit = [*keys, "c"]
+    parts = lambda x, p: x.groupBy(*unit).agg(F.count(F.lit(1)).alias("k"), F.sum("n").alias("w")).select(*unit, _n_parts("k", "w").alias(p))
+    a, b = parts(minor, "p").alias("a"), parts(picked, "q").alias("b")
+    cut = materialize(a.join(b, [F.col(f"a.{k}").eqNullSafe(F.col(f"b.{k}")) for k in unit]).select(*(F.col(f"a.{k}").alias(k) for k in unit), "p", "q"))
+    named = cut.select(*(F.col(k).alias(f"_{k}") for k in unit), "p", "q")
+    meet = lambda x: x.join(named, [x[k].eqNullSafe(named[f"_{k}"]) for k in unit])
+    left = meet(minor).select("node", "label", F.lit(0).alias("side"), *unit, _part("p").alias("i"), _every("q").alias("j"))
+    right = meet(picked).select("node", "label", F.lit(1).alias("side"), *unit, _every("p").alias("i"), _part("q").alias("j"))
+    return left.union(right).select("node", "label", "side", F.col("cell").alias("u"), F.coalesce("u", F.lit(0)).alias("v"), "c", "i", "j")
+
+
+def forest(nodes: np.ndarray, sets: list[np.ndarray], side: np.ndarray | None, percent: int, labels: np.ndarray | None = None) -> list[tuple[int, int]]:
     """Links that join all sets of a block that are linked, directly or over others.
 
-    ``side``: 0 or 1 where only pairs across are to be verified, else None."""
+    ``side``: 0 or 1 where only pairs across are to be verified, else None.  Sets of equal
+    ``labels`` are joined already."""
     k = len(sets)
     n = np.array([len(s) for s in sets])
-    root = np.arange(k)
+    root = np.arange(k) if labels is None else np.unique(labels, return_inverse=True)[1]
     out: list[tuple[int, int]] = []
     prefix: list[tuple[np.ndarray, np.ndarray]] = []
     lengths = np.minimum(_prefix_length(n, percent), n)
@@ -230,46 +272,67 @@ def forest(sigs: np.ndarray, sets: list[np.ndarray], side: np.ndarray | None, pe
         linked = other[common * 100 >= (n[other] + n[p] - common) * percent]
         for q in linked.tolist():
             if root[q] != root[p]:
-                out.append((int(sigs[p]), int(sigs[q])))
+                out.append((int(nodes[p]), int(nodes[q])))
                 root[root == root[q]] = root[p]
     return out
 
 
-def _verify(blocks: DataFrame, percent: int) -> DataFrame:
-    """(a, b) links of a spanning forest of every block."""
-    keys = ["cell", "lo", "hi", "i", "j"]
+_KEYS = ["u", "v", "c", "i", "j"]
+
+
+def _verify(blocks: DataFrame, tokens: DataFrame, percent: int, across: bool) -> DataFrame:
+    """(a, b) links of a spanning forest of every block (node, label, side, *_KEYS)."""
 
     def flush(rows: list) -> list[tuple[int, int]]:
         if len(rows) < 2:
             return []
-        sets = [np.frombuffer(r[2], np.uint64) for r in rows]
-        side = np.array([r[1] for r in rows])
-        first = rows[0][3]
-        across = not (first[1] == first[2] and first[3] == first[4])
-        return forest(np.array([r[0] for r in rows]), sets, side if across else None, percent)
+        sets = [np.frombuffer(r[3], np.uint64) for r in rows]
+        node, label, side = (np.array([r[i] for r in rows]) for i in range(3))
+        return forest(node, sets, side if across else None, percent, label)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list = []
         found: list[tuple[int, int]] = []
         for batch in batches:
-            cols = [batch.column(batch.schema.get_field_index(c)).to_pylist() for c in ("sig", "side", "tokens", *keys)]
-            for sig, side, tokens, *key in zip(*cols, strict=True):
-                if held and held[0][3] != key:
+            cols = [batch.column(batch.schema.get_field_index(c)).to_pylist() for c in ("node", "label", "side", "tokens", *_KEYS)]
+            for node, label, side, raw, *key in zip(*cols, strict=True):
+                if held and held[0][4] != key:
                     found += flush(held)
                     held = []
-                held.append((sig, side, tokens, key))
+                held.append((node, label, side, raw, key))
             if len(found) > 10_000:
                 yield _links(found)
                 found = []
         yield _links(found + flush(held))
 
-    return blocks.repartition(*keys).sortWithinPartitions(*keys).select("sig", "side", "tokens", *keys).mapInArrow(run, "a long, b long")
+    given = blocks.join(tokens, "node").repartition(*_KEYS).sortWithinPartitions(*_KEYS)
+    return bounded_batches(given).select("node", "label", "side", "tokens", *_KEYS).mapInArrow(run, "a long, b long")
 
 
 def _links(found: list[tuple[int, int]]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array([x[i] for x in found], pa.int64()) for i in (0, 1)], ["a", "b"])
 
 
+def cell_links(members: DataFrame, prefix: DataFrame, tokens: DataFrame, percent: int) -> DataFrame:
+    """(a, b): links that join all linked classes.  ``members``: node, n, cell; ``prefix``:
+    node, token under the first order; ``tokens``: node, tokens."""
+    total = members.groupBy("cell").agg(F.count(F.lit(1)).alias("m"), F.sum("n").alias("w")).where("m > 1")
+    x = members.join(total, "cell")
+    is_small = (F.col("m") <= 2 * BLOCK) & (F.col("w") <= 2 * BLOCK_TOKENS)
+    none = F.lit(0)
+    small = x.where(is_small).select("node", F.col("node").alias("label"), none.alias("side"), F.col("cell").alias("u"), none.cast("long").alias("v"), *(none.alias(c) for c in "cij"))
+    links = _verify(small, tokens, percent, across=False)
+    large = materialize(x.where(~is_small).select("cell", "node", "n"))
+    if large.isEmpty():
+        return links
+    lists = materialize(prefix.join(large, "node").select("cell", "token", "node", "n"))
+    by_hub = materialize(_verify(_hub_blocks(lists, percent), tokens, percent, across=True))
+    found = components(by_hub)
+    labelled = materialize(large.join(found, "node", "left").select("cell", "node", "n", F.coalesce("component", "node").alias("label")))
+    rest = _verify(_other_blocks(lists.select("cell", "token", "node"), labelled, percent), tokens, percent, across=True)
+    return links.union(by_hub).union(rest)
+
+
 def jaccard_components(docs: DataFrame, width: int = 3, percent: int = 90, doc_id: str = "doc_id", text: str = "text", band: float | None = None) -> DataFrame:
     """(doc_id, n_shingles, component_id), one row per row of ``docs``.
 
@@ -281,21 +344,29 @@ def jaccard_components(docs: DataFrame, width: int = 3, percent: int = 90, doc_i
     not read.  ``band`` is the share of the tokens that the first two orders count.
     """
     share = band or min(1.0, 2.0 * (100 - percent) / 100)
+    before = made()
     sets = materialize(shingle_table(docs, width, percent, share, doc_id, text))
-    classes = sets.where("n > 0").select("sig", "band", "room").dropDuplicates(["sig"])
-    first = cells(materialize(classes), [])
-    ids = sets.where("n > 0").select("sig", "n", "doc_id", F.xxhash64("doc_id").alias("h"))
-    one = ids.groupBy("sig").agg(F.min(F.struct("h", "n")).alias("x")).select("sig", "x.h", "x.n")
-    chosen = materialize(one.join(first.select(F.col("node").alias("sig"), F.col("component").alias("cell")), "sig"))
-    second = cells(materialize(_second_bands(docs, chosen, width, percent, share, doc_id, text)), ["cell"])
-    narrowed = materialize(chosen.drop("cell").join(second.select(F.col("node").alias("sig"), F.col("component").alias("cell")), "sig"))
-    tokens = _member_tokens(docs, narrowed, width, doc_id, text)
-    links = _verify(_block_keys(narrowed, percent).join(tokens, ["sig", "h"]), percent)
+    classes = materialize(classes_of(sets))
+    keys = classes.select("sig", "sig2", "node", "h", "n")
+    prefix = materialize(shared_prefixes(classes.select("node", "band", "room"), []))
+    first = cells(prefix, [])
+    chosen = materialize(keys.join(first.withColumnRenamed("component", "cell"), "node"))
+    second = materialize(shared_prefixes(_second_bands(docs, chosen, width, percent, share, doc_id, text), ["cell"]))
+    narrowed = materialize(chosen.drop("cell").join(cells(second, ["cell"]).withColumnRenamed("component", "cell"), "node"))
+    tokens = materialize(_member_tokens(docs, narrowed, width, doc_id, text))
+    links = cell_links(narrowed.select("node", "n", "cell"), prefix, tokens, percent)
     # one id with different texts joins their classes
-    named_ids = ids.where("doc_id IS NOT NULL")
-    several = named_ids.groupBy("doc_id").agg(F.min("sig").alias("a"), F.max("sig").alias("z")).where("a < z").drop("z")
-    links = links.union(named_ids.join(several, "doc_id").select("a", F.col("sig").alias("b")))
-    final = components(links)
-    named = sets.select("doc_id", "n", "sig").join(final.withColumnRenamed("node", "sig"), "sig", "left").withColumn("part", F.coalesce("component", "sig"))
-    smallest = named.where("part IS NOT NULL").groupBy("part").agg(F.min("doc_id").alias("component_id"))
-    return named.join(smallest, "part", "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"))
+    ids = sets.where("n > 0 AND doc_id IS NOT NULL").select("doc_id", "sig", "sig2")
+    mark = F.struct("sig", "sig2")
+    several = materialize(ids.groupBy("doc_id").agg(F.min(mark).alias("a"), F.max(mark).alias("z")).where("a < z").select("doc_id"))
+    if not several.isEmpty():
+        named = materialize(ids.join(several, "doc_id").join(keys, ["sig", "sig2"]).select("doc_id", "node").distinct())
+        links = links.union(named.join(named.groupBy("doc_id").agg(F.min("node").alias("a")), "doc_id").select("a", F.col("node").alias("b")))
+    part = materialize(components(links))
+    # only classes that are linked, or are those of several rows, have another id than their rows
+    linked = classes.select("sig", "sig2", "node", "k", "first_id").join(part, "node", "left").where("k > 1 OR component IS NOT NULL")
+    linked = materialize(linked.withColumn("component", F.coalesce("component", "node")).select("sig", "sig2", "component", "first_id"))
+    smallest = linked.groupBy("component").agg(F.min("first_id").alias("component_id"))
+    answer = materialize(linked.join(smallest, "component").select("sig", "sig2", "component_id"))
+    discard_since(before, sets, answer)
+    return sets.join(checked_broadcast(answer), ["sig", "sig2"], "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"))
