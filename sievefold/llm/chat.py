@@ -1,8 +1,10 @@
 """Chat formatting in budgeted windows.
 
-A turn is written ``<|role|>\\ntext<|end|>\\n``.  Inside roles and texts a backslash
-stands before every backslash, ``<``, ``[`` and ``|``, so no text can hold a control
-string of this or the usual bracket templates, and reading back is exact.
+A turn is written ``<|role|>\\ntext<|end|>\\n``.  In roles and texts the characters
+``<``, ``[``, ``|``, ``#`` and the backslash are written as a backslash and a letter, so none
+of the first four stands in a formatted role or text, and no control string that has one
+of them: this template's, ``</s>``, ``[INST]``, ``<|im_start|>``, ``### Instruction:``.
+Reading back is exact.
 
 Conversations are streamed: rows arrive sorted by conversation and turn, and a task
 holds one window and the history it may repeat, so a conversation of any length needs
@@ -13,6 +15,7 @@ from __future__ import annotations
 
 import hashlib
 import re
+from bisect import bisect_left
 from collections.abc import Iterator
 
 import numpy as np
@@ -27,18 +30,20 @@ from ._spark import bounded_batches
 BUDGET = 512
 HISTORY = 128
 TARGET = "assistant"
-_SPECIAL = re.compile(r"[\\<\[|]")
-_QUOTED = re.compile(r"\\(.)", re.DOTALL)
-_TURN = re.compile(r"<\|((?:[^\\<|]|\\.)*)\|>\n((?:[^\\<]|\\.)*)<\|end\|>\n", re.DOTALL)
+_LETTERS = {"\\": "b", "<": "l", "[": "s", "|": "p", "#": "h"}
+_ESCAPED = {letter: char for char, letter in _LETTERS.items()}
+_SPECIAL = re.compile(r"[\\<\[|#]")
+_QUOTED = re.compile(r"\\([blsph])")
+_TURN = re.compile(r"<\|([^<|]*)\|>\n([^<]*)<\|end\|>\n")
 WINDOWS = "conv_id {}, window int, repeated int, text string, loss array<struct<start:int,end:int>>, tokens long"
 
 
 def escape(text: str) -> str:
-    return _SPECIAL.sub(r"\\\g<0>", text)
+    return _SPECIAL.sub(lambda m: "\\" + _LETTERS[m[0]], text)
 
 
 def unescape(text: str) -> str:
-    return _QUOTED.sub(r"\1", text)
+    return _QUOTED.sub(lambda m: _ESCAPED[m[1]], text)
 
 
 def format_turn(role: str, text: str) -> str:
@@ -66,58 +71,62 @@ class Windows:
     if its role is system) and then the longest run of the latest turns whose tokens are
     at most ``history``.  A turn is never cut: one that exceeds the budget is alone in its
     window, behind the system turn and without history.
+
+    Held are the turns that the next window may repeat and those of the open one, which
+    begins with turn ``start``; ``sums[i]`` are the conversation's tokens before turn i.
     """
 
     def __init__(self, budget: int, history: int):
         self.budget, self.history = budget, history
         self.system: tuple | None = None
-        self.past: list[tuple] = []  # turns that may be repeated
-        self.new: list[tuple] = []
+        self.turns: list[tuple] = []
+        self.sums = [0]
+        self.start = 0
         self.head: list[tuple] = []
+        self.head_tokens = 0
         self.n_turns = self.n_windows = 0
 
+    @property
+    def open(self) -> bool:
+        return len(self.turns) > self.start
+
     def add(self, role: str, text: str, tokens: int) -> tuple | None:
         """Takes a turn; gives the window that it closes, if any."""
         turn = (role, format_turn(role, text), tokens)
-        used = sum(t[2] for t in self.head) + sum(t[2] for t in self.new)
         done = None
-        if self.new and used + tokens > self.budget:
+        if self.open and self.head_tokens + self.sums[-1] + tokens - self.sums[self.start] > self.budget:
             done = self.close()
-            self.head = self._repeat(tokens)
+            self._repeat(tokens)
         if not self.n_turns and role == "system":
             self.system = turn
-        self.new.append(turn)
+        self.turns.append(turn)
+        self.sums.append(self.sums[-1] + tokens)
         self.n_turns += 1
         return done
 
-    def _repeat(self, tokens: int) -> list[tuple]:
-        head = [self.system] if self.system else []
-        room = min(self.history, self.budget - tokens - sum(t[2] for t in head))
-        back: list[tuple] = []
-        for t in reversed(self.past):
-            if t is self.system or t[2] > room:
-                break
-            room -= t[2]
-            back.append(t)
-        return head + back[::-1]
+    def _repeat(self, tokens: int) -> None:
+        """Chooses what the window that begins with a turn of ``tokens`` repeats."""
+        fixed = self.system[2] if self.system else 0
+        room = max(0, min(self.history, self.budget - tokens - fixed))
+        first = bisect_left(self.sums, self.sums[self.start] - room)
+        if first < self.start and self.turns[first] is self.system:
+            first += 1
+        self.head = ([self.system] if self.system else []) + self.turns[first : self.start]
+        self.head_tokens = fixed + self.sums[self.start] - self.sums[first]
 
     def close(self) -> tuple:
-        turns = self.head + self.new
+        turns = self.head + self.turns[self.start :]
         loss, at = [], 0
         for i, (role, text, _) in enumerate(turns):
             if i >= len(self.head) and role == TARGET:
                 start = at + len(f"<|{escape(role)}|>\n")
                 loss.append((start, at + len(text) - len("<|end|>\n")))
             at += len(text)
-        out = (self.n_windows, len(self.head), "".join(t[1] for t in turns), loss, sum(t[2] for t in turns))
+        out = (self.n_windows, len(self.head), "".join(t[1] for t in turns), loss, self.head_tokens + self.sums[-1] - self.sums[self.start])
         self.n_windows += 1
-        keep, room = [], self.history
-        for t in reversed(turns):
-            if t[2] > room:
-                break
-            room -= t[2]
-            keep.append(t)
-        self.past, self.new, self.head = keep[::-1], [], []
+        first = bisect_left(self.sums, self.sums[-1] - self.history)  # what comes before is never repeated
+        del self.turns[:first], self.sums[:first]
+        self.start, self.head, self.head_tokens = len(self.turns), [], 0
         return out
 
 
@@ -151,7 +160,7 @@ def windows(turns: DataFrame, budget: int = BUDGET, history: int = HISTORY, path
             out: list[tuple] = []
             for c, role, text, n in zip(ids, roles, texts, tokens, strict=True):
                 if not began or c != conv:
-                    if began and state.new:
+                    if began and state.open:
                         out.append((conv, *state.close()))
                     state, conv, began = Windows(budget, history), c, True
                 done = state.add(role, text, n)
@@ -159,7 +168,7 @@ def windows(turns: DataFrame, budget: int = BUDGET, history: int = HISTORY, path
                     out.append((conv, *done))
             yield _batch(out, batch.column(0).type)
             kind_ = batch.column(0).type
-        if began and state.new:
+        if began and state.open:
             yield _batch([(conv, *state.close())], kind_)
 
     return rows.mapInArrow(run, schema)
