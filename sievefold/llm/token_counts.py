@@ -1,14 +1,16 @@
 """Edit-aware token counts.
 
 A document is cut into segments, each a word with the white space behind it, which the
-vocabulary encodes independently.  A segment tree holds the segments' characters and
-token counts.  An edit descends the tree to the segments it touches and those next to
-its ends, re-encodes their text only, puts the result into the first of their leaves,
-empties the others, and updates the sums above them.
+vocabulary encodes independently.  Up to ``2 * BLOCK`` neighbouring segments are a leaf of
+a segment tree that holds characters and token counts.  An edit descends the tree to the
+segments it touches and those next to its ends, cuts their edited text into segments
+again, encodes only these, and updates the sums above their leaf.  A leaf that grows
+beyond its bound is split and the sums are built anew, once in ``BLOCK`` insertions.
 """
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -23,27 +25,33 @@ from ._text import buffers, chunks, code_points, words
 EDITS = "array<struct<pos:long,del:long,ins:string>>"
 
 
+BLOCK = 64
+#: A word with the white space behind it (the first one of a text also has that before it).
+_SEGMENT = re.compile(r"[ \t-\r]*[^ \t-\r]+[ \t-\r]*|[ \t-\r]+")
+
+
 class TokenTree:
     """Segment tree of one text.  ``chars`` and ``tokens`` are of its segments in order."""
 
     def __init__(self, text: str, chars: np.ndarray, tokens: np.ndarray, encoder: _tokens.WordIds):
         self.text, self.encoder = text, encoder
-        self.n = max(1, len(chars))
-        self.size = 1 << (self.n - 1).bit_length()
-        self.from_ = np.concatenate([[0], np.cumsum(chars)]) if len(chars) else np.zeros(2, np.int64)
-        self.changed: dict[int, str] = {}
-        self.chars = self._build(chars)
-        self.tokens = self._build(tokens)
-        self.reencoded = 0
-
-    def _build(self, values: np.ndarray) -> list[int]:
-        tree = np.zeros(2 * self.size, np.int64)
-        tree[self.size : self.size + len(values)] = values
-        half = self.size
-        while half > 1:
-            tree[half // 2 : half] = tree[half : 2 * half].reshape(-1, 2).sum(1)
-            half //= 2
-        return tree.tolist()
+        self.counts = tokens
+        self.from_ = np.concatenate([[0], np.cumsum(chars)])
+        self.n_segments, self.reencoded = len(chars), 0
+        # a leaf is a range of the text's segments, or (texts, counts) once it was edited
+        starts = list(range(0, max(1, len(chars)), BLOCK))
+        self.leaves: list = [(a, min(a + BLOCK, len(chars))) for a in starts]
+        edges = np.minimum([*starts, len(chars)], len(chars))
+        of_tokens = np.concatenate([[0], np.cumsum(tokens)])
+        self._build(np.diff(self.from_[edges]).tolist(), np.diff(of_tokens[edges]).tolist())
+
+    def _build(self, chars: list[int], tokens: list[int]) -> None:
+        self.size = 1 << (len(chars) - 1).bit_length()
+        more = [0] * (self.size - len(chars))
+        self.chars, self.tokens = ([0] * self.size + x + more for x in (chars, tokens))
+        for tree in (self.chars, self.tokens):
+            for node in range(self.size - 1, 0, -1):
+                tree[node] = tree[2 * node] + tree[2 * node + 1]
 
     @property
     def total(self) -> int:
@@ -59,14 +67,19 @@ class TokenTree:
                 node += 1
         return node - self.size, before
 
-    def _leaf_text(self, leaf: int) -> str:
-        if leaf in self.changed:
-            return self.changed[leaf]
-        return self.text[self.from_[leaf] : self.from_[leaf + 1]] if leaf < self.n else ""
-
-    def _set(self, leaf: int, chars: int, tokens: int) -> None:
+    def _parts(self, leaf: int) -> tuple[list[str], list[int]]:
+        """Texts and token counts of a leaf's segments."""
+        held = self.leaves[leaf]
+        if isinstance(held[0], list):
+            return held
+        a, b = held
+        edges = self.from_[a : b + 1].tolist()
+        return [self.text[x:y] for x, y in zip(edges, edges[1:], strict=False)], self.counts[a:b].tolist()
+
+    def _set(self, leaf: int, parts: list[str], counts: list[int]) -> None:
+        self.leaves[leaf] = (parts, counts)
         node = leaf + self.size
-        more_c, more_t = chars - self.chars[node], tokens - self.tokens[node]
+        more_c, more_t = sum(map(len, parts)) - self.chars[node], sum(counts) - self.tokens[node]
         while node:
             self.chars[node] += more_c
             self.tokens[node] += more_t
@@ -78,23 +91,56 @@ class TokenTree:
         n = self.chars[1]
         pos = min(max(pos, 0), n)
         delete = min(max(delete, 0), n - pos)
-        first, before = self._find(max(pos - 1, 0))
-        last, _ = self._find(min(pos + delete, max(n - 1, 0)))
-        leaves = [i for i in range(first, last + 1) if self.chars[i + self.size] or i == first]
-        old = "".join(map(self._leaf_text, leaves))
-        at = pos - before
-        new = old[:at] + insert + old[at + delete :]
-        tokens = sum(len(self.encoder.encode_word(w)) for w in new.encode("utf-8").split())
-        self.reencoded += len(leaves)
-        for i in leaves[1:]:
-            self.changed[i] = ""
-            self._set(i, 0, 0)
-        self.changed[first] = new
-        self._set(first, len(new), tokens)
+        left, right = max(pos - 1, 0), min(pos + delete, max(n - 1, 0))
+        (first, before), (last, before_last) = self._find(left), self._find(right)
+        parts, counts = self._parts(first)
+        i, at = _segment_at(parts, left - before)
+        tail, tail_counts = (parts, counts) if last == first else self._parts(last)
+        j, to = _segment_at(tail, right - before_last)
+        # the touched text begins with segment i, ``cut`` characters before the edit
+        cut = pos - before - at
+        if last == first:
+            old = "".join(parts[i : j + 1])
+            new = old[:cut] + insert + old[cut + delete :]
+        else:  # all between segments i and j is deleted
+            new = parts[i][:cut] + insert + tail[j][pos + delete - before_last - to :]
+        fresh = _SEGMENT.findall(new)
+        fresh_counts = [len(self.encoder.encode_word(w)) if (w := x.encode("utf-8").strip(_WHITE)) else 0 for x in fresh]
+        self.reencoded += len(fresh)
+        parts, counts = parts[:i] + fresh + tail[j + 1 :], counts[:i] + fresh_counts + tail_counts[j + 1 :]
+        for leaf in range(first + 1, last + 1):
+            self._set(leaf, [], [])
+        if len(parts) <= 2 * BLOCK:
+            self._set(first, parts, counts)
+        else:
+            self._split(first, parts, counts)
         return self.total
 
+    def _split(self, leaf: int, parts: list[str], counts: list[int]) -> None:
+        new = [(parts[a : a + BLOCK], counts[a : a + BLOCK]) for a in range(0, len(parts), BLOCK)]
+        chars, tokens = (tree[self.size : self.size + len(self.leaves)] for tree in (self.chars, self.tokens))
+        chars[leaf : leaf + 1] = [sum(map(len, x[0])) for x in new]
+        tokens[leaf : leaf + 1] = [sum(x[1]) for x in new]
+        self.leaves[leaf : leaf + 1] = new
+        some = [k for k, c in enumerate(chars) if c]
+        self.leaves = [self.leaves[k] for k in some]
+        self._build([chars[k] for k in some], [tokens[k] for k in some])
+
     def current(self) -> str:
-        return "".join(self._leaf_text(i) for i in range(self.n))
+        return "".join("".join(self._parts(leaf)[0]) for leaf in range(len(self.leaves)))
+
+
+_WHITE = b" \t\n\v\f\r"
+
+
+def _segment_at(parts: list[str], pos: int) -> tuple[int, int]:
+    """The segment that holds character ``pos`` of a leaf and the characters before it."""
+    before = 0
+    for i, part in enumerate(parts):
+        if pos < before + len(part):
+            return i, before
+        before += len(part)
+    return max(0, len(parts) - 1), before - (len(parts[-1]) if parts else 0)
 
 
 def trees(arr: pa.Array, encoder: _tokens.WordIds) -> Iterator[TokenTree]:
@@ -138,7 +184,7 @@ def count_edits(docs: DataFrame, edits: Column, path: str | None = None, doc_id:
                 for e in todo or ():
                     if e is not None:
                         tree.edit(e["pos"] or 0, e["del"] or 0, e["ins"] or "")
-                rows.append((before, tree.total, tree.n, tree.reencoded))
+                rows.append((before, tree.total, max(1, tree.n_segments), tree.reencoded))
             yield pa.RecordBatch.from_arrays([part.column(0), *(pa.array([r[i] for r in rows], pa.int64()) for i in range(4))], ["doc_id", "tokens_before", "tokens_after", "segments", "reencoded"])
 
     given = bounded_batches(docs).select(F.col(doc_id).alias("doc_id"), F.col(text).cast("string").alias("text"), edits.cast(EDITS).alias("edits"))
