@@ -3,12 +3,16 @@
 Two texts link when the Jaccard similarity of their shingle sets is at least
 ``percent`` / 100.  If so, under *any* global order of the tokens their prefixes share
 a token; the prefix of a set of n tokens is its first ``n - ceil(percent * n / 100) + 1``.
+The smaller set has the first shared token even in its *core*, the first
+``n - ceil(2 * percent * n / (100 + percent)) + 1``, so two sets that share tokens only
+outside both cores needn't be compared.
 
 1. One pass over the texts hashes the shingle sets.  Texts with equal sets are one
    class from here on.
 2. First order: a pseudo-random ``band`` of the tokens first, in it rare before frequent.
    Only the band's tokens are counted and joined, and a token of one class only is
-   dropped at once.  The classes that share a prefix token are its *list*; classes that
+   dropped at once.  The classes that share a prefix token are its *list*, if it is in the
+   core of one of them (of lists of the same classes one is kept); classes that
    are joined over lists form a *cell*: linked classes are always in one cell.
 3. A second pass hashes again the classes that share a cell with another, and the same
    filter under an independent order splits the cells further.  A third pass makes the
@@ -17,7 +21,7 @@ a token; the prefix of a set of n tokens is its first ``n - ceil(percent * n / 1
    class of a list is first held against one hub of the list, which is linear and joins
    most of a group of near copies.  Then only pairs of different components are open:
    classes outside the largest component of their list (or cell, if that is less work)
-   meet the rest of it in blocks of bounded size.
+   meet the rest of it in blocks of bounded size (or classes of the core, if they are fewer).
 5. In a block a pair is verified only if its sizes are near enough, it shares a prefix
    token under two further orders too, and it isn't in one component already.  Blocks
    give a spanning forest, never all pairs of a group.
@@ -35,7 +39,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ._spark import bounded_batches, checked_broadcast, discard_since, made, materialize
@@ -43,7 +47,7 @@ from ._text import chunks, mix64, shingle_sets
 from .components import components
 
 #: Sets of a part of a block, and the tokens that they hold.
-BLOCK, BLOCK_TOKENS = 256, 1 << 18
+BLOCK, BLOCK_TOKENS = 512, 1 << 19
 _ORDERS = (np.uint64(0), np.uint64(0x6A09E667F3BCC909), np.uint64(0xBB67AE8584CAA73B))
 _SALTS = (np.uint64(0x9E37), np.uint64(0x3C6EF372FE94F82B))
 
@@ -52,6 +56,10 @@ def _prefix_length(n: np.ndarray, percent: int) -> np.ndarray:
     return n * (100 - percent) // 100 + 1
 
 
+def _core_length(n: np.ndarray, percent: int) -> np.ndarray:
+    return n * (100 - percent) // (100 + percent) + 1
+
+
 def _ordered(tokens: np.ndarray, offs: np.ndarray, order: int) -> np.ndarray:
     """Tokens under the given order: mapped by a bijection and sorted within each set."""
     if order == 0:
@@ -62,9 +70,9 @@ def _ordered(tokens: np.ndarray, offs: np.ndarray, order: int) -> np.ndarray:
     return out
 
 
-def _band(tokens: np.ndarray, offs: np.ndarray, percent: int, share: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Of ordered tokens, the leading ``share`` of the hash range and at least the prefix:
-    values, offsets, and by how much the band exceeds the prefix."""
+def _band(tokens: np.ndarray, offs: np.ndarray, percent: int, share: float) -> list[pa.Array]:
+    """Of ordered tokens, the leading ``share`` of the hash range and at least the prefix,
+    as lists; by how much the band exceeds the prefix, and this the core."""
     n = np.diff(offs)
     low = tokens < np.uint64(int(share * 2**64) if share < 1 else 2**64 - 1)
     cum = np.concatenate([[0], np.cumsum(low, dtype=np.int64)])
@@ -72,7 +80,8 @@ def _band(tokens: np.ndarray, offs: np.ndarray, percent: int, share: float) -> t
     size = np.maximum(cum[offs[1:]] - cum[offs[:-1]], need)
     at = np.concatenate([[0], np.cumsum(size)])
     pick = np.arange(at[-1]) + np.repeat(offs[:-1] - at[:-1], size)
-    return tokens[pick], at, size - need
+    core = np.minimum(_core_length(n, percent), need)
+    return [_lists(tokens[pick], at), *(pa.array(x.astype(np.int32)) for x in (size - need, need - core))]
 
 
 def _lists(values: np.ndarray, offs: np.ndarray) -> pa.Array:
@@ -84,49 +93,56 @@ def _signatures(tokens: np.ndarray, offs: np.ndarray, which: int) -> np.ndarray:
     return mix64(cum[offs[1:]] - cum[offs[:-1]] + np.diff(offs).astype(np.uint64))
 
 
+#: What ``_band`` gives.
+_BAND = "band array<long>, room int, rim int"
+
+
 def shingle_table(docs: DataFrame, width: int, percent: int, share: float, doc_id: str, text: str) -> DataFrame:
-    """(doc_id, n, sig, sig2, band, room) for every row."""
+    """(doc_id, n, sig, sig2, band, room, rim) for every row."""
     kind = dict(docs.dtypes)[doc_id]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in chunks(batches, "text"):
             tokens, offs = shingle_sets(part.column(1), width)
-            band, at, room = _band(tokens, offs, percent, share)
             n = np.diff(offs)
             sigs = [pa.array(_signatures(tokens, offs, k).view(np.int64), mask=n == 0) for k in (0, 1)]
-            yield pa.RecordBatch.from_arrays([part.column(0), pa.array(n), *sigs, _lists(band, at), pa.array(room.astype(np.int32))], ["doc_id", "n", "sig", "sig2", "band", "room"])
+            yield pa.RecordBatch.from_arrays([part.column(0), pa.array(n), *sigs, *_band(tokens, offs, percent, share)], ["doc_id", "n", "sig", "sig2", "band", "room", "rim"])
 
     given = bounded_batches(docs).select(F.col(doc_id).alias("doc_id"), F.col(text).cast("string").alias("text"))
-    return given.mapInArrow(run, f"doc_id {kind}, n long, sig long, sig2 long, band array<long>, room int")
+    return given.mapInArrow(run, f"doc_id {kind}, n long, sig long, sig2 long, {_BAND}")
 
 
 def classes_of(sets: DataFrame) -> DataFrame:
     """One row per set of shingles that occurs: (sig, sig2, node, h, n, k, first_id, band,
-    room).  ``k`` rows have it; the row of the smallest id hash ``h`` stands for it, and
+    room, rim).  ``k`` rows have it; the row of the smallest id hash ``h`` stands for it, and
     ``node`` names it: that hash, which is one-to-one for whole numbers, or for rows
     without id one of the set."""
     h = F.xxhash64("doc_id")
     node = F.when(F.col("doc_id").isNotNull(), h).otherwise(F.xxhash64("sig", "sig2"))
     rep = F.struct(F.col("doc_id").isNull().alias("no_id"), node.alias("node"), h.alias("h"), "n")
-    few = sets.where("n > 0").groupBy("sig", "sig2").agg(F.min(rep).alias("r"), F.count(F.lit(1)).alias("k"), F.min("doc_id").alias("first_id"), F.first("band").alias("band"), F.first("room").alias("room"))
-    return few.select("sig", "sig2", "r.node", "r.h", "r.n", "k", "first_id", "band", "room")
+    few = sets.where("n > 0").groupBy("sig", "sig2").agg(F.min(rep).alias("r"), F.count(F.lit(1)).alias("k"), F.min("doc_id").alias("first_id"), *(F.first(c).alias(c) for c in ("band", "room", "rim")))
+    return few.select("sig", "sig2", "r.node", "r.h", "r.n", "k", "first_id", "band", "room", "rim")
 
 
 def shared_prefixes(rows: DataFrame, within: list[str]) -> DataFrame:
-    """(node, *within, token): the prefix tokens, rare ones first, that a class shares with
-    another of its ``within`` columns.  ``rows``: node, band, room, *within."""
-    posts = rows.select("node", "room", *within, F.explode("band").alias("token"))
+    """(node, *within, token, core): the prefix tokens, rare ones first, that a class shares
+    with another of its ``within`` columns, and whether they are in its core.  ``rows``:
+    node, band, room, rim, *within."""
+    posts = rows.select("node", *within, F.explode("band").alias("token"))
     counts = posts.groupBy(*within, "token").agg(F.count(F.lit(1)).alias("df")).where("df > 1")
-    shared = posts.join(counts, [*within, "token"]).groupBy("node", *within).agg(F.first("room").alias("room"), F.array_sort(F.collect_list(F.struct("df", "token"))).alias("s"))
-    # tokens of one class come first in the order, so ``room`` counts off the frequent end
-    kept = shared.where(F.size("s") > F.col("room")).select("node", *within, F.explode(F.expr("slice(s, 1, size(s) - room)")).alias("t"))
-    return kept.select("node", *within, F.col("t.token").alias("token"))
+    shared = posts.join(counts, [*within, "token"]).select("node", *within, "token", "df")
+    own = Window.partitionBy("node")
+    ranked = shared.withColumn("at", F.row_number().over(own.orderBy("df", "token"))).withColumn("k", F.count(F.lit(1)).over(own)).drop("df")
+    # tokens of one class come first in the order, so ``room`` and ``rim`` count off the frequent end
+    last = F.col("k") - F.col("room")
+    kept = ranked.join(rows.select("node", "room", "rim"), "node").where(F.col("at") <= last)
+    return kept.select("node", *within, "token", (F.col("at") <= last - F.col("rim")).alias("core"))
 
 
 def cells(prefix: DataFrame, within: list[str]) -> DataFrame:
-    """(node, component) of classes that share a prefix token with another one, directly
-    or over others."""
-    hubs = prefix.groupBy(*within, "token").agg(F.min("node").alias("hub"), F.count(F.lit(1)).alias("k")).where("k > 1").drop("k")
+    """(node, component) of classes that share a prefix token with another one that has it
+    in its core, directly or over others."""
+    hubs = prefix.groupBy(*within, "token").agg(F.min(F.when(F.col("core"), F.col("node"))).alias("hub"), F.count(F.lit(1)).alias("k")).where("k > 1 AND hub IS NOT NULL").drop("k")
     return components(prefix.join(hubs, [*within, "token"]).select(F.col("node").alias("a"), F.col("hub").alias("b")))
 
 
@@ -144,19 +160,19 @@ def _again(docs: DataFrame, chosen: DataFrame, width: int, doc_id: str, text: st
 
     given = docs.select(F.xxhash64(F.col(doc_id)).alias("h"), F.col(text).cast("string").alias("text")).join(wanted, "h", "left_semi")
     found = given.mapInArrow(run, f"h long, sig long, sig2 long, {schema}")
-    named = found.join(chosen.select("sig", "sig2", "h", "node"), ["sig", "sig2", "h"]).drop("sig", "sig2", "h")
+    names_ = checked_broadcast(chosen.select("sig", "sig2", "h", "node"))
+    named = found.join(names_, ["sig", "sig2", "h"]).drop("sig", "sig2", "h")
     return named.dropDuplicates(["node"])  # rows of one id with one text
 
 
 def _second_bands(docs: DataFrame, chosen: DataFrame, width: int, percent: int, share: float, doc_id: str, text: str) -> DataFrame:
-    """(node, cell, band, room) of the chosen classes under the second order."""
+    """(node, cell, band, room, rim) of the chosen classes under the second order."""
 
     def emit(tokens: np.ndarray, offs: np.ndarray) -> list[pa.Array]:
-        band, at, room = _band(_ordered(tokens, offs, 1), offs, percent, share)
-        return [_lists(band, at), pa.array(room.astype(np.int32))]
+        return _band(_ordered(tokens, offs, 1), offs, percent, share)
 
-    found = _again(docs, chosen, width, doc_id, text, "band array<long>, room int", emit)
-    return found.join(chosen.select("node", "cell"), "node")
+    found = _again(docs, chosen, width, doc_id, text, _BAND, emit)
+    return found.join(checked_broadcast(chosen.select("node", "cell")), "node")
 
 
 def _member_tokens(docs: DataFrame, chosen: DataFrame, width: int, doc_id: str, text: str) -> DataFrame:
@@ -182,14 +198,24 @@ def _every(p: str) -> Column:
     return F.explode(F.sequence(F.lit(0), F.col(p) - 1))
 
 
+def _lists_of(prefix: DataFrame, members: DataFrame) -> DataFrame:
+    """(cell, token, node, n, core): the lists of the members' cells that hold a pair to be
+    compared; of lists with the same classes, in core and rim, one."""
+    rows = materialize(prefix.join(members, "node").select("cell", "token", "node", "n", "core"))
+    same = [F.bit_xor(F.xxhash64("node", "core")).alias("x"), F.sum(F.hash("node", "core").cast("long")).alias("y")]
+    found = rows.groupBy("cell", "token").agg(F.count(F.lit(1)).alias("k"), F.max("core").alias("any"), *same).where("k > 1 AND any")
+    return rows.join(found.groupBy("cell", "k", "x", "y").agg(F.min("token").alias("token")).select("cell", "token"), ["cell", "token"])
+
+
 def _hub_blocks(lists: DataFrame, percent: int) -> DataFrame:
-    """Blocks that hold every class of a list against the list's hub, its class of the
-    smallest hash.  A pair of several lists stands in one block, and a hub's partners are
-    dealt out over blocks, so this is linear in the lists' length."""
-    first = F.struct(F.xxhash64("node").alias("o"), "node", "n")
-    hubs = lists.groupBy("cell", "token").agg(F.min(first).alias("hub"), F.count(F.lit(1)).alias("k")).where("k > 1")
+    """Blocks that hold every class against one hub: of the hubs of its lists, each the
+    class of the smallest hash in the list's core, the one of the smallest hash.  A hub's
+    partners are dealt out over blocks, so every class is shipped once."""
+    first = F.when(F.col("core"), F.struct(F.xxhash64("node").alias("o"), "node", "n"))
+    hubs = lists.groupBy("cell", "token").agg(F.min(first).alias("hub"))
     met = lists.join(hubs, ["cell", "token"]).where((F.col("node") != F.col("hub.node")) & (F.least("n", "hub.n") * 100 >= F.greatest("n", "hub.n") * percent))
-    pairs = materialize(met.select("node", "n", F.col("hub.node").alias("hub"), F.col("hub.n").alias("hub_n")).distinct())
+    pairs = met.groupBy("node").agg(F.first("n").alias("n"), F.min(F.struct("hub.o", "hub.node")).alias("hub"))
+    pairs = materialize(pairs.select("node", "n", F.col("hub.node").alias("hub")))
     cut = pairs.groupBy("hub").agg(F.count(F.lit(1)).alias("k"), F.sum("n").alias("w")).select("hub", _n_parts("k", "w").alias("p"))
     label = F.col("node").alias("label")
     others = pairs.join(cut, "hub").select("node", label, F.col("hub").alias("u"), _part("p").alias("i"), F.lit(1).alias("side"))
@@ -201,36 +227,41 @@ def _hub_blocks(lists: DataFrame, percent: int) -> DataFrame:
 def _other_blocks(lists: DataFrame, members: DataFrame, percent: int) -> DataFrame:
     """Blocks for the pairs that the hubs left open.
 
-    A *unit* is a list or a whole cell, whichever makes less work for that cell.  Within
-    it only pairs of different labels (components so far) are open, so each class outside
-    the unit's largest label meets all of the unit, in parts of bounded size, and only
-    those of a like size.  ``lists``: cell, token, node; ``members``: cell, node, n, label.
+    A *unit* is a list or a whole cell, whichever ships fewer tokens for that cell.  In it
+    only pairs of different labels (components so far) are open of which one is in the
+    core.  So the classes outside its largest label, or those in its core, if these are
+    fewer, meet all of the unit, in parts of bounded size, and only those of a like size.
+    ``lists``: cell, token, node, core; ``members``: cell, node, n, label.
     """
-    some = lists.join(members, ["cell", "node"]).select("cell", F.col("token").alias("u"), "node", "n", "label")
+    some = lists.join(members, ["cell", "node"]).select("cell", F.col("token").alias("u"), "node", "n", "label", "core")
     # u is null where the unit is the cell
-    rows = materialize(some.unionByName(members.select("cell", F.lit(None).cast("long").alias("u"), "node", "n", "label")))
+    rows = materialize(some.unionByName(members.select("cell", F.lit(None).cast("long").alias("u"), "node", "n", "label", F.lit(True).alias("core"))))
     keys = ["cell", "u"]
-    same = lambda x, y, ks: [x[k].eqNullSafe(y[k]) for k in ks]
-    labels = rows.groupBy(*keys, "label").agg(F.count(F.lit(1)).alias("c"))
-    units = labels.groupBy(*keys).agg(F.sum("c").alias("m"), F.max(F.struct("c", "label")).alias("top"))
-    # of two, one is the hub
-    open_ = units.select(*keys, F.col("top.label").alias("top"), F.when(F.col("m") > 2, (F.col("m") - F.col("top.c")) * F.col("m").cast("double")).otherwise(0.0).alias("work"))
-    cost = open_.groupBy("cell").agg(F.sum(F.when(F.col("u").isNotNull(), F.col("work"))).alias("by_list"), F.sum(F.when(F.col("u").isNull(), F.col("work"))).alias("by_cell"))
-    chosen = open_.where("work > 0").join(cost, "cell").where(F.col("u").isNotNull() == (F.coalesce("by_list", F.lit(0.0)) < F.col("by_cell")))
-    chosen = chosen.select(F.col("cell").alias("cell_"), F.col("u").alias("u_"), "top")
-    size = F.floor(F.log(F.col("n").cast("double")) / F.lit(float(np.log(100 / min(percent, 99))))).cast("int")
-    picked = rows.join(chosen, (rows.cell == chosen["cell_"]) & rows.u.eqNullSafe(chosen["u_"])).select("cell", "u", "node", "n", "label", (F.col("label") != F.col("top")).alias("minor"), size.alias("c"))
-    picked = materialize(picked)
-    minor = picked.where("minor").withColumn("c", F.explode(F.array(F.col("c") - 1, F.col("c"), F.col("c") + 1)))
+    size = F.sum("n").alias("w")
+    labels = rows.groupBy(*keys, "label").agg(size, F.sum(F.when(F.col("core"), F.col("n"))).alias("core_w"))
+    units = labels.groupBy(*keys).agg(F.sum("w").alias("w"), F.coalesce(F.sum("core_w"), F.lit(0)).alias("core_w"), F.max(F.struct("w", "label")).alias("top"))
+    minor_w = F.col("w") - F.col("top.w")
+    by_core = F.col("core_w") < minor_w
+    left_w = F.least(F.col("core_w"), minor_w)
+    ships = F.when(minor_w > 0, left_w * F.ceil(F.col("w") / BLOCK_TOKENS) + F.col("w") * F.ceil(left_w / BLOCK_TOKENS)).otherwise(0)
+    open_ = units.select(*keys, F.col("top.label").alias("top"), by_core.alias("by_core"), ships.alias("ships"))
+    cost = open_.groupBy("cell").agg(*(F.coalesce(F.sum(F.when(c, F.col("ships"))), F.lit(0)).alias(x) for c, x in ((F.col("u").isNotNull(), "by_list"), (F.col("u").isNull(), "by_cell"))))
+    chosen = open_.where("ships > 0").join(cost, "cell").where(F.col("u").isNotNull() == (F.col("by_list") < F.col("by_cell")))
+    chosen = chosen.select(F.col("cell").alias("cell_"), F.col("u").alias("u_"), "top", "by_core")
+    # sets that can link are at most 1 apart on this scale; four steps are a size class
+    scale = F.log(F.col("n").cast("double")) / F.lit(float(np.log(100 / min(percent, 99))))
+    class_ = lambda step: F.floor((F.col("s") + step) / 4).cast("int")
+    left = F.when(F.col("by_core"), F.col("core")).otherwise(F.col("label") != F.col("top")).alias("left")
+    picked = materialize(rows.join(chosen, (rows.cell == chosen["cell_"]) & rows.u.eqNullSafe(chosen["u_"])).select("cell", "u", "node", "n", "label", left, scale.alias("s")).withColumn("c", class_(0.0)))
+    near = picked.where("left").withColumn("c", F.explode(F.array_distinct(F.array(class_(-1.001), class_(0.0), class_(1.001)))))
     unit = [*keys, "c"]
-    parts = lambda x, p: x.groupBy(*unit).agg(F.count(F.lit(1)).alias("k"), F.sum("n").alias("w")).select(*unit, _n_parts("k", "w").alias(p))
-    a, b = parts(minor, "p").alias("a"), parts(picked, "q").alias("b")
-    cut = materialize(a.join(b, [F.col(f"a.{k}").eqNullSafe(F.col(f"b.{k}")) for k in unit]).select(*(F.col(f"a.{k}").alias(k) for k in unit), "p", "q"))
-    named = cut.select(*(F.col(k).alias(f"_{k}") for k in unit), "p", "q")
-    meet = lambda x: x.join(named, [x[k].eqNullSafe(named[f"_{k}"]) for k in unit])
-    left = meet(minor).select("node", "label", F.lit(0).alias("side"), *unit, _part("p").alias("i"), _every("q").alias("j"))
-    right = meet(picked).select("node", "label", F.lit(1).alias("side"), *unit, _every("p").alias("i"), _part("q").alias("j"))
-    return left.union(right).select("node", "label", "side", F.col("cell").alias("u"), F.coalesce("u", F.lit(0)).alias("v"), "c", "i", "j")
+    parts = lambda x, p: x.groupBy(*unit).agg(F.count(F.lit(1)).alias("k"), size).select(*unit, _n_parts("k", "w").alias(p))
+    a, b = parts(near, "p").alias("a"), parts(picked, "q").alias("b")
+    cut = materialize(a.join(b, [F.col(f"a.{k}").eqNullSafe(F.col(f"b.{k}")) for k in unit]).select(*(F.col(f"a.{k}").alias(f"_{k}") for k in unit), "p", "q"))
+    meet = lambda x: x.join(cut, [x[k].eqNullSafe(cut[f"_{k}"]) for k in unit])
+    one = meet(near).select("node", "label", F.lit(0).alias("side"), *unit, _part("p").alias("i"), _every("q").alias("j"))
+    all_ = meet(picked).select("node", "label", F.lit(1).alias("side"), *unit, _every("p").alias("i"), _part("q").alias("j"))
+    return one.union(all_).select("node", "label", "side", F.col("cell").alias("u"), F.coalesce("u", F.lit(0)).alias("v"), "c", "i", "j")
 
 
 def forest(nodes: np.ndarray, sets: list[np.ndarray], side: np.ndarray | None, percent: int, labels: np.ndarray | None = None) -> list[tuple[int, int]]:
@@ -305,7 +336,7 @@ def _verify(blocks: DataFrame, tokens: DataFrame, percent: int, across: bool) ->
                 found = []
         yield _links(found + flush(held))
 
-    given = blocks.join(tokens, "node").repartition(*_KEYS).sortWithinPartitions(*_KEYS)
+    given = tokens.join(checked_broadcast(materialize(blocks)), "node").repartition(*_KEYS).sortWithinPartitions(*_KEYS)
     return bounded_batches(given).select("node", "label", "side", "tokens", *_KEYS).mapInArrow(run, "a long, b long")
 
 
@@ -325,11 +356,12 @@ def cell_links(members: DataFrame, prefix: DataFrame, tokens: DataFrame, percent
     large = materialize(x.where(~is_small).select("cell", "node", "n"))
     if large.isEmpty():
         return links
-    lists = materialize(prefix.join(large, "node").select("cell", "token", "node", "n"))
-    by_hub = materialize(_verify(_hub_blocks(lists, percent), tokens, percent, across=True))
+    lists = materialize(_lists_of(prefix, large))
+    own = materialize(tokens.join(checked_broadcast(large.select("node")), "node"))
+    by_hub = materialize(_verify(_hub_blocks(lists, percent), own, percent, across=True))
     found = components(by_hub)
     labelled = materialize(large.join(found, "node", "left").select("cell", "node", "n", F.coalesce("component", "node").alias("label")))
-    rest = _verify(_other_blocks(lists.select("cell", "token", "node"), labelled, percent), tokens, percent, across=True)
+    rest = _verify(_other_blocks(lists.select("cell", "token", "node", "core"), labelled, percent), own, percent, across=True)
     return links.union(by_hub).union(rest)
 
 
@@ -348,7 +380,7 @@ def jaccard_components(docs: DataFrame, width: int = 3, percent: int = 90, doc_i
     sets = materialize(shingle_table(docs, width, percent, share, doc_id, text))
     classes = materialize(classes_of(sets))
     keys = classes.select("sig", "sig2", "node", "h", "n")
-    prefix = materialize(shared_prefixes(classes.select("node", "band", "room"), []))
+    prefix = materialize(shared_prefixes(classes.select("node", "band", "room", "rim"), []))
     first = cells(prefix, [])
     chosen = materialize(keys.join(first.withColumnRenamed("component", "cell"), "node"))
     second = materialize(shared_prefixes(_second_bands(docs, chosen, width, percent, share, doc_id, text), ["cell"]))
