@@ -213,9 +213,14 @@ def multiplier_of(values: tuple[str, ...], preferences: tuple[tuple[str, str, fl
     return Decimal(held).quantize(Decimal("0.01"), ROUND_HALF_UP), held != float(Decimal(raw).quantize(Decimal("0.0001"), ROUND_HALF_UP))
 
 
+#: Stands for axis values that aren't among AXIS_VALUES.
+OTHER = "other"
+
+
 def multiplier_table(spark: SparkSession, preferences: tuple[tuple[str, str, float], ...]) -> DataFrame:
-    """All 180 combinations of axis values with their multiplier: a broadcast dimension."""
-    rows = [(*v, *multiplier_of(v, preferences)) for v in product(*(AXIS_VALUES[a] for a in AXES))]
+    """All combinations of axis values, and of ``OTHER`` for any further value, which weighs
+    1, with their multiplier: a broadcast dimension of a few hundred rows."""
+    rows = [(*v, *multiplier_of(v, preferences)) for v in product(*((*AXIS_VALUES[a], OTHER) for a in AXES))]
     return spark.createDataFrame(rows, ", ".join(f"{a} string" for a in AXES) + ", multiplier decimal(4,2), clamped boolean")
 
 

@@ -27,7 +27,9 @@ def running_total(df: DataFrame, value: Column, bucket: list[Column], order: lis
     ahead = Window.orderBy(*rank).rowsBetween(Window.unboundedPreceding, -1)
     offsets = totals.withColumn("_before", F.coalesce(F.sum("_t").over(ahead), F.lit(0))).drop("_t")
     inside = Window.partitionBy(*keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-    return x.withColumn("_in", F.sum("_v").over(inside)).join(offsets, keys).withColumn(name, F.col("_in") + F.col("_before")).drop(*keys, "_v", "_in", "_before")
+    offsets = offsets.select("_before", *(F.col(k).alias(f"_o{k}") for k in keys))
+    met = [x[k].eqNullSafe(F.col(f"_o{k}")) for k in keys]  # a null bucket is a bucket
+    return x.withColumn("_in", F.sum("_v").over(inside)).join(offsets, met).drop(*(f"_o{k}" for k in keys)).withColumn(name, F.col("_in") + F.col("_before")).drop(*keys, "_v", "_in", "_before")
 
 
 class Desc:
@@ -84,7 +86,7 @@ def record_poll(sources: DataFrame, outcomes: DataFrame, now: Column) -> DataFra
     """Source rows after polls (name, calls, ok, error): the quota rolls over at its reset,
     failures count up until a success."""
     o = outcomes.select("name", "calls", "ok", F.col("error").alias("_error"))
-    x = sources.join(F.broadcast(o), "name", "left")
+    x = sources.join(o, "name", "left")
     polled, over = F.col("calls").isNotNull(), now >= F.col("quota_reset_at")
     new = {
         "calls_today": F.when(over, F.lit(0)).otherwise(F.col("calls_today")) + F.col("calls"),
@@ -113,9 +115,13 @@ def latest_decision(events: DataFrame, key: str, value: str, order: list[str]) -
     return events.groupBy(key).agg(F.max_by(value, F.struct(*order)).alias(value))
 
 
+# What such errors say.
+ACCOUNT_LEVEL = r"(?i)credit balance is too low|insufficient[_ ]quota|billing|payment required|401|authentication_error|invalid x-api-key|permission_error|403"
+
+
 def account_level_failure(message: Column) -> Column:
     """Errors that no retry mends: the account's credentials or credit."""
-    return F.coalesce(message.rlike(r"(?i)credit balance is too low|insufficient[_ ]quota|billing|payment required|401|authentication_error|invalid x-api-key|permission_error|403"), F.lit(False))
+    return F.coalesce(message.rlike(ACCOUNT_LEVEL), F.lit(False))
 
 
 def leaked_json(reasoning: Column) -> Column:

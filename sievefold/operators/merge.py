@@ -8,13 +8,15 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .dedupe import first_wins
+
 
 def upsert(existing: DataFrame, incoming: DataFrame, key: str, keep: tuple[str, ...] = ()) -> DataFrame:
     """Existing rows replaced column by column by incoming ones of equal key, new keys
     added.  Columns in ``keep``, and those that ``incoming`` lacks, stay as they were.
-    ``incoming`` must hold a key once."""
-    old, new = existing.alias("o"), incoming.alias("n")
-    there = F.col(f"n.{key}").isNotNull()
+    ``incoming`` must hold a key once; its rows with a null key are added as they are."""
+    old, new = existing.withColumn("_is", F.lit(True)).alias("o"), incoming.withColumn("_is", F.lit(True)).alias("n")
+    known, there = F.col("o._is").isNotNull(), F.col("n._is").isNotNull()
     out = []
     for c in existing.columns:
         if c == key:
@@ -22,15 +24,15 @@ def upsert(existing: DataFrame, incoming: DataFrame, key: str, keep: tuple[str,
         elif c not in incoming.columns:
             out.append(F.col(f"o.{c}").alias(c))
         elif c in keep:
-            out.append(F.when(F.col(f"o.{key}").isNotNull(), F.col(f"o.{c}")).otherwise(F.col(f"n.{c}")).alias(c))
+            out.append(F.when(known, F.col(f"o.{c}")).otherwise(F.col(f"n.{c}")).alias(c))
         else:
             out.append(F.when(there, F.col(f"n.{c}")).otherwise(F.col(f"o.{c}")).alias(c))
     return old.join(new, F.col(f"o.{key}") == F.col(f"n.{key}"), "full").select(*out)
 
 
 def insert_absent(existing: DataFrame, new: DataFrame, key: list[str]) -> DataFrame:
-    """Insert that does nothing on conflict."""
-    fresh = new.dropDuplicates(key).join(existing.select(*key), key, "left_anti")
+    """Insert that does nothing on conflict; of new rows with equal keys the smallest stays."""
+    fresh = first_wins(new, key, [c for c in new.columns if c not in key] or key).join(existing.select(*key), key, "left_anti")
     return existing.unionByName(fresh.select(*existing.columns))
 
 
@@ -52,32 +54,37 @@ def compare_and_set(df: DataFrame, ids: DataFrame, key: str, column: str, expect
 
 
 class Snapshots:
-    """A table as numbered snapshot folders and a pointer file to the current one.
+    """A table as snapshot folders and numbered pointers; the highest number is current.
 
-    A snapshot is written whole before the pointer moves, so readers see the old or the
-    new table; repeating a batch id returns the snapshot it made before."""
+    A snapshot is written whole before its pointer appears, and pointers are only added, so
+    readers see the old or the new table at any moment.  A batch id that has a pointer is
+    not written again and changes nothing.  There must be one writer."""
 
     def __init__(self, spark: SparkSession, root: str):
         self.spark, self.root = spark, root.rstrip("/")
-        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
-        self._path = path
-        self._fs = path(self.root).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+        self._path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
+        self._fs = self._path(self.root).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+
+    def _pointers(self) -> list[str]:
+        """Names ``number.snapshot`` in order."""
+        where = self._path(f"{self.root}/_pointers")
+        return sorted(x.getPath().getName() for x in self._fs.listStatus(where)) if self._fs.exists(where) else []
 
     def current(self) -> str | None:
-        rows = self.spark.read.text(f"{self.root}/_current").collect() if self._fs.exists(self._path(f"{self.root}/_current")) else []
-        return rows[0][0] if rows else None
+        found = self._pointers()
+        return found[-1].split(".", 1)[1] if found else None
 
     def read(self) -> DataFrame:
         return self.spark.read.parquet(f"{self.root}/{self.current()}")
 
     def write(self, df: DataFrame, batch: str | None = None) -> str:
         name = f"snapshot-{batch if batch is not None else uuid.uuid4().hex}"
-        target = self._path(f"{self.root}/{name}/_SUCCESS")
-        if not self._fs.exists(target):
+        found = self._pointers()
+        if name in (x.split(".", 1)[1] for x in found):
+            return name
+        if not self._fs.exists(self._path(f"{self.root}/{name}/_SUCCESS")):
             df.write.mode("overwrite").parquet(f"{self.root}/{name}")
-        if self.current() != name:
-            fresh = f"{self.root}/_next-{uuid.uuid4().hex}"
-            self.spark.createDataFrame([(name,)], "v string").coalesce(1).write.text(fresh)
-            self._fs.delete(self._path(f"{self.root}/_current"), True)
-            self._fs.rename(self._path(fresh), self._path(f"{self.root}/_current"))
+        number = int(found[-1].split(".", 1)[0]) + 1 if found else 0
+        if not self._fs.mkdirs(self._path(f"{self.root}/_pointers/{number:012d}.{name}")):
+            raise OSError(f"no pointer to {name} could be made")
         return name

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..criteria import AXES, Criteria, multiplier_table
+from ..criteria import AXES, AXIS_VALUES, OTHER, Criteria, multiplier_table
 from ..functions import geo, signals
 from ..functions.keywords import hits
 from ..functions.text import listing_text, number_text
@@ -56,7 +56,7 @@ def prefilter(listings: DataFrame, criteria: Criteria, now: str) -> DataFrame:
     hint_commitment, hint_work_mode, hint_role_type).
 
     Reasons are collected in the order location, excludes, work rights, keywords, age,
-    duration.  The one join is to the 180 combinations of axis values.
+    duration.  The one join is to the combinations of axis values; a value of none weighs 1.
     """
     c, f = criteria, criteria.filter
     base = [x for x in listings.columns if x not in RESULT]
@@ -101,7 +101,8 @@ def prefilter(listings: DataFrame, criteria: Criteria, now: str) -> DataFrame:
     )
     x = x.withColumns({"reasons": _once(reasons), "matched_keywords": F.when(added, F.array_append("_included", term)).otherwise(F.col("_included"))})
     weights = F.broadcast(multiplier_table(listings.sparkSession, c.preferences))
-    x = x.join(weights, list(AXES), "left")
+    known = lambda a: F.when(x[a].isin(*AXIS_VALUES[a]), x[a]).otherwise(OTHER)
+    x = x.join(weights.select("multiplier", *(F.col(a).alias(f"_{a}") for a in AXES)), [known(a) == F.col(f"_{a}") for a in AXES], "left")
     return x.select(
         *base,
         F.when(F.size("reasons") == 0, "passed").otherwise("rejected").alias("status"),

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 from typing import Protocol
 
@@ -9,7 +10,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..operators.budget import leaked_json
+from ..operators.budget import ACCOUNT_LEVEL, leaked_json
 from ..operators.prefilter import fit_score
 from .matches import score_payload
 
@@ -32,7 +33,7 @@ def rule_scorer(batch: int, payloads: list[tuple[int, str]]) -> list[tuple[int,
     return out
 
 
-def with_retry(scorer: Scorer, attempts: int = 4, fatal: Callable[[str], bool] = lambda m: "401" in m or "403" in m) -> Scorer:
+def with_retry(scorer: Scorer, attempts: int = 4, fatal: Callable[[str], bool] = lambda m: re.search(ACCOUNT_LEVEL, m) is not None) -> Scorer:
     """Tries a batch again after errors and invalid results; account errors end at once."""
 
     def call(batch: int, payloads: list[tuple[int, str]]) -> list[tuple[int, int, str, str]]:

@@ -15,6 +15,7 @@ from .functions.urls import canonical_url, dedupe_hash
 from .operators import budget, careers
 from .operators.dedupe import first_wins, near_duplicates
 from .operators.merge import upsert
+from .operators.store import store
 from .operators.prefilter import fit_score, prefilter, reason_key
 from .plans import matches, report, scoring
 from .plans.ingest import ingest_summary, reprocess
@@ -97,13 +98,13 @@ def reason_tally(spark, sf_dir):
 
 
 def stored(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Judged listings as stored rows, with a coarse fingerprint and first sight."""
+    """Judged listings as stored rows, with their fingerprint and first sight."""
     x = judged(spark, sf_dir)
     first = F.col("posted_date") + F.make_interval(days=(F.col("id") % 7).cast("int"))
-    return x.withColumns({"content_fingerprint": F.sha2(F.concat_ws("|", "title", F.floor(F.col("id") / 40).cast("string")), 256), "first_seen_at": first, "location_suburb": F.col("suburb")})
+    return x.withColumns({"content_fingerprint": content_fingerprint("title", "company"), "first_seen_at": first, "location_suburb": F.col("suburb")})
 
 
-_STORED = "stored AS (SELECT *, sha256(title || '|' || (id // 40)) AS content_fingerprint, posted_date + to_days((id % 7)::INT) AS first_seen_at FROM pf)"
+_STORED = f"stored AS (SELECT *, {o.fingerprint('title', 'company')} AS content_fingerprint, posted_date + to_days((id % 7)::INT) AS first_seen_at FROM pf)"
 
 
 @query(lambda: "SELECT doc_id, sha256(text) AS h FROM documents QUALIFY row_number() OVER (PARTITION BY sha256(text) ORDER BY doc_id) = 1")
@@ -144,10 +145,10 @@ def upsert_merge(spark, sf_dir):
     return upsert(old, new, "id", keep=("status",))
 
 
-@query(lambda: "SELECT o_orderkey AS id, 'a' AS source FROM orders WHERE o_orderkey % 2 = 0 UNION ALL SELECT o_orderkey, 'b' FROM orders WHERE o_orderkey % 3 = 0")
+@query(lambda: "SELECT o_orderkey AS id, 'a' AS source FROM orders UNION ALL SELECT l_orderkey, 'b' FROM lineitem")
 def union_sources(spark, sf_dir):
-    ids = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("id"))
-    return ids.where("id % 2 = 0").withColumn("source", F.lit("a")).unionByName(ids.where("id % 3 = 0").withColumn("source", F.lit("b")))
+    a = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("id"), F.lit("a").alias("source"))
+    return boards.union_all(a, table(spark, sf_dir, "lineitem").select(F.lit("b").alias("source"), F.col("l_orderkey").alias("id")))
 
 
 @query(lambda: "SELECT o_orderkey AS id FROM orders WHERE NOT EXISTS (SELECT 1 FROM lineitem WHERE l_orderkey = o_orderkey AND l_quantity > 30)")
@@ -187,23 +188,28 @@ THRESHOLD = 70
 
 
 def match_rows(judged_: DataFrame) -> DataFrame:
-    """Matches of two thirds of the judged listings, with every status."""
+    """A match of every judged listing, with every status."""
     status = F.element_at(F.array(*map(F.lit, report.STATUSES)), (F.col("id") * 31 % 5 + 1).cast("int"))
-    return judged_.where("id % 3 <> 0").select(
+    return judged_.select(
         F.col("id").alias("match_id"), F.col("id").alias("listing_id"), "base_score", fit_score(F.col("base_score"), F.col("preference_multiplier")).alias("fit_score"),
         status.alias("match_status"), (F.col("posted_date") + F.make_interval(days=(F.col("id") % 11).cast("int"))).alias("updated_at"),
     )
 
 
-def both(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    x = judged(spark, sf_dir)
-    return match_rows(x), x.drop("base_score").withColumn("duplicate_of", F.when(F.col("id") % 10 == 7, F.col("id") - 7))
+#: Listings that have no match yet, where a query asks for such.
+_MATCHED = "id % 3 <> 0"
+
 
+def both(spark: SparkSession, sf_dir: str, matched: str = "true") -> tuple[DataFrame, DataFrame]:
+    """Matches of the listings for which ``matched`` holds, and all listings, judged once."""
+    x = store(judged(spark, sf_dir))
+    return match_rows(x.where(matched)), x.drop("base_score").withColumn("duplicate_of", F.when(F.col("id") % 10 == 7, F.col("id") - 7))
 
-def _matches_sql(select: str) -> Callable[[], str]:
+
+def _matches_sql(select: str, matched: str = "true") -> Callable[[], str]:
     return lambda: f"""WITH {o.located()}, {o.prefiltered(seed_criteria())},
 l AS (SELECT * EXCLUDE (base_score), CASE WHEN id % 10 = 7 THEN id - 7 END AS duplicate_of FROM pf),
-m AS (SELECT id AS match_id, id AS listing_id, base_score, {o.fit()} AS fit_score, ['new','notified','saved','applied','dismissed'][id * 31 % 5 + 1] AS match_status, posted_date + to_days((id % 11)::INT) AS updated_at FROM pf WHERE id % 3 <> 0),
+m AS (SELECT id AS match_id, id AS listing_id, base_score, {o.fit()} AS fit_score, ['new','notified','saved','applied','dismissed'][id * 31 % 5 + 1] AS match_status, posted_date + to_days((id % 11)::INT) AS updated_at FROM pf WHERE {matched}),
 j AS (SELECT m.*, l.* EXCLUDE (id) FROM m JOIN l ON m.listing_id = l.id) {select}"""
 
 
@@ -226,9 +232,9 @@ def match_status_counts(spark, sf_dir):
     return report.status_counts(match_rows(judged(spark, sf_dir)).withColumnRenamed("match_status", "status"))
 
 
-@query(_matches_sql("SELECT id, preference_multiplier FROM l WHERE status = 'passed' AND duplicate_of IS NULL AND NOT EXISTS (SELECT 1 FROM m WHERE listing_id = l.id)"))
+@query(_matches_sql("SELECT id, preference_multiplier FROM l WHERE status = 'passed' AND duplicate_of IS NULL AND NOT EXISTS (SELECT 1 FROM m WHERE listing_id = l.id)", _MATCHED))
 def work_queue(spark, sf_dir):
-    m, l = both(spark, sf_dir)
+    m, l = both(spark, sf_dir, _MATCHED)
     return matches.work_queue(l, m).select("id", "preference_multiplier")
 
 
@@ -238,9 +244,9 @@ _COST = "1500 + id % 7 * 100"
 @query(_matches_sql(f"""
 , q AS (SELECT id, {_COST} AS cost, row_number() OVER (ORDER BY preference_multiplier DESC, id) AS rn FROM l WHERE duplicate_of IS NULL AND keyword_match_source <> 'none' AND NOT EXISTS (SELECT 1 FROM m WHERE listing_id = l.id)),
 b AS (SELECT (rn - 1) // 8 AS batch, count(*) AS rows, sum(cost)::BIGINT AS cost FROM q GROUP BY 1),
-c AS (SELECT *, coalesce(sum(cost) OVER (ORDER BY batch ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS spent_before FROM b) SELECT * FROM c WHERE spent_before < 500000"""))
+c AS (SELECT *, coalesce(sum(cost) OVER (ORDER BY batch ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS spent_before FROM b) SELECT * FROM c WHERE spent_before < 500000""", _MATCHED))
 def budget_batches(spark, sf_dir):
-    m, l = both(spark, sf_dir)
+    m, l = both(spark, sf_dir, _MATCHED)
     todo = l.where("duplicate_of IS NULL AND keyword_match_source <> 'none'").join(m.select(F.col("listing_id").alias("id")), "id", "left_anti")
     return matches.score_batches(todo, F.expr(_COST), 500_000)
 
@@ -254,9 +260,9 @@ def notify_queue(spark, sf_dir):
 @query(_matches_sql(f"""SELECT (SELECT count(*) FROM l) AS listings_total, (SELECT count(*) FROM l WHERE status = 'passed') AS listings_passed, (SELECT count(*) FROM l WHERE duplicate_of IS NOT NULL) AS duplicates,
  (SELECT count(*) FROM m) AS scored, (SELECT count(*) FROM j WHERE fit_score >= {THRESHOLD} AND duplicate_of IS NULL) AS above_threshold,
  greatest(0, (SELECT count(*) FROM l WHERE status = 'passed' AND duplicate_of IS NULL) - (SELECT count(*) FROM j WHERE status = 'passed' AND duplicate_of IS NULL)) AS awaiting_score,
- """ + ", ".join(f"(SELECT count(*) FROM m WHERE match_status = '{s}') AS n_{s}" for s in report.STATUSES)))
+ """ + ", ".join(f"(SELECT count(*) FROM m WHERE match_status = '{s}') AS n_{s}" for s in report.STATUSES), _MATCHED))
 def pipeline_stats(spark, sf_dir):
-    m, l = both(spark, sf_dir)
+    m, l = both(spark, sf_dir, _MATCHED)
     return matches.pipeline_stats(l, m, THRESHOLD)
 
 
@@ -387,14 +393,15 @@ def html_to_text_pages(spark, sf_dir):
 
 
 def jsonld_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Pages that declare each first user turn as a posting, in one of three shapes."""
-    said = table(spark, sf_dir, "conversations").where("turn = 0").select(F.col("conv_id").alias("page_id"), F.substring("text", 1, 40).alias("t"))
-    post = F.to_json(F.struct(F.lit("JobPosting").alias("@type"), F.col("t").alias("title"), F.concat(F.lit("/jobs/"), F.col("page_id").cast("string")).alias("url")))
-    body = F.when(F.col("page_id") % 3 == 0, post).when(F.col("page_id") % 3 == 1, F.concat(F.lit('{"@graph":['), post, F.lit(","), post, F.lit("]}"))).otherwise(F.lit("{broken"))
+    """Pages that declare every turn of a conversation as a posting, in one of three shapes."""
+    key = F.concat_ws("-", F.col("conv_id").cast("string"), F.col("turn").cast("string"))
+    said = table(spark, sf_dir, "conversations").select("conv_id", key.alias("page_id"), F.col("text").alias("t"))
+    post = F.to_json(F.struct(F.lit("JobPosting").alias("@type"), F.col("t").alias("title"), F.concat(F.lit("/jobs/"), F.col("page_id")).alias("url")))
+    body = F.when(F.col("conv_id") % 3 == 0, post).when(F.col("conv_id") % 3 == 1, F.concat(F.lit('{"@graph":['), post, F.lit(","), post, F.lit("]}"))).otherwise(F.lit("{broken"))
     return said.select("page_id", F.concat(F.lit('<script type="application/ld+json">'), body, F.lit("</script>")).alias("html"), F.lit("https://careers.example.com/x").alias("url"))
 
 
-@query(lambda: "SELECT conv_id AS page_id, regexp_replace(substring(text, 1, 40), '^\\s+|\\s+$', '', 'g') AS title, 'https://careers.example.com/jobs/' || conv_id AS url FROM conversations WHERE turn = 0 AND conv_id % 3 <> 2")
+@query(lambda: "SELECT conv_id || '-' || turn AS page_id, regexp_replace(text, '^\\s+|\\s+$', '', 'g') AS title, 'https://careers.example.com/jobs/' || conv_id || '-' || turn AS url FROM conversations WHERE conv_id % 3 <> 2 AND regexp_matches(text, '\\S')")
 def jsonld_postings(spark, sf_dir):
     return careers.extract_postings(jsonld_pages(spark, sf_dir)).select("page_id", "title", "url")
 
@@ -402,6 +409,6 @@ def jsonld_postings(spark, sf_dir):
 @query()
 def scored_batches(spark, sf_dir):
     """The whole work queue scored by the stand-in scorer in batches of eight."""
-    m, l = both(spark, sf_dir)
+    m, l = both(spark, sf_dir, _MATCHED)
     batched = budget.in_batches(matches.work_queue(l, m), [budget.Desc(F.col("preference_multiplier")), F.floor(F.col("id") / 100_000)], [F.desc("preference_multiplier"), F.col("id")])
     return scoring.score(batched, scoring.rule_scorer).select("id", "batch", "ref", "base_score", "fit_score")
