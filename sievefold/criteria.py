@@ -230,6 +230,10 @@ def keyword_rows(spark: SparkSession, criteria: Criteria) -> DataFrame:
     return spark.createDataFrame(rows, schema)
 
 
+def preference_rows(spark: SparkSession, criteria: Criteria) -> DataFrame:
+    return spark.createDataFrame([(d, v, float(w), True) for d, v, w in criteria.preferences], "dimension string, value string, weight double, is_active boolean")
+
+
 def load_criteria(filters: DataFrame, keywords: DataFrame, preferences: DataFrame) -> Criteria:
     """The one active filter with its active keywords (in ``ordinal`` order) and preferences."""
     active = filters.where("is_active").limit(2).collect()

@@ -80,7 +80,7 @@ def decode_entities(c: Column) -> Column:
 
 
 def strip_html(c: Column) -> Column:
-    return collapse(F.regexp_replace(c, "<[^>]*>", " "))
+    return collapse(F.regexp_replace(c, "<[^>]+>", " "))
 
 
 def html_to_text(c: str | Column) -> Column:

@@ -83,6 +83,48 @@ def robots_pattern(path: str) -> str:
     return f"^{body}{'$' if anchored else ''}"
 
 
+RULES = "array<struct<size: int, allow: boolean, pattern: string>>"
+
+
+def robots_by_origin(fetched: DataFrame, agent: str) -> DataFrame:
+    """(origin, readable, rules) of robots files (origin, status, body), one a row.
+
+    Client errors mean no rules; server errors, and no status or body at all, mean that the
+    site may not be read.  One row an origin, so each file is parsed once."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            rows = []
+            for origin, body in zip(pdf["origin"], pdf["body"], strict=True):
+                rules = robots_rules(body, agent)[0] if isinstance(body, str) else []
+                rows.append((origin, [(len(p), a, robots_pattern(p)) for a, p in rules]))
+            yield pd.DataFrame(rows, columns=["origin", "rules"])
+
+    readable = F.coalesce((F.col("status") < 400) & F.col("body").isNotNull() | F.col("status").between(400, 499), F.lit(False))
+    kept = fetched.select("origin", readable.alias("readable"), F.when(F.col("status") < 400, F.col("body")).alias("body"))
+    parsed = kept.where("body IS NOT NULL").select("origin", "body").mapInPandas(run, f"origin string, rules {RULES}")
+    return kept.drop("body").join(parsed, "origin", "left")
+
+
+def read_verdict(pages: DataFrame, robots: DataFrame, url: str = "url") -> DataFrame:
+    """``pages`` with ``refusal``: why a page may not be read, null if it may.
+
+    Denied hosts come first, then the robots rules of the page's origin, of which the
+    longest that fits decides, Allow on ties.  An origin without a robots row is unread."""
+    origin = F.lower(F.regexp_extract(url, r"^([A-Za-z][A-Za-z0-9+.-]*://[^/?#]*)", 1))
+    path = F.regexp_extract(url, "://[^/?#]*([^?#]*)", 1)
+    x = pages.withColumns({"_blocked": blocked_reason(F.col(url)), "_path": F.when(path == "", "/").otherwise(path), "_origin": origin})
+    x = x.join(robots.select(F.col("origin").alias("_site"), F.col("readable").alias("_readable"), F.col("rules").alias("_rules")), F.col("_origin") == F.col("_site"), "left")
+    fits = F.filter(F.coalesce("_rules", F.array().cast(RULES)), lambda r: F.rlike(F.col("_path"), r["pattern"]))
+    allowed = F.coalesce(F.array_max(F.transform(fits, lambda r: F.struct(r["size"].alias("size"), r["allow"].alias("allow"))))["allow"], F.lit(True))
+    refusal = (
+        F.when(F.col("_blocked").isNotNull(), F.col("_blocked"))
+        .when(~F.coalesce("_readable", F.lit(False)), "robots.txt could not be read, so fetching is not permitted")
+        .when(~allowed, F.concat(F.lit("robots.txt disallows "), F.col("_path")))
+    )
+    return x.select(*pages.columns, refusal.alias("refusal"))
+
+
 def robots_allow(path: Column, rules: list[tuple[bool, str]]) -> Column:
     """The longest rule that matches decides, Allow on ties; without one, allowed."""
     best = F.lit(True)

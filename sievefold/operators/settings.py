@@ -6,7 +6,7 @@ which for keyword terms and weights are narrower or wider than the tables' own.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Row
 from pyspark.sql import functions as F
 
 from .budget import next_midnight
@@ -22,6 +22,24 @@ STATUSES = ("new", "notified", "saved", "applied", "dismissed")
 ERROR_LENGTH = 500
 
 
+def load_settings(settings: DataFrame) -> Row:
+    """The one row of settings; without it, nothing may be spent or sent."""
+    found = settings.where("id = 1").limit(1).collect()
+    return found[0] if found else Row(id=1, is_paused=False, notify_score_threshold=70, max_notifications_per_day=0, scoring_spend_today=0.0, max_scoring_spend_usd_per_day=0.0, max_scoring_spend_usd_per_cycle=0.0, scoring_spend_reset_at=None)
+
+
+def load_sources(sources: DataFrame) -> list[Row]:
+    """The boards' states by name: a handful of rows."""
+    return sources.orderBy("name").collect()
+
+
+def seed_keywords(keywords: DataFrame, filters: DataFrame, terms: DataFrame) -> DataFrame:
+    """Adds the terms (any columns of ``keywords`` but filter_id) to every active filter;
+    those that a filter has already stay as they are.  ``terms`` is a literal list."""
+    new = filters.where("is_active").select(F.col("id").alias("filter_id")).crossJoin(F.broadcast(terms))
+    return insert_absent(keywords, new, ["filter_id", "term", "kind"])
+
+
 def _checked(patch: dict, bounds: dict[str, tuple]) -> dict[str, Column]:
     out = {}
     for name, value in patch.items():

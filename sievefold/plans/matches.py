@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..operators.budget import BATCH, Desc, in_batches, running_total, within_budget
+from ..operators.settings import load_settings, sent_today
 
 RANKING = ("fit_score", "base_score")
 
@@ -87,6 +88,18 @@ def pipeline_stats(listings: DataFrame, matches: DataFrame, threshold: int) -> D
     return one.withColumn("awaiting_score", F.greatest(F.lit(0), F.col("_scorable") - F.col("_done"))).drop("_scorable", "_done")
 
 
+def full_stats(listings: DataFrame, matches: DataFrame, settings: DataFrame, log: DataFrame, now: str) -> DataFrame:
+    """``pipeline_stats`` under the stored threshold, with the day's spend and notifications."""
+    s, moment = load_settings(settings), F.lit(now).cast("timestamp")
+    spent = F.when(moment >= F.lit(s.scoring_spend_reset_at), F.lit(0.0)).otherwise(F.lit(float(s.scoring_spend_today)))
+    return pipeline_stats(listings, matches, s.notify_score_threshold).withColumns(
+        {
+            "threshold": F.lit(s.notify_score_threshold), "spent_today": spent, "spend_cap_per_day": F.lit(float(s.max_scoring_spend_usd_per_day)),
+            "notified_today": sent_today(log, moment).scalar(), "notify_cap_per_day": F.lit(s.max_notifications_per_day), "paused": F.lit(s.is_paused),
+        }
+    )
+
+
 def score_payload(batch: DataFrame) -> Column:
     """A listing as the scorer sees it: no id, its position in the batch as ``ref``."""
     return F.to_json(

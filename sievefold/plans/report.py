@@ -50,6 +50,30 @@ def rejection_breakdown(judged: DataFrame, sample: int | None = None, order: lis
     return rejected.select(F.explode_outer("reasons").alias("r")).where("r IS NOT NULL").groupBy(reason_key(F.col("r")).alias("reason")).agg(F.count(F.lit(1)).alias("n"))
 
 
+def rejected_total(judged: DataFrame) -> DataFrame:
+    return judged.agg(F.count_if(F.col("status") == "rejected").alias("total"))
+
+
+def top_by_multiplier(judged: DataFrame, n: int) -> DataFrame:
+    """The n passed listings with the highest multiplier."""
+    return judged.where("status = 'passed'").orderBy(F.desc("preference_multiplier"), "id").limit(n)
+
+
+def newest(listings: DataFrame, n: int) -> DataFrame:
+    """The n latest postings; those without a date come last."""
+    return listings.orderBy(F.desc_nulls_last("posted_date"), "id").limit(n)
+
+
+def preference_summary(preferences: DataFrame) -> DataFrame:
+    """(dimension, value, weight) of the preferences that weigh anything but 1."""
+    return preferences.where("is_active AND weight <> 1").select("dimension", "value", "weight")
+
+
+def loose_acronyms(keywords: DataFrame) -> DataFrame:
+    """Active initialisms that would match any case, so that IT would match "it"."""
+    return keywords.where(F.col("is_active") & F.col("term").rlike("^[A-Z0-9]{2,6}$") & ~F.col("case_sensitive"))
+
+
 def keyword_counts(keywords: DataFrame) -> DataFrame:
     return count_by(keywords.where("is_active"), "kind", F.col("kind"))
 

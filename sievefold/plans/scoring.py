@@ -7,10 +7,11 @@ from collections.abc import Callable
 from typing import Protocol
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..operators.budget import ACCOUNT_LEVEL, leaked_json
+from ..operators.merge import upsert
 from ..operators.prefilter import fit_score
 from .matches import score_payload
 
@@ -23,13 +24,15 @@ class Scorer(Protocol):
     def __call__(self, batch: int, payloads: list[tuple[int, str]]) -> list[tuple[int, int, str, str]]: ...
 
 
+POINTS = {"cyber": 30, "security": 20, "intern": 15, "support": 10, "data entry": 5}
+
+
 def rule_scorer(batch: int, payloads: list[tuple[int, str]]) -> list[tuple[int, int, str, str]]:
     """Deterministic stand-in: points for terms of the field."""
-    points = {"cyber": 30, "security": 20, "intern": 15, "support": 10, "data entry": 5}
     out = []
     for ref, text in payloads:
         low = text.lower()
-        out.append((ref, min(100, 20 + sum(p for t, p in points.items() if t in low)), "Rule based. Counts the field's terms.", "rules"))
+        out.append((ref, min(100, 20 + sum(p for t, p in POINTS.items() if t in low)), "Rule based. Counts the field's terms.", "rules"))
     return out
 
 
@@ -67,9 +70,18 @@ def score(batched: DataFrame, scorer: Scorer) -> DataFrame:
     return out.withColumn("fit_score", fit_score(F.col("base_score"), F.col("preference_multiplier")))
 
 
-def score_upsert_columns() -> tuple[str, ...]:
-    """What a re-score leaves as it is: the decision."""
-    return ("match_status", "created_at")
+#: What a re-score leaves as it is: the match's id and the decision.
+KEPT = ("match_id", "match_status", "created_at")
+
+
+def upsert_matches(matches: DataFrame, scored: DataFrame) -> DataFrame:
+    """The next matches: scored listings get new scores, and a first match is new."""
+    return upsert(matches, scored.withColumn("match_status", F.lit("new")), "listing_id", keep=KEPT)
+
+
+def run_costs(scored: DataFrame, cost: Column) -> DataFrame:
+    """(batch, n_scored, cost) of a run; its sum is what ``settings.record_spend`` adds."""
+    return scored.groupBy("batch").agg(F.count(F.lit(1)).alias("n_scored"), F.sum(cost).alias("cost"))
 
 
-__all__ = ["Scorer", "rule_scorer", "score", "score_upsert_columns", "with_retry"]
+__all__ = ["Scorer", "rule_scorer", "run_costs", "score", "upsert_matches", "with_retry"]

@@ -8,19 +8,20 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from . import oracles as o
-from .criteria import keyword_rows, seed_criteria, small_criteria
+from .criteria import keyword_rows, preference_rows, seed_criteria, small_criteria
 from .functions import geo, render, signals
 from .functions.text import content_fingerprint, html_to_text, listing_text
 from .functions.urls import canonical_url, dedupe_hash
-from .operators import budget, careers
-from .operators.dedupe import first_wins, near_duplicates
+from .operators import budget, careers, settings
+from .operators.dedupe import apply_marks, dedupe_summary, first_wins, near_duplicates
 from .operators.merge import upsert
 from .operators.store import store
 from .operators.prefilter import fit_score, prefilter, reason_key
 from .plans import matches, report, scoring
-from .plans.ingest import ingest_summary, reprocess
+from .plans.ingest import dry_run, ingest_summary, merge_listings, prepare, reevaluate, reprocess
+from .schemas import BOARD_A, BOARD_B
 from .sources import boards
-from .sources.listing_view import NOW, listings, spread, sql_text
+from .sources.listing_view import NOW, listings, listings_sql, spread, sql_text
 
 _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 _ORACLES: dict[str, Callable[[], str]] = {}
@@ -137,6 +138,28 @@ def near_duplicate_listings(spark, sf_dir):
     return near_duplicates(stored(spark, sf_dir))
 
 
+@query(lambda: f"SELECT count(*) AS examined, count(duplicate_of) AS duplicates, count(*) FILTER (duplicate_of IS DISTINCT FROM CASE WHEN id % 10 = 7 THEN id - 7 END) AS changed FROM ({_near_sql()})")
+def dedupe_counters(spark, sf_dir):
+    x = store(stored(spark, sf_dir)).withColumn("duplicate_of", F.when(F.col("id") % 10 == 7, F.col("id") - 7))
+    return dedupe_summary(apply_marks(x, near_duplicates(x)))
+
+
+EARLIER = "2001-07-01 00:00:00"
+
+
+@query(_pf(f""", d AS (SELECT *, sha256({o.canonical('url')}) AS dedupe_hash FROM pf),
+old AS (SELECT * FROM d WHERE source = 'board_a' QUALIFY row_number() OVER (PARTITION BY dedupe_hash ORDER BY id) = 1),
+new AS (SELECT * FROM d QUALIFY row_number() OVER (PARTITION BY dedupe_hash ORDER BY id DESC) = 1)
+SELECT dedupe_hash, coalesce(old.id, new.id) AS id, coalesce(new.title, old.title) AS title, coalesce(new.status, old.status) AS prefilter_status, CASE WHEN old.id IS NULL THEN '{NOW}' ELSE '{EARLIER}' END AS first_seen, CASE WHEN new.id IS NULL THEN '{EARLIER}' ELSE '{NOW}' END AS last_seen FROM old FULL JOIN new USING (dedupe_hash)"""))
+def ingest_merge(spark, sf_dir):
+    """A cycle over both boards merged into what an earlier one had stored of the first."""
+    x = listings(spark, sf_dir)
+    before = prepare(x.where("source = 'board_a'"), seed_criteria(), EARLIER, ["id"])
+    after = merge_listings(before, prepare(x, seed_criteria(), NOW, [F.desc("id")]))
+    shown = lambda c: F.date_format(c, "yyyy-MM-dd HH:mm:ss")
+    return after.select("dedupe_hash", "id", "title", "prefilter_status", shown("first_seen_at").alias("first_seen"), shown("last_seen_at").alias("last_seen"))
+
+
 @query(lambda: "WITH n AS (SELECT o_orderkey AS id, o_totalprice AS price, 'new' AS status FROM orders WHERE o_orderkey % 3 = 0 OR o_orderkey % 2 = 1), e AS (SELECT o_orderkey AS id, 1.0::DOUBLE AS price, 'old' AS status FROM orders WHERE o_orderkey % 2 = 0) SELECT coalesce(e.id, n.id) AS id, CASE WHEN n.id IS NOT NULL THEN n.price ELSE e.price END AS price, CASE WHEN e.id IS NOT NULL THEN e.status ELSE n.status END AS status FROM e FULL JOIN n ON e.id = n.id")
 def upsert_merge(spark, sf_dir):
     orders = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("id"), F.col("o_totalprice").alias("price"))
@@ -167,6 +190,25 @@ def reprocess_flips(spark, sf_dir):
     return reprocess(listings(spark, sf_dir), seed_criteria(), small_criteria().with_filter(radius_km=70, max_listing_age_days=3000), NOW)
 
 
+_VERDICT = lambda t: f"({t}.status, {t}.reasons, {t}.matched_keywords, {t}.preference_multiplier)"
+
+
+@query(lambda: _flips_sql().split("\nSELECT ")[0] + f"\nSELECT id, pb.status AS status, {_VERDICT('pa')} IS DISTINCT FROM {_VERDICT('pb')} AS changed FROM pa JOIN pb USING (id)")
+def reprocess_changes(spark, sf_dir):
+    edited = small_criteria().with_filter(radius_km=70, max_listing_age_days=3000)
+    return reevaluate(store(judged(spark, sf_dir)), edited, NOW).select("id", "status", "changed")
+
+
+@query(_pf("SELECT id, status, preference_multiplier, row_number() OVER (ORDER BY status <> 'passed', preference_multiplier DESC, id) AS position FROM pf"))
+def demo_order(spark, sf_dir):
+    return dry_run(store(judged(spark, sf_dir))).select("id", "status", "preference_multiplier", "position")
+
+
+@query(_pf("SELECT id, preference_multiplier FROM pf WHERE status = 'passed' ORDER BY preference_multiplier DESC, id LIMIT 20"))
+def top_by_multiplier(spark, sf_dir):
+    return report.top_by_multiplier(judged(spark, sf_dir), 20).select("id", "preference_multiplier")
+
+
 @query(_pf("SELECT keyword_match_source AS source, count(*) AS n FROM pf WHERE status = 'passed' GROUP BY 1"))
 def match_source_tally(spark, sf_dir):
     return judged(spark, sf_dir).where("status = 'passed'").groupBy(F.col("keyword_match_source").alias("source")).agg(F.count(F.lit(1)).alias("n"))
@@ -257,19 +299,46 @@ def notify_queue(spark, sf_dir):
     return matches.notify_queue(m, l, THRESHOLD, sent_today=12, cap=25).select("match_id", "fit_score", "rank", "send")
 
 
+STATS_NOW = "2024-01-30 12:00:00"
+_SETTINGS = "id int, is_paused boolean, notify_score_threshold int, max_notifications_per_day int, max_scoring_spend_usd_per_day double, scoring_spend_today double, scoring_spend_reset_at timestamp"
+
+
 @query(_matches_sql(f"""SELECT (SELECT count(*) FROM l) AS listings_total, (SELECT count(*) FROM l WHERE status = 'passed') AS listings_passed, (SELECT count(*) FROM l WHERE duplicate_of IS NOT NULL) AS duplicates,
  (SELECT count(*) FROM m) AS scored, (SELECT count(*) FROM j WHERE fit_score >= {THRESHOLD} AND duplicate_of IS NULL) AS above_threshold,
  greatest(0, (SELECT count(*) FROM l WHERE status = 'passed' AND duplicate_of IS NULL) - (SELECT count(*) FROM j WHERE status = 'passed' AND duplicate_of IS NULL)) AS awaiting_score,
+ {THRESHOLD} AS threshold, 1.25::DOUBLE AS spent_today, 2.0::DOUBLE AS spend_cap_per_day, (SELECT count(*) FROM events WHERE event_type <> 'error' AND ts >= '2024-01-30') AS notified_today, 25 AS notify_cap_per_day, false AS paused,
  """ + ", ".join(f"(SELECT count(*) FROM m WHERE match_status = '{s}') AS n_{s}" for s in report.STATUSES), _MATCHED))
 def pipeline_stats(spark, sf_dir):
     m, l = both(spark, sf_dir, _MATCHED)
-    return matches.pipeline_stats(l, m, THRESHOLD)
+    row = spark.createDataFrame([(1, False, THRESHOLD, 25, 2.0, 1.25, None)], _SETTINGS).withColumn("scoring_spend_reset_at", F.lit("2024-01-31").cast("timestamp"))
+    log = table(spark, sf_dir, "events").select(F.when(F.col("event_type") == "error", "failed").otherwise("sent").alias("status"), F.col("ts").alias("sent_at"))
+    return matches.full_stats(l, m, row, log, STATS_NOW)
+
 
+_PAGE = "match_status IN ('new', 'notified') AND fit_score >= 20 AND (title ILIKE '%cyber%' OR company ILIKE '%cyber%')"
 
-@query(_matches_sql(f"SELECT match_id, fit_score, title FROM j WHERE match_status IN ('new', 'notified') AND fit_score >= 20 AND (title ILIKE '%cyber%' OR company ILIKE '%cyber%') ORDER BY {_RANK} LIMIT 10 OFFSET 10"))
+
+@query(_matches_sql(f"SELECT match_id, fit_score, title, (SELECT count(*) FROM j WHERE {_PAGE}) AS total FROM j WHERE {_PAGE} ORDER BY {_RANK} LIMIT 10 OFFSET 10"))
 def match_list_page(spark, sf_dir):
     m, l = both(spark, sf_dir)
-    return matches.match_page(m, l, min_score=20, search="(cyber)", page=2, per_page=10)[0].select("match_id", "fit_score", "title")
+    page, total = matches.match_page(m, l, min_score=20, search="(cyber)", page=2, per_page=10)
+    return page.select("match_id", "fit_score", "title").withColumn("total", total.scalar())
+
+
+@query(_matches_sql("SELECT match_id, fit_score, (SELECT count(*) FROM j WHERE match_status = 'saved') AS total FROM j WHERE match_status = 'saved' ORDER BY updated_at DESC, match_id LIMIT 10"))
+def saved_matches(spark, sf_dir):
+    m, l = both(spark, sf_dir)
+    total = m.agg(F.count_if(F.col("match_status") == "saved").alias("total"))
+    return matches.latest_decisions(m, l, ("saved",), 10).select("match_id", "fit_score").withColumn("total", total.scalar())
+
+
+@query(_matches_sql(f"SELECT coalesce(m.match_id, pf.id + 1000000000) AS match_id, pf.id AS listing_id, 100 - pf.base_score AS base_score, {o.fit('(100 - pf.base_score)', 'pf.preference_multiplier')} AS fit_score, coalesce(m.match_status, 'new') AS match_status FROM pf LEFT JOIN m ON m.listing_id = pf.id", _MATCHED))
+def match_upsert(spark, sf_dir):
+    """Every listing scored again: decisions on earlier matches stay, first matches are new."""
+    m, l = both(spark, sf_dir, _MATCHED)
+    old = F.col("id") * 37 % 101  # the view's score
+    again = match_rows(l.withColumn("base_score", (100 - old).cast("int"))).withColumn("match_id", F.col("listing_id") + 1_000_000_000)
+    return scoring.upsert_matches(m, again).select("match_id", "listing_id", "base_score", "fit_score", "match_status")
 
 
 @query(_matches_sql("SELECT match_id, match_status, updated_at FROM j WHERE match_status IN ('saved', 'applied', 'dismissed') ORDER BY updated_at DESC, match_id LIMIT 20"))
@@ -289,6 +358,17 @@ def rejection_sample(spark, sf_dir):
     return report.rejection_breakdown(judged(spark, sf_dir), 1000, [F.desc("posted_date"), F.col("id")])
 
 
+@query(_pf("SELECT trim(split_part(r, ':', 1)) AS reason, count(*) AS n, (SELECT count(*) FROM pf WHERE status = 'rejected') AS total FROM (SELECT unnest(reasons) AS r FROM pf WHERE status = 'rejected') GROUP BY 1"))
+def rejection_breakdown(spark, sf_dir):
+    x = store(judged(spark, sf_dir))
+    return report.rejection_breakdown(x).withColumn("total", report.rejected_total(x).scalar())
+
+
+@query(_matches_sql("SELECT count(*) FILTER (fit_score >= 70) AS notifiable FROM m"))
+def notifiable(spark, sf_dir):
+    return report.notifiable_buckets(report.score_histogram(match_rows(judged(spark, sf_dir))))
+
+
 @query(_matches_sql("""SELECT match_id, CASE WHEN floor(base_score * preference_multiplier::DOUBLE + 0.5) > 100 THEN base_score || ' resume match × ' || preference_multiplier || ' preference = ' || floor(base_score * preference_multiplier::DOUBLE + 0.5)::BIGINT || ', capped at 100' ELSE base_score || ' resume match × ' || preference_multiplier || ' preference' END AS explanation,
  array_to_string(list_filter([CASE WHEN suburb <> '' THEN suburb END, floor(distance_km + 0.5)::BIGINT || ' km away'], lambda x: x IS NOT NULL), ' · ') AS place,
  array_to_string(list_filter([CASE WHEN compensation <> 'unknown' THEN compensation END, CASE work_mode WHEN 'unknown' THEN NULL WHEN 'onsite' THEN 'on-site' ELSE work_mode END,
@@ -306,6 +386,65 @@ def card_lines(spark, sf_dir):
 
 # --- sources, state, pages -----------------------------------------------------------
 
+_BROKEN, _NO_URL, _NO_TITLE, _NO_DATE = "id % 17 = 0", "id % 13 = 1", "id % 11 = 2", "id % 19 = 3"
+_SALARIES = ("$35 - $45 an hour", "$90,000.50", "", "negotiable", None)
+_TYPES = ("Part-time", "Casual work", "Temporary", "Full-time", "Other", None)
+
+
+def _picked(values: tuple) -> str:
+    cases = " ".join(f"WHEN {i} THEN {sql_text(v)}" for i, v in enumerate(values))
+    return f"CASE id % {len(values)} {cases} END"
+
+
+def payloads(spark: SparkSession, sf_dir: str, board: str) -> DataFrame:
+    """A board's listings as the payloads it would send, some of them broken or incomplete."""
+    x = listings(spark, sf_dir).where(F.col("source") == board)
+    at = F.date_format("posted_date", "yyyy-MM-dd'T'HH:mm:ss")
+    url, title = F.when(~F.expr(_NO_URL), F.col("url")), F.when(~F.expr(_NO_TITLE), F.col("title")).otherwise("")
+    if board == "board_a":
+        job = F.struct(
+            F.col("source_id").alias("id"), F.concat(at, F.lit("Z")).alias("created"), F.when(title != "", F.concat(title, F.lit(" &amp; more&nbsp;&nbsp;&lt;x&gt; "))).otherwise(title).alias("title"),
+            F.concat("description", F.lit(" &quot;as  is&quot; &#39;now&#39;")).alias("description"), url.alias("redirect_url"), F.struct(F.col("company").alias("display_name")).alias("company"),
+            F.struct(F.when(F.col("id") % 7 < 4, F.col("location_raw")).alias("display_name"), F.array(F.lit("Australia"), F.col("location_raw")).alias("area")).alias("location"),
+            "latitude", "longitude", "salary_min", F.when(F.col("salary_is_predicted"), "1").otherwise("0").alias("salary_is_predicted"), F.col("hint_commitment").alias("contract_time"),
+        )
+        body = F.struct(F.lit(1).alias("count"), F.array(job).alias("results"))
+    else:
+        job = F.struct(
+            F.col("source_id").alias("id"), F.when(title != "", F.concat(F.lit("<b>"), title, F.lit("</b><br/> <>"))).otherwise(title).alias("title"), F.col("location_raw").alias("location"),
+            F.concat(F.lit("<p class='x'>"), F.col("description"), F.lit("</p>\n\tok ")).alias("snippet"), F.expr(_picked(_SALARIES)).alias("salary"), F.expr(_picked(_TYPES)).alias("type"),
+            url.alias("link"), F.concat(F.lit("  "), F.col("company"), F.lit(" ")).alias("company"), F.when(F.expr(_NO_DATE), "soon").otherwise(F.concat(at, F.lit(".1234567"))).alias("updated"),
+        )
+        body = F.struct(F.lit(1).alias("totalCount"), F.array(job).alias("jobs"))
+    return x.select(F.when(F.expr(_BROKEN), '{"count": 1, "results": [{"id": ').otherwise(F.to_json(body)).alias("body"), F.col("provider_matched_term").alias("term"))
+
+
+def _board_sql(select: str, board: str) -> Callable[[], str]:
+    return lambda: f"WITH base AS (SELECT * FROM ({listings_sql()}) WHERE source = '{board}'), b AS (SELECT * FROM base WHERE NOT ({_BROKEN}) AND NOT ({_NO_URL}) AND NOT ({_NO_TITLE})) {select}"
+
+
+@query(_board_sql("""SELECT source_id, url, regexp_replace(title || ' & more  <x>', '[ \\t]{2,}', ' ', 'g') AS title, company, regexp_replace(description, '[ \\t]{2,}', ' ', 'g') || ' "as is" ' || chr(39) || 'now' || chr(39) AS description, location_raw, latitude, longitude, salary_min, salary_is_predicted,
+ epoch(posted_date)::BIGINT AS posted, hint_commitment, provider_matched_term FROM b""", "board_a"))
+def board_a_listings(spark, sf_dir):
+    x = boards.board_a(boards.parse_payload(payloads(spark, sf_dir, "board_a"), "body", BOARD_A), F.col("term"))
+    return x.select("source_id", "url", "title", "company", "description", "location_raw", "latitude", "longitude", "salary_min", "salary_is_predicted", F.unix_seconds("posted_date").alias("posted"), "hint_commitment", "provider_matched_term")
+
+
+_POSTED_B = f"CASE WHEN NOT ({_NO_DATE}) THEN strftime(posted_date, '%Y-%m-%d %H:%M:%S') END"
+
+
+@query(_board_sql(f"""SELECT source_id, url, regexp_replace(title, '\\s+', ' ', 'g') || ' <>' AS title, company, regexp_replace(description, '\\s+', ' ', 'g') || ' ok' AS description, location_raw,
+ CASE id % 5 WHEN 0 THEN 35.0 WHEN 1 THEN 90000.5 END::DOUBLE AS salary_min, {_POSTED_B} AS posted, CASE id % 6 WHEN 0 THEN 'part_time' WHEN 1 THEN 'casual' WHEN 2 THEN 'contract' WHEN 3 THEN 'full_time' END AS hint_commitment FROM b""", "board_b"))
+def board_b_listings(spark, sf_dir):
+    x = boards.board_b(boards.parse_payload(payloads(spark, sf_dir, "board_b"), "body", BOARD_B), F.col("term"))
+    return x.select("source_id", "url", "title", "company", "description", "location_raw", "salary_min", F.date_format("posted_date", "yyyy-MM-dd HH:mm:ss").alias("posted"), "hint_commitment")
+
+
+@query(_board_sql(f"SELECT id, {_POSTED_B} AS posted FROM b ORDER BY posted DESC NULLS LAST, id LIMIT 50", "board_b"))
+def newest_listings(spark, sf_dir):
+    x = boards.board_b(boards.parse_payload(payloads(spark, sf_dir, "board_b"), "body", BOARD_B)).withColumn("id", F.col("source_id").cast("long"))
+    return report.newest(x, 50).select("id", F.date_format("posted_date", "yyyy-MM-dd HH:mm:ss").alias("posted"))
+
 
 @query(lambda: "SELECT user_id, arg_max(event_type, {'ts': ts, 'id': event_id}) AS event_type FROM events GROUP BY user_id")
 def latest_decision(spark, sf_dir):
@@ -351,6 +490,25 @@ def filter_summary(spark, sf_dir):
     return report.keyword_counts(keyword_rows(spark, seed_criteria()))
 
 
+@query(lambda: "SELECT * FROM (VALUES " + ", ".join(f"('{d}', '{v}', {w}::DOUBLE)" for d, v, w in seed_criteria().preferences) + ") v(dimension, value, weight) WHERE weight <> 1")
+def preference_weights(spark, sf_dir):
+    return report.preference_summary(preference_rows(spark, seed_criteria()))
+
+
+def _seed_sql() -> str:
+    first = sql_text(seed_criteria().of("include")[0].term)
+    return f"""SELECT n_nationkey AS filter_id, {first} AS term, 'include' AS kind, 1.5::DECIMAL(4,2) AS weight FROM nation
+UNION ALL SELECT n_nationkey, term, kind, weight FROM nation CROSS JOIN (VALUES {_plan_rows()}) v(i, term, kind, weight) WHERE n_regionkey = 1 AND NOT (term = {first} AND kind = 'include')"""
+
+
+@query(_seed_sql)
+def keyword_seed(spark, sf_dir):
+    """The seed's terms for every active filter, of which each has one term already."""
+    filters = table(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("id"), (F.col("n_regionkey") == 1).alias("is_active"))
+    have = filters.select(F.col("id").alias("filter_id"), F.lit(seed_criteria().of("include")[0].term).alias("term"), F.lit("include").alias("kind"), F.lit("1.5").cast("decimal(4,2)").alias("weight"))
+    return settings.seed_keywords(have, filters, keyword_rows(spark, seed_criteria()).select("term", "kind", "weight"))
+
+
 @query(lambda: "SELECT 'orders' AS name, count(*) AS rows, count(*) >= 1 AS ok FROM orders UNION ALL SELECT 'pages', count(*), count(*) >= 1000000000 FROM pages")
 def health_check(spark, sf_dir):
     return report.health([("orders", table(spark, sf_dir, "orders"), 1), ("pages", table(spark, sf_dir, "pages"), 1_000_000_000)])
@@ -375,6 +533,22 @@ def robots_allow(spark, sf_dir):
     return table(spark, sf_dir, "pages").select("page_id", careers.robots_allow(path, rules).alias("allowed"))
 
 
+_SITE = "^([A-Za-z][A-Za-z0-9+.-]*://[^/?#]*)"
+
+
+@query(lambda: f"""SELECT page_id, CASE WHEN n % 4 > 1 THEN 'robots.txt could not be read, so fetching is not permitted' WHEN n % 4 = 0 AND NOT allowed THEN 'robots.txt disallows ' || p END AS refusal
+ FROM (SELECT page_id, n, p, CASE WHEN regexp_matches(p, '^/.*\\.html$') THEN false WHEN starts_with(p, '/en/1') THEN true WHEN starts_with(p, '/en/') THEN false ELSE true END AS allowed
+ FROM (SELECT page_id, length(regexp_extract(url, '{_SITE}', 1)) AS n, coalesce(nullif(regexp_extract(url, '://[^/?#]*([^?#]*)', 1), ''), '/') AS p FROM pages))""")
+def page_refusals(spark, sf_dir):
+    """Robots files of all origins: read, missing, failing or never answered by the length
+    of the origin's name."""
+    pages = table(spark, sf_dir, "pages").select("page_id", "url")
+    n = F.length("origin") % 4
+    found = pages.select(F.lower(F.regexp_extract("url", _SITE, 1)).alias("origin")).distinct().where(n < 3)
+    found = found.select("origin", F.when(n == 0, 200).when(n == 1, 404).otherwise(503).alias("status"), F.lit(_ROBOTS).alias("body"))
+    return careers.read_verdict(pages, careers.robots_by_origin(found, "sievefold")).select("page_id", "refusal")
+
+
 def _html_sql() -> str:
     x = "html"
     decode = lambda x: f"replace(replace(replace(replace(replace(replace({x}, '&amp;', '&'), '&lt;', '<'), '&gt;', '>'), '&quot;', '\"'), '&#39;', ''''), '&nbsp;', ' ')"
@@ -406,7 +580,12 @@ def jsonld_postings(spark, sf_dir):
     return careers.extract_postings(jsonld_pages(spark, sf_dir)).select("page_id", "title", "url")
 
 
-@query()
+_POINTS = " + ".join(f"CASE WHEN contains(seen, '{t}') THEN {p} ELSE 0 END" for t, p in scoring.POINTS.items())
+
+
+@query(_matches_sql(f"""
+, q AS (SELECT *, row_number() OVER (ORDER BY preference_multiplier DESC, id) - 1 AS k, lower(concat_ws(chr(10), title, company, suburb, compensation, work_mode, commitment, role_type, description)) AS seen FROM l WHERE status = 'passed' AND duplicate_of IS NULL AND NOT EXISTS (SELECT 1 FROM m WHERE listing_id = l.id)),
+s AS (SELECT *, least(100, 20 + {_POINTS})::INT AS base_score FROM q) SELECT id, k // 8 AS batch, (k % 8 + 1)::INT AS ref, base_score, {o.fit()} AS fit_score FROM s""", _MATCHED))
 def scored_batches(spark, sf_dir):
     """The whole work queue scored by the stand-in scorer in batches of eight."""
     m, l = both(spark, sf_dir, _MATCHED)
