@@ -416,7 +416,9 @@ def payloads(spark: SparkSession, sf_dir: str, board: str) -> DataFrame:
             url.alias("link"), F.concat(F.lit("  "), F.col("company"), F.lit(" ")).alias("company"), F.when(F.expr(_NO_DATE), "soon").otherwise(F.concat(at, F.lit(".1234567"))).alias("updated"),
         )
         body = F.struct(F.lit(1).alias("totalCount"), F.array(job).alias("jobs"))
-    return x.select(F.when(F.expr(_BROKEN), '{"count": 1, "results": [{"id": ').otherwise(F.to_json(body)).alias("body"), F.col("provider_matched_term").alias("term"))
+    sent = F.when(F.expr(_BROKEN), '{"count": 1, "results": [{"id": ').otherwise(F.to_json(body))
+    # stored as received texts are: inlined, the texts' making would be part of every inferred filter
+    return store(x.select(sent.alias("body"), F.col("provider_matched_term").alias("term")))
 
 
 def _board_sql(select: str, board: str) -> Callable[[], str]:
@@ -509,9 +511,11 @@ def keyword_seed(spark, sf_dir):
     return settings.seed_keywords(have, filters, keyword_rows(spark, seed_criteria()).select("term", "kind", "weight"))
 
 
-@query(lambda: "SELECT 'orders' AS name, count(*) AS rows, count(*) >= 1 AS ok FROM orders UNION ALL SELECT 'pages', count(*), count(*) >= 1000000000 FROM pages")
+@query(lambda: "SELECT 'orders' AS name, count(*) AS rows, count(*) >= 1 AS ok FROM orders UNION ALL SELECT 'pages', count(*), count(*) >= 1000000000 FROM pages UNION ALL SELECT 'acronyms match their case', count(*), count(*) = 0 FROM (VALUES " + ", ".join(f"({sql_text(k.term)}, {k.case_sensitive})" for k in seed_criteria().keywords) + ") v(term, case_sensitive) WHERE regexp_full_match(term, '[A-Z0-9]{2,6}') AND NOT case_sensitive")
 def health_check(spark, sf_dir):
-    return report.health([("orders", table(spark, sf_dir, "orders"), 1), ("pages", table(spark, sf_dir, "pages"), 1_000_000_000)])
+    rows = report.health([("orders", table(spark, sf_dir, "orders"), 1), ("pages", table(spark, sf_dir, "pages"), 1_000_000_000)])
+    loose = report.loose_acronyms(keyword_rows(spark, seed_criteria())).agg(F.count(F.lit(1)).alias("rows"))
+    return rows.unionByName(loose.select(F.lit("acronyms match their case").alias("name"), "rows", (F.col("rows") == 0).alias("ok")))
 
 
 _DENY = ("casino-win.example.net", "example.org")
