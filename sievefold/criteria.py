@@ -65,74 +65,152 @@ class Criteria:
 
 
 # The seeded criteria, in their natural order.
-_INCLUDE = """
-IT|1.00|word
-Information Technology|1.10
-Data Entry|1.00
-Cyber Security|1.50
-Cybersecurity|1.50
-Information Security|1.40
-InfoSec|1.30
-Network Security|1.30
-Blue Team|1.50
-SOC Analyst|1.50
-Security Operations|1.40
-Incident Response|1.35
-Threat Intelligence|1.30
-Digital Forensics|1.30
-SIEM|1.30|word
-Splunk|1.20|word
-Security Analyst|1.40
-Penetration Testing|1.20
-GRC|1.15|word
-Identity and Access|1.15
-Help Desk|1.20
-Helpdesk|1.20
-Service Desk|1.20
-IT Support|1.30
-Desktop Support|1.20
-Technical Support|1.10
-Systems Administrator|1.10
-Network Administrator|1.10
-Internship|1.25
-Intern|1.15|word
-Trainee|1.10
-Cadet|1.10
-Work Experience|1.10
-Vulnerability Management|1.20
-Vulnerability Assessment|1.20
-Web Developer|1.15
-Software Engineer|1.15
-Software Developer|1.15
-Junior Developer|1.20
-Graduate Developer|1.15
-Full Stack|1.10
-Frontend Developer|1.05
-Backend Developer|1.05
-DevSecOps|1.45
-DevOps|1.30
-Site Reliability|1.20
-Cloud Engineer|1.20
-AWS|1.10|word
-Azure|1.10|word
-Network Engineer|1.25
-Database Administrator|1.10
-Systems Analyst|1.10
-Application Support|1.20
-Technical Analyst|1.10
-QA Engineer|1.05
-Software Testing|1.05
-"""
-_EXCLUDE_TEXT = "Security Guard|Security Officer|Crowd Control|Concierge|Loss Prevention|Patrol|Cash in Transit|Door Supervisor|Sales Representative|Business Development Manager|Head of|Principal Consultant|Chief Information Security Officer"
+# (term, weight, whole word)
+_INCLUDE = (
+    ("IT", 1.0, True),
+    ("Information Technology", 1.1, False),
+    ("Data Entry", 1.0, False),
+    ("Cyber Security", 1.5, False),
+    ("Cybersecurity", 1.5, False),
+    ("Information Security", 1.4, False),
+    ("InfoSec", 1.3, False),
+    ("Network Security", 1.3, False),
+    ("Blue Team", 1.5, False),
+    ("SOC Analyst", 1.5, False),
+    ("Security Operations", 1.4, False),
+    ("Incident Response", 1.35, False),
+    ("Threat Intelligence", 1.3, False),
+    ("Digital Forensics", 1.3, False),
+    ("SIEM", 1.3, True),
+    ("Splunk", 1.2, True),
+    ("Security Analyst", 1.4, False),
+    ("Penetration Testing", 1.2, False),
+    ("GRC", 1.15, True),
+    ("Identity and Access", 1.15, False),
+    ("Help Desk", 1.2, False),
+    ("Helpdesk", 1.2, False),
+    ("Service Desk", 1.2, False),
+    ("IT Support", 1.3, False),
+    ("Desktop Support", 1.2, False),
+    ("Technical Support", 1.1, False),
+    ("Systems Administrator", 1.1, False),
+    ("Network Administrator", 1.1, False),
+    ("Internship", 1.25, False),
+    ("Intern", 1.15, True),
+    ("Trainee", 1.1, False),
+    ("Cadet", 1.1, False),
+    ("Work Experience", 1.1, False),
+    ("Vulnerability Management", 1.2, False),
+    ("Vulnerability Assessment", 1.2, False),
+    ("Web Developer", 1.15, False),
+    ("Software Engineer", 1.15, False),
+    ("Software Developer", 1.15, False),
+    ("Junior Developer", 1.2, False),
+    ("Graduate Developer", 1.15, False),
+    ("Full Stack", 1.1, False),
+    ("Frontend Developer", 1.05, False),
+    ("Backend Developer", 1.05, False),
+    ("DevSecOps", 1.45, False),
+    ("DevOps", 1.3, False),
+    ("Site Reliability", 1.2, False),
+    ("Cloud Engineer", 1.2, False),
+    ("AWS", 1.1, True),
+    ("Azure", 1.1, True),
+    ("Network Engineer", 1.25, False),
+    ("Database Administrator", 1.1, False),
+    ("Systems Analyst", 1.1, False),
+    ("Application Support", 1.2, False),
+    ("Technical Analyst", 1.1, False),
+    ("QA Engineer", 1.05, False),
+    ("Software Testing", 1.05, False),
+)
+_EXCLUDE_TEXT = (
+    "Security Guard",
+    "Security Officer",
+    "Crowd Control",
+    "Concierge",
+    "Loss Prevention",
+    "Patrol",
+    "Cash in Transit",
+    "Door Supervisor",
+    "Sales Representative",
+    "Business Development Manager",
+    "Head of",
+    "Principal Consultant",
+    "Chief Information Security Officer",
+)
 _EXCLUDE_DOMAIN_TITLE = (
-    "Nurse|Nursing|Midwife|Paramedic|Pharmacist|Physiotherapist|Psychologist|Therapist|Dentist|General Practitioner|Support Worker|Disability Support|Aged Care|Personal Care|Social Worker|Harm Reduction|"
-    "Cleaner|Cleaning|Chef|Cook|Barista|Bartender|Waiter|Waitress|Housekeeper|Kitchen Hand|Sales Assistant|Retail Assistant|Store Manager|Forklift|Warehouse Operator|Truck Driver|Delivery Driver|"
-    "Educator|Childcare|Teacher|Tutor|Lecturer"
+    "Nurse",
+    "Nursing",
+    "Midwife",
+    "Paramedic",
+    "Pharmacist",
+    "Physiotherapist",
+    "Psychologist",
+    "Therapist",
+    "Dentist",
+    "General Practitioner",
+    "Support Worker",
+    "Disability Support",
+    "Aged Care",
+    "Personal Care",
+    "Social Worker",
+    "Harm Reduction",
+    "Cleaner",
+    "Cleaning",
+    "Chef",
+    "Cook",
+    "Barista",
+    "Bartender",
+    "Waiter",
+    "Waitress",
+    "Housekeeper",
+    "Kitchen Hand",
+    "Sales Assistant",
+    "Retail Assistant",
+    "Store Manager",
+    "Forklift",
+    "Warehouse Operator",
+    "Truck Driver",
+    "Delivery Driver",
+    "Educator",
+    "Childcare",
+    "Teacher",
+    "Tutor",
+    "Lecturer",
+)
+_EXCLUDE_SENIOR_TITLE = (
+    "Senior",
+    "Snr",
+    "Sr",
+    "Lead",
+    "Principal",
+    "Manager",
+    "Director",
+    "Chief",
+    "Supervisor",
+    "Architect",
+    "Executive",
+    "Superintendent",
+    "Foreman",
+    "Vice President",
+    "Partner",
 )
-_EXCLUDE_SENIOR_TITLE = "Senior|Snr|Sr|Lead|Principal|Manager|Director|Chief|Supervisor|Architect|Executive|Superintendent|Foreman|Vice President|Partner"
 _WORK_RIGHTS = (
-    "must be an Australian Citizen|Australian Citizenship is required|Permanent Residents only|NV1|NV2|Baseline Clearance|Negative Vetting|AGSVA|Security Clearance|"
-    "Graduate Program|Graduate Programme|visa sponsorship|sponsorship is not available|unrestricted work rights"
+    "must be an Australian Citizen",
+    "Australian Citizenship is required",
+    "Permanent Residents only",
+    "NV1",
+    "NV2",
+    "Baseline Clearance",
+    "Negative Vetting",
+    "AGSVA",
+    "Security Clearance",
+    "Graduate Program",
+    "Graduate Programme",
+    "visa sponsorship",
+    "sponsorship is not available",
+    "unrestricted work rights",
 )
 _WORK_RIGHTS_WORDS = {"NV1", "NV2", "AGSVA"}
 _STRUCTURAL = {"internship", "intern", "trainee", "traineeship", "cadet", "cadetship", "work experience"}
@@ -142,31 +220,32 @@ _PREFERENCES = (
     ("commitment", "part_time", 1.3), ("commitment", "casual", 1.25), ("commitment", "contract", 1.0), ("commitment", "full_time", 0.85), ("commitment", "unknown", 1.0),
     ("role_type", "internship", 1.2), ("role_type", "job", 1.0), ("role_type", "unknown", 1.0),
 )
-_TEST = """
-include|IT|word
-include|Cyber Security
-include|Information Security
-include|SOC Analyst
-include|Blue Team
-include|IT Support
-include|Help Desk
-include|Helpdesk
-include|Service Desk
-include|Data Entry
-include|Internship
-include|Intern|word
-include|Work Experience
-exclude|Security Guard
-exclude|Cleaner|title
-exclude|Nurse|title
-exclude|Security Officer
-exclude|Crowd Control
-exclude|Loss Prevention
-exclude_work_rights|must be an Australian Citizen
-exclude_work_rights|Baseline Clearance
-exclude_work_rights|Graduate Program
-exclude_work_rights|visa sponsorship
-"""
+# The criteria of the expected-outcome table, as (kind, term, whole word, scope).
+_TEST = (
+    ("include", "IT", True, "text"),
+    ("include", "Cyber Security", False, "text"),
+    ("include", "Information Security", False, "text"),
+    ("include", "SOC Analyst", False, "text"),
+    ("include", "Blue Team", False, "text"),
+    ("include", "IT Support", False, "text"),
+    ("include", "Help Desk", False, "text"),
+    ("include", "Helpdesk", False, "text"),
+    ("include", "Service Desk", False, "text"),
+    ("include", "Data Entry", False, "text"),
+    ("include", "Internship", False, "text"),
+    ("include", "Intern", True, "text"),
+    ("include", "Work Experience", False, "text"),
+    ("exclude", "Security Guard", False, "text"),
+    ("exclude", "Cleaner", False, "title"),
+    ("exclude", "Nurse", False, "title"),
+    ("exclude", "Security Officer", False, "text"),
+    ("exclude", "Crowd Control", False, "text"),
+    ("exclude", "Loss Prevention", False, "text"),
+    ("exclude_work_rights", "must be an Australian Citizen", False, "text"),
+    ("exclude_work_rights", "Baseline Clearance", False, "text"),
+    ("exclude_work_rights", "Graduate Program", False, "text"),
+    ("exclude_work_rights", "visa sponsorship", False, "text"),
+)
 
 
 def acronym(term: str) -> bool:
@@ -180,23 +259,17 @@ def _category(term: str) -> str:
 
 def seed_criteria() -> Criteria:
     """The production criteria: 56 include, 66 exclude and 14 work-rights terms."""
-    words: list[Keyword] = []
-    for line in _INCLUDE.strip().splitlines():
-        term, weight, *flags = line.split("|")
-        words.append(Keyword(term, "include", float(weight), "word" in flags, acronym(term), _category(term)))
-    words += [Keyword(t, "exclude") for t in _EXCLUDE_TEXT.split("|")]
-    words += [Keyword(t, "exclude", match_scope="title") for t in _EXCLUDE_DOMAIN_TITLE.split("|")]
-    words += [Keyword(t, "exclude", whole_word=True, category="structural", match_scope="title") for t in _EXCLUDE_SENIOR_TITLE.split("|")]
-    words += [Keyword(t, "exclude_work_rights", whole_word=t in _WORK_RIGHTS_WORDS, case_sensitive=acronym(t)) for t in _WORK_RIGHTS.split("|")]
+    words = [Keyword(t, "include", weight, word, acronym(t), _category(t)) for t, weight, word in _INCLUDE]
+    words += [Keyword(t, "exclude") for t in _EXCLUDE_TEXT]
+    words += [Keyword(t, "exclude", match_scope="title") for t in _EXCLUDE_DOMAIN_TITLE]
+    words += [Keyword(t, "exclude", whole_word=True, category="structural", match_scope="title") for t in _EXCLUDE_SENIOR_TITLE]
+    words += [Keyword(t, "exclude_work_rights", whole_word=t in _WORK_RIGHTS_WORDS, case_sensitive=acronym(t)) for t in _WORK_RIGHTS]
     return Criteria(Filter(), tuple(words), _PREFERENCES)
 
 
 def small_criteria() -> Criteria:
     """The criteria of the expected-outcome table."""
-    words = []
-    for line in _TEST.strip().splitlines():
-        kind, term, *flags = line.split("|")
-        words.append(Keyword(term, kind, whole_word="word" in flags, case_sensitive=acronym(term), category=_category(term), match_scope="title" if "title" in flags else "text"))
+    words = [Keyword(t, kind, whole_word=word, case_sensitive=acronym(t), category=_category(t), match_scope=scope) for kind, t, word, scope in _TEST]
     return Criteria(Filter(), tuple(words), _PREFERENCES)
 
 

@@ -51,6 +51,7 @@ def normalise_name(c: str | Column) -> Column:
     return collapse(F.regexp_replace(F.lower(col(c)), "[.,]", " "))
 
 
+# Filler words of titles.
 _NOISE = "job|jobs|vacancy|vacancies|position|opportunity|opportunities|role|hiring|urgent|new|apply now|m/f/d"
 
 

@@ -20,6 +20,10 @@ BLOCKED_DOMAINS = (
     "seek.com.au", "seek.co.nz", "seek.com", "linkedin.com", "indeed.com", "au.indeed.com", "glassdoor.com", "glassdoor.com.au",
     "ziprecruiter.com", "monster.com", "careerone.com.au", "jora.com", "adzuna.com.au", "jooble.org",
 )
+# Names and address ranges (RFC 1918, loopback, link-local) that are never fetched.
+PRIVATE_NAMES = ("localhost", "0.0.0.0", "::1")
+PRIVATE_SUFFIXES = (".localhost", ".internal", ".local")
+PRIVATE_RANGES = r"^(?:127|10)\.|^192\.168\.|^172\.(?:1[6-9]|2\d|3[01])\.|^169\.254\."
 _ABSOLUTE = r"(?i)^([a-z][a-z0-9+.-]*)://(?:[^/?#@]*@)?(\[[^\]]*\]|[^/?#:\s]+)(?::\d*)?(?:[/?#].*)?$"
 MAX_HTML_BYTES = 4 << 20
 
@@ -31,10 +35,9 @@ def blocked_reason(url: Column, domains: tuple[str, ...] = BLOCKED_DOMAINS) -> C
     listed = F.lit(None).cast("string")
     for d in reversed(domains):
         listed = F.when((host == d) | host.endswith("." + d), F.lit(f"{d} is a job board")).otherwise(listed)
-    private = (
-        host.isin("localhost", "0.0.0.0", "::1") | host.endswith(".localhost") | host.endswith(".internal") | host.endswith(".local") | host.startswith("[")
-        | host.rlike(r"^(?:127|10)\.|^192\.168\.|^172\.(?:1[6-9]|2\d|3[01])\.|^169\.254\.")
-    )
+    private = host.isin(*PRIVATE_NAMES) | host.startswith("[") | host.rlike(PRIVATE_RANGES)
+    for suffix in PRIVATE_SUFFIXES:
+        private |= host.endswith(suffix)
     return (
         F.when(F.coalesce(scheme, F.lit("")) == "", "not a valid absolute URL")
         .when(~scheme.isin("http", "https"), F.concat(F.lit('unsupported scheme "'), scheme, F.lit(':"')))
@@ -133,6 +136,7 @@ def robots_allow(path: Column, rules: list[tuple[bool, str]]) -> Column:
     return best
 
 
+# How a page declares JSON-LD.
 _SCRIPT = re.compile(r"<script\b[^>]*type\s*=\s*[\"']application/ld\+json[\"'][^>]*>(.*?)</script>", re.IGNORECASE | re.DOTALL)
 _CONTROL = re.compile(r"[\x00-\x1f]")
 POSTING = "position int, title string, company string, description_html string, url string, location_raw string, posted_date timestamp, employment_type string, salary_min double, salary_max double, salary_currency string"

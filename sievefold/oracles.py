@@ -123,6 +123,7 @@ def fit(base: str = "base_score", mult: str = "preference_multiplier") -> str:
     return f"least(100, greatest(0, floor({base} * {mult}::DOUBLE + 0.5)::INT))"
 
 
+# Filler words of titles.
 _TITLE_NOISE = "job|jobs|vacancy|vacancies|position|opportunity|opportunities|role|hiring|urgent|new|apply now|m/f/d"
 
 
