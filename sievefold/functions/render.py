@@ -102,6 +102,54 @@ def decode_callback(data: Column) -> Column:
     return F.when(data.rlike(pattern) & decision.isNotNull(), F.struct(decision.alias("decision"), F.regexp_extract(data, pattern, 2).alias("match_id")))
 
 
+# What the buttons and the settled cards say.
+BUTTONS = {"applied": "✅ Applied", "saved": "⭐ Save", "dismissed": "🗑 Dismiss"}
+OUTCOMES = {"applied": "✅ Marked as applied", "saved": "⭐ Saved for later", "dismissed": "🗑 Dismissed"}
+
+
+def match_keyboard(match_id: Column, decisions: tuple[str, ...] = ("applied", "saved", "dismissed")) -> Column:
+    """One row of buttons as JSON."""
+    button = lambda d: F.struct(F.lit(BUTTONS[d]).alias("text"), encode_callback(F.lit(d), match_id).alias("callback_data"))
+    return F.to_json(F.array(F.array(*map(button, decisions))))
+
+
+def keyboard_after(decision: Column, match_id: Column) -> Column:
+    """The buttons that stay once a decision is recorded: a saved match may still be applied
+    for or dismissed, the other decisions are final (null)."""
+    return F.when(decision == "saved", match_keyboard(match_id, ("applied", "dismissed")))
+
+
+def with_decision(text: Column, decision: Column) -> Column:
+    """The message with the decision as its last line, in place of an earlier one; null for
+    an unknown decision."""
+    marks = "|".join(t.split(" ")[0] for t in OUTCOMES.values())
+    outcome = F.create_map(*(F.lit(x) for pair in OUTCOMES.items() for x in pair))[decision]
+    return truncate(F.concat(F.regexp_replace(text, rf"\n*(?:{marks}) [^\n\r\u2028\u2029]*\z", ""), F.lit("\n\n"), outcome), MAX_MESSAGE)
+
+
+def filters_message(f: dict[str, Column]) -> Column:
+    """The active criteria as one message: name, center_label, radius_km, threshold, and the
+    arrays include, exclude (terms) and preferences (axis, value, weight)."""
+    t = lambda k: f[k].cast("string")
+    head = lambda name, k: F.concat(F.lit(f"<b>{name}</b> ("), F.size(f[k]).cast("string"), F.lit(")"))
+    terms = lambda k, limit: or_else(escape_html(truncate(F.array_join(f[k], ", "), limit)), "  none")
+    told = F.transform(F.filter(f["preferences"], lambda p: p["weight"] != 1), lambda p: F.concat(F.lit("  "), p["axis"], F.lit("="), label(p["value"]), F.lit(" ×"), F.format_string("%.2f", p["weight"].cast("double"))))
+    return F.concat_ws(
+        "\n",
+        F.concat(F.lit("<b>"), escape_html(f["name"]), F.lit("</b>")),
+        F.concat(t("radius_km"), F.lit(" km around "), escape_html(f["center_label"])),
+        F.concat(F.lit("Notify at fit ≥ "), t("threshold")), F.lit(""),
+        head("Include", "include"), terms("include", 700), F.lit(""),
+        head("Exclude", "exclude"), terms("exclude", 500), F.lit(""),
+        F.lit("<b>Preference weights</b>"), or_else(escape_html(F.array_join(told, "\n")), "  all neutral"), F.lit(""),
+        F.lit("<i>Edit these in the database — they are read fresh on every poll, so no restart is needed.</i>"),
+    )
+
+
+def or_else(c: Column, text: str) -> Column:
+    return F.when(non_empty(c), c).otherwise(F.lit(text))
+
+
 def score_colour(score: Column) -> Column:
     return F.when(score >= 85, "green").when(score >= 70, "blue").when(score >= 50, "amber").otherwise("grey")
 

@@ -124,9 +124,13 @@ def account_level_failure(message: Column) -> Column:
     return F.coalesce(message.rlike(ACCOUNT_LEVEL), F.lit(False))
 
 
+# What such reasoning holds.
+LEAKED = r'\}\s*,\s*\{|"ref"\s*:'
+
+
 def leaked_json(reasoning: Column) -> Column:
     """Whether a scorer's reasoning ran on into the next entries of its output."""
-    return F.coalesce(reasoning.rlike(r'\}\s*,\s*\{|"ref"\s*:'), F.lit(False))
+    return F.coalesce(reasoning.rlike(LEAKED), F.lit(False))
 
 
 def batch_is_valid(scores: DataFrame, expected: DataFrame) -> DataFrame:

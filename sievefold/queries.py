@@ -595,3 +595,17 @@ def scored_batches(spark, sf_dir):
     m, l = both(spark, sf_dir, _MATCHED)
     batched = budget.in_batches(matches.work_queue(l, m), [budget.Desc(F.col("preference_multiplier")), F.floor(F.col("id") / 100_000)], [F.desc("preference_multiplier"), F.col("id")])
     return scoring.score(batched, scoring.rule_scorer).select("id", "batch", "ref", "base_score", "fit_score")
+
+
+_USD = 1 / 1024  # what the stand-in's listings cost; a power of two, so sums are exact
+
+
+@query(_matches_sql(f"""
+, q AS (SELECT *, row_number() OVER (ORDER BY preference_multiplier DESC, id) - 1 AS k, lower(concat_ws(chr(10), title, company, suburb, compensation, work_mode, commitment, role_type, description)) AS seen FROM l WHERE status = 'passed' AND duplicate_of IS NULL AND NOT EXISTS (SELECT 1 FROM m WHERE listing_id = l.id)),
+s AS (SELECT *, least(100, 20 + {_POINTS})::INT AS base_score FROM q WHERE k // 8 * 8 * {_USD!r} < 2)
+SELECT listing_id, base_score, fit_score, match_status FROM m UNION ALL SELECT id, base_score, {o.fit()}, 'new' FROM s""", _MATCHED))
+def scoring_run(spark, sf_dir):
+    """The matches after a run over the work queue within a cycle's budget of two dollars."""
+    m, l = both(spark, sf_dir, _MATCHED)
+    done = scoring.run(matches.work_queue(l, m), scoring.priced(scoring.rule_scorer, lambda n: n * _USD), 2.0, 8 * _USD)
+    return scoring.upsert_matches(m, done.scored.withColumn("listing_id", F.col("id"))).select("listing_id", "base_score", "fit_score", "match_status")
