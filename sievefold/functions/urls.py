@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -18,6 +20,49 @@ TRACKING = (
 _URL = r"(?i)^([a-z][a-z0-9+.-]*)://(?:[^/?#@]*@)?([^/?#:\s]+)(?::(\d*))?([^?#]*)(?:\?([^#]*))?(?:#.*)?$"
 
 
+#: What url_encode writes differently than a path does; the percent sign comes last.
+_PATH_KEEPS = "/!$&'(),:;=@~[]|^"
+_PATH_PLAIN = r"^[\x21\x23-\x3b\x3d\x3f-\x5b\x5d-\x5f\x61-\x7a\x7c\x7e]*$"
+
+
+def form_decode(c: Column) -> Column:
+    """A query's name or value without its escapes; a percent sign that starts none stays."""
+    mended = F.regexp_replace(c, "%(?![0-9A-Fa-f]{2})", "%25")
+    return F.when(c.rlike("[%+]"), F.url_decode(mended)).otherwise(c)
+
+
+def _let(c: Column, f: Callable[[Column], Column]) -> Column:
+    """``f`` of a value that is computed once, however often ``f`` uses it."""
+    return F.get(F.transform(F.array(c), f), F.lit(0))
+
+
+def _escaped(x: Column) -> Column:
+    coded = F.replace(F.replace(F.url_encode(x), F.lit("+"), F.lit("%20")), F.lit("%2B"), F.lit("+"))
+    for c in _PATH_KEEPS:
+        coded = F.replace(coded, F.lit(f"%{ord(c):02X}"), F.lit(c))
+    return F.when(x.rlike(_PATH_PLAIN), x).otherwise(F.replace(coded, F.lit("%25"), F.lit("%")))
+
+
+def _resolved(x: Column) -> Column:
+    dot, up = r"(?i)^(?:\.|%2e)$", r"(?i)^(?:\.|%2e){2}$"
+    none = F.array().cast("array<string>")
+    parts = F.slice(F.split(x, "/"), 2, 1 << 30)
+    # a last segment that vanishes leaves an empty one, so that the slash before it stays
+    parts = F.concat(parts, F.when(x.rlike(r"(?i)/(?:\.|%2e){1,2}$"), F.array(F.lit(""))).otherwise(none))
+    pop = lambda a: F.slice(a, 1, F.greatest(F.size(a) - 1, F.lit(0)))
+    kept = F.aggregate(parts, none, lambda a, s: F.when(s.rlike(up), pop(a)).when(s.rlike(dot), a).otherwise(F.concat(a, F.array(s))))
+    return F.concat(F.lit("/"), F.array_join(kept, "/"))
+
+
+def clean_path(path: Column) -> Column:
+    """A path as it is sent: characters that no path may hold are escaped, existing escapes
+    stay, backslashes are slashes, and segments ``.`` and ``..`` are resolved."""
+    dots = r"(?i)/(?:\.|%2e){1,2}(?:/|$)"
+    tidy = path.rlike(_PATH_PLAIN) & ~path.rlike(dots)
+    mended = _let(_escaped(F.replace(path, F.lit("\\"), F.lit("/"))), lambda x: F.when(x.rlike(dots), _resolved(x)).otherwise(x))
+    return F.when(path == "", "/").when(tidy, path).otherwise(mended)
+
+
 def canonical_url(raw: str | Column) -> Column:
     """https, lower-case host without ``www.``, no fragment, no tracking parameters, the
     other parameters sorted by name, no slash before the query or the end.
@@ -28,17 +73,18 @@ def canonical_url(raw: str | Column) -> Column:
     part = lambda i: F.regexp_extract(x, _URL, i)
     host = F.regexp_replace(F.lower(part(2)), r"^www\.", "")
     port = F.when(part(3).isin("", "443", "80"), "").otherwise(F.concat(F.lit(":"), part(3)))
-    path = F.when(part(4) == "", "/").otherwise(part(4))
+    path = clean_path(part(4))
     pairs = F.filter(F.split(part(5), "&"), lambda p: p != "")
-    name = lambda p: F.split_part(p, F.lit("="), F.lit(1))
-    kept = F.filter(pairs, lambda p: ~(name(p).isin(*TRACKING) | F.lower(name(p)).startswith("utm_")))
+    name = lambda p: form_decode(F.split_part(p, F.lit("="), F.lit(1)))
+    value = lambda p: form_decode(F.when(p.contains("="), F.regexp_replace(p, "^[^=]*=", "")).otherwise(""))
     # stable by name: the position breaks ties; '?a' is written '?a='
-    keyed = F.transform(kept, lambda p, i: F.struct(name(p).alias("k"), i.alias("i"), F.when(p.contains("="), p).otherwise(F.concat(p, F.lit("="))).alias("p")))
-    query = F.array_join(F.transform(F.array_sort(keyed), lambda s: s["p"]), "&")
+    keyed = F.transform(pairs, lambda p, i: F.struct(name(p).alias("k"), i.alias("i"), value(p).alias("v")))
+    kept = F.filter(keyed, lambda s: ~(s["k"].isin(*TRACKING) | F.lower(s["k"]).startswith("utm_")))
+    query = F.array_join(F.transform(F.array_sort(kept), lambda s: F.concat(F.url_encode(s["k"]), F.lit("="), F.url_encode(s["v"]))), "&")
+    asked = _let(query, lambda q: F.when(q == "", "").otherwise(F.concat(F.lit("?"), q)))
+    # one slash before the query or the end goes, but the bare root keeps its own
     tail = F.regexp_replace(path, "(?<=.)/$", "")
-    whole = F.concat(F.lit("https://"), host, port, tail, F.when(query == "", "").otherwise(F.concat(F.lit("?"), query)))
-    # the bare root keeps its slash
-    whole = F.when((path == "/") & (query == ""), F.concat(F.lit("https://"), host, port, F.lit("/"))).otherwise(whole)
+    whole = F.concat(F.lit("https://"), host, port, tail, asked)
     return F.when(x.rlike(_URL) & F.lower(part(1)).isin("http", "https"), whole).otherwise(F.lower(x))
 
 

@@ -140,5 +140,5 @@ def canonical(url: str) -> str:
     path = f"coalesce(nullif(regexp_extract({rest}, '^[^/?]*([^?]*)', 1), ''), '/')"
     pairs = f"list_filter(string_split(regexp_extract({rest}, '\\?(.*)$', 1), '&'), lambda p: p <> '' AND split_part(p, '=', 1) NOT IN ({names}) AND NOT starts_with(lower(split_part(p, '=', 1)), 'utm_'))"
     query = f"array_to_string(list_sort([CASE WHEN contains(p, '=') THEN p ELSE p || '=' END for p in {pairs}]), '&')"
-    tail = f"CASE WHEN {path} = '/' THEN CASE WHEN {query} = '' THEN '/' ELSE '' END ELSE regexp_replace({path}, '/$', '') END"
+    tail = f"CASE WHEN {path} = '/' THEN '/' ELSE regexp_replace({path}, '/$', '') END"
     return f"'https://' || {host} || {tail} || CASE WHEN {query} = '' THEN '' ELSE '?' || {query} END"

@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import Row
 from pyspark.sql import functions as F
 
-from sievefold.criteria import seed_criteria
+from sievefold.criteria import small_criteria
 from sievefold.functions import render
 from sievefold.operators.merge import Snapshots
 from sievefold.operators.prefilter import prefilter
@@ -25,7 +25,7 @@ def listings(spark, n, start_at=0):
 
 
 def queue(spark, n):
-    return prefilter(listings(spark, n), seed_criteria(), NOW)
+    return prefilter(listings(spark, n), small_criteria(), NOW)
 
 
 def test_run_ends_at_its_budget(spark):
@@ -102,7 +102,7 @@ def cycle(spark, tmp_path, **changes):
         sent.append((text, json.loads(keyboard)))
         return str(len(sent))
 
-    parts = dict(listings=Snapshots(spark, f"file://{tmp_path}/listings"), matches=Snapshots(spark, f"file://{tmp_path}/matches"), settings=settings, log=Snapshots(spark, f"file://{tmp_path}/log"), criteria=seed_criteria, now=lambda: NOW, order=["id"],
+    parts = dict(listings=Snapshots(spark, f"file://{tmp_path}/listings"), matches=Snapshots(spark, f"file://{tmp_path}/matches"), settings=settings, log=Snapshots(spark, f"file://{tmp_path}/log"), criteria=small_criteria, now=lambda: NOW, order=["id"],
                  scorer=scoring.priced(scoring.rule_scorer, lambda n: n / 64), dearest=8 / 64, sender=sender)
     return Cycle(**(parts | changes)), sent
 

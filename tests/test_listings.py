@@ -33,6 +33,20 @@ def one(spark, expr, value, kind="string"):
         ("https://example.com/job/?a=1", "https://example.com/job?a=1"),
         ("https://example.com", "https://example.com/"),
         ("  NOT A URL  ", "not a url"),
+        ("https://example.com/?a=1", "https://example.com/?a=1"),
+        ("https://example.com/j//", "https://example.com/j/"),
+        ("https://example.com:443/j?a", "https://example.com/j?a="),
+        ("https://example.com:8443/j?q=c%2B%2B+dev&a=b=c", "https://example.com:8443/j?a=b%3Dc&q=c%2B%2B+dev"),
+        ("https://example.com/j?q=100%&x=%zz%41", "https://example.com/j?q=100%25&x=%25zzA"),
+        ("https://example.com/j?caf%C3%A9=ü~*-._!", "https://example.com/j?caf%C3%A9=%C3%BC%7E*-._%21"),
+        ("https://example.com/j?utm%5Fterm=1&re%66=2&b=1&b=0", "https://example.com/j?b=1&b=0"),
+        ("https://example.com/a b/\"c\"<d>`{e}?x=1", "https://example.com/a%20b/%22c%22%3Cd%3E%60%7Be%7D?x=1"),
+        ("https://example.com/é%20%2F+ü!$&'(),:;=@~[]|", "https://example.com/%C3%A9%20%2F+%C3%BC!$&'(),:;=@~[]|"),
+        ("https://example.com/a\\b", "https://example.com/a/b"),
+        ("https://example.com/a/./b/../c/", "https://example.com/a/c"),
+        ("https://example.com/a/b/..", "https://example.com/a"),
+        ("https://example.com/../../a%2e/%2E%2e/x", "https://example.com/x"),
+        ("https://example.com/..", "https://example.com/"),
     ],
 )
 def test_canonical_url(spark, raw, want):
