@@ -139,13 +139,17 @@ def robots_allow(path: Column, rules: list[tuple[bool, str]]) -> Column:
 # How a page declares JSON-LD.
 _SCRIPT = re.compile(r"<script\b[^>]*type\s*=\s*[\"']application/ld\+json[\"'][^>]*>(.*?)</script>", re.IGNORECASE | re.DOTALL)
 _CONTROL = re.compile(r"[\x00-\x1f]")
+#: Dates of other years are no dates: nanoseconds since 1970 don't reach them.
+YEARS = range(1678, 2262)
 POSTING = "position int, title string, company string, description_html string, url string, location_raw string, posted_date timestamp, employment_type string, salary_min double, salary_max double, salary_currency string"
 
 
 def _text(v) -> str | None:
     if isinstance(v, str):
         return v.strip() or None
-    return None if isinstance(v, bool) or not isinstance(v, (int, float)) else (str(int(v)) if float(v).is_integer() else str(v))
+    if isinstance(v, bool) or not isinstance(v, (int, float)):
+        return None
+    return str(int(v)) if isinstance(v, int) or v.is_integer() else str(v)
 
 
 def _number(v) -> float | None:
@@ -153,7 +157,7 @@ def _number(v) -> float | None:
         return None
     try:
         n = float(v) if str(v).strip() else 0.0
-    except ValueError:
+    except (ValueError, OverflowError):
         return None
     return n if abs(n) != float("inf") and n == n else None
 
@@ -197,9 +201,18 @@ def _date(v) -> datetime | None:
     raw = _text(v)
     try:
         d = datetime.fromisoformat(raw.replace("Z", "+00:00")) if raw else None
+        d = d if d is None else d.replace(tzinfo=UTC) if d.tzinfo is None else d.astimezone(UTC)
+    except (ValueError, OverflowError):
+        return None
+    return d if d is not None and d.year in YEARS else None
+
+
+def _link(base: str, link: str | None) -> str | None:
+    """None if the link can't be joined with its page's URL."""
+    try:
+        return urljoin(base, link) if link else None
     except ValueError:
         return None
-    return d if d is None else d.replace(tzinfo=UTC) if d.tzinfo is None else d.astimezone(UTC)
 
 
 def postings_of(html: str, page_url: str) -> list[tuple]:
@@ -208,14 +221,14 @@ def postings_of(html: str, page_url: str) -> list[tuple]:
     for block in _SCRIPT.findall(html or ""):
         try:
             found = list(find_postings(json.loads(_CONTROL.sub(" ", block))))
-        except ValueError:
+        except (ValueError, RecursionError):
             continue
         for p in found:
             title = _text(p.get("title")) or _text(p.get("name"))
             if not title:
                 continue
             link = _text(p.get("url")) or _text(p.get("sameAs"))
-            link = urljoin(page_url or "", link) if link else None
+            link = _link(page_url or "", link)
             key = (title.lower(), link or "")
             if key in seen:
                 continue

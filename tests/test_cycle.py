@@ -10,6 +10,7 @@ from sievefold.criteria import small_criteria
 from sievefold.functions import render
 from sievefold.operators.merge import Snapshots
 from sievefold.operators.prefilter import prefilter
+from sievefold.operators.store import store
 from sievefold.plans import scoring
 from sievefold.streaming.cycle import Cycle, failure_rows, start
 
@@ -25,7 +26,13 @@ def listings(spark, n, start_at=0):
 
 
 def queue(spark, n):
-    return prefilter(listings(spark, n), small_criteria(), NOW)
+    """The first n of 45 listings, judged once for all tests."""
+    if "judged" not in _kept:
+        _kept["judged"] = store(prefilter(listings(spark, 45), small_criteria(), NOW))
+    return _kept["judged"].where(F.col("id") < n)
+
+
+_kept = {}
 
 
 def test_run_ends_at_its_budget(spark):

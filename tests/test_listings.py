@@ -1,6 +1,8 @@
 """Literal vectors and properties of the listing engine."""
 
+import json
 import random
+from datetime import UTC, datetime
 
 import pytest
 from pyspark.sql import functions as F
@@ -293,6 +295,42 @@ def test_postings(spark):
     assert (r[0].title, r[0].url, r[0].location_raw, r[0].salary_min, r[0].salary_max, r[0].salary_currency, r[0].description) == ("R&D Intern", "https://a.example/j/1", "Footscray, VIC, 3011, AU", 30.0, 35.0, "AUD", "Hi")
 
 
+def _page(*postings):
+    return "".join(f'<script type="application/ld+json">{json.dumps({"@type": "JobPosting", "title": f"t{i}"} | p)}</script>' for i, p in enumerate(postings))
+
+
+def test_posting_fields():
+    rows = careers.postings_of(
+        _page(
+            {"baseSalary": {"currency": "AUD", "value": 90000}, "datePosted": "2026-09-01T10:00:00+10:00", "jobLocation": [{"address": "12 High St"}, {"address": "elsewhere"}], "hiringOrganization": "Acme"},
+            {"baseSalary": {"value": {"value": "35", "currency": "NZD"}}, "datePosted": "yesterday", "jobLocationType": "TELECOMMUTE", "hiringOrganization": {"legalName": "Acme Pty"}},
+            {"baseSalary": "lots", "jobLocation": {"address": {"addressCountry": {"name": "Australia"}, "postalCode": 3000}}, "employmentType": ["INTERN", "PART_TIME"]},
+        ),
+        "https://a.example/x",
+    )
+    fields = [(r[2], r[5], r[6], r[7], r[8], r[9], r[10]) for r in rows]
+    assert fields == [
+        ("Acme", "12 High St", datetime(2026, 9, 1, tzinfo=UTC), None, 90000.0, 90000.0, "AUD"),
+        ("Acme Pty", "Remote", None, None, 35.0, 35.0, "NZD"),
+        (None, "3000, Australia", None, "INTERN", None, None, None),
+    ]
+
+
+def test_hostile_postings(spark):
+    """Bad links, dates and numbers are fields without value, too deep blocks are skipped."""
+    huge = 10**400
+    html = _page({"url": "http://[bad", "baseSalary": {"value": huge}, "datePosted": "0001-01-01T00:00:00+10:00"}, {"datePosted": "9999-12-31", "url": huge}, {"datePosted": "2026-09-01"})
+    deep = '<script type="application/ld+json">' + "[" * 100_000 + "]" * 100_000 + "</script>"
+    r = careers.extract_postings(spark.createDataFrame([(1, deep + html, "https://a.example/x")], "page_id int, html string, url string")).orderBy("position").collect()
+    assert [x.title for x in r] == ["t0", "t1", "t2"] and r[0].url is None and r[0].salary_min is None
+    assert [x.posted_date is None for x in r] == [True, True, False]
+
+
+def test_request_cost(spark):
+    cost = budget.request_cost_usd(F.lit(1_000_000), F.lit(100_000), F.lit(None).cast("int"), F.lit(2_000_000))
+    assert abs(spark.range(1).select(cost.alias("c")).first().c - 3.4) < 1e-9
+
+
 def test_html_to_text(spark):
     assert one(spark, T.html_to_text, "<ul><li>One</li><li>Two</li></ul>") == "- One\n- Two"
     assert one(spark, T.html_to_text, "<script>evil()</script><p>R&amp;D team</p>") == "R&D team"
