@@ -9,9 +9,10 @@ outside both cores needn't be compared.
 
 1. One pass over the texts hashes the shingle sets.  Texts with equal sets are one
    class from here on.
-2. First order: a pseudo-random ``band`` of the tokens first, in it rare before frequent.
-   Only the band's tokens are counted and joined, and a token of one class only is
-   dropped at once.  The classes that share a prefix token are its *list*, if it is in the
+2. First order: a pseudo-random ``band`` of the tokens first, in it rare before frequent,
+   then the other tokens by hash.  Only the band's tokens, and of a set whose band is
+   shorter than its prefix the next ones, are counted and joined; a band token of one
+   class only is dropped at once.  The classes that share a prefix token are its *list*, if it is in the
    core of one of them (of lists of the same classes one is kept); classes that
    are joined over lists form a *cell*: linked classes are always in one cell.
 3. A second pass hashes again the classes that share a cell with another, and the same
@@ -70,11 +71,15 @@ def _ordered(tokens: np.ndarray, offs: np.ndarray, order: int) -> np.ndarray:
     return out
 
 
+def _share_end(share: float) -> int:
+    return int(share * 2**64) if share < 1 else 2**64 - 1
+
+
 def _band(tokens: np.ndarray, offs: np.ndarray, percent: int, share: float) -> list[pa.Array]:
     """Of ordered tokens, the leading ``share`` of the hash range and at least the prefix,
     as lists; by how much the band exceeds the prefix, and this the core."""
     n = np.diff(offs)
-    low = tokens < np.uint64(int(share * 2**64) if share < 1 else 2**64 - 1)
+    low = tokens < np.uint64(_share_end(share))
     cum = np.concatenate([[0], np.cumsum(low, dtype=np.int64)])
     need = np.minimum(_prefix_length(n, percent), n)
     size = np.maximum(cum[offs[1:]] - cum[offs[:-1]], need)
@@ -124,18 +129,25 @@ def classes_of(sets: DataFrame) -> DataFrame:
     return few.select("sig", "sig2", "r.node", "r.h", "r.n", "k", "first_id", "band", "room", "rim")
 
 
-def shared_prefixes(rows: DataFrame, within: list[str]) -> DataFrame:
-    """(node, *within, token, core): the prefix tokens, rare ones first, that a class shares
-    with another of its ``within`` columns, and whether they are in its core.  ``rows``:
-    node, band, room, rim, *within."""
+def shared_prefixes(rows: DataFrame, within: list[str], share: float) -> DataFrame:
+    """(node, *within, token, core): the prefix tokens that a class shares with another of
+    its ``within`` columns, and whether they are in its core.  ``rows``: node, band, room,
+    rim, *within, of bands of this ``share``.
+
+    One order holds for all sets: tokens below the share come first, rare before frequent,
+    then the others by their hash.  Only the first kind is counted over all sets that have
+    it: a short set's band goes on beyond the share, where other sets' bands may end."""
+    hashed = F.col("token").bitwiseXOR(F.lit(-(1 << 63)))  # unsigned order on signed numbers
+    high = hashed >= F.lit(_share_end(share) - (1 << 63))
     posts = rows.select("node", *within, F.explode("band").alias("token"))
-    counts = posts.groupBy(*within, "token").agg(F.count(F.lit(1)).alias("df")).where("df > 1")
-    shared = posts.join(counts, [*within, "token"]).select("node", *within, "token", "df")
+    counts = posts.groupBy(*within, "token").agg(F.count(F.lit(1)).alias("df")).withColumn("high", high).where("df > 1 OR high")
+    shared = posts.join(counts, [*within, "token"]).select("node", *within, "token", "df", "high")
     own = Window.partitionBy("node")
-    ranked = shared.withColumn("at", F.row_number().over(own.orderBy("df", "token"))).withColumn("k", F.count(F.lit(1)).over(own)).drop("df")
-    # tokens of one class come first in the order, so ``room`` and ``rim`` count off the frequent end
+    order = own.orderBy("high", F.when(F.col("high"), F.lit(0)).otherwise(F.col("df")), hashed)
+    ranked = shared.withColumn("at", F.row_number().over(order)).withColumn("k", F.count(F.lit(1)).over(own))
+    # a token of one class is left out only where such come first, so ``room`` and ``rim`` count off the other end
     last = F.col("k") - F.col("room")
-    kept = ranked.join(rows.select("node", "room", "rim"), "node").where(F.col("at") <= last)
+    kept = ranked.where("df > 1").join(rows.select("node", "room", "rim"), "node").where(F.col("at") <= last)
     return kept.select("node", *within, "token", (F.col("at") <= last - F.col("rim")).alias("core"))
 
 
@@ -380,10 +392,10 @@ def jaccard_components(docs: DataFrame, width: int = 3, percent: int = 90, doc_i
     sets = materialize(shingle_table(docs, width, percent, share, doc_id, text))
     classes = materialize(classes_of(sets))
     keys = classes.select("sig", "sig2", "node", "h", "n")
-    prefix = materialize(shared_prefixes(classes.select("node", "band", "room", "rim"), []))
+    prefix = materialize(shared_prefixes(classes.select("node", "band", "room", "rim"), [], share))
     first = cells(prefix, [])
     chosen = materialize(keys.join(first.withColumnRenamed("component", "cell"), "node"))
-    second = materialize(shared_prefixes(_second_bands(docs, chosen, width, percent, share, doc_id, text), ["cell"]))
+    second = materialize(shared_prefixes(_second_bands(docs, chosen, width, percent, share, doc_id, text), ["cell"], share))
     narrowed = materialize(chosen.drop("cell").join(cells(second, ["cell"]).withColumnRenamed("component", "cell"), "node"))
     tokens = materialize(_member_tokens(docs, narrowed, width, doc_id, text))
     links = cell_links(narrowed.select("node", "n", "cell"), prefix, tokens, percent)
