@@ -120,6 +120,37 @@ def checked_broadcast(stored: DataFrame) -> DataFrame:
     return F.broadcast(stored) if stored.count() <= BROADCAST_ROWS else stored
 
 
+#: A key is hot if it holds more than one in so many rows; so there are fewer hot keys than this.
+HOT = 1000
+
+
+def join_unique(left: DataFrame, right: DataFrame, keys: list[str], rows: int, per_key: str | None = None) -> DataFrame:
+    """``left`` (of ``rows`` rows, stored) with the columns of ``right`` (stored, a row per
+    key), null where there is none.
+
+    No key's rows meet in one task: the hot keys' rows of ``right``, fewer than HOT for
+    each value of what isn't counted, are broadcast, and of other keys a task gets one in
+    HOT rows at most.  ``per_key`` is the column of ``right`` that counts the rows of its
+    key in ``left``; without it they are counted.  Null keys are never joined."""
+    some = F.lit(True)
+    for k in keys:
+        some &= F.col(k).isNotNull()
+    if per_key is None:
+        counts = left.where(some).groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") * HOT > rows)
+        hot = materialize(counts.select(*keys))
+        warm = right.join(F.broadcast(hot), keys)
+    else:
+        is_hot = F.col(per_key) * HOT > rows
+        warm, right = right.where(is_hot), right.where(~is_hot)
+        hot = warm.select(*keys)
+    met = left.join(F.broadcast(hot), keys, "left_semi").join(F.broadcast(warm), keys, "left")
+    rest = left.where(some).join(F.broadcast(hot), keys, "left_anti").join(right, keys, "left")
+    more = [c for c in right.columns if c not in keys]
+    kinds = dict(right.dtypes)
+    alone = left.where(~some).select("*", *(F.lit(None).cast(kinds[c]).alias(c) for c in more))
+    return met.unionByName(rest).unionByName(alone)
+
+
 def hash_share(rows: int, n: int, key: Column) -> Column:
     """A condition that about ``4 * n`` of ``rows`` meet (all, if there are fewer), by a
     hash of ``key``: what follows it, such as a top-n on the driver, sees a bounded number

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, jaccard, langid, mixing, packing, quality, repetition, token_counts, topk, url_filter
+from . import chat, filter_audit, jaccard, langid, mixing, packing, quality, repetition, sharding, token_counts, topk, url_filter, vector_codes
 from ._spark import crc_mod, table
 
 
@@ -56,9 +56,22 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf_dir, "documents"))
 
 
+def op11_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vector_codes.with_label_errors(*vector_codes.compress(table(spark, sf_dir, "embeddings")))
+
+
+def op12_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filter_audit.audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op13_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = sharding.shard_documents(table(spark, sf_dir, "documents"), law="rows")
+    return rows.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {k: f for k, f in globals().items() if k[:2] == "op" and k[2:3].isdigit()}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_repetition": repetition.oracle(), "op3_mixing": mixing.oracle(), "op4_topk": topk.oracle(), "op8_url_filter": url_filter.oracle()}
+    return {"op1_repetition": repetition.oracle(), "op3_mixing": mixing.oracle(), "op4_topk": topk.oracle(), "op8_url_filter": url_filter.oracle(), "op11_vector_codes": vector_codes.oracle(), "op12_filter_audit": filter_audit.oracle()}
