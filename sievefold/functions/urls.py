@@ -2,11 +2,10 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from .hosts import let, tidied, web_host, web_path, web_port, web_query
 from .text import col, js_trim
 
 # Query parameters that never identify a listing.
@@ -17,7 +16,6 @@ TRACKING = (
     "campaign", "trk", "trkCampaign", "sid", "session", "token",
     "se", "v", "utm", "p", "pos",
 )
-_URL = r"(?i)^([a-z][a-z0-9+.-]*)://(?:[^/?#@]*@)?([^/?#:\s]+)(?::(\d*))?([^?#]*)(?:\?([^#]*))?(?:#.*)?$"
 
 
 #: What url_encode writes differently than a path does; the percent sign comes last.
@@ -31,11 +29,6 @@ def form_decode(c: Column) -> Column:
     return F.when(c.rlike("[%+]"), F.url_decode(mended)).otherwise(c)
 
 
-def _let(c: Column, f: Callable[[Column], Column]) -> Column:
-    """``f`` of a value that is computed once, however often ``f`` uses it."""
-    return F.get(F.transform(F.array(c), f), F.lit(0))
-
-
 def _escaped(x: Column) -> Column:
     coded = F.replace(F.replace(F.url_encode(x), F.lit("+"), F.lit("%20")), F.lit("%2B"), F.lit("+"))
     for c in _PATH_KEEPS:
@@ -59,33 +52,32 @@ def clean_path(path: Column) -> Column:
     stay, backslashes are slashes, and segments ``.`` and ``..`` are resolved."""
     dots = r"(?i)/(?:\.|%2e){1,2}(?:/|$)"
     tidy = path.rlike(_PATH_PLAIN) & ~path.rlike(dots)
-    mended = _let(_escaped(F.replace(path, F.lit("\\"), F.lit("/"))), lambda x: F.when(x.rlike(dots), _resolved(x)).otherwise(x))
+    mended = let(_escaped(F.replace(path, F.lit("\\"), F.lit("/"))), lambda x: F.when(x.rlike(dots), _resolved(x)).otherwise(x))
     return F.when(path == "", "/").when(tidy, path).otherwise(mended)
 
 
 def canonical_url(raw: str | Column) -> Column:
-    """https, lower-case host without ``www.``, no fragment, no tracking parameters, the
-    other parameters sorted by name, no slash before the query or the end.
+    """https, the host as clients read it (punycode, lower case) without ``www.``, no
+    fragment, no tracking parameters, the other parameters sorted by name, no slash before
+    the query or the end.  Tabs and line breaks inside are no part of a URL.
 
-    What isn't an absolute web URL becomes its trimmed lower-case text; null stays null.
+    What isn't a web URL with a host becomes its trimmed lower-case text; null stays null.
     """
-    x = js_trim(raw)
-    part = lambda i: F.regexp_extract(x, _URL, i)
-    host = F.regexp_replace(F.lower(part(2)), r"^www\.", "")
-    port = F.when(part(3).isin("", "443", "80"), "").otherwise(F.concat(F.lit(":"), part(3)))
-    path = clean_path(part(4))
-    pairs = F.filter(F.split(part(5), "&"), lambda p: p != "")
+    given = js_trim(raw)
+    x = tidied(given)
+    # one slash before the query or the end goes, but the bare root keeps its own
+    tail = F.regexp_replace(clean_path(web_path(x)), "(?<=.)/$", "")
+    pairs = F.filter(F.split(web_query(x), "&"), lambda p: p != "")
     name = lambda p: form_decode(F.split_part(p, F.lit("="), F.lit(1)))
     value = lambda p: form_decode(F.when(p.contains("="), F.regexp_replace(p, "^[^=]*=", "")).otherwise(""))
     # stable by name: the position breaks ties; '?a' is written '?a='
     keyed = F.transform(pairs, lambda p, i: F.struct(name(p).alias("k"), i.alias("i"), value(p).alias("v")))
     kept = F.filter(keyed, lambda s: ~(s["k"].isin(*TRACKING) | F.lower(s["k"]).startswith("utm_")))
     query = F.array_join(F.transform(F.array_sort(kept), lambda s: F.concat(F.url_encode(s["k"]), F.lit("="), F.url_encode(s["v"]))), "&")
-    asked = _let(query, lambda q: F.when(q == "", "").otherwise(F.concat(F.lit("?"), q)))
-    # one slash before the query or the end goes, but the bare root keeps its own
-    tail = F.regexp_replace(path, "(?<=.)/$", "")
-    whole = F.concat(F.lit("https://"), host, port, tail, asked)
-    return F.when(x.rlike(_URL) & F.lower(part(1)).isin("http", "https"), whole).otherwise(F.lower(x))
+    asked = let(query, lambda q: F.when(q == "", "").otherwise(F.concat(F.lit("?"), q)))
+    # null without a host
+    whole = F.concat(F.lit("https://"), F.regexp_replace(web_host(x), r"^www\.(?=.)", ""), web_port(x, secure=True), tail, asked)
+    return F.coalesce(whole, F.lower(given))
 
 
 def dedupe_hash(raw: str | Column) -> Column:
@@ -93,8 +85,8 @@ def dedupe_hash(raw: str | Column) -> Column:
 
 
 def link_host(url: str | Column) -> Column:
-    host = F.regexp_extract(js_trim(url), _URL, 2)
-    return F.when(F.coalesce(host, F.lit("")) == "", "the listing").otherwise(F.regexp_replace(F.lower(host), r"^www\.", ""))
+    host = web_host(tidied(js_trim(url)))
+    return F.when(host.isNull(), "the listing").otherwise(F.regexp_replace(host, r"^www\.(?=.)", ""))
 
 
 __all__ = ["TRACKING", "canonical_url", "col", "dedupe_hash", "link_host"]

@@ -13,7 +13,9 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.hosts import let, tidied, web_host, web_origin, web_path
 from ..functions.text import escape_re, html_to_text
+from ..functions.urls import clean_path
 
 # Boards that are never fetched, with all their subdomains.
 BLOCKED_DOMAINS = (
@@ -24,27 +26,30 @@ BLOCKED_DOMAINS = (
 PRIVATE_NAMES = ("localhost", "0.0.0.0", "::1")
 PRIVATE_SUFFIXES = (".localhost", ".internal", ".local")
 PRIVATE_RANGES = r"^(?:127|10)\.|^192\.168\.|^172\.(?:1[6-9]|2\d|3[01])\.|^169\.254\."
-_ABSOLUTE = r"(?i)^([a-z][a-z0-9+.-]*)://(?:[^/?#@]*@)?(\[[^\]]*\]|[^/?#:\s]+)(?::\d*)?(?:[/?#].*)?$"
-MAX_HTML_BYTES = 4 << 20
+#: Characters of a page that are read.
+MAX_HTML = 4_000_000
 
 
 def blocked_reason(url: Column, domains: tuple[str, ...] = BLOCKED_DOMAINS) -> Column:
-    """Why a URL isn't fetched, null if it may be.  What can't be parsed is blocked."""
-    scheme = F.lower(F.regexp_extract(url, r"^([A-Za-z][A-Za-z0-9+.-]*):", 1))
-    host = F.regexp_replace(F.lower(F.regexp_extract(url, _ABSOLUTE, 2)), r"\.$", "")
-    listed = F.lit(None).cast("string")
-    for d in reversed(domains):
-        listed = F.when((host == d) | host.endswith("." + d), F.lit(f"{d} is a job board")).otherwise(listed)
-    private = host.isin(*PRIVATE_NAMES) | host.startswith("[") | host.rlike(PRIVATE_RANGES)
-    for suffix in PRIVATE_SUFFIXES:
-        private |= host.endswith(suffix)
-    return (
-        F.when(F.coalesce(scheme, F.lit("")) == "", "not a valid absolute URL")
-        .when(~scheme.isin("http", "https"), F.concat(F.lit('unsupported scheme "'), scheme, F.lit(':"')))
-        .when(~url.rlike(_ABSOLUTE), "not a valid absolute URL")
-        .when(listed.isNotNull(), listed)
-        .when(private, "private or loopback address")
-    )
+    """Why a URL isn't fetched, null if it may be.
+
+    The host is the one that a client would connect to, however it is written.  What can't
+    be parsed, or whose host isn't known for sure, is blocked."""
+    x = tidied(url)
+    scheme = F.coalesce(F.lower(F.regexp_extract(x, r"^([A-Za-z][A-Za-z0-9+.-]*):", 1)), F.lit(""))
+
+    def judged(raw: Column) -> Column:
+        host = F.regexp_replace(raw, r"\.$", "")
+        listed = F.lit(None).cast("string")
+        for d in reversed(domains):
+            listed = F.when((host == d) | host.endswith("." + d), F.lit(f"{d} is a job board")).otherwise(listed)
+        private = host.isin(*PRIVATE_NAMES) | host.startswith("[") | host.rlike(PRIVATE_RANGES)
+        for suffix in PRIVATE_SUFFIXES:
+            private |= host.endswith(suffix)
+        return F.when(raw.isNull(), "not a valid absolute URL").when(listed.isNotNull(), listed).when(private, "private or loopback address")
+
+    other = F.when(scheme == "", "not a valid absolute URL").when(~scheme.isin("http", "https"), F.concat(F.lit('unsupported scheme "'), scheme, F.lit(':"')))
+    return F.coalesce(other, let(web_host(x), judged))
 
 
 def robots_rules(text: str, agent: str) -> tuple[list[tuple[bool, str]], float | None]:
@@ -90,7 +95,7 @@ RULES = "array<struct<size: int, allow: boolean, pattern: string>>"
 
 
 def robots_by_origin(fetched: DataFrame, agent: str) -> DataFrame:
-    """(origin, readable, rules) of robots files (origin, status, body), one a row.
+    """(origin, readable, rules, crawl_delay) of robots files (origin, status, body), one a row.
 
     Client errors mean no rules; server errors, and no status or body at all, mean that the
     site may not be read.  One row an origin, so each file is parsed once."""
@@ -99,25 +104,30 @@ def robots_by_origin(fetched: DataFrame, agent: str) -> DataFrame:
         for pdf in batches:
             rows = []
             for origin, body in zip(pdf["origin"], pdf["body"], strict=True):
-                rules = robots_rules(body, agent)[0] if isinstance(body, str) else []
-                rows.append((origin, [(len(p), a, robots_pattern(p)) for a, p in rules]))
-            yield pd.DataFrame(rows, columns=["origin", "rules"])
+                rules, delay = robots_rules(body, agent) if isinstance(body, str) else ([], None)
+                rows.append((origin, [(len(p), a, robots_pattern(p)) for a, p in rules], delay))
+            yield pd.DataFrame(rows, columns=["origin", "rules", "crawl_delay"])
 
     readable = F.coalesce((F.col("status") < 400) & F.col("body").isNotNull() | F.col("status").between(400, 499), F.lit(False))
     kept = fetched.select("origin", readable.alias("readable"), F.when(F.col("status") < 400, F.col("body")).alias("body"))
-    parsed = kept.where("body IS NOT NULL").select("origin", "body").mapInPandas(run, f"origin string, rules {RULES}")
+    parsed = kept.where("body IS NOT NULL").select("origin", "body").mapInPandas(run, f"origin string, rules {RULES}, crawl_delay double")
     return kept.drop("body").join(parsed, "origin", "left")
 
 
 def read_verdict(pages: DataFrame, robots: DataFrame, url: str = "url") -> DataFrame:
-    """``pages`` with ``refusal``: why a page may not be read, null if it may.
+    """``pages`` with ``refusal``, why a page may not be read, null if it may, and the
+    ``crawl_delay`` of its site in seconds.
 
     Denied hosts come first, then the robots rules of the page's origin, of which the
-    longest that fits decides, Allow on ties.  An origin without a robots row is unread."""
-    origin = F.lower(F.regexp_extract(url, r"^([A-Za-z][A-Za-z0-9+.-]*://[^/?#]*)", 1))
-    path = F.regexp_extract(url, "://[^/?#]*([^?#]*)", 1)
-    x = pages.withColumns({"_blocked": blocked_reason(F.col(url)), "_path": F.when(path == "", "/").otherwise(path), "_origin": origin})
-    x = x.join(robots.select(F.col("origin").alias("_site"), F.col("readable").alias("_readable"), F.col("rules").alias("_rules")), F.col("_origin") == F.col("_site"), "left")
+    longest that fits decides, Allow on ties.  An origin without a robots row is unread.
+    Origins are compared as clients see them: ports that go without saying, letters' case
+    and hosts in other notations make no difference."""
+    x = tidied(F.col(url))
+    asked = pages.withColumns({"_blocked": blocked_reason(F.col(url)), "_path": clean_path(web_path(x)), "_origin": web_origin(F.col(url))})
+    rules = robots.select(web_origin(F.col("origin")).alias("_site"), F.col("readable").alias("_readable"), F.col("rules").alias("_rules"), F.col("crawl_delay").alias("_delay"))
+    # several spellings of one origin: the strictest file decides
+    rules = rules.where("_site IS NOT NULL").groupBy("_site").agg(F.min("_readable").alias("_readable"), F.flatten(F.collect_list("_rules")).alias("_rules"), F.max("_delay").alias("_delay"))
+    x = asked.join(rules, F.col("_origin") == F.col("_site"), "left")
     fits = F.filter(F.coalesce("_rules", F.array().cast(RULES)), lambda r: F.rlike(F.col("_path"), r["pattern"]))
     allowed = F.coalesce(F.array_max(F.transform(fits, lambda r: F.struct(r["size"].alias("size"), r["allow"].alias("allow"))))["allow"], F.lit(True))
     refusal = (
@@ -125,7 +135,41 @@ def read_verdict(pages: DataFrame, robots: DataFrame, url: str = "url") -> DataF
         .when(~F.coalesce("_readable", F.lit(False)), "robots.txt could not be read, so fetching is not permitted")
         .when(~allowed, F.concat(F.lit("robots.txt disallows "), F.col("_path")))
     )
-    return x.select(*pages.columns, refusal.alias("refusal"))
+    return x.select(*pages.columns, refusal.alias("refusal"), F.when(F.col("_blocked").isNull(), F.col("_delay")).alias("crawl_delay"))
+
+
+def read_pages(pages: DataFrame, robots: DataFrame, key: str = "page_id") -> DataFrame:
+    """Every career page's outcome, from the cheapest refusal on: (key, url, reason, status,
+    crawl_delay, html).  ``pages``: key, url, and what a fetch would give or gave: status,
+    landed_url (after redirects, null for the same), html and error.
+
+    ``reason`` is null for a page that was read; only such a page has ``html``, its first
+    MAX_HTML characters, and ``url`` is then where it was found.  A page that redirects to a
+    denied host is refused."""
+    x = read_verdict(pages, robots)
+    landed = F.coalesce("landed_url", "url")
+    moved = F.when(F.col("landed_url").isNotNull(), blocked_reason(F.col("landed_url")))
+    reason = (
+        F.when(F.col("refusal").isNotNull(), F.col("refusal"))
+        .when(F.col("error").isNotNull(), F.col("error"))
+        .when(~F.coalesce(F.col("status").between(200, 299), F.lit(False)), F.concat(F.lit("HTTP "), F.coalesce(F.col("status").cast("string"), F.lit("0"))))
+        .when(moved.isNotNull(), F.concat(F.lit("redirected to a blocked host: "), moved))
+    )
+    x = x.withColumn("reason", reason)
+    read = F.col("reason").isNull()
+    asked = F.col("refusal").isNull()
+    return x.select(
+        key, F.when(read, landed).otherwise(F.col("url")).alias("url"), "reason", F.when(asked & F.col("error").isNull(), F.col("status")).alias("status"), "crawl_delay",
+        F.when(read, F.substring(F.coalesce("html", F.lit("")), 1, MAX_HTML)).alias("html"),
+    )
+
+
+def page_outcomes(read: DataFrame, postings: DataFrame, key: str = "page_id") -> DataFrame:
+    """(key, reason, status, crawl_delay, n_postings, needs_rendering) of ``read_pages`` and
+    the postings found there: a page without any would have to be rendered, or is an index."""
+    n = postings.groupBy(key).agg(F.count(F.lit(1)).alias("n"))
+    n_postings = F.coalesce("n", F.lit(0))
+    return read.drop("html", "url").join(n, key, "left").select(key, "reason", "status", "crawl_delay", n_postings.alias("n_postings"), F.when(F.col("reason").isNull(), n_postings == 0).alias("needs_rendering"))
 
 
 def robots_allow(path: Column, rules: list[tuple[bool, str]]) -> Column:
@@ -245,7 +289,7 @@ def postings_of(html: str, page_url: str) -> list[tuple]:
 
 
 def extract_postings(pages: DataFrame, key: str = "page_id", html: str = "html", url: str = "url") -> DataFrame:
-    """One row per posting of each page with an allowed URL and at most MAX_HTML_BYTES.
+    """One row per posting of each page with an allowed URL, from its first MAX_HTML characters.
 
     The walk through JSON of any shape is a Python generator; text clean-up is native."""
     from ..functions.text import _html_entities as entities
@@ -259,7 +303,7 @@ def extract_postings(pages: DataFrame, key: str = "page_id", html: str = "html",
 
     kind = dict(pages.dtypes)[key]
     # rows without the marker never reach Python
-    some = pages.where(F.lower(html).contains("ld+json") & (F.octet_length(html) <= MAX_HTML_BYTES) & blocked_reason(F.col(url)).isNull())
-    out = some.select(key, F.col(html).alias("_html"), F.col(url).alias("_url")).mapInPandas(run, f"{key} {kind}, {POSTING}")
+    some = pages.withColumn("_html", F.substring(F.col(html), 1, MAX_HTML)).where(F.lower("_html").contains("ld+json") & blocked_reason(F.col(url)).isNull())
+    out = some.select(key, "_html", F.col(url).alias("_url")).mapInPandas(run, f"{key} {kind}, {POSTING}")
     tidy = lambda c: entities(F.col(c))
     return out.withColumns({"title": tidy("title"), "company": F.when(F.col("company").isNotNull(), tidy("company")), "description": F.when(F.col("description_html").isNotNull(), html_to_text("description_html"))}).drop("description_html")

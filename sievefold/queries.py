@@ -553,6 +553,94 @@ def page_refusals(spark, sf_dir):
     return careers.read_verdict(pages, careers.robots_by_origin(found, "sievefold")).select("page_id", "refusal")
 
 
+def _fetched_pages(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """The pages as fetched: some fail, some are missing, some redirect to a board, and each
+    declares page_id % 3 postings; and the robots files of their origins."""
+    pages = table(spark, sf_dir, "pages").select("page_id", "url", "html")
+    i = F.col("page_id")
+    post = lambda k: F.concat(F.lit('{"@type":"JobPosting","title":"Job '), i.cast("string"), F.lit(f'-{k}"}}'))
+    declared = F.array_join(F.slice(F.array(post(1), post(2)), 1, (i % 3).cast("int")), ",")
+    html = F.concat(F.coalesce("html", F.lit("")), F.lit('<script type="application/ld+json">['), declared, F.lit("]</script>"))
+    landed = F.when(i % 7 == 0, "https://au.linkedin.com/x").when(i % 7 == 1, F.concat("url", F.lit("#top")))
+    pages = pages.select("page_id", "url", html.alias("html"), F.when(i % 5 == 0, 404).otherwise(200).alias("status"), F.when(i % 11 == 0, "timed out").alias("error"), landed.alias("landed_url"))
+    site = F.lower(F.regexp_extract("url", _SITE, 1))
+    found = pages.select(site.alias("origin")).distinct().where(F.length("origin") % 4 < 3)
+    n = F.length("origin") % 4
+    body = F.concat(F.lit(_ROBOTS.replace("\n\nUser-agent: other", "\nCrawl-delay: 2.5\n\nUser-agent: other")))
+    robots = found.select(F.upper("origin").alias("origin"), F.when(n == 0, 200).when(n == 1, 404).otherwise(503).alias("status"), body.alias("body"))
+    return pages, robots
+
+
+@query(lambda: f"""WITH p AS (SELECT page_id, length(regexp_extract(url, '{_SITE}', 1)) % 4 AS n, coalesce(nullif(regexp_extract(url, '://[^/?#]*([^?#]*)', 1), ''), '/') AS path FROM pages),
+a AS (SELECT *, CASE WHEN regexp_matches(path, '^/.*\\.html$') THEN false WHEN starts_with(path, '/en/1') THEN true WHEN starts_with(path, '/en/') THEN false ELSE true END AS allowed FROM p),
+r AS (SELECT *, CASE WHEN n > 1 THEN 'robots.txt could not be read, so fetching is not permitted' WHEN n = 0 AND NOT allowed THEN 'robots.txt disallows ' || path END AS refusal FROM a),
+o AS (SELECT *, CASE WHEN refusal IS NOT NULL THEN refusal WHEN page_id % 11 = 0 THEN 'timed out' WHEN page_id % 5 = 0 THEN 'HTTP 404' WHEN page_id % 7 = 0 THEN 'redirected to a blocked host: linkedin.com is a job board' END AS reason FROM r)
+SELECT page_id, reason, CASE WHEN refusal IS NULL AND page_id % 11 <> 0 THEN CASE WHEN page_id % 5 = 0 THEN 404 ELSE 200 END END AS status, CASE WHEN n = 0 THEN 2.5::DOUBLE END AS crawl_delay,
+ CASE WHEN reason IS NULL THEN page_id % 3 ELSE 0 END AS n_postings, CASE WHEN reason IS NULL THEN page_id % 3 = 0 END AS needs_rendering FROM o""")
+def career_pages(spark, sf_dir):
+    """Guard, robots, fetch outcome, redirects and extraction as one plan."""
+    read = careers.read_pages(*(lambda pages, robots: (pages, careers.robots_by_origin(robots, "sievefold")))(*_fetched_pages(spark, sf_dir)))
+    return careers.page_outcomes(read, careers.extract_postings(read.where("reason IS NULL")))
+
+
+def _tops() -> tuple[list[int], list[int]]:
+    return [10, 127, 192, 172, 169, 8, 203, 0], [168, 16, 31, 254, 0, 32]
+
+
+_WAYS = 16
+
+
+def _guarded(x: DataFrame) -> DataFrame:
+    """(page_id, url): the hosts of pages, boards and addresses, each in one of 16 notations."""
+    i, way = F.col("page_id"), F.col("page_id") % _WAYS
+    step = F.floor(i / _WAYS)
+    host = F.lower(F.regexp_extract("url", "://([^/?#:]*)", 1))
+    pick = lambda values, n: F.get(F.array(*map(F.lit, values)), n.cast("int"))
+    board = pick(careers.BLOCKED_DOMAINS, step % len(careers.BLOCKED_DOMAINS))
+    tops, seconds = _tops()
+    bytes_ = (pick(tops, step % len(tops)), pick(seconds, step % len(seconds)), i % 256, i * 7 % 256)
+    whole = bytes_[0] * F.lit(1 << 24) + bytes_[1] * F.lit(1 << 16) + bytes_[2] * 256 + bytes_[3]
+    text = lambda c, base=10: F.conv(c.cast("string"), 10, base)
+    coded = lambda c: F.concat(F.lit("%"), F.hex(F.ascii(c)))
+    wide = F.translate(board, "".join(map(chr, range(0x61, 0x7B))) + ".", "".join(map(chr, range(0xFF41, 0xFF5B))) + "\u3002")
+    urls = [
+        F.concat(F.lit("https://"), host, F.lit("/x")),
+        F.concat(F.lit("https://"), F.substring(host, F.lit(1), F.length(host) - 1), coded(F.right(host, F.lit(1))), F.lit("/")),
+        F.concat(F.lit("http://"), host, F.lit("."), coded(board), F.substring(board, 2, 99), F.lit("?q")),
+        F.concat(F.lit("https://www."), wide, F.lit("/")),
+        F.concat(F.lit("http://"), text(whole), F.lit("/")),
+        F.concat(F.lit("http://0x"), text(whole, 16), F.lit(":80/")),
+        F.concat(F.lit("http://"), F.concat_ws(".", *(F.concat(F.lit("0"), text(b, 8)) for b in bytes_)), F.lit("/")),
+        F.concat(F.lit("http://"), text(bytes_[0]), F.lit("."), text(bytes_[1] * F.lit(1 << 16) + bytes_[2] * 256 + bytes_[3]), F.lit("./")),
+        F.concat(F.lit("http://"), text(whole + F.lit(1 << 32)), F.lit("/")),
+        F.concat(F.lit("https://"), F.upper(board), F.lit("./")),
+        F.concat(F.lit("https://"), host, F.lit(":x@"), board, F.lit("/")),
+        F.concat(F.lit(" https://"), F.substring(board, 1, 2), F.lit("\t\n"), F.substring(board, 3, 99), F.lit("/")),
+        F.concat(F.lit("https://"), host, F.lit("^x/")),
+        F.concat(F.lit("ftp://"), host),
+        F.concat(F.lit("https:\\\\"), board, F.lit("\\x")),
+        F.concat(F.lit("https://"), host, F.lit(":99999/")),
+    ]
+    out = F.lit(None).cast("string")
+    for k, u in enumerate(urls):
+        out = F.when(way == k, u).otherwise(out)
+    return x.select("page_id", out.alias("url"))
+
+
+def _guard_sql() -> str:
+    pick = lambda values, n: "[" + ", ".join(sql_text(v) if isinstance(v, str) else str(v) for v in values) + f"][{n} % {len(values)} + 1]"
+    tops, seconds = _tops()
+    return f"""SELECT page_id, CASE WHEN way IN (2, 3, 9, 10, 11, 14) THEN board || ' is a job board' WHEN way IN (8, 12, 15) THEN 'not a valid absolute URL' WHEN way = 13 THEN 'unsupported scheme "ftp:"'
+ WHEN way IN (4, 5, 6, 7) AND (a IN (10, 127) OR (a = 192 AND b = 168) OR (a = 172 AND b BETWEEN 16 AND 31) OR (a = 169 AND b = 254) OR (a = 0 AND b = 0 AND page_id % 256 = 0)) THEN 'private or loopback address' END AS reason
+ FROM (SELECT page_id, page_id % {_WAYS} AS way, {pick(careers.BLOCKED_DOMAINS, f'(page_id // {_WAYS})')} AS board, {pick(tops, f'(page_id // {_WAYS})')} AS a, {pick(seconds, f'(page_id // {_WAYS})')} AS b FROM pages)"""
+
+
+@query(_guard_sql)
+def host_guard(spark, sf_dir):
+    """The whole guard over hosts in other notations; the oracle knows each by its making."""
+    return _guarded(table(spark, sf_dir, "pages")).select("page_id", careers.blocked_reason(F.col("url")).alias("reason"))
+
+
 def _html_sql() -> str:
     x = "html"
     decode = lambda x: f"replace(replace(replace(replace(replace(replace({x}, '&amp;', '&'), '&lt;', '<'), '&gt;', '>'), '&quot;', '\"'), '&#39;', ''''), '&nbsp;', ' ')"
