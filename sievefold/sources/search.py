@@ -41,7 +41,7 @@ class Gathered:
     unasked: int = 0
 
 
-def _answer(status: int, body: str, rows: str) -> list | None:
+def answer_rows(status: int, body: str, rows: str) -> list | None:
     """The rows of an answer, None if it has another shape; errors of the board raise."""
     if status >= 400:
         what = "bot challenge" if any(mark in body for mark in CHALLENGE) else body[:300]
@@ -70,7 +70,7 @@ def gather(transport: Transport, terms: list[str], rows: str, max_calls: int, pa
             if status == RATE_LIMITED:
                 out.ended = "limited"
                 return out
-            found = _answer(status, body, rows)
+            found = answer_rows(status, body, rows)
             if found is None:
                 continue
             out.payloads.append((term, body))
