@@ -598,7 +598,7 @@ def _guarded(x: DataFrame) -> DataFrame:
     pick = lambda values, n: F.get(F.array(*map(F.lit, values)), n.cast("int"))
     board = pick(careers.BLOCKED_DOMAINS, step % len(careers.BLOCKED_DOMAINS))
     tops, seconds = _tops()
-    bytes_ = (pick(tops, step % len(tops)), pick(seconds, step % len(seconds)), i % 256, i * 7 % 256)
+    bytes_ = [b.cast("long") for b in (pick(tops, step % len(tops)), pick(seconds, step % len(seconds)), i % 256, i * 7 % 256)]
     whole = bytes_[0] * F.lit(1 << 24) + bytes_[1] * F.lit(1 << 16) + bytes_[2] * 256 + bytes_[3]
     text = lambda c, base=10: F.conv(c.cast("string"), 10, base)
     coded = lambda c: F.concat(F.lit("%"), F.hex(F.ascii(c)))
@@ -630,7 +630,7 @@ def _guarded(x: DataFrame) -> DataFrame:
 def _guard_sql() -> str:
     pick = lambda values, n: "[" + ", ".join(sql_text(v) if isinstance(v, str) else str(v) for v in values) + f"][{n} % {len(values)} + 1]"
     tops, seconds = _tops()
-    return f"""SELECT page_id, CASE WHEN way IN (2, 3, 9, 10, 11, 14) THEN board || ' is a job board' WHEN way IN (8, 12, 15) THEN 'not a valid absolute URL' WHEN way = 13 THEN 'unsupported scheme "ftp:"'
+    return f"""SELECT page_id, CASE WHEN way IN (2, 3, 9, 10, 11, 14) THEN replace(board, 'au.indeed', 'indeed') || ' is a job board' WHEN way IN (8, 12, 15) THEN 'not a valid absolute URL' WHEN way = 13 THEN 'unsupported scheme "ftp:"'
  WHEN way IN (4, 5, 6, 7) AND (a IN (10, 127) OR (a = 192 AND b = 168) OR (a = 172 AND b BETWEEN 16 AND 31) OR (a = 169 AND b = 254) OR (a = 0 AND b = 0 AND page_id % 256 = 0)) THEN 'private or loopback address' END AS reason
  FROM (SELECT page_id, page_id % {_WAYS} AS way, {pick(careers.BLOCKED_DOMAINS, f'(page_id // {_WAYS})')} AS board, {pick(tops, f'(page_id // {_WAYS})')} AS a, {pick(seconds, f'(page_id // {_WAYS})')} AS b FROM pages)"""
 

@@ -96,3 +96,45 @@ def test_retry_ends_at_account_errors():
         except RuntimeError as e:
             assert str(e) == message
         assert len(calls) == n
+
+
+def test_hot_fingerprint_is_spread_over_tasks(spark):
+    """A third of all rows have one fingerprint and place; a task of the fold gets steps only."""
+    n, seen = 30_000, spark.sparkContext.accumulator(0)
+    i = F.col("id")
+    df = spark.range(n).select(
+        "id", F.when(i % 3 == 0, "hot").otherwise(F.concat(F.lit("f"), i % 500)).alias("content_fingerprint"), F.when(i % 2 == 0, (i % 7) * 0.02).alias("latitude"), F.when(i % 2 == 0, F.lit(0.0)).alias("longitude"),
+        F.concat(F.lit("P"), i % 5).alias("location_suburb"), F.timestamp_seconds(1_000_000 - i % 1000).alias("first_seen_at"),
+    )
+    fold = dedupe.fold_steps
+
+    def counted(ids, places, radius_km):
+        seen.add(len(ids))
+        return fold(ids, places, radius_km)
+
+    dedupe.fold_steps = counted
+    try:
+        got = {r.id: r.duplicate_of for r in dedupe.near_duplicates(df).collect()}
+    finally:
+        dedupe.fold_steps = fold
+    want, clusters = {}, {}
+    for r in sorted(df.collect(), key=lambda r: (r.first_seen_at, r.id)):
+        own, place = clusters.setdefault(r.content_fingerprint, []), (r.latitude, r.longitude, r.location_suburb.lower())
+        hit = next((c for c in own if any(dedupe.same_vacancy(p, place, 5.0) for p in c[1])), None)
+        if hit is None:
+            own.append((r.id, {place: None}))
+        else:
+            hit[1][place] = None
+        want[r.id] = hit[0] if hit else None
+    assert got == want
+    assert seen.value < n / 2  # steps of all rounds; most fingerprints have few rows
+
+
+def test_fold_finds_later_steps(spark):
+    """B founds a cluster; C is near both and joins A's, so the next B joins A's as well, and
+    brings D with it, which was near no row of A's cluster."""
+    km = 1 / 111.195
+    at = {"A": 0.0, "C": 4 * km, "B": 8 * km, "D": 12 * km}
+    rows = [(k, "f", at[p], 0.0, None, f"2026-01-{k:02}") for k, p in enumerate("ABCBDD", 1)]
+    df = spark.createDataFrame(rows, "id long, content_fingerprint string, latitude double, longitude double, location_suburb string, first_seen_at string")
+    assert {r.id: r.duplicate_of for r in dedupe.near_duplicates(df).collect()} == {1: None, 2: None, 3: 1, 4: 1, 5: 1, 6: 1}

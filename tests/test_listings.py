@@ -12,7 +12,7 @@ from sievefold.functions import geo, render, signals
 from sievefold.functions import text as T
 from sievefold.functions.urls import canonical_url, dedupe_hash, link_host
 from sievefold.operators import budget, careers
-from sievefold.operators.dedupe import changed_marks, near_duplicates, same_vacancy
+from sievefold.operators.dedupe import near_duplicates, same_vacancy
 from sievefold.operators.merge import Snapshots, compare_and_set, delete_where, insert_absent, update_where, upsert
 from sievefold.operators.prefilter import fit_score, prefilter
 
@@ -218,12 +218,6 @@ def test_near_duplicates_like_naive_fold(spark):
     assert dups(spark, rows) == want
 
 
-def test_changed_marks(spark):
-    a = spark.createDataFrame([("1", None), ("2", "1"), ("3", "1")], "id string, duplicate_of string")
-    b = spark.createDataFrame([("1", None), ("2", None), ("3", "1")], "id string, duplicate_of string")
-    assert [tuple(r) for r in changed_marks(a, b).collect()] == [("2", None)]
-
-
 def test_merges(spark):
     old = spark.createDataFrame([(1, "a", "x"), (2, "b", "y")], "k int, v string, s string")
     new = spark.createDataFrame([(2, "B", "z"), (3, "C", "z")], "k int, v string, s string")
