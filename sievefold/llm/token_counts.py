@@ -1,20 +1,29 @@
 """Edit-aware token counts.
 
-A document is cut into segments, each a word with the white space behind it, which the
-vocabulary encodes independently.  Up to ``2 * BLOCK`` neighbouring segments are a leaf of
-a segment tree that holds characters and token counts.  An edit descends the tree to the
+A document is cut into segments, which the vocabulary encodes independently: its own
+pre-tokens, each with the white space behind it.  (Words of up to LONG bytes are one segment
+until an edit touches them.)  Up to ``2 * BLOCK`` neighbouring segments are a leaf of a
+segment tree that holds characters and token counts.  An edit descends the tree to the
 segments it touches and those next to its ends, cuts their edited text into segments
 again, encodes only these, and updates the sums above their leaf.  A leaf that grows
 beyond its bound is split and the sums are built anew, once in ``BLOCK`` insertions.
+
+Cuts are made from left to right and depend on what follows by ``CONTEXT`` characters at
+most, so an edit is cut again from that far before it on, until a cut falls on an old one.
+Words with separate accents or other characters that the vocabulary's normaliser may join
+over a cut, and with what may be a special token, are one segment whatever their length;
+so is a run of letters, such as a sentence without blanks or punctuation, for it is one
+pre-token.
 """
 
 from __future__ import annotations
 
-import re
+import unicodedata
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -26,8 +35,38 @@ EDITS = "array<struct<pos:long,del:long,ins:string>>"
 
 
 BLOCK = 64
-#: A word with the white space behind it (the first one of a text also has that before it).
-_SEGMENT = re.compile(r"[ \t-\r]*[^ \t-\r]+[ \t-\r]*|[ \t-\r]+")
+LONG, CONTEXT = 64, 3
+_WHITE_CLASS = r"[ \t-\r]"
+_WORD = regex.compile(rf"({_WHITE_CLASS}*)([^ \t-\r]*)({_WHITE_CLASS}*)")
+# Fixed values (the vocabulary's own split).
+_PRE_TOKEN = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^\s\p{L}\p{N}]+", regex.IGNORECASE)
+#: What the normaliser could change over a cut, and what could begin a special token.
+_JOINS = regex.compile(r"[\p{M}\p{C}\p{Z}\u1100-\u11ff\ua960-\ua97f\ud7b0-\ud7ff\u0130]|<\|")
+_WHITE = b" \t\n\v\f\r"
+
+
+def pre_tokens(word: str) -> list[str] | None:
+    """A word's pre-tokens, None if it can't be cut."""
+    if not word.isascii() and (_JOINS.search(word) or not unicodedata.is_normalized("NFC", word) or len(word.lower()) != len(word)) or "<|" in word:
+        return None
+    found = _PRE_TOKEN.findall(word)
+    return found if sum(map(len, found)) == len(word) else None
+
+
+def cut(text: str) -> list[str]:
+    """Segments of a text: pre-tokens, or words that can't be cut, with the white space behind
+    them, the first one also with that before it."""
+    out: list[str] = []
+    for lead, word, tail in _WORD.findall(text):
+        if not word:
+            if lead or tail:
+                out.append(lead + tail)
+            continue
+        parts = list(pre_tokens(word) or (word,))
+        parts[0] = lead + parts[0]
+        parts[-1] += tail
+        out += parts
+    return out
 
 
 class TokenTree:
@@ -85,36 +124,67 @@ class TokenTree:
             self.tokens[node] += more_t
             node //= 2
 
+    def _segment(self, pos: int) -> tuple[int, int, int, str]:
+        """The segment that holds character ``pos``: its leaf, place there, start and text."""
+        leaf, before = self._find(pos)
+        parts, _ = self._parts(leaf)
+        i, at = _segment_at(parts, pos - before)
+        return leaf, i, before + at, parts[i] if parts else ""
+
+    def _between(self, start: int, end: int) -> str:
+        """The text from ``start`` up to ``end``."""
+        out = []
+        while start < end:
+            _, _, at, text = self._segment(start)
+            out.append(text[start - at : end - at])
+            start = at + len(text)
+        return "".join(out)
+
     def edit(self, pos: int, delete: int, insert: str) -> int:
         """Deletes ``delete`` characters at ``pos`` and inserts ``insert`` there; both are
         clipped to the text.  Returns the new total."""
         n = self.chars[1]
         pos = min(max(pos, 0), n)
         delete = min(max(delete, 0), n - pos)
-        left, right = max(pos - 1, 0), min(pos + delete, max(n - 1, 0))
-        (first, before), (last, before_last) = self._find(left), self._find(right)
-        parts, counts = self._parts(first)
-        i, at = _segment_at(parts, left - before)
-        tail, tail_counts = (parts, counts) if last == first else self._parts(last)
-        j, to = _segment_at(tail, right - before_last)
-        # the touched text begins with segment i, ``cut`` characters before the edit
-        cut = pos - before - at
-        if last == first:
-            old = "".join(parts[i : j + 1])
-            new = old[:cut] + insert + old[cut + delete :]
-        else:  # all between segments i and j is deleted
-            new = parts[i][:cut] + insert + tail[j][pos + delete - before_last - to :]
-        fresh = _SEGMENT.findall(new)
-        fresh_counts = [len(self.encoder.encode_word(w)) if (w := x.encode("utf-8").strip(_WHITE)) else 0 for x in fresh]
+        left = self._segment(max(pos - CONTEXT, 0))[2] if n else 0
+        right = pos + delete
+        if right < n:
+            _, _, at, text = self._segment(right)
+            right = at + len(text)
+        new = self._between(left, pos) + insert + self._between(pos + delete, right)
+        while True:
+            # a word that can't be cut is taken whole, and a cut must fall on the old one on the right
+            grown = left > 0 and not _ends_white(before := self._segment(left - 1)[3]) and not _is_cut(before, new)
+            if grown:
+                left -= len(before)
+                new = before + new
+            if right < n and new and not _ends_white(new) and not _is_cut(new, after := self._segment(right)[3]):
+                right += len(after)
+                new += after
+            elif not grown:
+                break
+        self._replace(left, right, cut(new))
+        return self.total
+
+    def _replace(self, left: int, right: int, fresh: list[str]) -> None:
+        """Puts segments in place of those from ``left`` to ``right``, which begin and end there."""
+        counts = [len(self.encoder.encode_word(w)) if (w := x.encode("utf-8").strip(_WHITE)) else 0 for x in fresh]
         self.reencoded += len(fresh)
-        parts, counts = parts[:i] + fresh + tail[j + 1 :], counts[:i] + fresh_counts + tail_counts[j + 1 :]
+        first, i, _, _ = self._segment(left if left < self.chars[1] else max(0, left - 1))
+        parts, own = self._parts(first)
+        if left >= self.chars[1]:
+            i = len(parts)  # behind the last segment
+        last, j = first, i - 1
+        if right > left:
+            last, j, _, _ = self._segment(right - 1)
+        tail, tail_counts = (parts, own) if last == first else self._parts(last)
+        parts, own = parts[:i] + fresh + tail[j + 1 :], own[:i] + counts + tail_counts[j + 1 :]
         for leaf in range(first + 1, last + 1):
             self._set(leaf, [], [])
         if len(parts) <= 2 * BLOCK:
-            self._set(first, parts, counts)
+            self._set(first, parts, own)
         else:
-            self._split(first, parts, counts)
-        return self.total
+            self._split(first, parts, own)
 
     def _split(self, leaf: int, parts: list[str], counts: list[int]) -> None:
         new = [(parts[a : a + BLOCK], counts[a : a + BLOCK]) for a in range(0, len(parts), BLOCK)]
@@ -130,7 +200,26 @@ class TokenTree:
         return "".join("".join(self._parts(leaf)[0]) for leaf in range(len(self.leaves)))
 
 
-_WHITE = b" \t\n\v\f\r"
+def _ends_white(text: str) -> bool:
+    return text[-1:] in " \t\n\v\f\r"
+
+
+def _is_cut(left: str, right: str) -> bool:
+    """Whether a cut falls between two neighbouring texts, the first of which begins at one."""
+    head = left[max(left.rfind(c) for c in " \t\n\v\f\r") + 1 :]
+    ends = [i for i in (right.find(c) for c in " \t\n\v\f\r") if i >= 0]
+    tail = right[: min(ends)] if ends else right
+    if not tail:
+        return True
+    found = pre_tokens(head + tail)
+    if found is None:
+        return False
+    at = 0
+    for part in found:
+        at += len(part)
+        if at >= len(head):
+            return at == len(head)
+    return False
 
 
 def _segment_at(parts: list[str], pos: int) -> tuple[int, int]:
@@ -147,7 +236,7 @@ def trees(arr: pa.Array, encoder: _tokens.WordIds) -> Iterator[TokenTree]:
     """The tree of every text of a chunk."""
     counts, _, span_at = encoder.spans(arr, want_ids=False)
     buf, offs = buffers(arr)
-    s, _, w = words(buf, offs)
+    s, e, w = words(buf, offs)
     points = np.concatenate([[0], np.cumsum(code_points(buf), dtype=np.int64)])
     starts, _, _ = _tokens.spans(buf, offs)
     of_span = np.concatenate([[0], np.cumsum(counts)])
@@ -161,7 +250,14 @@ def trees(arr: pa.Array, encoder: _tokens.WordIds) -> Iterator[TokenTree]:
             continue
         edge = np.append(points[s[a:b]], points[offs[i + 1]])
         edge[0] = points[offs[i]]  # leading white space belongs to the first word
-        yield TokenTree(text, np.diff(edge), np.diff(by_word[a : b + 1]), encoder)
+        chars, tokens = np.diff(edge), np.diff(by_word[a : b + 1])
+        for k in np.flatnonzero(e[a:b] - s[a:b] > LONG)[::-1].tolist():
+            # from the last one on, so that the places before stay
+            parts = cut(text[edge[k] - edge[0] : edge[k + 1] - edge[0]])
+            each = [len(encoder.encode_word(x.encode("utf-8").strip(_WHITE))) for x in parts] if len(parts) > 1 else [int(tokens[k])]
+            chars = np.concatenate([chars[:k], np.array([len(x) for x in parts], chars.dtype), chars[k + 1 :]])
+            tokens = np.concatenate([tokens[:k], np.array(each, tokens.dtype), tokens[k + 1 :]])
+        yield TokenTree(text, chars, tokens, encoder)
 
 
 def count_edits(docs: DataFrame, edits: Column, path: str | None = None, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
