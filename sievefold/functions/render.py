@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from .hosts import let
 from .signals import js_round
 from .text import WS, js_trim, non_empty
 from .urls import link_host
@@ -19,15 +20,38 @@ def escape_html(c: Column) -> Column:
     return c
 
 
+_ASTRAL = r"[\x{10000}-\x{10ffff}]"
+
+
+def units(c: Column) -> Column:
+    """A text's length as the messenger counts it: in UTF-16 units, of which characters
+    beyond the first plane, such as pictures, take two."""
+    return F.length(c) + F.regexp_count(c, F.lit(_ASTRAL))
+
+
+def take_units(c: Column, limit: Column) -> Column:
+    """The first characters that have ``limit`` units together; none is halved."""
+    some = F.substring(c, F.lit(1), limit)
+    start = F.struct(F.lit(0).alias("n"), F.lit("").alias("text"))
+
+    def step(s: Column, ch: Column) -> Column:
+        n = s["n"] + F.when(ch.rlike(_ASTRAL), 2).otherwise(1)
+        return F.struct(n.alias("n"), F.when(n <= limit, F.concat(s["text"], ch)).otherwise(s["text"]).alias("text"))
+
+    return F.when(units(some) <= limit, some).otherwise(F.aggregate(F.split(some, ""), start, step)["text"])
+
+
 def truncate(c: Column, limit: Column | int) -> Column:
-    """Trimmed; if longer than the limit, cut at the last blank beyond 60 % of it."""
+    """Trimmed; if longer than the limit in units, cut at the last blank beyond 60 % of it."""
     limit = F.lit(limit) if isinstance(limit, int) else limit
     t = js_trim(c)
-    cut = F.substring(t, F.lit(1), limit)
-    space = F.length(cut) - F.instr(F.reverse(cut), " ")  # characters before the last blank
-    has = cut.contains(" ")
-    short = F.when(has & (space > limit * 0.6), F.substring(cut, F.lit(1), space)).otherwise(cut)
-    return F.when(F.length(t) <= limit, t).otherwise(F.concat(F.regexp_replace(short, rf"[{WS}]+$", ""), F.lit("…")))
+
+    def ended(cut: Column) -> Column:
+        head = F.substring(cut, F.lit(1), F.length(cut) - F.instr(F.reverse(cut), " "))  # before the last blank
+        short = F.when(cut.contains(" ") & (units(head) > limit * 0.6), head).otherwise(cut)
+        return F.concat(F.regexp_replace(short, rf"[{WS}]+$", ""), F.lit("…"))
+
+    return F.when(units(t) <= limit, t).otherwise(let(take_units(t, limit), ended))
 
 
 def truncate_escaped(c: Column, limit: Column | int) -> Column:
@@ -78,9 +102,7 @@ def match_card(m: dict[str, Column]) -> Column:
         line(m["posted"], F.concat(F.lit("<i>posted "), escape_html(posted_text(m["posted"])), F.lit("</i>"))),
         F.concat(F.lit('\n<a href="'), escape_html(m["url"]), F.lit('">Open on '), escape_html(link_host(m["url"])), F.lit(" →</a>")),
     ]
-    # the limit counts UTF-16 units, of which the two pictures take two each
-    pictures = F.when(non_empty(place), 1).otherwise(0) + F.when(non_empty(facts), 1).otherwise(0)
-    room = F.least(F.lit(MAX_REASONING), F.lit(MAX_MESSAGE - 8) - F.length(_joined([*head, *tail], "\n")) - pictures)
+    room = F.least(F.lit(MAX_REASONING), F.lit(MAX_MESSAGE - 8) - units(_joined([*head, *tail], "\n")))
     why = F.when(room > 0, truncate_escaped(escape_html(F.coalesce(m["reasoning"], F.lit(""))), room))
     return _joined([*head, line(why, F.concat(F.lit("\n"), why)), *tail], "\n")
 
@@ -94,7 +116,7 @@ def encode_callback(decision: Column, match_id: Column) -> Column:
 
 def decode_callback(data: Column) -> Column:
     """struct(decision, match_id), null for anything unknown."""
-    pattern = "(?i)^([ads]):([0-9a-f-]{36})$"
+    pattern = r"(?i)^([ads]):([0-9a-f-]{36}|-?\d{1,19})$"  # a match's uuid, or its number here
     code = F.regexp_extract(data, "^(.):", 1)
     decision = F.lit(None).cast("string")
     for k, v in ACTIONS.items():

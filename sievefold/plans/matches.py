@@ -79,13 +79,17 @@ def top_matches(matches: DataFrame, listings: DataFrame, n: int = 5) -> DataFram
 def pipeline_stats(listings: DataFrame, matches: DataFrame, threshold: int) -> DataFrame:
     """One row of counts.  ``above_threshold`` doesn't ask for a passed listing, and
     ``scored`` counts duplicates too."""
-    passed, canonical = F.col("status") == "passed", F.col("duplicate_of").isNull()
-    a = listings.agg(F.count(F.lit(1)).alias("listings_total"), F.count_if(passed).alias("listings_passed"), F.count_if(~canonical).alias("duplicates"), F.count_if(passed & canonical).alias("_scorable"))
-    j = with_listing(matches, listings)
-    b = j.agg(F.count_if(passed & canonical).alias("_done"), F.count_if((F.col("fit_score") >= threshold) & canonical).alias("above_threshold"))
-    c = matches.agg(F.count(F.lit(1)).alias("scored"), *(F.count_if(F.col("match_status") == s).alias(f"n_{s}") for s in ("new", "notified", "saved", "applied", "dismissed")))
-    one = a.join(b).join(c)  # three single rows
-    return one.withColumn("awaiting_score", F.greatest(F.lit(0), F.col("_scorable") - F.col("_done"))).drop("_scorable", "_done")
+    l = listings.select(F.col("id").alias("listing_id"), F.lit(True).alias("_l"), (F.col("status") == "passed").alias("_passed"), F.col("duplicate_of").isNull().alias("_canonical"))
+    m = matches.select("listing_id", F.lit(True).alias("_m"), "match_status", (F.col("fit_score") >= threshold).alias("_above"))
+    # a listing has one match at most, so every row of either side occurs once
+    x = l.join(m, "listing_id", "full")
+    both, scorable = F.col("_l") & F.col("_m"), F.col("_passed") & F.col("_canonical")
+    one = x.agg(
+        F.count("_l").alias("listings_total"), F.count_if("_passed").alias("listings_passed"), F.count_if(~F.col("_canonical")).alias("duplicates"), F.count("_m").alias("scored"),
+        F.count_if(both & F.col("_above") & F.col("_canonical")).alias("above_threshold"), (F.count_if(scorable) - F.count_if(both & scorable)).alias("_open"),
+        *(F.count_if(F.col("match_status") == s).alias(f"n_{s}") for s in ("new", "notified", "saved", "applied", "dismissed")),
+    )
+    return one.withColumn("awaiting_score", F.greatest(F.lit(0), F.col("_open"))).drop("_open")
 
 
 def full_stats(listings: DataFrame, matches: DataFrame, settings: DataFrame, log: DataFrame, now: str) -> DataFrame:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..criteria import AXES
@@ -98,3 +98,24 @@ def bar(n: Column, total: Column, width: int = 28) -> Column:
     """Text bar of a share."""
     filled = F.when(total > 0, F.floor(n * width / total + 0.5)).otherwise(F.lit(0)).cast("int")
     return F.concat(F.repeat(F.lit("█"), filled), F.repeat(F.lit("░"), F.lit(width) - filled))
+
+
+def assembled(listings: DataFrame, matches: DataFrame) -> DataFrame:
+    """The report as rows (section, name, n, bar): listings by status, the passed ones by each
+    axis and by what they state, scores of canonical listings, and why others were rejected.
+    A bar is a line's share of its section."""
+    passed = listings.where("status = 'passed'")
+    scored = matches.join(listings.where("duplicate_of IS NULL").select(F.col("id").alias("listing_id")), "listing_id")
+    real_pay = (F.col("salary_min") > 0) & ~F.col("salary_is_predicted")
+    stated = passed.agg(F.count("duration_weeks").alias("duration"), F.count_if(real_pay).alias("salary")).unpivot([], ["duration", "salary"], "name", "n")
+    line = lambda df, section, name: df.select((section if isinstance(section, Column) else F.lit(section)).alias("section"), F.col(name).alias("name"), "n")
+    rows = (
+        line(count_by(listings, "name", F.col("status")), "listings", "name")
+        .union(line(axis_distribution(passed), F.concat(F.lit("axis "), F.col("axis")), "value"))
+        .union(line(stated, "stated", "name"))
+        .union(line(score_histogram(scored), "score", "bucket"))
+        .union(line(rejection_breakdown(listings), "rejected for", "reason"))
+    )
+    # a few lines per section from here on
+    total = F.sum("n").over(Window.partitionBy("section"))
+    return rows.withColumn("bar", F.when(F.col("section") != "stated", bar(F.col("n"), total)))

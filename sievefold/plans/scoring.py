@@ -133,6 +133,29 @@ def priced(scorer: Scorer, usd: Callable[[int], float]) -> PricedScorer:
     return lambda batch, payloads: (scorer(batch, payloads), usd(len(payloads)))
 
 
+def with_priced_retry(scorer: PricedScorer, attempts: int = 4, sleep: Callable[[float], None] = time.sleep) -> PricedScorer:
+    """As ``with_retry``, for a scorer that tells its costs: what failed attempts cost is part
+    of the batch's cost, or of the error's ``usd`` if none succeeds."""
+
+    def call(batch: int, payloads: list[tuple[int, str]]) -> tuple[list[tuple[int, int, str, str]], float]:
+        spent = 0.0
+        for attempt in range(1, attempts + 1):
+            try:
+                got, usd = scorer(batch, payloads)
+                spent += usd
+                return checked(got, len(payloads)), spent
+            except Exception as e:  # noqa: BLE001 - the scorer is foreign code
+                spent += float(getattr(e, "usd", 0.0))
+                wait = pause(e, attempt)
+                if wait is None or attempt == attempts:
+                    e.usd = spent
+                    raise
+            sleep(wait)
+        raise AssertionError("unreachable")
+
+    return call
+
+
 @dataclass
 class Run:
     """What a scoring run did.  ``scored`` holds the scored listings with their batch and
@@ -202,4 +225,4 @@ def run(queue: DataFrame, scorer: PricedScorer, budget: float, dearest: float, s
     return Run(scored, queued, done, failed, usd, ended)
 
 
-__all__ = ["Run", "Scorer", "ScorerError", "priced", "rule_scorer", "run", "run_costs", "score", "upsert_matches", "with_retry"]
+__all__ = ["Run", "Scorer", "ScorerError", "priced", "rule_scorer", "run", "run_costs", "score", "upsert_matches", "with_priced_retry", "with_retry"]

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from . import oracles as o
-from .criteria import keyword_rows, preference_rows, seed_criteria, small_criteria
+from .criteria import keyword_rows, seed_criteria, small_criteria
 from .functions import geo, render, signals
 from .functions.text import content_fingerprint, html_to_text, listing_text
 from .functions.urls import canonical_url, dedupe_hash
@@ -21,6 +21,8 @@ from .plans import matches, report, scoring
 from .plans.ingest import dry_run, ingest_summary, merge_listings, prepare, reevaluate, reprocess
 from .schemas import BOARD_A, BOARD_B
 from .sources import boards
+from .streaming import decisions, source_state
+from .streaming.polls import remaining_calls
 from .sources.listing_view import NOW, listings, listings_sql, spread, sql_text
 
 _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -89,6 +91,16 @@ def prefilter_listings(spark, sf_dir):
     return x.select("id", "status", F.array_join("reasons", ONE_LINE).alias("reasons"), F.array_join("matched_keywords", ONE_LINE).alias("matched_keywords"), "keyword_match_source", "distance_km", "suburb", "state", "compensation", "work_mode", "commitment", "role_type", "duration_weeks", "preference_multiplier")
 
 
+def _strict():
+    """Criteria whose unknown places are rejected and whose durations have an upper bound."""
+    return small_criteria().with_filter(keep_unknown_location=False, min_duration_weeks=3, max_duration_weeks=12)
+
+
+@query(lambda: f"WITH {o.located()}, {o.prefiltered(_strict())} SELECT id, status, array_to_string(reasons, ' | ') AS reasons FROM pf")
+def prefilter_strict(spark, sf_dir):
+    return prefilter(listings(spark, sf_dir), _strict(), NOW).select("id", "status", F.array_join("reasons", ONE_LINE).alias("reasons"))
+
+
 @query(_pf("SELECT reason, count(*) AS n FROM (SELECT trim(split_part(unnest(reasons), ':', 1)) AS reason FROM pf) GROUP BY reason"))
 def reason_tally(spark, sf_dir):
     # explode_outer: a plain explode would push a filter on the reasons below their computation
@@ -465,36 +477,99 @@ def daily_quota(spark, sf_dir):
     return table(spark, sf_dir, "events").select("event_id", (rank <= 2).alias("within_quota"))
 
 
-_SOURCES = [("a", True, 180, 200, 34, "2001-08-02 00:00:00", "2001-07-31 22:00:00"), ("b", True, 240, 400, 400, "2001-08-02 00:00:00", None), ("c", False, 720, 100, 0, "2001-08-01 00:00:00", None), ("d", True, 60, 10, 10, "2001-07-31 00:00:00", "2001-07-31 23:30:30"), ("e", True, 60, 10, 0, "2001-08-02 00:00:00", None)]
+def polls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The events as polls of sources: each user is one, errors are failures."""
+    failed = F.col("event_type") == "error"
+    return table(spark, sf_dir, "events").select(
+        "event_id", F.concat(F.lit("source "), F.col("user_id").cast("string")).alias("name"), F.col("ts").cast("timestamp").alias("at"), (F.col("event_id") % 9).alias("calls"), (~failed).alias("ok"),
+        F.when(failed, F.concat(F.lit("error "), F.col("event_id").cast("string"))).alias("error"),
+    )
+
+
+_POLLS = "p AS (SELECT event_id, 'source ' || user_id AS name, ts AS at, event_id % 9 AS calls, event_type <> 'error' AS ok, CASE WHEN event_type = 'error' THEN 'error ' || event_id END AS error FROM events)"
+_HISTORY = f"""{_POLLS}, r AS (SELECT *, sum(ok::INT) OVER (PARTITION BY name ORDER BY at) AS run FROM p),
+h AS (SELECT event_id, name, at, sum(calls) OVER (PARTITION BY name, date_trunc('day', at) ORDER BY at)::BIGINT AS calls_today, date_trunc('day', at) + INTERVAL 1 DAY AS quota_reset_at,
+ max(CASE WHEN ok THEN at END) OVER (PARTITION BY name ORDER BY at) AS last_success_at, error AS last_error, sum((NOT ok)::INT) OVER (PARTITION BY name, run ORDER BY at)::BIGINT AS consecutive_failures FROM r)"""
+_SHOWN = ("at", "quota_reset_at", "last_success_at")
+_SHOWN_SQL = ", ".join(f"strftime({c}, '%Y-%m-%d %H:%M:%S.%f') AS {c}" for c in _SHOWN)
+
+
+def _shown_times(df: DataFrame) -> DataFrame:
+    return df.withColumns({c: F.date_format(c, "yyyy-MM-dd HH:mm:ss.SSSSSS") for c in _SHOWN})
+
 
+@query(lambda: f"WITH {_HISTORY} SELECT * REPLACE ({_SHOWN_SQL}) FROM h")
+def source_histories(spark, sf_dir):
+    """What every source's polls had added up to, after each of them."""
+    return _shown_times(source_state.histories(polls(spark, sf_dir)))
 
-@query(lambda: f"""SELECT name, CASE WHEN NOT enabled THEN 'disabled' WHEN now < reset AND calls >= most THEN 'daily quota spent (' || calls || '/' || most || '), resets ' || strftime(reset, '%Y-%m-%dT%H:%M:%S.000Z')
- WHEN epoch(now) - epoch(polled) < every * 60 THEN 'not due for ' || ceil(every - (epoch(now) - epoch(polled)) / 60)::BIGINT || 'm' ELSE 'due' END AS due
- FROM (SELECT *, TIMESTAMP '{NOW}' AS now FROM (VALUES {', '.join(f"('{a}', {b}, {c}, {d}, {e}, TIMESTAMP '{f}', {'NULL' if g is None else f"TIMESTAMP '{g}'"})" for a, b, c, d, e, f, g in _SOURCES)}) v(name, enabled, every, most, calls, reset, polled))""")
+
+@query(lambda: f"WITH {_HISTORY} SELECT * EXCLUDE (event_id) REPLACE ({_SHOWN_SQL}) FROM h QUALIFY row_number() OVER (PARTITION BY name ORDER BY at DESC) = 1")
+def source_states(spark, sf_dir):
+    """The sources' states at the end of the log."""
+    return _shown_times(source_state.folded(polls(spark, sf_dir).drop("event_id")))
+
+
+#: When sources are asked whether they are due, and their settings as expressions of their number.
+_DUE_AT = "2024-01-30 23:00:00"
+_EVERY, _MOST, _ENABLED = "(user_id % 5 + 1) * 240", "user_id % 30 + 1", "user_id % 7 <> 0"
+
+
+@query(lambda: f"""WITH {_HISTORY}, s AS (SELECT *, split_part(name, ' ', 2)::BIGINT AS user_id FROM h WHERE at <= TIMESTAMP '{_DUE_AT}' QUALIFY row_number() OVER (PARTITION BY name ORDER BY at DESC) = 1),
+x AS (SELECT *, {_EVERY} AS every, {_MOST} AS most, epoch_us(TIMESTAMP '{_DUE_AT}') - epoch_us(at) AS waited FROM s)
+SELECT name, CASE WHEN NOT ({_ENABLED}) THEN 'disabled' WHEN TIMESTAMP '{_DUE_AT}' < quota_reset_at AND calls_today >= most THEN 'daily quota spent (' || calls_today || '/' || most || '), resets ' || strftime(quota_reset_at, '%Y-%m-%dT%H:%M:%S.000Z')
+ WHEN waited < every * 60000000 THEN 'not due for ' || ceil(every - waited / 60000000.0)::BIGINT || 'm' ELSE 'due' END AS due,
+ CASE WHEN TIMESTAMP '{_DUE_AT}' >= quota_reset_at THEN most ELSE greatest(0, most - calls_today) END AS remaining FROM x""")
 def source_due(spark, sf_dir):
-    rows = spark.createDataFrame(_SOURCES, "name string, enabled boolean, poll_interval_minutes int, max_calls_per_day int, calls_today int, quota_reset_at string, last_polled_at string")
-    rows = rows.withColumns({c: F.col(c).cast("timestamp") for c in ("quota_reset_at", "last_polled_at")})
-    return rows.select("name", budget.source_due(F.lit(NOW).cast("timestamp")).alias("due"))
+    """Which sources are due at a moment, by the state that their polls have added up to."""
+    now = F.lit(_DUE_AT).cast("timestamp")
+    states = source_state.folded(polls(spark, sf_dir).drop("event_id").where(F.col("at") <= now))
+    rows = states.withColumn("user_id", F.split_part("name", F.lit(" "), F.lit(2)).cast("long")).withColumns(
+        {"poll_interval_minutes": F.expr(_EVERY), "max_calls_per_day": F.expr(_MOST), "enabled": F.expr(_ENABLED), "last_polled_at": F.col("at")}
+    )
+    return rows.select("name", budget.source_due(now).alias("due"), remaining_calls(now).alias("remaining"))
 
 
-def _plan_rows() -> str:
-    return ", ".join(f"({i}, {sql_text(k.term)}, '{k.kind}', {k.weight}::DECIMAL(4,2))" for i, k in enumerate(seed_criteria().keywords))
+_KIND = "CASE p_partkey % 4 WHEN 0 THEN 'exclude' WHEN 1 THEN 'exclude_work_rights' ELSE 'include' END"
+_TERMS = f"SELECT p_partkey AS ordinal, p_name AS term, {_KIND} AS kind, (p_size % 5 * 0.25 + 0.5)::DECIMAL(4,2) AS weight, p_partkey % 11 <> 0 AS is_active FROM part"
+
+
+def part_keywords(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The parts' names as a criteria set's terms."""
+    return table(spark, sf_dir, "part").select(F.col("p_partkey").alias("ordinal"), F.col("p_name").alias("term"), F.expr(_KIND).alias("kind"), F.expr("CAST(p_size % 5 * 0.25 + 0.5 AS DECIMAL(4,2))").alias("weight"), (F.col("p_partkey") % 11 != 0).alias("is_active"))
 
 
-@query(lambda: f"SELECT term, weight, row_number() OVER (ORDER BY weight DESC, i)::INT AS position FROM (VALUES {_plan_rows()}) v(i, term, kind, weight) WHERE kind = 'include'")
+@query(lambda: f"SELECT ordinal, term, weight, row_number() OVER (ORDER BY weight DESC, ordinal) AS position FROM ({_TERMS}) WHERE kind = 'include' AND is_active")
 def keyword_plan(spark, sf_dir):
-    plan = boards.keyword_plan(keyword_rows(spark, seed_criteria()))
-    return plan.select("term", "weight", F.row_number().over(Window.orderBy(F.desc("weight"), "ordinal")).alias("position"))
+    """In which order terms are asked for; weights are few, so each is numbered by itself."""
+    asked = boards.asked_terms(part_keywords(spark, sf_dir))
+    return budget.running_total(asked, F.lit(1), [budget.Desc(F.col("weight")), F.floor(F.col("ordinal") / 10_000)], [F.col("ordinal")], "position").select("ordinal", "term", "weight", "position")
 
 
-@query(lambda: f"SELECT kind, count(*) AS n FROM (VALUES {_plan_rows()}) v(i, term, kind, weight) GROUP BY kind")
+@query(lambda: f"SELECT kind, count(*) AS n FROM ({_TERMS}) WHERE is_active GROUP BY kind")
 def filter_summary(spark, sf_dir):
-    return report.keyword_counts(keyword_rows(spark, seed_criteria()))
+    return report.keyword_counts(part_keywords(spark, sf_dir))
 
 
-@query(lambda: "SELECT * FROM (VALUES " + ", ".join(f"('{d}', '{v}', {w}::DOUBLE)" for d, v, w in seed_criteria().preferences) + ") v(dimension, value, weight) WHERE weight <> 1")
+_WEIGHT = "(n_nationkey % 4 * 0.25 + 0.75)"
+
+
+@query(lambda: f"SELECT 'region ' || n_regionkey AS dimension, n_name AS value, {_WEIGHT}::DOUBLE AS weight FROM nation WHERE n_nationkey % 3 <> 0 AND {_WEIGHT} <> 1")
 def preference_weights(spark, sf_dir):
-    return report.preference_summary(preference_rows(spark, seed_criteria()))
+    rows = table(spark, sf_dir, "nation").select(F.concat(F.lit("region "), F.col("n_regionkey").cast("string")).alias("dimension"), F.col("n_name").alias("value"), F.expr(f"CAST({_WEIGHT} AS DOUBLE)").alias("weight"), (F.col("n_nationkey") % 3 != 0).alias("is_active"))
+    return report.preference_summary(rows)
+
+
+@query(lambda: "SELECT l_orderkey, round(sum((l_partkey * 2.0 + l_suppkey * 10.0 + CASE WHEN l_linenumber % 2 = 0 THEN l_quantity * 2.5 ELSE 0 END + l_linenumber * 0.2) / 1000000.0), 6) AS usd FROM lineitem GROUP BY l_orderkey")
+def request_costs(spark, sf_dir):
+    """What requests cost by their tokens, summed per run; some write nothing to the cache."""
+    x = table(spark, sf_dir, "lineitem")
+    written = F.when(F.col("l_linenumber") % 2 == 0, F.col("l_quantity"))
+    return x.groupBy("l_orderkey").agg(F.round(F.sum(budget.request_cost_usd(F.col("l_partkey"), F.col("l_suppkey"), written, F.col("l_linenumber"))), 6).alias("usd"))
+
+
+def _plan_rows() -> str:
+    return ", ".join(f"({i}, {sql_text(k.term)}, '{k.kind}', {k.weight}::DECIMAL(4,2))" for i, k in enumerate(seed_criteria().keywords))
 
 
 def _seed_sql() -> str:
@@ -518,6 +593,21 @@ def health_check(spark, sf_dir):
     return rows.unionByName(loose.select(F.lit("acronyms match their case").alias("name"), "rows", (F.col("rows") == 0).alias("ok")))
 
 
+#: Presses per match: the events of a user, some told twice.
+_STATUS = "CASE event_type WHEN 'click' THEN 'saved' WHEN 'purchase' THEN 'applied' WHEN 'error' THEN 'dismissed' ELSE 'notified' END"
+
+
+@query(lambda: f"""WITH u AS (SELECT user_id::VARCHAR || '-' || (event_id % 37) AS match_id, event_id AS update_id, {_STATUS} AS status FROM events),
+r AS (SELECT *, CASE status WHEN 'notified' THEN 1 WHEN 'saved' THEN 2 ELSE 3 END AS rank FROM u),
+a AS (SELECT *, coalesce(max(rank) OVER (PARTITION BY match_id ORDER BY update_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS reached FROM r)
+SELECT match_id, arg_max(status, update_id) AS match_status, max(update_id) AS decided_by, string_agg(status, ' ' ORDER BY update_id) AS accepted FROM a WHERE rank > reached GROUP BY match_id""")
+def decision_log(spark, sf_dir):
+    """What decisions told twice and out of order come to, by the moves that are allowed."""
+    x = table(spark, sf_dir, "events").select(F.concat(F.col("user_id").cast("string"), F.lit("-"), (F.col("event_id") % 37).cast("string")).alias("match_id"), F.col("event_id").alias("update_id"), F.expr(_STATUS).alias("status"))
+    told = x.unionByName(x.where("update_id % 5 = 0"))
+    return decisions.histories(told).withColumn("accepted", F.array_join("accepted", " "))
+
+
 _DENY = ("casino-win.example.net", "example.org")
 
 
@@ -672,6 +762,54 @@ def jsonld_postings(spark, sf_dir):
     return careers.extract_postings(jsonld_pages(spark, sf_dir)).select("page_id", "title", "url")
 
 
+def _posting_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pages that declare every order as a posting, in the shapes that sites use for company,
+    place, salary and date."""
+    x = table(spark, sf_dir, "orders").join(table(spark, sf_dir, "customer"), F.col("o_custkey") == F.col("c_custkey"))
+    way, null = F.col("o_orderkey") % 4, F.lit(None).cast("string")
+    js = lambda c: F.to_json(F.struct(c.alias("x"))).substr(F.lit(6), F.length(F.to_json(F.struct(c.alias("x")))) - 6)
+    name, day, price = js(F.col("c_name")), js(F.date_format("o_orderdate", "yyyy-MM-dd")), F.format_string("%.2f", "o_totalprice")
+    put = lambda *parts: F.concat(*(F.lit(p) if isinstance(p, str) else p for p in parts))
+    company = F.when(way == 0, put('"hiringOrganization":', name)).when(way == 1, put('"hiringOrganization":{"name":', name, "}")).when(way == 2, put('"hiringOrganization":{"legalName":', name, "}"))
+    street = js(F.concat(F.lit(" "), F.col("o_orderkey").cast("string"), F.lit(" High St ")))
+    place = F.when(way == 0, put('"jobLocation":{"address":', name, "}")).when(way == 1, put('"jobLocation":[{"address":{"streetAddress":', street, ',"postalCode":3000,"addressCountry":{"name":"AU"}}}]')).when(way == 2, '"jobLocationType":"TELECOMMUTE"')
+    pay = F.when(way == 0, put('"baseSalary":', price)).when(way == 1, put('"baseSalary":{"currency":"AUD","value":{"minValue":"', price, '","maxValue":', price, "}}")).when(way == 2, put('"baseSalary":{"value":', price, ',"currency":"USD"}')).otherwise('"baseSalary":{"value":{"value":"negotiable"}}')
+    date = F.when(way == 0, put('"datePosted":', day)).when(way == 1, put('"datePosted":"', F.date_format("o_orderdate", "yyyy-MM-dd'T'HH:mm:ss"), '+10:00"')).when(way == 2, '"datePosted":"soon"').otherwise(null)
+    fields = F.array_join(F.array(F.lit('"@type":["Thing","JobPosting"]'), put('"name":', js(F.col("o_orderpriority"))), company, place, pay, date, F.when(way == 1, '"employmentType":["FULL_TIME","PART_TIME"]')), ",")
+    html = put('<html><script nonce="x" type="application/ld+json">{"item":{', fields, "}}</script>")
+    return x.select(F.col("o_orderkey").alias("page_id"), html.alias("html"), F.lit("https://careers.example.com/x").alias("url"))
+
+
+@query(lambda: """WITH x AS (SELECT *, o_orderkey % 4 AS way FROM orders JOIN customer ON o_custkey = c_custkey)
+SELECT o_orderkey AS page_id, o_orderpriority AS title, CASE WHEN way < 3 THEN c_name END AS company, CASE way WHEN 0 THEN c_name WHEN 1 THEN o_orderkey || ' High St, 3000, AU' WHEN 2 THEN 'Remote' END AS location_raw,
+ CASE way WHEN 0 THEN strftime(o_orderdate, '%Y-%m-%d %H:%M:%S') WHEN 1 THEN strftime(o_orderdate - INTERVAL 10 HOUR, '%Y-%m-%d %H:%M:%S') END AS posted,
+ CASE way WHEN 1 THEN o_totalprice WHEN 2 THEN o_totalprice END AS salary_min, CASE way WHEN 1 THEN o_totalprice WHEN 2 THEN o_totalprice END AS salary_max, CASE way WHEN 1 THEN 'AUD' WHEN 2 THEN 'USD' END AS salary_currency, CASE WHEN way = 1 THEN 'FULL_TIME' END AS employment_type FROM x""")
+def posting_details(spark, sf_dir):
+    """Company, place, date and salary of postings in several shapes."""
+    x = careers.extract_postings(_posting_pages(spark, sf_dir))
+    return x.select("page_id", "title", "company", "location_raw", F.date_format("posted_date", "yyyy-MM-dd HH:mm:ss").alias("posted"), "salary_min", "salary_max", "salary_currency", "employment_type")
+
+
+def _report_sql() -> str:
+    passed = "FROM l WHERE status = 'passed'"
+    rows = [
+        "SELECT 'listings' AS section, status AS name, count(*) AS n FROM l GROUP BY status",
+        f"SELECT 'axis ' || axis, value, count(*) FROM (UNPIVOT (SELECT compensation, work_mode, commitment, role_type {passed}) ON compensation, work_mode, commitment, role_type INTO NAME axis VALUE value) GROUP BY ALL",
+        f"SELECT 'stated', 'duration', count(duration_weeks) {passed}",
+        f"SELECT 'stated', 'salary', count(*) FILTER (salary_min > 0 AND NOT salary_is_predicted) {passed}",
+        "SELECT 'score', b.bucket, count(s.id) FROM (VALUES ('80-100'), ('70-79'), ('50-69'), ('25-49'), ('0-24')) b(bucket) LEFT JOIN (SELECT listing_id AS id, CASE WHEN fit_score >= 80 THEN '80-100' WHEN fit_score >= 70 THEN '70-79' WHEN fit_score >= 50 THEN '50-69' WHEN fit_score >= 25 THEN '25-49' ELSE '0-24' END AS bucket FROM j WHERE duplicate_of IS NULL) s ON s.bucket = b.bucket GROUP BY b.bucket",
+        "SELECT 'rejected for', trim(split_part(r, ':', 1)), count(*) FROM (SELECT unnest(reasons) AS r FROM l WHERE status = 'rejected') GROUP BY ALL",
+    ]
+    return ", u AS (" + " UNION ALL ".join(rows) + "), t AS (SELECT *, sum(n) OVER (PARTITION BY section) AS total FROM u) SELECT section, name, n, CASE WHEN section = 'stated' THEN NULL ELSE repeat('█', floor(n * 28 / greatest(total, 1) + 0.5)::INT) || repeat('░', 28 - floor(n * 28 / greatest(total, 1) + 0.5)::INT) END AS bar FROM t"
+
+
+@query(lambda: _matches_sql(_report_sql(), _MATCHED)())
+def text_report(spark, sf_dir):
+    """The whole report, as lines of its sections."""
+    m, l = both(spark, sf_dir, _MATCHED)
+    return report.assembled(l, m)
+
+
 _POINTS = " + ".join(f"CASE WHEN contains(seen, '{t}') THEN {p} ELSE 0 END" for t, p in scoring.POINTS.items())
 
 

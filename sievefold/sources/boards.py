@@ -92,7 +92,11 @@ class FileSource:
         return normalise(read_payload(spark, self.path, schema))
 
 
+def asked_terms(keywords: DataFrame) -> DataFrame:
+    return keywords.where("is_active AND kind = 'include'")
+
+
 def keyword_plan(keywords: DataFrame, limit: int | None = None) -> DataFrame:
     """Include terms in the order in which they are asked for: weight, then as listed."""
-    plan = keywords.where("is_active AND kind = 'include'").orderBy(F.desc("weight"), "ordinal")
+    plan = asked_terms(keywords).orderBy(F.desc("weight"), "ordinal")
     return plan if limit is None else plan.limit(limit)

@@ -12,7 +12,9 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..criteria import Criteria, keyword_rows
+from ..functions.urls import dedupe_hash
 from ..operators.budget import record_poll, source_due
+from ..operators.dedupe import first_wins
 from ..operators.settings import load_sources
 from ..operators.store import store
 from ..sources.board_source import BoardSource, answers_of, calls_made
@@ -55,6 +57,15 @@ def ask(spark: SparkSession, board: Board, criteria: Criteria, max_calls: int) -
     return store(spark.read.format("board").options(**options).load())
 
 
+def first_found(found: list[DataFrame], terms: DataFrame) -> DataFrame:
+    """The listings of a poll, of each URL the one that the weightiest term found; ids are made
+    of the URL, so that a listing keeps its own over polls."""
+    all_ = reduce(DataFrame.unionByName, found).withColumn("_hash", dedupe_hash("url"))
+    place = F.broadcast(terms.select(F.col("term").alias("provider_matched_term"), F.col("ordinal").alias("_at"), F.col("weight").alias("_weight")))
+    first = first_wins(all_.join(place, "provider_matched_term", "left"), ["_hash"], [F.desc_nulls_last("_weight"), "_at", "source", "raw_json"])
+    return first.withColumn("id", F.xxhash64("_hash")).drop("_hash", "_at", "_weight")
+
+
 def poll(spark: SparkSession, sources: DataFrame, boards: dict[str, Board], criteria: Criteria, now: str, stopped: Callable[[], bool] = lambda: False, force: bool = False) -> Poll:
     """Asks every source that is due, in order of their names, within its day's quota.
 
@@ -88,7 +99,8 @@ def poll(spark: SparkSession, sources: DataFrame, boards: dict[str, Board], crit
             outcomes.append((s.name, made, False, error))
             said[s.name] = f"failed: {error}"
     after = record_poll(sources, spark.createDataFrame(outcomes, OUTCOME), at) if outcomes else sources
-    return Poll(reduce(DataFrame.unionByName, found) if found else None, after, said)
+    terms = keyword_rows(spark, criteria).where("kind = 'include'").dropDuplicates(["term"])
+    return Poll(first_found(found, terms) if found else None, after, said)
 
 
 __all__ = ["Board", "Poll", "ask", "poll", "remaining_calls"]

@@ -8,10 +8,12 @@ from pyspark.sql import functions as F
 
 from sievefold.criteria import small_criteria
 from sievefold.functions import render
-from sievefold.operators.merge import Snapshots
 from sievefold.operators.prefilter import prefilter
 from sievefold.operators.store import store
+from sievefold.operators.tables import Tables
 from sievefold.plans import scoring
+from sievefold.sources.board_source import BoardSource
+from sievefold.streaming import polls
 from sievefold.streaming.cycle import Cycle, failure_rows, start
 
 NOW = "2001-08-01 00:00:00"
@@ -100,17 +102,17 @@ def test_leaked_reasoning_is_tried_again():
 
 
 def cycle(spark, tmp_path, **changes):
-    settings = Snapshots(spark, f"file://{tmp_path}/settings")
+    tables = Tables(spark, f"file://{tmp_path}/tables")
     row = dict(id=1, is_paused=False, scoring_enabled=True, notify_score_threshold=50, max_notifications_per_day=5, scoring_spend_today=0.0, max_scoring_spend_usd_per_day=1.0, max_scoring_spend_usd_per_cycle=1.0)
-    settings.write(spark.createDataFrame([Row(**row)], SETTINGS.rsplit(", ", 1)[0]).withColumn("scoring_spend_reset_at", F.lit("2001-08-02").cast("timestamp")))
+    with tables.commit() as tx:
+        tx.replace("settings", spark.createDataFrame([Row(**row)], SETTINGS.rsplit(", ", 1)[0]).withColumn("scoring_spend_reset_at", F.lit("2001-08-02").cast("timestamp")))
     sent = []
 
     def sender(text, keyboard):
         sent.append((text, json.loads(keyboard)))
         return str(len(sent))
 
-    parts = dict(listings=Snapshots(spark, f"file://{tmp_path}/listings"), matches=Snapshots(spark, f"file://{tmp_path}/matches"), settings=settings, log=Snapshots(spark, f"file://{tmp_path}/log"), criteria=small_criteria, now=lambda: NOW, order=["id"],
-                 scorer=scoring.priced(scoring.rule_scorer, lambda n: n / 64), dearest=8 / 64, sender=sender)
+    parts = dict(tables=tables, criteria=small_criteria, now=lambda: NOW, order=["id"], scorer=scoring.priced(scoring.rule_scorer, lambda n: n / 64), dearest=8 / 64, sender=sender)
     return Cycle(**(parts | changes)), sent
 
 
@@ -120,16 +122,16 @@ def test_cycles_of_a_stream(spark, tmp_path):
     # the second file repeats three URLs and a vacancy
     listings(spark, 10).coalesce(1).write.parquet(f"{tmp_path}/in")
     run_on()
-    assert c.failures == [] and c.listings.read().count() == 10 and sent == []  # notifying comes before scoring
+    assert c.failures == [] and c.tables.read("listings").count() == 10 and sent == []  # notifying comes before scoring
     again = listings(spark, 4, 7).union(listings(spark, 1).withColumns({"id": F.lit(99).cast("long"), "url": F.lit("http://c.d/x")}))
     again.coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
     run_on()
-    assert c.failures == [] and c.listings.read().count() == 12
-    scored = {r.listing_id: r.match_status for r in c.matches.read().collect()}
+    assert c.failures == [] and c.tables.read("listings").count() == 12
+    scored = {r.listing_id: r.match_status for r in c.tables.read("matches").collect()}
     assert set(scored) == set(range(11)) and sorted(scored.values()).count("notified") == 5
     assert len(sent) == 5 and all(k[0][0]["callback_data"].startswith("a:") for _, k in sent)
-    assert {(r.status, r.channel) for r in c.log.read().collect()} == {("sent", "chat")}
-    assert c.settings.read().first().scoring_spend_today == 11 / 64  # the repeated vacancy is a duplicate
+    assert {(r.status, r.channel) for r in c.tables.read("notification_log").collect()} == {("sent", "chat")}
+    assert c.tables.read("settings").first().scoring_spend_today == 11 / 64  # the repeated vacancy is a duplicate
     run_on()  # nothing new: no cycle
     assert len(sent) == 5
 
@@ -140,25 +142,64 @@ def test_failed_steps_wait_for_the_next_cycle(spark, tmp_path):
 
     c, sent = cycle(spark, tmp_path, scorer=broken)
     c.run(listings(spark, 3), 0, "s")
-    assert [(e, s) for e, s, _ in c.failures] == [(0, "score")] and c.listings.read().count() == 3 and c.matches.current() is None
+    assert [(e, s) for e, s, _ in c.failures] == [(0, "score")] and c.tables.read("listings").count() == 3 and not c.tables.has("matches")
     assert [tuple(r)[:2] for r in failure_rows(spark, c).collect()] == [(0, "score")]
     c.scorer = scoring.priced(scoring.rule_scorer, lambda n: 0.0)
     c.run(listings(spark, 3), 0, "s")  # the same batch once more changes no listing
-    assert c.matches.read().count() == 3 and len(c.listings._pointers()) == 1
+    assert c.tables.read("matches").count() == 3 and c.tables.manifest()["streams"] == {"s": 0}
 
     def down(text, keyboard):
         raise ConnectionError("down")
 
     c.sender = down
     c.notify()
-    assert {r.error for r in c.log.read().collect()} == {"down"} and {r.match_status for r in c.matches.read().collect()} == {"new"}
+    assert {r.error for r in c.tables.read("notification_log").collect()} == {"down"} and {r.match_status for r in c.tables.read("matches").collect()} == {"new"}
 
 
 def test_paused_cycle_only_ingests(spark, tmp_path):
     c, sent = cycle(spark, tmp_path)
-    c.settings.write(c.settings.read().withColumn("is_paused", F.lit(True)))
+    with c.tables.commit() as tx:
+        tx.replace("settings", c.tables.read("settings").withColumn("is_paused", F.lit(True)))
     c.run(listings(spark, 2), 0, "s")
-    assert c.failures == [] and c.matches.current() is None and sent == []
+    assert c.failures == [] and not c.tables.has("matches") and sent == []
+
+
+def test_cycles_leave_nothing_behind(spark, tmp_path):
+    """Neither stored tables nor old files grow with the number of cycles."""
+    import sievefold.operators.store as stores
+
+    c, _ = cycle(spark, tmp_path)
+    sizes = []
+    for epoch in range(3):
+        before = set(stores._stored)
+        c.run(listings(spark, 4, 4 * epoch), epoch, "s")
+        assert set(stores._stored) == before
+        sizes.append(len(list(tmp_path.rglob("*.parquet"))))
+    assert c.failures == [] and len(c.tables.numbers()) == 2 and c.tables.read("matches").count() == 12
+    assert sizes[2] - sizes[1] <= 40  # a batch's own buckets, not the table's history
+
+
+def test_polled_cycle(spark, tmp_path):
+    """From due sources to matches: one source fails, the other's listings go all the way."""
+    spark.dataSource.register(BoardSource)
+    c, _ = cycle(spark, tmp_path)
+    jobs = [{"id": str(i), "redirect_url": f"https://x.example/{i}", "title": "Cyber Security Intern", "company": {"display_name": f"c{i}"}, "location": {"display_name": "Melbourne VIC 3000"}} for i in range(3)]
+    for k in small_criteria().of("include"):
+        (tmp_path / f"{k.term}-1.json").write_text(json.dumps({"results": jobs}))  # every term finds the same
+    blank = "enabled boolean, poll_interval_minutes int, max_calls_per_day int, calls_today int, quota_reset_at timestamp, last_polled_at timestamp, last_success_at timestamp, last_error string, consecutive_failures int"
+    rows = spark.createDataFrame([("a", True, 60, 50, 0), ("b", True, 60, 50, 0)], "name string, enabled boolean, poll_interval_minutes int, max_calls_per_day int, calls_today int")
+    missing = [x.split() for x in blank.split(", ")][4:]
+    with c.tables.commit() as tx:
+        tx.replace("sources", rows.withColumns({n: F.lit("2001-08-01").cast("timestamp") if n == "quota_reset_at" else F.lit(0 if t == "int" else None).cast(t) for n, t in missing}))
+    boards = {"a": polls.Board("board_a", {"transport": "sievefold.sources.board_source:from_files", "answers": str(tmp_path), "pause": "0"}), "b": polls.Board("board_a", {"transport": "no.such:thing"})}
+    said = c.poll(boards, 0)
+    assert said["a"] == "polled" and said["b"].startswith("failed") and c.failures == []
+    assert sorted(r.url for r in c.tables.read("listings").collect()) == [f"https://x.example/{i}" for i in range(3)]
+    best = max(small_criteria().of("include"), key=lambda k: k.weight).term
+    assert {r.provider_matched_term for r in c.tables.read("listings").collect()} == {best}
+    state = {r.name: r for r in c.tables.read("sources").collect()}
+    assert (state["a"].consecutive_failures, state["b"].consecutive_failures) == (0, 1) and state["a"].calls_today > 0
+    assert c.poll(boards, 1)["a"].startswith("not due") and c.tables.read("matches").count() == 3
 
 
 def one(spark, column):
