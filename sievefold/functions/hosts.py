@@ -154,17 +154,21 @@ def ascii_host(raw: Column) -> Column:
     """The host that a client connects to, null if there is none.
 
     An address in brackets is only checked for its characters."""
+    return let(raw, _host)
+
+
+def _host(raw: Column) -> Column:
     decoded = F.when(raw.contains("%"), F.try_url_decode(F.replace(raw, F.lit("+"), F.lit("%2B")))).otherwise(raw)
     # a capital sigma is lowered by its place in the word elsewhere
     mapped = F.lower(F.translate(decoded, _WIDE + _STOPS + "Σ" + _PASSED_OVER, _NARROW + ".." + "σ"))
-    labels = lambda m: F.array_join(F.transform(F.split(m, r"\."), lambda x: F.when(x.rlike(r"^[\x00-\x7f]*$"), x).otherwise(F.concat(F.lit("xn--"), punycode(x)))), ".")
+    label = lambda x: F.when(x.rlike(r"^[\x00-\x7f]*$"), x).otherwise(F.concat(F.lit("xn--"), punycode(x)))
+    labels = lambda m: F.array_join(F.transform(F.split(m, r"\."), label), ".")
     plain = lambda m: F.when(m.rlike(r"^[\x00-\x7f]*$"), m).when(m.rlike(_UNSURE), F.lit(None)).otherwise(labels(m))
     checked = lambda h: F.when((h == "") | h.rlike(_FORBIDDEN), F.lit(None)).when(h.rlike(_NUMBER_LAST), ipv4(h)).otherwise(h)
-    low = F.lower(raw)
-    return (
-        F.when(low.rlike(_PLAIN) & ~low.rlike(_NUMBER_LAST), low)
-        .when(raw.startswith("["), F.when(low.rlike(r"^\[[0-9a-f:.]+\]$"), low))
-        .otherwise(let(mapped, lambda m: let(plain(m), checked)))
+    other = let(let(mapped, plain), checked)
+    return let(
+        F.lower(raw),
+        lambda low: F.when(low.rlike(_PLAIN) & ~low.rlike(_NUMBER_LAST), low).when(low.startswith("["), F.when(low.rlike(r"^\[[0-9a-f:.]+\]$"), low)).otherwise(other),
     )
 
 

@@ -44,14 +44,13 @@ def take_units(c: Column, limit: Column) -> Column:
 def truncate(c: Column, limit: Column | int) -> Column:
     """Trimmed; if longer than the limit in units, cut at the last blank beyond 60 % of it."""
     limit = F.lit(limit) if isinstance(limit, int) else limit
-    t = js_trim(c)
 
     def ended(cut: Column) -> Column:
         head = F.substring(cut, F.lit(1), F.length(cut) - F.instr(F.reverse(cut), " "))  # before the last blank
         short = F.when(cut.contains(" ") & (units(head) > limit * 0.6), head).otherwise(cut)
         return F.concat(F.regexp_replace(short, rf"[{WS}]+$", ""), F.lit("…"))
 
-    return F.when(units(t) <= limit, t).otherwise(let(take_units(t, limit), ended))
+    return let(js_trim(c), lambda t: F.when(units(t) <= limit, t).otherwise(let(take_units(t, limit), ended)))
 
 
 def truncate_escaped(c: Column, limit: Column | int) -> Column:
@@ -102,9 +101,12 @@ def match_card(m: dict[str, Column]) -> Column:
         line(m["posted"], F.concat(F.lit("<i>posted "), escape_html(posted_text(m["posted"])), F.lit("</i>"))),
         F.concat(F.lit('\n<a href="'), escape_html(m["url"]), F.lit('">Open on '), escape_html(link_host(m["url"])), F.lit(" →</a>")),
     ]
-    room = F.least(F.lit(MAX_REASONING), F.lit(MAX_MESSAGE - 8) - units(_joined([*head, *tail], "\n")))
-    why = F.when(room > 0, truncate_escaped(escape_html(F.coalesce(m["reasoning"], F.lit(""))), room))
-    return _joined([*head, line(why, F.concat(F.lit("\n"), why)), *tail], "\n")
+    # each part is bound once: columns repeat whatever they are used for
+    fixed = F.struct(_joined(head, "\n").alias("head"), _joined(tail, "\n").alias("tail"))
+    room = lambda x: F.least(F.lit(MAX_REASONING), F.lit(MAX_MESSAGE - 9) - units(x["head"]) - units(x["tail"]))
+    why = lambda n: F.when(n > 0, let(escape_html(F.coalesce(m["reasoning"], F.lit(""))), lambda t: truncate_escaped(t, n)))
+    whole = lambda x, w: _joined([x["head"], F.when(non_empty(w), F.concat(F.lit("\n"), w)), x["tail"]], "\n")
+    return let(fixed, lambda x: let(let(room(x), why), lambda w: whole(x, w)))
 
 
 def encode_callback(decision: Column, match_id: Column) -> Column:

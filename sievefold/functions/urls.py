@@ -50,6 +50,10 @@ def _resolved(x: Column) -> Column:
 def clean_path(path: Column) -> Column:
     """A path as it is sent: characters that no path may hold are escaped, existing escapes
     stay, backslashes are slashes, and segments ``.`` and ``..`` are resolved."""
+    return let(path, _clean)
+
+
+def _clean(path: Column) -> Column:
     dots = r"(?i)/(?:\.|%2e){1,2}(?:/|$)"
     tidy = path.rlike(_PATH_PLAIN) & ~path.rlike(dots)
     mended = let(_escaped(F.replace(path, F.lit("\\"), F.lit("/"))), lambda x: F.when(x.rlike(dots), _resolved(x)).otherwise(x))
@@ -64,7 +68,11 @@ def canonical_url(raw: str | Column) -> Column:
     What isn't a web URL with a host becomes its trimmed lower-case text; null stays null.
     """
     given = js_trim(raw)
-    x = tidied(given)
+    return F.coalesce(let(tidied(given), _canonical), F.lower(given))
+
+
+def _canonical(x: Column) -> Column:
+    """Null without a host."""
     # one slash before the query or the end goes, but the bare root keeps its own
     tail = F.regexp_replace(clean_path(web_path(x)), "(?<=.)/$", "")
     pairs = F.filter(F.split(web_query(x), "&"), lambda p: p != "")
@@ -75,9 +83,7 @@ def canonical_url(raw: str | Column) -> Column:
     kept = F.filter(keyed, lambda s: ~(s["k"].isin(*TRACKING) | F.lower(s["k"]).startswith("utm_")))
     query = F.array_join(F.transform(F.array_sort(kept), lambda s: F.concat(F.url_encode(s["k"]), F.lit("="), F.url_encode(s["v"]))), "&")
     asked = let(query, lambda q: F.when(q == "", "").otherwise(F.concat(F.lit("?"), q)))
-    # null without a host
-    whole = F.concat(F.lit("https://"), F.regexp_replace(web_host(x), r"^www\.(?=.)", ""), web_port(x, secure=True), tail, asked)
-    return F.coalesce(whole, F.lower(given))
+    return F.concat(F.lit("https://"), F.regexp_replace(web_host(x), r"^www\.(?=.)", ""), web_port(x, secure=True), tail, asked)
 
 
 def dedupe_hash(raw: str | Column) -> Column:
@@ -85,8 +91,7 @@ def dedupe_hash(raw: str | Column) -> Column:
 
 
 def link_host(url: str | Column) -> Column:
-    host = web_host(tidied(js_trim(url)))
-    return F.when(host.isNull(), "the listing").otherwise(F.regexp_replace(host, r"^www\.(?=.)", ""))
+    return F.coalesce(F.regexp_replace(web_host(tidied(js_trim(url))), r"^www\.(?=.)", ""), F.lit("the listing"))
 
 
 __all__ = ["TRACKING", "canonical_url", "col", "dedupe_hash", "link_host"]

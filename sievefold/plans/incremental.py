@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from ..operators.dedupe import apply_marks, near_duplicates
 from ..operators.store import scratch, store
-from ..operators.tables import Commit
+from ..operators.tables import BUCKETS, Commit
 from .ingest import KEPT
 
 LISTINGS, PLACES = "listings", "places"
@@ -16,7 +16,7 @@ LISTINGS, PLACES = "listings", "places"
 PLACE_COLUMNS = ("id", "dedupe_hash", "content_fingerprint", "first_seen_at", "latitude", "longitude", "location_suburb", "duplicate_of")
 
 
-def merge_batch(tx: Commit, prepared: DataFrame) -> dict[str, int]:
+def merge_batch(tx: Commit, prepared: DataFrame, buckets: int = BUCKETS) -> dict[str, int]:
     """Merges prepared listings (of ``ingest.prepare``, with ``duplicate_of``) and marks near
     duplicates; returns how many rows of ``examined`` fingerprints were clustered and how
     many marks ``changed``.
@@ -28,8 +28,8 @@ def merge_batch(tx: Commit, prepared: DataFrame) -> dict[str, int]:
         keys = batch.select("dedupe_hash")
         fresh = not tx.has(LISTINGS)
         if fresh:
-            tx.create(LISTINGS, batch.schema, ["dedupe_hash"])
-            tx.create(PLACES, batch.select(*PLACE_COLUMNS).schema, ["content_fingerprint"])
+            tx.create(LISTINGS, batch.schema, ["dedupe_hash"], buckets)
+            tx.create(PLACES, batch.select(*PLACE_COLUMNS).schema, ["content_fingerprint"], buckets)
         before = store(tx.rows_of(LISTINGS, keys, "dedupe_hash").select("id", "dedupe_hash", "content_fingerprint", "duplicate_of"))
         tx.merge(LISTINGS, batch, "dedupe_hash", KEPT)
         after = store(tx.rows_of(LISTINGS, keys, "dedupe_hash").select(*PLACE_COLUMNS))

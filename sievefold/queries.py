@@ -486,12 +486,12 @@ def polls(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-_POLLS = "p AS (SELECT event_id, 'source ' || user_id AS name, ts AS at, event_id % 9 AS calls, event_type <> 'error' AS ok, CASE WHEN event_type = 'error' THEN 'error ' || event_id END AS error FROM events)"
-_HISTORY = f"""{_POLLS}, r AS (SELECT *, sum(ok::INT) OVER (PARTITION BY name ORDER BY at) AS run FROM p),
-h AS (SELECT event_id, name, at, sum(calls) OVER (PARTITION BY name, date_trunc('day', at) ORDER BY at)::BIGINT AS calls_today, date_trunc('day', at) + INTERVAL 1 DAY AS quota_reset_at,
- max(CASE WHEN ok THEN at END) OVER (PARTITION BY name ORDER BY at) AS last_success_at, error AS last_error, sum((NOT ok)::INT) OVER (PARTITION BY name, run ORDER BY at)::BIGINT AS consecutive_failures FROM r)"""
+_POLLS = """p AS (SELECT event_id, 'source ' || user_id AS name, ts AS "at", event_id % 9 AS calls, event_type <> 'error' AS ok, CASE WHEN event_type = 'error' THEN 'error ' || event_id END AS error FROM events)"""
+_HISTORY = f"""{_POLLS}, r AS (SELECT *, sum(ok::INT) OVER (PARTITION BY name ORDER BY "at") AS run FROM p),
+h AS (SELECT event_id, name, "at", sum(calls) OVER (PARTITION BY name, date_trunc('day', "at") ORDER BY "at")::BIGINT AS calls_today, date_trunc('day', "at") + INTERVAL 1 DAY AS quota_reset_at,
+ max(CASE WHEN ok THEN "at" END) OVER (PARTITION BY name ORDER BY "at") AS last_success_at, error AS last_error, sum((NOT ok)::INT) OVER (PARTITION BY name, run ORDER BY "at")::BIGINT AS consecutive_failures FROM r)"""
 _SHOWN = ("at", "quota_reset_at", "last_success_at")
-_SHOWN_SQL = ", ".join(f"strftime({c}, '%Y-%m-%d %H:%M:%S.%f') AS {c}" for c in _SHOWN)
+_SHOWN_SQL = ", ".join(f"""strftime("{c}", '%Y-%m-%d %H:%M:%S.%f') AS "{c}\"""" for c in _SHOWN)
 
 
 def _shown_times(df: DataFrame) -> DataFrame:
@@ -504,7 +504,7 @@ def source_histories(spark, sf_dir):
     return _shown_times(source_state.histories(polls(spark, sf_dir)))
 
 
-@query(lambda: f"WITH {_HISTORY} SELECT * EXCLUDE (event_id) REPLACE ({_SHOWN_SQL}) FROM h QUALIFY row_number() OVER (PARTITION BY name ORDER BY at DESC) = 1")
+@query(lambda: f"WITH {_HISTORY} SELECT * EXCLUDE (event_id) REPLACE ({_SHOWN_SQL}) FROM h QUALIFY row_number() OVER (PARTITION BY name ORDER BY \"at\" DESC) = 1")
 def source_states(spark, sf_dir):
     """The sources' states at the end of the log."""
     return _shown_times(source_state.folded(polls(spark, sf_dir).drop("event_id")))
@@ -515,8 +515,8 @@ _DUE_AT = "2024-01-30 23:00:00"
 _EVERY, _MOST, _ENABLED = "(user_id % 5 + 1) * 240", "user_id % 30 + 1", "user_id % 7 <> 0"
 
 
-@query(lambda: f"""WITH {_HISTORY}, s AS (SELECT *, split_part(name, ' ', 2)::BIGINT AS user_id FROM h WHERE at <= TIMESTAMP '{_DUE_AT}' QUALIFY row_number() OVER (PARTITION BY name ORDER BY at DESC) = 1),
-x AS (SELECT *, {_EVERY} AS every, {_MOST} AS most, epoch_us(TIMESTAMP '{_DUE_AT}') - epoch_us(at) AS waited FROM s)
+@query(lambda: f"""WITH {_HISTORY}, s AS (SELECT *, split_part(name, ' ', 2)::BIGINT AS user_id FROM h WHERE "at" <= TIMESTAMP '{_DUE_AT}' QUALIFY row_number() OVER (PARTITION BY name ORDER BY "at" DESC) = 1),
+x AS (SELECT *, {_EVERY} AS every, {_MOST} AS most, epoch_us(TIMESTAMP '{_DUE_AT}') - epoch_us("at") AS waited FROM s)
 SELECT name, CASE WHEN NOT ({_ENABLED}) THEN 'disabled' WHEN TIMESTAMP '{_DUE_AT}' < quota_reset_at AND calls_today >= most THEN 'daily quota spent (' || calls_today || '/' || most || '), resets ' || strftime(quota_reset_at, '%Y-%m-%dT%H:%M:%S.000Z')
  WHEN waited < every * 60000000 THEN 'not due for ' || ceil(every - waited / 60000000.0)::BIGINT || 'm' ELSE 'due' END AS due,
  CASE WHEN TIMESTAMP '{_DUE_AT}' >= quota_reset_at THEN most ELSE greatest(0, most - calls_today) END AS remaining FROM x""")
@@ -560,12 +560,12 @@ def preference_weights(spark, sf_dir):
     return report.preference_summary(rows)
 
 
-@query(lambda: "SELECT l_orderkey, round(sum((l_partkey * 2.0 + l_suppkey * 10.0 + CASE WHEN l_linenumber % 2 = 0 THEN l_quantity * 2.5 ELSE 0 END + l_linenumber * 0.2) / 1000000.0), 6) AS usd FROM lineitem GROUP BY l_orderkey")
+@query(lambda: "SELECT l_orderkey, round(sum((l_partkey * 2.0 + l_suppkey * 10.0 + CASE WHEN l_linenumber % 2 = 0 THEN l_quantity * 2.5 ELSE 0 END + l_linenumber * 0.2) / 1000000.0), 7) AS usd FROM lineitem GROUP BY l_orderkey")
 def request_costs(spark, sf_dir):
     """What requests cost by their tokens, summed per run; some write nothing to the cache."""
     x = table(spark, sf_dir, "lineitem")
     written = F.when(F.col("l_linenumber") % 2 == 0, F.col("l_quantity"))
-    return x.groupBy("l_orderkey").agg(F.round(F.sum(budget.request_cost_usd(F.col("l_partkey"), F.col("l_suppkey"), written, F.col("l_linenumber"))), 6).alias("usd"))
+    return x.groupBy("l_orderkey").agg(F.round(F.sum(budget.request_cost_usd(F.col("l_partkey"), F.col("l_suppkey"), written, F.col("l_linenumber"))), 7).alias("usd"))
 
 
 def _plan_rows() -> str:
@@ -669,7 +669,8 @@ SELECT page_id, reason, CASE WHEN refusal IS NULL AND page_id % 11 <> 0 THEN CAS
  CASE WHEN reason IS NULL THEN page_id % 3 ELSE 0 END AS n_postings, CASE WHEN reason IS NULL THEN page_id % 3 = 0 END AS needs_rendering FROM o""")
 def career_pages(spark, sf_dir):
     """Guard, robots, fetch outcome, redirects and extraction as one plan."""
-    read = careers.read_pages(*(lambda pages, robots: (pages, careers.robots_by_origin(robots, "sievefold")))(*_fetched_pages(spark, sf_dir)))
+    pages, robots = _fetched_pages(spark, sf_dir)
+    read = store(careers.read_pages(pages, careers.robots_by_origin(robots, "sievefold")))
     return careers.page_outcomes(read, careers.extract_postings(read.where("reason IS NULL")))
 
 

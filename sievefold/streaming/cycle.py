@@ -21,7 +21,7 @@ from ..functions import render
 from ..operators.budget import spend_allowance
 from ..operators.settings import load_settings, notification_rows, record_spend, sent_today
 from ..operators.store import scratch
-from ..operators.tables import Tables
+from ..operators.tables import BUCKETS, Tables
 from ..plans import matches as m
 from ..plans import scoring
 from ..plans.incremental import LISTINGS, merge_batch
@@ -55,6 +55,8 @@ class Cycle:
     sender: Sender
     channel: str = "chat"
     chat_id: str = ""
+    #: Buckets of the tables that the cycle makes.
+    buckets: int = BUCKETS
     stopped: Callable[[], bool] = lambda: False
     #: (epoch, step, error) of steps that failed
     failures: list[tuple[int, str, str]] = field(default_factory=list)
@@ -72,7 +74,7 @@ class Cycle:
             if tx is None:
                 return None
             prepared = prepare(batch, self.criteria(), self.now(), self.order).withColumn("duplicate_of", F.lit(None).cast(dict(batch.dtypes)["id"]))
-            return merge_batch(tx, prepared)
+            return merge_batch(tx, prepared, self.buckets)
 
     def judged(self) -> DataFrame:
         return self.tables.read(LISTINGS).withColumnsRenamed({"prefilter_status": "status", "location_suburb": "suburb"})
@@ -122,7 +124,7 @@ class Cycle:
         if not done.scored.isEmpty():
             new = done.scored.withColumns({"listing_id": F.col("id"), "match_id": F.col("id"), "created_at": at, "updated_at": at, "match_status": F.lit("new")})
             with self.tables.commit() as tx:
-                tx.merge(MATCHES, new.select(*found.columns), "listing_id", scoring.KEPT)
+                tx.merge(MATCHES, new.select(*found.columns), "listing_id", scoring.KEPT, self.buckets)
         if done.failed:
             raise RuntimeError(f"{done.failed} of {done.batches} batches failed; the run ended: {done.ended}")
 

@@ -112,7 +112,7 @@ def cycle(spark, tmp_path, **changes):
         sent.append((text, json.loads(keyboard)))
         return str(len(sent))
 
-    parts = dict(tables=tables, criteria=small_criteria, now=lambda: NOW, order=["id"], scorer=scoring.priced(scoring.rule_scorer, lambda n: n / 64), dearest=8 / 64, sender=sender)
+    parts = dict(tables=tables, criteria=small_criteria, now=lambda: NOW, order=["id"], scorer=scoring.priced(scoring.rule_scorer, lambda n: n / 64), dearest=8 / 64, sender=sender, buckets=4)
     return Cycle(**(parts | changes)), sent
 
 
