@@ -9,9 +9,10 @@ shard most documents stay where they are.
 1. Rows of equal id and text are one class with a count; classes are all that is placed,
    so a group of copies is one row however large it is.
 2. Rounds: in each, what isn't placed goes to its first open shard clockwise.  A shard
-   takes classes by their rank, a second hash, up to its room; who arrives in an earlier
-   round stays.  A shard that turns a class away is full and closed, so a round closes at
-   least one, and there are no more rounds than shards.  A class at the edge is split.
+   takes classes by their rank, a hash that differs from round to round, up to its room;
+   who arrives in an earlier round stays.  A shard that turns a class away is full and
+   closed, so a round closes at least one, and there are no more rounds than shards.  A
+   class at the edge is split.
 3. Ranks are prefix sums on two levels, inside ranges of the rank's hash and over the
    ranges' totals; no task holds a shard.  Of the rounds, the driver sees totals per shard.
 4. Slots are the ranks, counted on from round to round.  Classes are expanded to rows in
@@ -59,8 +60,8 @@ def capacities(total: int, shards: int) -> list[int]:
 
 
 def _classes(docs: DataFrame, doc_id: str, text: str, points: np.ndarray) -> DataFrame:
-    """(doc_id, size, text_crc32, h, k, at, rank): a row per id and text, ``k`` rows of the
-    table, with its place on the ring."""
+    """(doc_id, size, text_crc32, h, k, at): a row per id and text, ``k`` rows of the table,
+    with its place on the ring."""
     t = F.coalesce(F.col(text).cast("string"), F.lit(""))
     rows = docs.select(F.col(doc_id).alias("doc_id"), (F.octet_length(t) + 1).cast("long").alias("size"), F.crc32(t.cast("binary")).alias("text_crc32"), F.xxhash64(t).alias("h"))
     few = rows.groupBy("doc_id", "size", "text_crc32", "h").agg(F.count(F.lit(1)).alias("k"))
@@ -73,7 +74,13 @@ def _classes(docs: DataFrame, doc_id: str, text: str, points: np.ndarray) -> Dat
 
         return pd.Series((np.searchsorted(points, h.to_numpy()) % len(points)).astype(np.int32))
 
-    return few.select("*", point_of(place).alias("at"), F.xxhash64(F.lit(1), "doc_id", "h").alias("rank"))
+    return few.select("*", point_of(place).alias("at"))
+
+
+def rank_of(round_: int) -> Column:
+    """Who comes first in a round.  What a round leaves over ranks high in it; in the next
+    one it is spread over all ranks again."""
+    return F.xxhash64(F.lit(round_), "doc_id", "h")
 
 
 def _ranked(x: DataFrame, classes: int, unit: Column) -> DataFrame:
@@ -121,7 +128,7 @@ def shard_documents(docs: DataFrame, shards: int = SHARDS, law: str = "rows", do
     filled, placed = dict.fromkeys(room, 0), []
     while n := left.count():
         open_ = {s for s, r in room.items() if r > 0}
-        x = left.withColumn("shard", F.get(F.lit(clockwise(owners, open_)), F.col("at")))
+        x = left.withColumn("rank", rank_of(len(placed))).withColumn("shard", F.get(F.lit(clockwise(owners, open_)), F.col("at")))
         of = lambda values: F.get(F.lit([int(values[s]) for s in range(shards)]).cast("array<long>"), F.col("shard"))
         x = _ranked(x, n // len(open_), unit)
         # rows are taken until the room is used up

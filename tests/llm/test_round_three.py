@@ -156,14 +156,16 @@ def test_audit_of_nothing(spark):
 
 
 def brute_shards(classes, shards, law):
-    """Round by round over (doc_id, size, crc, h, k, at, rank)."""
+    """Round by round over (doc_id, size, crc, h, k, at) and each round's ranks."""
     points, owners = sharding.ring(shards)
     load = lambda c: c["size"] if law == "bytes" else 1
     room = sharding.capacities(sum(c["k"] * load(c) for c in classes), shards)
     filled, out = [0] * shards, Counter()
-    left = sorted((dict(c) for c in classes), key=lambda c: (c["rank"], c["doc_id"] is not None, c["doc_id"] or 0, c["h"]))
+    left, at_round = [dict(c) for c in classes], 0
     while left:
         is_open = [r > 0 for r in room]
+        left.sort(key=lambda c: (c[f"rank{at_round}"], c["doc_id"] is not None, c["doc_id"] or 0, c["h"]))
+        at_round += 1
         for c in left:
             at = c["at"]
             while not is_open[owners[at % len(owners)]]:
@@ -200,7 +202,8 @@ def test_shards(spark, monkeypatch, law):
         assert max(load.values()) - min(load.values()) <= 1
     else:
         assert max(load.values()) < sum(load.values()) / 5 + 100_001 + 1
-    classes = [r.asDict() for r in sharding._classes(docs, "doc_id", "text", sharding.ring(5)[0]).collect()]
+    found = sharding._classes(docs, "doc_id", "text", sharding.ring(5)[0])
+    classes = [r.asDict() for r in found.withColumns({f"rank{i}": sharding.rank_of(i) for i in range(6)}).collect()]
     assert Counter(got) == brute_shards(classes, 5, law)
 
 
