@@ -11,10 +11,10 @@ from . import oracles as o
 from .criteria import keyword_rows, seed_criteria, small_criteria
 from .functions import geo, render, signals
 from .functions.text import content_fingerprint, html_to_text, listing_text
-from .functions.urls import canonical_url, dedupe_hash
+from .functions.urls import canonical_url, dedupe_hash, link_host
 from .operators import budget, careers, settings
 from .operators.dedupe import apply_marks, dedupe_summary, first_wins, near_duplicates
-from .operators.merge import upsert
+from .operators.merge import compare_and_set, delete_where, update_where, upsert
 from .operators.store import store
 from .operators.prefilter import fit_score, prefilter, reason_key
 from .plans import matches, report, scoring
@@ -396,6 +396,68 @@ def card_lines(spark, sf_dir):
     )
 
 
+# --- writes, failures, times -----------------------------------------------------------
+
+
+@query(lambda: "WITH ids AS (SELECT DISTINCT l_orderkey FROM lineitem WHERE l_quantity > 40) SELECT o_orderkey, CASE WHEN o_orderstatus = 'O' AND o_orderkey IN (SELECT l_orderkey FROM ids) THEN 'notified' ELSE o_orderstatus END AS status FROM orders")
+def compared_and_set(spark, sf_dir):
+    """Orders with a large line move on, if they are still open."""
+    orders = table(spark, sf_dir, "orders").select("o_orderkey", F.col("o_orderstatus").alias("status"))
+    ids = table(spark, sf_dir, "lineitem").where("l_quantity > 40").select(F.col("l_orderkey").alias("o_orderkey"))
+    return compare_and_set(orders, ids, "o_orderkey", "status", "O", "notified")
+
+
+@query(lambda: "SELECT p_partkey, CASE WHEN p_size > 25 THEN upper(p_name) ELSE p_name END AS p_name, CASE WHEN p_size > 25 THEN true ELSE p_partkey % 2 = 0 END AS loud FROM part WHERE NOT coalesce(p_type = 'ECONOMY' AND p_size < 10, false)")
+def bulk_writes(spark, sf_dir):
+    """One predicate's update and another's delete."""
+    x = table(spark, sf_dir, "part").withColumn("loud", F.col("p_partkey") % 2 == 0)
+    x = update_where(x, F.col("p_size") > 25, p_name=F.upper("p_name"), loud=F.lit(True))
+    return delete_where(x, (F.col("p_type") == "ECONOMY") & (F.col("p_size") < 10)).select("p_partkey", "p_name", "loud")
+
+
+@query(lambda: f"SELECT event_id AS match_id, CASE WHEN event_type = 'error' THEN 'failed' ELSE 'sent' END AS status, CASE WHEN event_type = 'error' THEN left(repeat('no answer ', (event_id % 90)::INT), {settings.ERROR_LENGTH}) END AS error FROM events")
+def notification_log(spark, sf_dir):
+    """The log rows of attempts to send, some failed with long errors."""
+    failed = F.col("event_type") == "error"
+    none = F.lit(None).cast("string")
+    tried = table(spark, sf_dir, "events").select(F.col("event_id").alias("match_id"), F.lit("chat").alias("channel"), none.alias("chat_id"), none.alias("message_id"), none.alias("payload"), F.when(failed, F.repeat(F.lit("no answer "), (F.col("event_id") % 90).cast("int"))).alias("error"))
+    return settings.notification_rows(tried, F.lit(NOW).cast("timestamp")).select("match_id", "status", "error")
+
+
+_MESSAGES = ("401 authentication_error", "Your credit balance is TOO LOW", "529 overloaded", "request 500 failed", "code 14030", "insufficient_quota")
+
+
+@query(lambda: f"SELECT event_id, event_type <> 'view' AND event_id % {len(_MESSAGES)} IN (0, 1, 4, 5) AS final FROM events")
+def failure_classes(spark, sf_dir):
+    """Which errors no retry mends; views have none."""
+    message = F.when(F.col("event_type") != "view", F.element_at(F.array(*map(F.lit, _MESSAGES)), (F.col("event_id") % len(_MESSAGES) + 1).cast("int")))
+    return table(spark, sf_dir, "events").select("event_id", budget.account_level_failure(message).alias("final"))
+
+
+@query(lambda: "WITH g AS (SELECT l_orderkey AS batch, count(*) FILTER (l_orderkey % 5 <> 0 OR l_linenumber <> 1) AS got, count(*) AS want, count(*) FILTER (l_linenumber = 6 AND l_orderkey % 2 = 0) AS leaks FROM lineitem GROUP BY 1) SELECT batch, got = want AND leaks = 0 AS valid FROM g")
+def batch_validity(spark, sf_dir):
+    """Batches of scores: some lack one, some hold output that ran on."""
+    sent = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("batch"), "l_linenumber")
+    told = F.when((F.col("l_linenumber") == 6) & (F.col("batch") % 2 == 0), 'fits.}, {"ref": 2').otherwise("fits")
+    got = sent.where("batch % 5 <> 0 OR l_linenumber <> 1").withColumn("reasoning", told)
+    return budget.batch_is_valid(got, sent)
+
+
+_AGO_AT = "2024-01-31 00:00:00"
+
+
+@query(lambda: f"""SELECT event_id, CASE WHEN event_type = 'error' THEN 'never' WHEN m < 1 THEN 'just now' WHEN m < 60 THEN m || 'm ago' WHEN m < 1440 THEN m // 60 || 'h ago' ELSE m // 1440 || 'd ago' END AS ago
+ FROM (SELECT *, (epoch_us(TIMESTAMP '{_AGO_AT}') - epoch_us(ts)) // 60000000 AS m FROM events)""")
+def relative_times(spark, sf_dir):
+    then = F.when(F.col("event_type") != "error", F.col("ts").cast("timestamp"))
+    return table(spark, sf_dir, "events").select("event_id", report.ago(then, F.lit(_AGO_AT).cast("timestamp")).alias("ago"))
+
+
+@query(lambda: "SELECT page_id, regexp_replace(lower(regexp_extract(url, '://([^/?#:]*)', 1)), '^www\\.', '') AS host FROM pages")
+def link_hosts(spark, sf_dir):
+    return table(spark, sf_dir, "pages").select("page_id", link_host("url").alias("host"))
+
+
 # --- sources, state, pages -----------------------------------------------------------
 
 _BROKEN, _NO_URL, _NO_TITLE, _NO_DATE = "id % 17 = 0", "id % 13 = 1", "id % 11 = 2", "id % 19 = 3"
