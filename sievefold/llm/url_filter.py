@@ -54,7 +54,8 @@ RULES = (
 
 #: URLs of several kinds of sites, labelled by hand: reference works, universities, news, offices,
 #: code, shops and private sites (0), gambling, pills, adult sites, loans, warez, counterfeits,
-#: advertising and phishing (1).
+#: advertising and phishing (1).  Subdomains, endings and half of the paths (numbers) are
+#: alike in both classes, so that the hosts' words decide.
 LABELLED = Path(__file__).with_name("labelled_urls.csv")
 
 
