@@ -11,7 +11,7 @@ from . import oracles as o
 from .criteria import keyword_rows, seed_criteria, small_criteria
 from .functions import geo, render, signals
 from .functions.text import content_fingerprint, html_to_text, listing_text
-from .functions.urls import canonical_url, dedupe_hash, link_host
+from .functions.urls import canonical_url, link_host
 from .operators import budget, careers, settings
 from .operators.dedupe import apply_marks, dedupe_summary, first_wins, near_duplicates
 from .operators.merge import compare_and_set, delete_where, update_where, upsert
@@ -62,7 +62,8 @@ def _pf(select: str) -> Callable[[], str]:
 
 @query(lambda: f"SELECT page_id, {o.canonical('url')} AS url_canonical, sha256({o.canonical('url')}) AS dedupe_hash FROM pages")
 def url_canonical(spark, sf_dir):
-    return table(spark, sf_dir, "pages").select("page_id", canonical_url("url").alias("url_canonical"), dedupe_hash("url").alias("dedupe_hash"))
+    x = table(spark, sf_dir, "pages").select("page_id", canonical_url("url").alias("url_canonical"))
+    return x.withColumn("dedupe_hash", F.sha2("url_canonical", 256))
 
 
 @query(lambda: f"SELECT p_partkey, {o.fingerprint('p_name', 'p_brand')} AS fingerprint FROM part")
