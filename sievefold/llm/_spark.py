@@ -111,8 +111,9 @@ def n_groups(rows: int, per_group: int) -> int:
     return max(1, math.ceil(rows / per_group))
 
 
-#: Rows of a few numbers that may be broadcast; more are joined by a shuffle.
-BROADCAST_ROWS = 1_000_000
+#: Rows of a few numbers that may be broadcast; more are joined by a shuffle.  The driver
+#: holds a broadcast table several times over while it is built and sent.
+BROADCAST_ROWS = 200_000
 
 
 def checked_broadcast(stored: DataFrame) -> DataFrame:
@@ -120,6 +121,35 @@ def checked_broadcast(stored: DataFrame) -> DataFrame:
     return F.broadcast(stored) if stored.count() <= BROADCAST_ROWS else stored
 
 
+#: Bits of a key filter: for each key, and all in all.
+KEY_BITS, FILTER_BITS = 16, 1 << 25
+
+
+def key_filter(keys: DataFrame, key: str) -> tuple[DataFrame, Column]:
+    """One row of bits for the hashes in column ``key`` of a stored table, and the condition
+    by which ``left_semi`` with it keeps the rows that have one of these hashes, and a few
+    others.  It holds FILTER_BITS at most, whatever the number of keys: beyond that more of
+    the others pass.  What passes is to be joined with the keys."""
+    n = max(1, keys.count())
+    size = min(FILTER_BITS, 1 << max(12, (KEY_BITS * n - 1).bit_length()))
+    at = F.col(key).bitwiseAND(F.lit(size - 1))
+    word, bit = F.shiftright(at, 6), at.bitwiseAND(F.lit(63)).cast("int")
+    each = keys.select(word.alias("w"), F.call_function("shiftleft", F.lit(1).cast("long"), bit).alias("b"))
+    each = each.union(keys.sparkSession.range(size >> 6).select("id", F.lit(0).cast("long")))
+    words = each.groupBy("w").agg(F.bit_or("b").alias("b"))
+    bits = words.agg(F.transform(F.sort_array(F.collect_list(F.struct("w", "b"))), lambda x: x["b"]).alias("_bits"))
+    return F.broadcast(materialize(bits)), F.bit_get(F.get("_bits", word.cast("int")), bit) == 1
+
+
+def without_keys(rows: DataFrame, keys: DataFrame, key: str) -> DataFrame:
+    """``rows`` but those of the hashes in ``keys`` (a stored table).  However many keys there
+    are, only rows that may have one are shuffled."""
+    if keys.count() <= BROADCAST_ROWS:
+        return rows.join(F.broadcast(keys), key, "left_anti")
+    bits, may_have = key_filter(keys, key)
+    return rows.join(bits, may_have, "left_anti").union(rows.join(bits, may_have, "left_semi").join(keys, key, "left_anti").select(*rows.columns))
+
+
 #: A key is hot if it holds more than one in so many rows; so there are fewer hot keys than this.
 HOT = 1000
 

@@ -43,7 +43,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ._spark import bounded_batches, checked_broadcast, discard_since, made, materialize
+from ._spark import bounded_batches, checked_broadcast, discard_since, key_filter, made, materialize
 from ._text import chunks, mix64, shingle_sets
 from .components import components
 
@@ -159,9 +159,13 @@ def cells(prefix: DataFrame, within: list[str]) -> DataFrame:
 
 
 def _again(docs: DataFrame, chosen: DataFrame, width: int, doc_id: str, text: str, schema: str, emit) -> DataFrame:
-    """Hashes the texts of the classes in ``chosen`` (sig, sig2, h, node) again, in the row
-    that stands for each: (node, n) and what ``emit`` makes of the tokens."""
-    wanted = checked_broadcast(materialize(chosen.select("h").distinct()))
+    """Hashes the texts of the classes in ``chosen`` (sig, sig2, h and others, stored) again, in
+    the row that stands for each: the others and what ``emit`` makes of the tokens.
+
+    A filter of bounded size picks the texts, and what was made of them is joined with the
+    classes by a shuffle: texts aren't shuffled, and no table of classes is broadcast."""
+    bits, may_be_chosen = key_filter(chosen, "h")
+    keys = ["sig", "sig2", "h"]
     names = ["h", "sig", "sig2", *(x.split()[0] for x in schema.split(", "))]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -170,11 +174,9 @@ def _again(docs: DataFrame, chosen: DataFrame, width: int, doc_id: str, text: st
             sigs = [pa.array(_signatures(tokens, offs, k).view(np.int64)) for k in (0, 1)]
             yield pa.RecordBatch.from_arrays([part.column(0), *sigs, *emit(tokens, offs)], names)
 
-    given = docs.select(F.xxhash64(F.col(doc_id)).alias("h"), F.col(text).cast("string").alias("text")).join(wanted, "h", "left_semi")
-    found = given.mapInArrow(run, f"h long, sig long, sig2 long, {schema}")
-    names_ = checked_broadcast(chosen.select("sig", "sig2", "h", "node"))
-    named = found.join(names_, ["sig", "sig2", "h"]).drop("sig", "sig2", "h")
-    return named.dropDuplicates(["node"])  # rows of one id with one text
+    given = docs.select(F.xxhash64(F.col(doc_id)).alias("h"), F.col(text).cast("string").alias("text")).join(bits, may_be_chosen, "left_semi")
+    found = bounded_batches(given).mapInArrow(run, f"h long, sig long, sig2 long, {schema}")
+    return found.join(chosen, keys).dropDuplicates(keys).drop(*keys)  # rows of one id with one text
 
 
 def _second_bands(docs: DataFrame, chosen: DataFrame, width: int, percent: int, share: float, doc_id: str, text: str) -> DataFrame:
@@ -183,18 +185,17 @@ def _second_bands(docs: DataFrame, chosen: DataFrame, width: int, percent: int,
     def emit(tokens: np.ndarray, offs: np.ndarray) -> list[pa.Array]:
         return _band(_ordered(tokens, offs, 1), offs, percent, share)
 
-    found = _again(docs, chosen, width, doc_id, text, _BAND, emit)
-    return found.join(checked_broadcast(chosen.select("node", "cell")), "node")
+    return _again(docs, chosen.drop("n"), width, doc_id, text, _BAND, emit)
 
 
 def _member_tokens(docs: DataFrame, chosen: DataFrame, width: int, doc_id: str, text: str) -> DataFrame:
-    """(node, tokens): whole sets, packed."""
+    """(node, cell, is_small, tokens): whole sets, packed."""
 
     def emit(tokens: np.ndarray, offs: np.ndarray) -> list[pa.Array]:
         raw = tokens.tobytes()
         return [pa.array([raw[8 * a : 8 * b] for a, b in zip(offs[:-1].tolist(), offs[1:].tolist(), strict=True)], pa.binary())]
 
-    return _again(docs, chosen, width, doc_id, text, "tokens binary", emit)
+    return _again(docs, chosen.drop("n"), width, doc_id, text, "tokens binary", emit)
 
 
 def _n_parts(rows: str, tokens: str) -> Column:
@@ -323,8 +324,12 @@ def forest(nodes: np.ndarray, sets: list[np.ndarray], side: np.ndarray | None, p
 _KEYS = ["u", "v", "c", "i", "j"]
 
 
-def _verify(blocks: DataFrame, tokens: DataFrame, percent: int, across: bool) -> DataFrame:
-    """(a, b) links of a spanning forest of every block (node, label, side, *_KEYS)."""
+def _with_tokens(blocks: DataFrame, tokens: DataFrame) -> DataFrame:
+    return tokens.join(checked_broadcast(materialize(blocks)), "node")
+
+
+def _verify(blocks: DataFrame, percent: int, across: bool) -> DataFrame:
+    """(a, b) links of a spanning forest of every block (node, label, side, tokens, *_KEYS)."""
 
     def flush(rows: list) -> list[tuple[int, int]]:
         if len(rows) < 2:
@@ -348,7 +353,7 @@ def _verify(blocks: DataFrame, tokens: DataFrame, percent: int, across: bool) ->
                 found = []
         yield _links(found + flush(held))
 
-    given = tokens.join(checked_broadcast(materialize(blocks)), "node").repartition(*_KEYS).sortWithinPartitions(*_KEYS)
+    given = blocks.repartition(*_KEYS).sortWithinPartitions(*_KEYS)
     return bounded_batches(given).select("node", "label", "side", "tokens", *_KEYS).mapInArrow(run, "a long, b long")
 
 
@@ -356,24 +361,28 @@ def _links(found: list[tuple[int, int]]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array([x[i] for x in found], pa.int64()) for i in (0, 1)], ["a", "b"])
 
 
-def cell_links(members: DataFrame, prefix: DataFrame, tokens: DataFrame, percent: int) -> DataFrame:
-    """(a, b): links that join all linked classes.  ``members``: node, n, cell; ``prefix``:
-    node, token under the first order; ``tokens``: node, tokens."""
+def sized(members: DataFrame) -> DataFrame:
+    """``members`` of cells of several classes, and whether the cell is one block (is_small)."""
     total = members.groupBy("cell").agg(F.count(F.lit(1)).alias("m"), F.sum("n").alias("w")).where("m > 1")
-    x = members.join(total, "cell")
     is_small = (F.col("m") <= 2 * BLOCK) & (F.col("w") <= 2 * BLOCK_TOKENS)
+    return members.join(total, "cell").withColumn("is_small", is_small).drop("m", "w")
+
+
+def cell_links(members: DataFrame, prefix: DataFrame, tokens: DataFrame, percent: int) -> DataFrame:
+    """(a, b): links that join all linked classes.  ``members``: node, n, cell, is_small;
+    ``prefix``: node, token under the first order; ``tokens``: node, cell, is_small, tokens."""
     none = F.lit(0)
-    small = x.where(is_small).select("node", F.col("node").alias("label"), none.alias("side"), F.col("cell").alias("u"), none.cast("long").alias("v"), *(none.alias(c) for c in "cij"))
-    links = _verify(small, tokens, percent, across=False)
-    large = materialize(x.where(~is_small).select("cell", "node", "n"))
+    small = tokens.where("is_small").select("node", F.col("node").alias("label"), none.alias("side"), "tokens", F.col("cell").alias("u"), none.cast("long").alias("v"), *(none.alias(c) for c in "cij"))
+    links = _verify(small, percent, across=False)
+    large = materialize(members.where("NOT is_small").select("cell", "node", "n"))
     if large.isEmpty():
         return links
     lists = materialize(_lists_of(prefix, large))
-    own = materialize(tokens.join(checked_broadcast(large.select("node")), "node"))
-    by_hub = materialize(_verify(_hub_blocks(lists, percent), own, percent, across=True))
+    own = materialize(tokens.where("NOT is_small").select("node", "tokens"))
+    by_hub = materialize(_verify(_with_tokens(_hub_blocks(lists, percent), own), percent, across=True))
     found = components(by_hub)
     labelled = materialize(large.join(found, "node", "left").select("cell", "node", "n", F.coalesce("component", "node").alias("label")))
-    rest = _verify(_other_blocks(lists.select("cell", "token", "node", "core"), labelled, percent), own, percent, across=True)
+    rest = _verify(_with_tokens(_other_blocks(lists.select("cell", "token", "node", "core"), labelled, percent), own), percent, across=True)
     return links.union(by_hub).union(rest)
 
 
@@ -395,10 +404,12 @@ def jaccard_components(docs: DataFrame, width: int = 3, percent: int = 90, doc_i
     prefix = materialize(shared_prefixes(classes.select("node", "band", "room", "rim"), [], share))
     first = cells(prefix, [])
     chosen = materialize(keys.join(first.withColumnRenamed("component", "cell"), "node"))
-    second = materialize(shared_prefixes(_second_bands(docs, chosen, width, percent, share, doc_id, text), ["cell"], share))
+    bands = materialize(_second_bands(docs, chosen, width, percent, share, doc_id, text))
+    second = materialize(shared_prefixes(bands, ["cell"], share))
     narrowed = materialize(chosen.drop("cell").join(cells(second, ["cell"]).withColumnRenamed("component", "cell"), "node"))
+    narrowed = materialize(sized(narrowed))
     tokens = materialize(_member_tokens(docs, narrowed, width, doc_id, text))
-    links = cell_links(narrowed.select("node", "n", "cell"), prefix, tokens, percent)
+    links = cell_links(narrowed.select("node", "n", "cell", "is_small"), prefix, tokens, percent)
     # one id with different texts joins their classes
     ids = sets.where("n > 0 AND doc_id IS NOT NULL").select("doc_id", "sig", "sig2")
     mark = F.struct("sig", "sig2")
