@@ -3,7 +3,9 @@
 Links stay a distributed table all the time.  A round shuffles the links twice on one
 endpoint; minima are aggregated before they are shuffled, and a node with very many
 links is a skewed join key that Spark splits.  Before a round's links are written, each
-task joins those that it holds, so chains get short and few rounds are needed.  Every
+task joins those that it holds, so chains get short and few rounds are needed.  Once
+``JOINED`` links at most are left, in however many partitions, one bounded task joins them:
+what a round costs then is the tasks of its shuffles, not the links.  Every
 round is written to the shared folder, so the plan stays short and a lost executor costs
 one round at most.
 """
@@ -32,7 +34,7 @@ def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     x, y = F.col(a), F.col(b)
     edges = links.where((x != y)).select(F.greatest(x, y).alias("u"), F.least(x, y).alias("v")).distinct()
     edges = materialize(_joined(edges))
-    while _is_open(edges):
+    while edges.count() > JOINED and _is_open(edges):
         both = edges.select("u", "v").union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
         large = both.where("v > u").join(low, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
@@ -41,6 +43,9 @@ def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
         small = small.where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).union(small.select("u", F.col("m").alias("v"))).distinct()
         before, edges = edges, materialize(_joined(small))
         discard(before)
+    if edges.count() <= JOINED:
+        before, edges = edges, materialize(_joined(edges.coalesce(1)))
+        discard(before)
     roots = edges.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct()
     return edges.select(F.col("u").alias("node"), F.col("v").alias("component")).union(roots)
 
