@@ -5,7 +5,8 @@ ids are the ids of its words in order.  Words are cut
 further where a run of letters meets ASCII punctuation (not around digits, apostrophes,
 ``<`` or characters beyond Latin letters), which is a cut of the vocabulary as well.
 Every distinct span of a chunk is encoded once; spans are kept in a cache of at most
-``CACHE_SPANS`` entries.
+``CACHE_SPANS`` entries, for which an executor's memory counts once a worker process: those are used
+again by what a session runs later.
 
 Spans of ASCII and Latin letters up to U+017F go through the same merges in
 ``tiktoken`` (the end-of-word mark is the byte 0xFF, which no UTF-8 text holds);
@@ -17,6 +18,7 @@ from __future__ import annotations
 import json
 import os
 import re
+from array import array
 from functools import lru_cache
 
 import numpy as np
@@ -26,7 +28,7 @@ import pyarrow as pa
 from ._text import buffers, lower_ascii, span_hashes, words
 
 VOCABULARY = "word_bpe_49k.json"
-CACHE_SPANS = 500_000
+CACHE_SPANS = 50_000
 #: The vocabulary's own split, for the characters of _SIMPLE.
 _SPLIT = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-zªµºÀ-ÖØ-öø-ſ]+|[0-9]|[^\sa-z0-9ªµºÀ-ÖØ-öø-ſ]+")
 _SIMPLE = re.compile(r"(?:(?!<\|)[\x21-\x7eÀ-ÖØ-öø-įıĴ-ňŌ-ž])+")
@@ -99,8 +101,8 @@ class WordIds:
 
     def clear(self) -> None:
         self.slot: dict[int, int] = {}
-        self.flat: list[int] = []
-        self.ends: list[int] = [0]
+        self.flat = array("I")
+        self.ends = array("q", [0])
 
     def encode_word(self, word: bytes) -> list[int]:
         if word.isalpha():  # ASCII letters
@@ -126,7 +128,7 @@ class WordIds:
         for i, h in enumerate(uniques.tolist()):
             at = slot.get(h)
             if at is None:
-                flat += self.encode_word(raw[s[i] : e[i]])
+                flat.extend(self.encode_word(raw[s[i] : e[i]]))
                 ends.append(len(flat))
                 at = slot[h] = len(ends) - 2
             where[i] = at
